@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmentflow.llm import bpe, chat, secret_scan, simhash, url_filter
+from segmentflow.llm import ann, bpe, chat, embed_dedup, langid, packing, secret_scan, simhash, toxicity, url_filter
 from segmentflow.session import table
 
 URL_RULES = """
@@ -67,6 +67,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), spark.sql(URL_RULES))
 
@@ -77,12 +81,61 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    return packed_pieces(packing.pack(table(spark, sf_dir, "documents"), path, pattern))
+
+
+def packed_pieces(pieces: DataFrame) -> DataFrame:
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def fold_of(id_col: str, folds: int) -> Column:
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: F.pmod(vec_id, F.lit(20)) == 0, k=20)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold_of("doc_id", 5) == 0
+    model = toxicity.fit(docs, labels, ~held_out)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of("doc_id", 3) == 1
+    model = langid.fit(docs, ~held_out)
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+    )
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
+    "op4_embeddings": op4_embeddings,
     "op5_urls": op5_urls,
     "op6_simhash": op6_simhash,
+    "op7_packing": op7_packing,
+    "op8_neighbours": op8_neighbours,
+    "op9_toxicity": op9_toxicity,
+    "op10_langid": op10_langid,
 }
 
 ORACLE_SQL = {
