@@ -110,9 +110,10 @@ def scan(docs: DataFrame, carry: dict[str, Column], text_col: str = "text", reac
     least = reduce(
         lambda c, k: c.when(F.col("kind") == k[0], F.col("measured") >= k[3]), BASE + WEAK, F.when(F.lit(False), F.lit(True))
     ).otherwise(F.lit(True))
-    rows = rows.where(F.col("kind").isNull() | least)
+    # A failing match stays as a row without kind, so that its document keeps a row.
+    rows = rows.withColumn("kind", F.when(least, F.col("kind")))
     by_start = Window.partitionBy("row_key").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("scope", F.sum((F.col("kind") == "break").cast("int")).over(by_start))
+    rows = rows.withColumn("scope", F.sum(F.when(F.col("kind") == "break", 1).otherwise(0)).over(by_start))
     near = Window.partitionBy("row_key", "scope").orderBy("start").rangeBetween(-reach, reach)
 
     def beside(kinds: list[str]) -> Column:

@@ -96,13 +96,22 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarra
         below = u_share @ as_negative - prior * (p_share @ as_negative)
         if below >= 0:
             slope = prior * p_share * (chance - 1) + (u_share - prior * p_share) * chance
-        else:  # the clean part went below zero: step back up that part alone
+            on_bias = slope.sum()
+        else:  # the clean part went below zero: the weights step back; the bias, shared by all texts, stays
             slope = -(u_share - prior * p_share) * chance
-        grad = np.append(np.bincount(column, weights=slope[row], minlength=width) + 1e-4 * w, slope.sum())
+            on_bias = 0.0
+        grad = np.append(np.bincount(column, weights=slope[row], minlength=width) + 1e-4 * w, on_bias)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return w, float(b)
+    # The mean chance over unlabelled texts is the prior; a bias that left it too low is raised to it.
+    z = b + np.bincount(row, weights=w[column], minlength=len(rows))
+    low, high = 0.0, 20.0
+    for _ in range(50):
+        raised = (low + high) / 2
+        mean = u_share @ (1.0 / (1.0 + np.exp(-np.clip(z + raised, -30, 30))))
+        low, high = (raised, high) if mean < prior else (low, raised)
+    return w, float(b + low)
 
 
 def _share(id_col: str, salt: str) -> Column:
