@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmentflow.functions import profiles
-from segmentflow.functions.membership import first_min, squared_distances
-from segmentflow.operators import behaviour, cleaning, features, markets, reversals, snapshot, summaries
+from segmentflow.operators import behaviour, cleaning, features, markets, quality, reversals, snapshot, summaries, validity
 from segmentflow.operators.calendar import in_periods
 from segmentflow.operators.lineage import fuzzy_overlap
-from segmentflow.plans import sql
+from segmentflow.plans import cycles as cycle_runs
+from segmentflow.plans import reports, sql
 from segmentflow.plans import state as st
-from segmentflow.sources.ledger import LEDGER_COLUMNS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,7 +32,7 @@ def registered(name: str, oracle: str | None = None):
 def r(c: str | Column, digits: int = 4, name: str | None = None) -> Column:
     """A double rounded for comparison; sums may come in any order."""
     column = F.col(c) if isinstance(c, str) else c
-    return F.round(column.cast("double"), digits).alias(name or c)
+    return (F.round(column.cast("double"), digits) + 0.0).alias(name or c)  # no negative zero
 
 
 def day(c: str) -> Column:
@@ -617,3 +616,188 @@ def matched_reversals(spark, sf_dir):
         r(F.sum(F.col("consumed") * F.col("unit_price")), 2, "matched_value"),
         F.count_distinct(F.when(hit, F.col("customer_id"))).alias("matched_customers"),
     )
+
+
+# Fitted clusters: random starts and iterations, so rows only
+
+
+@registered("dynamic_clusters")
+def dynamic_clusters(spark, sf_dir):
+    """Assignments of every cycle by the K-means baseline and the fuzzy updates."""
+    found = cycle_runs.run(st.rfm(spark, sf_dir), most_clusters=6, seeds=2)
+    return found.assignments.select("cycle_number", "customer_id", "cluster_index", "stable_cluster_id", "segment_name", "top_membership")
+
+
+@registered(
+    "cluster_scores",
+    sql.with_(sql.ASSIGNED)
+    + """, g AS (SELECT cycle_number, idx, count(*) AS n, avg(log_r) AS a, avg(log_f) AS b, avg(log_m) AS c, avg(log_r * log_r + log_f * log_f + log_m * log_m) AS q FROM assigned GROUP BY ALL),
+    away AS (SELECT s.cycle_number, s.customer_id, s.idx, g.idx AS k, g.n, greatest(0, s.log_r * s.log_r + s.log_f * s.log_f + s.log_m * s.log_m - 2 * (s.log_r * a + s.log_f * b + s.log_m * c) + q) AS d FROM assigned s JOIN g USING (cycle_number)),
+    ab AS (SELECT cycle_number, customer_id, any_value(idx) AS idx, max(CASE WHEN k = idx THEN n END) AS n, max(CASE WHEN k = idx AND n > 1 THEN d * n / (n - 1) END) AS i, min(CASE WHEN k <> idx THEN d END) AS o FROM away GROUP BY cycle_number, customer_id)
+    SELECT cycle_number, idx::INTEGER AS cluster_index, count(*) AS customers, round(avg(CASE WHEN n = 1 THEN 0 ELSE (o - i) / nullif(greatest(o, i), 0) END), 5) AS mean_silhouette FROM ab GROUP BY ALL""",
+)
+def cluster_scores(spark, sf_dir):
+    rows = st.assigned(st.rfm(spark, sf_dir)).select("cycle_number", "customer_id", "cluster_index", "point")
+    scored = validity.squared_silhouette(rows, ["cycle_number"])
+    return scored.groupBy("cycle_number", "cluster_index").agg(F.count("*").alias("customers"), r(F.avg("silhouette"), 5, "mean_silhouette"))
+
+
+@registered(
+    "cohort_quality",
+    sql.with_(sql.STATE)
+    + """, c AS (SELECT cycle_number, idx, top_membership, unnest(list_filter(['All customers', CASE WHEN current_orders > 0 THEN 'Purchased this month' END,
+        CASE WHEN recency <= 90 THEN 'Purchased within 90 days' END, CASE WHEN recency > 90 THEN 'No purchase for over 90 days' END], lambda x: x IS NOT NULL)) AS cohort FROM state)
+    SELECT cycle_number, cohort, count(*) AS customers, count(DISTINCT idx) AS occupied, round(avg(top_membership), 6) AS mean_membership FROM c GROUP BY ALL""",
+)
+def cohort_quality(spark, sf_dir):
+    rows = st.assigned(st.rfm(spark, sf_dir)).withColumn("cohort", F.explode(validity.cohorts()))
+    return rows.groupBy("cycle_number", "cohort").agg(
+        F.count("*").alias("customers"), F.count_distinct("cluster_index").alias("occupied"), r(F.avg("top_membership"), 6, "mean_membership")
+    )
+
+
+@registered(
+    "dashboard_overview",
+    sql.with_(sql.STATE)
+    + """SELECT CASE WHEN grouping(cycle_number) = 1 THEN 'all' ELSE 'Cycle_' || cycle_number END AS scope, count(DISTINCT customer_id) AS customers, round(sum(current_orders), 4) AS orders,
+       round(sum(current_revenue), 2) AS revenue, count(*) FILTER (risk_status IN ('At risk', 'Slipping')) AS at_risk,
+       round(avg(CASE WHEN cycle_number > 0 THEN top_membership END), 6) AS mean_membership FROM state GROUP BY GROUPING SETS ((cycle_number), ())""",
+)
+def dashboard_overview(spark, sf_dir):
+    """Totals per cycle and overall in one pass; baseline memberships are crisp and stay out of the mean."""
+    rows = st.state(spark, sf_dir).rollup("cycle_number").agg(
+        F.count_distinct("customer_id").alias("customers"),
+        r(F.sum("current_orders"), 4, "orders"),
+        r(F.sum("current_revenue"), 2, "revenue"),
+        F.count_if(F.col("risk_status").isin(*summaries.AT_RISK)).alias("at_risk"),
+        r(F.avg(F.when(F.col("cycle_number") > 0, F.col("top_membership"))), 6, "mean_membership"),
+    )
+    return rows.withColumn("scope", F.coalesce(F.concat(F.lit("Cycle_"), "cycle_number"), F.lit("all"))).drop("cycle_number")
+
+
+@registered(
+    "top_customers",
+    sql.with_(sql.STATE)
+    + """SELECT cycle_number, customer_id, segment_name, round(current_revenue, 2) AS revenue, row_number() OVER (PARTITION BY cycle_number ORDER BY round(current_revenue, 2) DESC, customer_id)::INTEGER AS place
+    FROM state QUALIFY place <= 12""",
+)
+def top_customers(spark, sf_dir):
+    rows = st.assigned(st.rfm(spark, sf_dir)).select("cycle_number", "customer_id", "segment_name", r("current_revenue", 2, "revenue"))
+    order = Window.partitionBy("cycle_number").orderBy(F.desc("revenue"), "customer_id")
+    return rows.withColumn("place", F.row_number().over(order)).where("place <= 12")
+
+
+@registered(
+    "customer_page",
+    sql.with_(sql.STATE, sql.ASOF)
+    + """, f AS (SELECT cycle_number, s.customer_id, h.country, segment_name, risk_status FROM state s JOIN home h USING (cycle_number, customer_id)
+        WHERE (s.customer_id::VARCHAR ILIKE '%1%' OR h.country ILIKE '%an%') AND risk_status = 'At risk')
+    SELECT *, (SELECT count(*) FROM f) AS total FROM f ORDER BY cycle_number, customer_id LIMIT 50 OFFSET 50""",
+)
+def customer_page(spark, sf_dir):
+    """Second page of at-risk customers whose id or country matches, with the total."""
+    rows = st.state(spark, sf_dir).join(st.asof(spark, sf_dir), ["cycle_number", "customer_id"])
+    return reports.page(
+        rows.select("cycle_number", "customer_id", "country", "segment_name", "risk_status"),
+        reports.matches({"customer_id": "1", "country": "an"}, any_of=True) & (F.col("risk_status") == "At risk"),
+        ["cycle_number", "customer_id"], page=2, size=50,
+    )
+
+
+@registered(
+    "filter_options",
+    sql.with_(sql.STATE)
+    + """SELECT 'segment' AS kind, segment_name AS value, count(*) AS rows FROM state GROUP BY ALL UNION ALL
+    SELECT 'cluster', stable_cluster_id, count(*) FROM state GROUP BY ALL UNION ALL
+    SELECT 'cycle', 'Cycle_' || cycle_number, count(*) FROM state GROUP BY ALL""",
+)
+def filter_options(spark, sf_dir):
+    """Values to filter by and their rows, counted in one pass."""
+    rows = st.assigned(st.rfm(spark, sf_dir)).select(
+        F.explode(
+            F.array(
+                F.struct(F.lit("segment").alias("kind"), F.col("segment_name").alias("value")),
+                F.struct(F.lit("cluster").alias("kind"), F.col("stable_cluster_id").alias("value")),
+                F.struct(F.lit("cycle").alias("kind"), F.concat(F.lit("Cycle_"), "cycle_number").alias("value")),
+            )
+        ).alias("o")
+    )
+    return rows.groupBy("o.kind", "o.value").agg(F.count("*").alias("rows"))
+
+
+@registered(
+    "last_fitted_cycles",
+    sql.with_(sql.STATE)
+    + """SELECT cycle_number, customer_id, last_value(CASE WHEN current_orders > 0 THEN cycle_number END IGNORE NULLS) OVER (PARTITION BY customer_id ORDER BY cycle_number
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::INTEGER AS last_fitted_cycle FROM state""",
+)
+def last_fitted_cycles(spark, sf_dir):
+    """The last cycle in which a customer bought, as of each row."""
+    rows = behaviour.last_fitted_cycle(st.rfm(spark, sf_dir), F.col("current_orders") > 0)
+    return rows.select("cycle_number", "customer_id", "last_fitted_cycle")
+
+
+@registered(
+    "segment_identity_history",
+    sql.with_(sql.STATE)
+    + """, m AS (SELECT cycle_number, stable_cluster_id, avg(recency) AS r, avg(frequency) AS f, avg(monetary) AS m FROM state GROUP BY ALL)
+    SELECT a.cycle_number, a.stable_cluster_id, round(a.r - b.r, 5) + 0.0 AS recency_change, round(a.f - b.f, 5) + 0.0 AS frequency_change, round(a.m - b.m, 3) + 0.0 AS monetary_change
+    FROM m a JOIN m b ON a.stable_cluster_id = b.stable_cluster_id AND a.cycle_number = b.cycle_number + 1""",
+)
+def segment_identity_history(spark, sf_dir):
+    means = st.assigned(st.rfm(spark, sf_dir)).groupBy("cycle_number", "stable_cluster_id").agg(
+        F.avg("recency").alias("r"), F.avg("frequency").alias("f"), F.avg("monetary").alias("m")
+    )
+    before = means.select((F.col("cycle_number") + 1).alias("cycle_number"), "stable_cluster_id", *[F.col(c).alias(f"old_{c}") for c in "rfm"])
+    return means.join(before, ["cycle_number", "stable_cluster_id"]).select(
+        "cycle_number", "stable_cluster_id", r(F.col("r") - F.col("old_r"), 5, "recency_change"),
+        r(F.col("f") - F.col("old_f"), 5, "frequency_change"), r(F.col("m") - F.col("old_m"), 3, "monetary_change"),
+    )
+
+
+# Quality jobs
+
+
+@registered(
+    "period_reconciliation",
+    sql.with_(sql.PANEL)
+    + """SELECT cal.cycle_number, round(coalesce(l.sales, 0), 2) AS ledger_sales, round(coalesce(p.sales, 0), 2) AS panel_sales, abs(coalesce(l.sales, 0) - coalesce(p.sales, 0)) < 0.01 AS agrees
+    FROM cal LEFT JOIN (SELECT cycle_number, sum(total_price) AS sales FROM ledger JOIN cal ON invoice_date >= period_start AND invoice_date < period_end GROUP BY ALL) l USING (cycle_number)
+    LEFT JOIN (SELECT cycle_number, sum(current_revenue) AS sales FROM panel GROUP BY ALL) p USING (cycle_number)""",
+)
+def period_reconciliation(spark, sf_dir):
+    return quality.period_reconciliation(st.ledger(spark, sf_dir), st.cycles(spark), st.rfm(spark, sf_dir)).select(
+        "cycle_number", r("ledger_sales", 2), r("panel_sales", 2), "agrees"
+    )
+
+
+@registered(
+    "panel_violations",
+    sql.with_(sql.STATE)
+    + """SELECT rule, violations FROM (
+    SELECT 'repeated customer-cycle' AS rule, (SELECT count(*) FROM (SELECT 1 FROM state GROUP BY cycle_number, customer_id HAVING count(*) > 1)) AS violations
+    UNION ALL SELECT 'negative recency', (SELECT count(*) FROM state WHERE recency < 0)
+    UNION ALL SELECT 'memberships do not sum to one', (SELECT count(*) FROM state WHERE abs(u0 + u1 + u2 + u3 - 1) > 1e-9)
+    UNION ALL SELECT 'baseline not crisp', (SELECT count(*) FROM state WHERE cycle_number = 0 AND top_membership <> 1)
+    UNION ALL SELECT 'customer lost from one cycle to the next', (SELECT count(*) FROM state a WHERE cycle_number < 9 AND NOT EXISTS (SELECT 1 FROM state b WHERE b.customer_id = a.customer_id AND b.cycle_number = a.cycle_number + 1)))""",
+)
+def panel_violations(spark, sf_dir):
+    return quality.panel_violations(st.assigned(st.rfm(spark, sf_dir)))
+
+
+@registered(
+    "duplicate_sensitivity",
+    sql.with_(sql.RAW)
+    + """, g AS (SELECT customer_id, quantity * unit_price AS v, count(*) AS n FROM raw WHERE customer_id IS NOT NULL AND quantity > 0 AND unit_price > 0 AND invoice_no NOT LIKE 'C%'
+        AND invoice_date >= TIMESTAMP '1995-01-01' AND invoice_date < TIMESTAMP '1996-01-01'
+        GROUP BY invoice_no, stock_code, description, quantity, invoice_date, unit_price, customer_id, country),
+    j AS (SELECT customer_id, round(sum(v), 2) AS x, round(sum(v * n), 2) AS y FROM g GROUP BY customer_id),
+    k AS (SELECT *, (rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0)::DOUBLE / count(*) OVER () AS rx, (rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0)::DOUBLE / count(*) OVER () AS ry FROM j)
+    SELECT count(*) AS customers, round(corr(rx, ry), 6) AS spearman, count(*) FILTER (least(floor(rx * 4), 3) <> least(floor(ry * 4), 3)) AS quartile_changes, round(sum(y - x), 2) AS value_change FROM k""",
+)
+def duplicate_sensitivity(spark, sf_dir):
+    """What keeping exact repeats would change in customers' value ranks."""
+    raw = st.raw_ledger(spark, sf_dir)
+    return quality.duplicate_sensitivity(raw, st.CONFIG.baseline_start, st.CONFIG.end).select(
+        "customers", r("spearman", 6), "quartile_changes", r("value_change", 2)
+    )
