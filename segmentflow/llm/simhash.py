@@ -98,8 +98,11 @@ def links(prints: DataFrame) -> DataFrame:
     Every link is between fingerprints within two bits; groups are linked as stars, so the links span
     the components rather than list every pair.
     """
-    ensure_checkpoint_dir(prints.sparkSession)
+    spark = prints.sparkSession
+    ensure_checkpoint_dir(spark)
     p = F.col("fingerprint")
+    # Fingerprints are small and their 64 variants are not: spread them over tasks before they multiply.
+    prints = prints.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fingerprint")
     variant = F.transform(
         F.sequence(F.lit(0), F.lit(63)),
         lambda i: _pack(i, _without(_segment(p, F.floor(i / 32)), i % 32)),
