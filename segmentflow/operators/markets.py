@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmentflow.functions.profiles import family, firmographic_label
+from segmentflow.operators import clustering
 from segmentflow.operators.calendar import in_windows
+from segmentflow.operators.features import Scaling, fit_robust
 from segmentflow.operators.summaries import AT_RISK
 
 MARKET_FEATURES = (
@@ -91,3 +94,53 @@ def cross_classes(state: DataFrame, asof: DataFrame, markets: DataFrame) -> Data
     return placed.join(markets.select("cycle_number", "country", "market"), ["cycle_number", "country"], "left").withColumn(
         "combined_label", firmographic_label(F.coalesce("market", F.lit("Unassigned")), F.col("segment_name"))
     )
+
+
+# Grouping of countries, fitted on the baseline cycle and frozen
+
+MARKET_NAMES = ("Largest Revenue Market", "Highest Revenue-per-Customer Market")
+
+
+def fit_groups(features: DataFrame, most: int = 10, seeds: int = 5) -> tuple[Scaling, np.ndarray, list[dict]]:
+    """Robust scaling, ordered centres and the K table from the baseline's countries (a few dozen rows)."""
+    base = features.where("cycle_number = 0")
+    rows = base.select("country", "revenue", "revenue_per_customer", "repeat_purchase_rate", *MARKET_FEATURES)
+    n = rows.count()
+    if n < 4:
+        raise ValueError("grouping needs four countries")
+    if rows.where(" or ".join(f"isnan({c}) or {c} is null" for c in MARKET_FEATURES)).limit(1).count():
+        raise ValueError("a market feature is not finite")
+    scaling = fit_robust(rows, MARKET_FEATURES)
+    points = scaled_points(rows, scaling)
+    found = clustering.kmeans_sweep(points, range(2, min(most, n - 1) + 1), seeds)
+    k = clustering.elbow({k: c for k, (c, _) in found.items()}, between_ends=True)
+    centres = found[k][1]
+    groups = clustering.nearest(points, centres).groupBy("cluster_index").agg(
+        F.sum("revenue").alias("total"), F.avg("revenue_per_customer").alias("spend"), F.avg("repeat_purchase_rate").alias("repeat")
+    )
+    left = {r["cluster_index"]: r for r in groups.collect()}  # K rows
+    order = [max(left, key=lambda i: (left[i]["total"], -i))]
+    others = [i for i in left if i not in order]
+    if others:
+        order.append(max(others, key=lambda i: (left[i]["spend"], -i)))
+    order += sorted((i for i in left if i not in order), key=lambda i: (-left[i]["repeat"], -left[i]["total"], i))
+    table = [{"k": i, "inertia": c, "selected": i == k} for i, (c, _) in sorted(found.items())]
+    return scaling, centres[order], table
+
+
+def scaled_points(features: DataFrame, scaling: Scaling) -> DataFrame:
+    return scaling.apply(features).withColumn("point", F.array(*[f"scaled_{c}" for c in MARKET_FEATURES]))
+
+
+def grouped(features: DataFrame, scaling: Scaling, centres: np.ndarray) -> DataFrame:
+    """Every country and cycle with the market of its nearest frozen centre."""
+    rows = clustering.nearest(scaled_points(features, scaling), centres)
+    names = [MARKET_NAMES[i] if i < len(MARKET_NAMES) else f"Country-Market Group {i + 1}" for i in range(len(centres))]
+    return rows.withColumn("market", F.get(F.array(*map(F.lit, names)), F.col("cluster_index")))
+
+
+def group_fit(markets: DataFrame) -> DataFrame:
+    """Within-group sum of squares and occupied groups per cycle."""
+    return markets.groupBy("cycle_number").agg(
+        F.count("*").alias("countries"), F.sum(F.array_min("d2")).alias("wcss"), F.count_distinct("cluster_index").alias("occupied")
+    )

@@ -8,12 +8,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmentflow.functions import profiles
-from segmentflow.operators import behaviour, cleaning, features, markets, quality, reversals, snapshot, summaries, validity
-from segmentflow.operators.calendar import in_periods
-from segmentflow.operators.lineage import fuzzy_overlap
+from segmentflow.operators import (
+    behaviour,
+    cleaning,
+    features,
+    lineage,
+    markets,
+    quality,
+    registry,
+    reversals,
+    snapshot,
+    summaries,
+    validity,
+)
+from segmentflow.operators.calendar import in_periods, in_windows
+
 from segmentflow.plans import cycles as cycle_runs
 from segmentflow.plans import reports, sql
 from segmentflow.plans import state as st
+from segmentflow.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -361,7 +374,7 @@ def fuzzy_objective(spark, sf_dir):
 def identity_overlap(spark, sf_dir):
     """Fuzzy Jaccard of each earlier with each later cluster over shared customers."""
     paired = behaviour.with_previous(st.assigned(st.rfm(spark, sf_dir))).where("prev_u is not null")
-    return fuzzy_overlap(paired).select("cycle_number", "previous_index", "current_index", r("fuzzy_jaccard", 5))
+    return lineage.fuzzy_overlap(paired).select("cycle_number", "previous_index", "current_index", r("fuzzy_jaccard", 5))
 
 
 # Summaries and reports
@@ -801,3 +814,168 @@ def duplicate_sensitivity(spark, sf_dir):
     return quality.duplicate_sensitivity(raw, st.CONFIG.baseline_start, st.CONFIG.end).select(
         "customers", r("spearman", 6), "quartile_changes", r("value_change", 2)
     )
+
+
+# Further reports
+
+
+@registered("country_groups")
+def country_groups(spark, sf_dir):
+    """Countries of every cycle in the groups fitted on the baseline's countries."""
+    ensure_checkpoint_dir(spark)
+    found = markets.market_features(st.ledger(spark, sf_dir), st.cycles(spark), st.state(spark, sf_dir), st.asof(spark, sf_dir)).checkpoint()
+    scaling, centres, _ = markets.fit_groups(found, most=6, seeds=2)
+    return markets.grouped(found, scaling, centres).select("cycle_number", "country", "cluster_index", "market", r("revenue", 2))
+
+
+@registered(
+    "centre_registry",
+    sql.with_(sql.ASSIGNED)
+    + f""", mass AS (SELECT cycle_number, k::INTEGER AS k, sum(CASE k WHEN 0 THEN u0 WHEN 1 THEN u1 WHEN 2 THEN u2 ELSE u3 END) AS m, count(*) FILTER (idx = k) AS w FROM assigned, range(4) AS t(k) GROUP BY ALL)
+    SELECT cycle_number, k AS cluster_index, {sql.pick(st.IDS, 'k')} AS stable_cluster_id, {sql.pick(st.NAMES, 'k')} AS segment_name, round(m, 4) AS membership_mass, w AS winners, (m > 1e-8 AND w = 0) AS soft_only FROM mass""",
+)
+def centre_registry(spark, sf_dir):
+    rows = st.assigned(st.rfm(spark, sf_dir))
+    fitted = st.cycles(spark).select("cycle_number", F.posexplode(st.literal(st.IDS)).alias("cluster_index", "stable_cluster_id")).withColumn(
+        "segment_name", F.get(st.literal(st.NAMES), F.col("cluster_index"))
+    )
+    return registry.registry(rows, fitted).select(
+        "cycle_number", "cluster_index", "stable_cluster_id", "segment_name", r("membership_mass"), "winners", "soft_only"
+    )
+
+
+@registered(
+    "public_names",
+    sql.with_(sql.STATE)
+    + """, old AS (SELECT cycle_number, CASE idx WHEN 0 THEN 'Champions · ' || lifecycle_status WHEN 1 THEN 'Loyalist at Risk' WHEN 2 THEN 'Mid-Tier Occasional · 3' ELSE segment_name END AS name FROM state)
+    SELECT cycle_number, name AS old_name, CASE WHEN name LIKE 'Champions · %' THEN 'High-Value Regulars' WHEN name = 'Loyalist at Risk' THEN 'Valuable Customers at Risk'
+        WHEN name = 'Mid-Tier Occasional · 3' THEN 'Mid-Tier Occasionals · 3' ELSE name END AS new_name,
+        CASE WHEN name LIKE 'Champions · %' THEN 'Champions' WHEN name = 'Loyalist at Risk' THEN 'Loyalists' WHEN name = 'Mid-Tier Occasional · 3' THEN 'Mid-Tier Occasionals' ELSE name END AS family, count(*) AS customers
+    FROM old GROUP BY ALL""",
+)
+def public_names(spark, sf_dir):
+    """Legacy names of stored rows under their public names and families."""
+    i = F.col("cluster_index")
+    name = (
+        F.when(i == 0, F.concat(F.lit("Champions · "), "lifecycle_status"))
+        .when(i == 1, "Loyalist at Risk")
+        .when(i == 2, "Mid-Tier Occasional · 3")
+        .otherwise(F.col("segment_name"))
+    )
+    rows = st.assigned(st.rfm(spark, sf_dir)).select("cycle_number", name.alias("old_name"))
+    counted = rows.groupBy("cycle_number", "old_name").agg(F.count("*").alias("customers"))
+    new = registry.relabelled(counted.withColumn("new_name", F.col("old_name")), ["new_name"])
+    return new.withColumn("family", profiles.family(F.col("old_name")))
+
+
+@registered(
+    "crisp_overlap",
+    sql.with_(sql.STATE)
+    + """, p AS (SELECT cycle_number, prev_idx, idx, count(*) AS n FROM state WHERE prev_idx IS NOT NULL GROUP BY ALL)
+    SELECT cycle_number, prev_idx::INTEGER AS prev_cluster_index, idx::INTEGER AS cluster_index, n AS both, round(n / (sum(n) OVER (PARTITION BY cycle_number, prev_idx) + sum(n) OVER (PARTITION BY cycle_number, idx) - n)::DOUBLE, 6) AS jaccard FROM p""",
+)
+def crisp_overlap(spark, sf_dir):
+    paired = behaviour.with_previous(st.assigned(st.rfm(spark, sf_dir))).where("prev_cluster_index is not null")
+    return lineage.crisp_overlap(paired).select("cycle_number", "prev_cluster_index", "cluster_index", "both", r("jaccard", 6))
+
+
+@registered(
+    "cycle_comparison",
+    sql.with_(sql.STATE)
+    + """SELECT cycle_number, segment_name, count(*) AS customers, round(avg(recency), 5) AS recency, round(avg(frequency), 5) AS frequency, round(avg(monetary), 3) AS monetary,
+       round(avg(log_r), 5) AS centre_r, round(avg(log_f), 5) AS centre_f, round(avg(log_m), 5) AS centre_m,
+       round(avg(CASE WHEN cycle_number > 0 THEN top_membership END), 6) AS membership FROM state GROUP BY ALL""",
+)
+def cycle_comparison(spark, sf_dir):
+    """Segment profiles and observed centres per cycle; crisp baseline memberships show as null."""
+    return st.assigned(st.rfm(spark, sf_dir)).groupBy("cycle_number", "segment_name").agg(
+        F.count("*").alias("customers"), r(F.avg("recency"), 5, "recency"), r(F.avg("frequency"), 5, "frequency"), r(F.avg("monetary"), 3, "monetary"),
+        *[r(F.avg(f"log_{c}"), 5, f"centre_{c}") for c in "rfm"],
+        r(F.avg(F.when(F.col("cycle_number") > 0, F.col("top_membership"))), 6, "membership"),
+    )
+
+
+@registered(
+    "segment_lifetime",
+    sql.with_(sql.STATE)
+    + """SELECT segment_name, count(DISTINCT customer_id) AS customers, count(DISTINCT cycle_number) AS cycles, round(sum(current_orders), 4) AS orders, round(sum(current_revenue), 2) AS revenue,
+       round(sum(frequency * 1.0) / count(*), 5) AS weighted_frequency FROM state GROUP BY ALL""",
+)
+def segment_lifetime(spark, sf_dir):
+    return st.assigned(st.rfm(spark, sf_dir)).groupBy("segment_name").agg(
+        F.count_distinct("customer_id").alias("customers"), F.count_distinct("cycle_number").alias("cycles"),
+        r(F.sum("current_orders"), 4, "orders"), r(F.sum("current_revenue"), 2, "revenue"), r(F.avg("frequency"), 5, "weighted_frequency"),
+    )
+
+
+@registered(
+    "segment_countries",
+    sql.with_(sql.STATE, sql.ASOF)
+    + """, c AS (SELECT cycle_number, segment_name, country, count(*) AS customers FROM state JOIN home USING (cycle_number, customer_id) GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY cycle_number, segment_name ORDER BY customers DESC, country)::INTEGER AS place FROM c QUALIFY place <= 10""",
+)
+def segment_countries(spark, sf_dir):
+    rows = st.assigned(st.rfm(spark, sf_dir)).join(st.asof(spark, sf_dir), ["cycle_number", "customer_id"])
+    counted = rows.groupBy("cycle_number", "segment_name", "country").agg(F.count("*").alias("customers"))
+    order = Window.partitionBy("cycle_number", "segment_name").orderBy(F.desc("customers"), "country")
+    return counted.withColumn("place", F.row_number().over(order)).where("place <= 10")
+
+
+@registered(
+    "product_quadrant",
+    sql.with_(sql.LEDGER)
+    + """SELECT description, round(sum(total_price), 2) AS revenue, round(sum(quantity), 4) AS quantity, count(DISTINCT customer_id) AS customers, count(DISTINCT invoice_no) AS orders, round(avg(unit_price), 4) AS average_price
+    FROM ledger GROUP BY description ORDER BY round(sum(total_price), 2) DESC, description LIMIT 40""",
+)
+def product_quadrant(spark, sf_dir):
+    """The forty products with most revenue."""
+    totals = st.ledger(spark, sf_dir).groupBy("description").agg(
+        r(F.sum("total_price"), 2, "revenue"), r(F.sum("quantity"), 4, "quantity"), F.count_distinct("customer_id").alias("customers"),
+        F.count_distinct("purchase_invoice_no").alias("orders"), r(F.avg("unit_price"), 4, "average_price"),
+    )
+    return reports.top(totals, "revenue", "description", 40)
+
+
+@registered(
+    "market_summary",
+    sql.with_(sql.BASE)
+    + """, win AS (SELECT cycle_number, l.*, CASE WHEN country < 'I' THEN 'Early' ELSE 'Late' END AS market FROM ledger l JOIN cal ON invoice_date >= window_start AND invoice_date < period_end)
+    SELECT cycle_number, market, countries, customers, round(s, 2) AS revenue, round(s / sum(s) OVER (PARTITION BY cycle_number), 6) AS share
+    FROM (SELECT cycle_number, market, count(DISTINCT country) AS countries, count(DISTINCT customer_id) AS customers, sum(total_price) AS s FROM win GROUP BY cycle_number, market)""",
+)
+def market_summary(spark, sf_dir):
+    """Window revenue by market and its share of the cycle; the markets here are stated by the country's name."""
+    rows = in_windows(st.ledger(spark, sf_dir), st.cycles(spark)).withColumn("market", F.when(F.col("country") < "I", "Early").otherwise("Late"))
+    totals = rows.groupBy("cycle_number", "market").agg(
+        F.count_distinct("country").alias("countries"), F.count_distinct("customer_id").alias("customers"), F.sum("total_price").alias("sales")
+    )
+    whole = F.sum("sales").over(Window.partitionBy("cycle_number"))
+    return totals.select("cycle_number", "market", "countries", "customers", r("sales", 2, "revenue"), r(F.try_divide(F.col("sales"), whole), 6, "share"))
+
+
+@registered(
+    "build_residuals",
+    sql.with_(sql.RAW)
+    + """, f AS (SELECT customer_id, quantity * unit_price AS v, quantity AS q, count(*) AS n FROM raw WHERE customer_id IS NOT NULL AND quantity > 0 AND unit_price > 0 AND invoice_no NOT LIKE 'C%'
+        AND invoice_date >= TIMESTAMP '1995-01-01' AND invoice_date < TIMESTAMP '1996-01-01' GROUP BY invoice_no, stock_code, description, quantity, invoice_date, unit_price, customer_id, country),
+    j AS (SELECT customer_id, sum(v) AS a, sum(v * n) AS b, sum(q) AS c, sum(q * n) AS d FROM f GROUP BY customer_id)
+    SELECT 'total_price' AS field, round(max(abs(a - b)), 2) AS largest, 0::BIGINT AS unpaired, max(abs(a - b)) <= 0.01 AS holds FROM j
+    UNION ALL SELECT 'quantity', round(max(abs(c - d)), 2), 0::BIGINT, max(abs(c - d)) <= 0.01 FROM j""",
+)
+def build_residuals(spark, sf_dir):
+    """Customer totals of two builds, with and without the exact dedup, field by field."""
+    raw = st.raw_ledger(spark, sf_dir)
+
+    def totals(deduplicate: bool) -> DataFrame:
+        return cleaning.clean(raw, st.CONFIG.baseline_start, st.CONFIG.end, deduplicate).groupBy("customer_id").agg(
+            F.sum("total_price").alias("total_price"), F.sum("quantity").alias("quantity")
+        )
+
+    found = quality.residuals(totals(True), totals(False), ["customer_id"], {"total_price": 0.01, "quantity": 0.01})
+    return found.select("field", r("largest", 2), "unpaired", "holds")
+
+
+@registered("ledger_signature")
+def ledger_signature(spark, sf_dir):
+    """Order-free content signature of the cleaned ledger; hashes are Spark's own, so rows only."""
+    return quality.signature(st.ledger(spark, sf_dir))
