@@ -34,7 +34,7 @@ from segmentflow.session import ensure_checkpoint_dir
 
 PROJECTIONS, CONFIDENCE, SEED = 8, 0.95, 20141029
 #: Rows that the top of the tree is fitted on, and bounds of shards, leaves and blocks of queries.
-SAMPLE_ROWS, SHARD_ROWS, MOST_SHARDS, LEAF_ROWS, QUERY_BLOCK = 16_384, 8_192, 4_096, 256, 8_192
+SAMPLE_ROWS, SHARD_ROWS, MOST_SHARDS, LEAF_ROWS, QUERY_BLOCK = 16_384, 8_192, 4_096, 512, 8_192
 
 
 def chi_square_quantile(share: float, degrees: int) -> float:
@@ -141,8 +141,13 @@ def _search(rows: pa.Table, queries: pa.Table, space: Space, k: int, stop: float
             near = at[(np.einsum("ij,ij->i", off, off) <= stop * bound) & (ids[at] != q_ids[i])]
             if not len(near):
                 continue
-            s = np.append(best_s, v[near] @ qv[i])
-            n = np.append(best_i, ids[near])
+            s, n = v[near] @ qv[i], ids[near]
+            if len(best_s) == k:
+                better = s >= best_s[-1]
+                if not better.any():
+                    continue
+                s, n = s[better], n[better]
+            s, n = np.append(best_s, s), np.append(best_i, n)
             top = np.lexsort((n, -s))[:k]
             best_s, best_i = s[top], n[top]
             if len(best_s) == k:
