@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 NO_RANK = -1
 #: Bytes of new pre-tokens that share a linked list, and words that a worker remembers.
-LIST_BYTES, REMEMBERED = 2_000_000, 300_000
+LIST_BYTES, REMEMBERED = 1_000_000, 250_000
 #: Code points of text handled before results are handed on.
 SLICE_CHARS = 8_000_000
 
