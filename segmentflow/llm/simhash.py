@@ -102,7 +102,8 @@ def links(prints: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     p = F.col("fingerprint")
     # Fingerprints are small and their 64 variants are not: spread them over tasks before they multiply.
-    prints = prints.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fingerprint")
+    # (By a hash: by the fingerprint itself the exchange is the one below and gets coalesced with it.)
+    prints = prints.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fingerprint"))
     variant = F.transform(
         F.sequence(F.lit(0), F.lit(63)),
         lambda i: _pack(i, _without(_segment(p, F.floor(i / 32)), i % 32)),
