@@ -27,13 +27,13 @@ def fuzzy_overlap(paired: DataFrame, digits: int = 8) -> DataFrame:
 
 def crisp_overlap(paired: DataFrame) -> DataFrame:
     """Jaccard of earlier and later hard groups over shared customers."""
-    pairs = paired.groupBy("cycle_number", "prev_cluster_index", "cluster_index").agg(F.count("*").alias("both"))
-    earlier = pairs.groupBy("cycle_number", "prev_cluster_index").agg(F.sum("both").alias("a"))
-    later = pairs.groupBy("cycle_number", "cluster_index").agg(F.sum("both").alias("b"))
+    pairs = paired.groupBy("cycle_number", "prev_cluster_index", "cluster_index").agg(F.count("*").alias("shared"))
+    earlier = pairs.groupBy("cycle_number", "prev_cluster_index").agg(F.sum("shared").alias("a"))
+    later = pairs.groupBy("cycle_number", "cluster_index").agg(F.sum("shared").alias("b"))
     return (
         pairs.join(earlier, ["cycle_number", "prev_cluster_index"])
         .join(later, ["cycle_number", "cluster_index"])
-        .withColumn("jaccard", F.col("both") / (F.col("a") + F.col("b") - F.col("both")))
+        .withColumn("jaccard", F.col("shared") / (F.col("a") + F.col("b") - F.col("shared")))
     )
 
 

@@ -872,11 +872,11 @@ def public_names(spark, sf_dir):
     "crisp_overlap",
     sql.with_(sql.STATE)
     + """, p AS (SELECT cycle_number, prev_idx, idx, count(*) AS n FROM state WHERE prev_idx IS NOT NULL GROUP BY ALL)
-    SELECT cycle_number, prev_idx::INTEGER AS prev_cluster_index, idx::INTEGER AS cluster_index, n AS both, round(n / (sum(n) OVER (PARTITION BY cycle_number, prev_idx) + sum(n) OVER (PARTITION BY cycle_number, idx) - n)::DOUBLE, 6) AS jaccard FROM p""",
+    SELECT cycle_number, prev_idx::INTEGER AS prev_cluster_index, idx::INTEGER AS cluster_index, n AS shared, round(n / (sum(n) OVER (PARTITION BY cycle_number, prev_idx) + sum(n) OVER (PARTITION BY cycle_number, idx) - n)::DOUBLE, 6) AS jaccard FROM p""",
 )
 def crisp_overlap(spark, sf_dir):
     paired = behaviour.with_previous(st.assigned(st.rfm(spark, sf_dir))).where("prev_cluster_index is not null")
-    return lineage.crisp_overlap(paired).select("cycle_number", "prev_cluster_index", "cluster_index", "both", r("jaccard", 6))
+    return lineage.crisp_overlap(paired).select("cycle_number", "prev_cluster_index", "cluster_index", "shared", r("jaccard", 6))
 
 
 @registered(
