@@ -48,6 +48,13 @@ def r(c: str | Column, digits: int = 4, name: str | None = None) -> Column:
     return (F.round(column.cast("double"), digits) + 0.0).alias(name or c)  # no negative zero
 
 
+def per(total: str | Column, count: str | Column, name: str) -> Column:
+    """A total in cents over a count, zero for none; divided after rounding, so that order cannot matter."""
+    total = F.col(total) if isinstance(total, str) else total
+    count = F.col(count) if isinstance(count, str) else count
+    return F.coalesce(F.try_divide(F.round(total, 2), count), F.lit(0.0)).alias(name)
+
+
 def day(c: str) -> Column:
     return F.date_format(c, "yyyy-MM-dd").alias(c)
 
@@ -163,8 +170,8 @@ def rank_shares(spark, sf_dir):
     sql.with_(sql.PANEL)
     + """SELECT cycle_number, count(*) AS customers, count(*) FILTER (current_orders > 0) AS active_customers,
        sum(is_new)::BIGINT AS new_customers, round(sum(current_orders), 4) AS orders, round(sum(current_revenue), 2) AS revenue,
-       round(avg(recency), 6) AS mean_recency, round(avg(frequency), 6) AS mean_frequency, round(avg(monetary), 4) AS mean_monetary,
-       round(coalesce(sum(current_revenue) / nullif(sum(current_orders), 0), 0), 4) AS average_order_value FROM panel GROUP BY cycle_number""",
+       round(avg(recency), 6) AS mean_recency, round(avg(frequency), 6) AS mean_frequency, round(avg(monetary), 6) AS mean_monetary,
+       coalesce(round(sum(current_revenue), 2) / nullif(sum(current_orders), 0), 0) AS average_order_value FROM panel GROUP BY cycle_number""",
 )
 def cycle_overview(spark, sf_dir):
     return st.rfm(spark, sf_dir).groupBy("cycle_number").agg(
@@ -175,8 +182,8 @@ def cycle_overview(spark, sf_dir):
         r(F.sum("current_revenue"), 2, "revenue"),
         r(F.avg("recency"), 6, "mean_recency"),
         r(F.avg("frequency"), 6, "mean_frequency"),
-        r(F.avg("monetary"), 4, "mean_monetary"),
-        r(F.coalesce(F.try_divide(F.sum("current_revenue"), F.sum("current_orders")), F.lit(0.0)), 4, "average_order_value"),
+        r(F.avg("monetary"), 6, "mean_monetary"),
+        per(F.sum("current_revenue"), F.sum("current_orders"), "average_order_value"),
     )
 
 
@@ -384,11 +391,11 @@ def identity_overlap(spark, sf_dir):
     "customer_period_summary",
     sql.with_(sql.STATE)
     + """SELECT cycle_number, customer_id, segment_name, risk_status, round(current_orders, 4) AS orders, round(current_revenue, 2) AS revenue,
-       round(coalesce(current_revenue / nullif(current_orders, 0), 0), 4) AS average_basket_value FROM state""",
+       coalesce(round(current_revenue, 2) / nullif(current_orders, 0), 0) AS average_basket_value FROM state""",
 )
 def customer_period_summary(spark, sf_dir):
     return summaries.customer_summary(st.state(spark, sf_dir)).select(
-        "cycle_number", "customer_id", "segment_name", "risk_status", r("orders"), r("revenue", 2), r("average_basket_value")
+        "cycle_number", "customer_id", "segment_name", "risk_status", r("orders"), r("revenue", 2), per("revenue", "orders", "average_basket_value")
     )
 
 
@@ -398,14 +405,14 @@ def customer_period_summary(spark, sf_dir):
     + """SELECT cycle_number, stable_cluster_id, segment_name, count(*) AS customers, round(sum(current_orders), 4) AS orders, round(sum(current_quantity), 4) AS quantity,
        round(sum(current_revenue), 2) AS revenue, round(avg(top_membership), 6) AS average_membership, count(*) FILTER (risk_status IN ('At risk', 'Slipping')) AS at_risk_customers,
        round(count(*) FILTER (risk_status IN ('At risk', 'Slipping')) / count(*)::DOUBLE, 6) AS at_risk_share,
-       round(coalesce(sum(current_revenue) / nullif(sum(current_orders), 0), 0), 4) AS average_order_value, round(sum(current_revenue) / count(*), 4) AS revenue_per_customer
+       coalesce(round(sum(current_revenue), 2) / nullif(sum(current_orders), 0), 0) AS average_order_value, round(sum(current_revenue), 2) / count(*) AS revenue_per_customer
     FROM state GROUP BY ALL""",
 )
 def segment_summary(spark, sf_dir):
     found = summaries.segment_summary(summaries.customer_summary(st.state(spark, sf_dir)))
     return found.select(
         "cycle_number", "stable_cluster_id", "segment_name", "customers", r("orders"), r("quantity"), r("revenue", 2),
-        r("average_membership", 6), "at_risk_customers", r("at_risk_share", 6), r("average_order_value"), r("revenue_per_customer"),
+        r("average_membership", 6), "at_risk_customers", r("at_risk_share", 6), per("revenue", "orders", "average_order_value"), per("revenue", "customers", "revenue_per_customer"),
     )
 
 
@@ -413,12 +420,12 @@ def segment_summary(spark, sf_dir):
     "product_summary",
     sql.with_(sql.STATE, sql.ROWS)
     + """SELECT cycle_number, stable_cluster_id, segment_name, description, round(sum(quantity), 4) AS quantity, round(sum(total_price), 2) AS revenue,
-       count(DISTINCT customer_id) AS customers, count(DISTINCT invoice_no) AS orders, round(avg(unit_price), 4) AS average_price FROM labelled GROUP BY ALL""",
+       count(DISTINCT customer_id) AS customers, count(DISTINCT invoice_no) AS orders, round(avg(unit_price), 6) AS average_price FROM labelled GROUP BY ALL""",
 )
 def product_summary(spark, sf_dir):
     rows = summaries.labelled_rows(st.ledger(spark, sf_dir), st.cycles(spark), st.assigned(st.rfm(spark, sf_dir)))
     return summaries.product_summary(rows).select(
-        "cycle_number", "stable_cluster_id", "segment_name", "description", r("quantity"), r("revenue", 2), "customers", "orders", r("average_price")
+        "cycle_number", "stable_cluster_id", "segment_name", "description", r("quantity"), r("revenue", 2), "customers", "orders", r("average_price", 6)
     )
 
 
@@ -509,7 +516,7 @@ def transition_evolution(spark, sf_dir):
     + """, v AS (SELECT cycle_number, f, CASE f WHEN 'recency' THEN recency::DOUBLE WHEN 'frequency' THEN round(frequency, 4) ELSE round(monetary, 4) END AS x
               FROM panel, (VALUES ('recency'), ('frequency'), ('monetary')) AS t(f)),
     o AS (SELECT *, row_number() OVER (PARTITION BY cycle_number, f ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY cycle_number, f) AS n FROM v)
-    SELECT cycle_number, f AS feature, count(*) AS n, min(x) AS low, max(x) AS high, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS sd,
+    SELECT cycle_number, f AS feature, count(*) AS n, min(x) AS low, max(x) AS high, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS sd,
        max(x) FILTER (i = floor((n - 1) * 0.25)) AS q1, max(x) FILTER (i = floor((n - 1) * 0.5)) AS median, max(x) FILTER (i = floor((n - 1) * 0.75)) AS q3
     FROM o GROUP BY cycle_number, f""",
 )
@@ -524,7 +531,7 @@ def feature_summary(spark, sf_dir):
     )
     keys = ["cycle_number", "feature"]
     moments = values.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), r(F.avg("x"), 4, "mean"), r(F.stddev_samp("x"), 4, "sd")
+        F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), r(F.avg("x"), 6, "mean"), r(F.stddev_samp("x"), 6, "sd")
     )
     counts = values.groupBy(*keys, "x").agg(F.count("*").alias("ties"))
     upto = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
@@ -575,7 +582,7 @@ def feature_correlation(spark, sf_dir):
     seen_c AS (SELECT DISTINCT cycle_number, country FROM ledger JOIN cal ON invoice_date < period_end)
     SELECT cycle_number, country, coalesce(customers, 0)::BIGINT AS customer_count, coalesce(active, 0)::BIGINT AS active_customer_count, round(coalesce(revenue, 0), 2) AS revenue, coalesce(orders, 0)::BIGINT AS orders,
            coalesce(breadth, 0)::BIGINT AS product_diversity, round(coalesce(repeat_purchase_rate, 0), 6) AS repeat_purchase_rate,
-           round(coalesce(revenue / nullif(active, 0), 0), 4) AS revenue_per_customer, round(coalesce(orders / nullif(active, 0)::DOUBLE, 0), 6) AS orders_per_customer,
+           coalesce(round(revenue, 2) / nullif(active, 0), 0) AS revenue_per_customer, round(coalesce(orders / nullif(active, 0)::DOUBLE, 0), 6) AS orders_per_customer,
            round(coalesce(ch / customers::DOUBLE, 0), 6) AS champions_share, round(coalesce(lo / customers::DOUBLE, 0), 6) AS loyalists_share, round(coalesce(mi / customers::DOUBLE, 0), 6) AS mid_tier_share,
            round(coalesce(hi / customers::DOUBLE, 0), 6) AS lost_share, round(coalesce(ri / customers::DOUBLE, 0), 6) AS at_risk_share, round(ln(1 + coalesce(revenue, 0)), 6) AS log_revenue
     FROM seen_c LEFT JOIN com USING (cycle_number, country) LEFT JOIN rep USING (cycle_number, country) LEFT JOIN mix USING (cycle_number, country)""",
@@ -584,7 +591,7 @@ def market_features(spark, sf_dir):
     found = markets.market_features(st.ledger(spark, sf_dir), st.cycles(spark), st.state(spark, sf_dir), st.asof(spark, sf_dir))
     return found.select(
         "cycle_number", "country", "customer_count", "active_customer_count", r("revenue", 2), "orders", "product_diversity",
-        r("repeat_purchase_rate", 6), r("revenue_per_customer"), r("orders_per_customer", 6),
+        r("repeat_purchase_rate", 6), per("revenue", "active_customer_count", "revenue_per_customer"), r("orders_per_customer", 6),
         *[r(c, 6) for c in ("champions_share", "loyalists_share", "mid_tier_share", "lost_share", "at_risk_share", "log_revenue")],
     )
 
@@ -754,7 +761,7 @@ def last_fitted_cycles(spark, sf_dir):
     "segment_identity_history",
     sql.with_(sql.STATE)
     + """, m AS (SELECT cycle_number, stable_cluster_id, avg(recency) AS r, avg(frequency) AS f, avg(monetary) AS m FROM state GROUP BY ALL)
-    SELECT a.cycle_number, a.stable_cluster_id, round(a.r - b.r, 5) + 0.0 AS recency_change, round(a.f - b.f, 5) + 0.0 AS frequency_change, round(a.m - b.m, 3) + 0.0 AS monetary_change
+    SELECT a.cycle_number, a.stable_cluster_id, round(a.r - b.r, 6) + 0.0 AS recency_change, round(a.f - b.f, 6) + 0.0 AS frequency_change, round(a.m - b.m, 6) + 0.0 AS monetary_change
     FROM m a JOIN m b ON a.stable_cluster_id = b.stable_cluster_id AND a.cycle_number = b.cycle_number + 1""",
 )
 def segment_identity_history(spark, sf_dir):
@@ -763,8 +770,8 @@ def segment_identity_history(spark, sf_dir):
     )
     before = means.select((F.col("cycle_number") + 1).alias("cycle_number"), "stable_cluster_id", *[F.col(c).alias(f"old_{c}") for c in "rfm"])
     return means.join(before, ["cycle_number", "stable_cluster_id"]).select(
-        "cycle_number", "stable_cluster_id", r(F.col("r") - F.col("old_r"), 5, "recency_change"),
-        r(F.col("f") - F.col("old_f"), 5, "frequency_change"), r(F.col("m") - F.col("old_m"), 3, "monetary_change"),
+        "cycle_number", "stable_cluster_id", r(F.col("r") - F.col("old_r"), 6, "recency_change"),
+        r(F.col("f") - F.col("old_f"), 6, "frequency_change"), r(F.col("m") - F.col("old_m"), 6, "monetary_change"),
     )
 
 
@@ -882,15 +889,15 @@ def crisp_overlap(spark, sf_dir):
 @registered(
     "cycle_comparison",
     sql.with_(sql.STATE)
-    + """SELECT cycle_number, segment_name, count(*) AS customers, round(avg(recency), 5) AS recency, round(avg(frequency), 5) AS frequency, round(avg(monetary), 3) AS monetary,
-       round(avg(log_r), 5) AS centre_r, round(avg(log_f), 5) AS centre_f, round(avg(log_m), 5) AS centre_m,
+    + """SELECT cycle_number, segment_name, count(*) AS customers, round(avg(recency), 6) AS recency, round(avg(frequency), 6) AS frequency, round(avg(monetary), 6) AS monetary,
+       round(avg(log_r), 6) AS centre_r, round(avg(log_f), 6) AS centre_f, round(avg(log_m), 6) AS centre_m,
        round(avg(CASE WHEN cycle_number > 0 THEN top_membership END), 6) AS membership FROM state GROUP BY ALL""",
 )
 def cycle_comparison(spark, sf_dir):
     """Segment profiles and observed centres per cycle; crisp baseline memberships show as null."""
     return st.assigned(st.rfm(spark, sf_dir)).groupBy("cycle_number", "segment_name").agg(
-        F.count("*").alias("customers"), r(F.avg("recency"), 5, "recency"), r(F.avg("frequency"), 5, "frequency"), r(F.avg("monetary"), 3, "monetary"),
-        *[r(F.avg(f"log_{c}"), 5, f"centre_{c}") for c in "rfm"],
+        F.count("*").alias("customers"), r(F.avg("recency"), 6, "recency"), r(F.avg("frequency"), 6, "frequency"), r(F.avg("monetary"), 6, "monetary"),
+        *[r(F.avg(f"log_{c}"), 6, f"centre_{c}") for c in "rfm"],
         r(F.avg(F.when(F.col("cycle_number") > 0, F.col("top_membership"))), 6, "membership"),
     )
 
@@ -899,12 +906,12 @@ def cycle_comparison(spark, sf_dir):
     "segment_lifetime",
     sql.with_(sql.STATE)
     + """SELECT segment_name, count(DISTINCT customer_id) AS customers, count(DISTINCT cycle_number) AS cycles, round(sum(current_orders), 4) AS orders, round(sum(current_revenue), 2) AS revenue,
-       round(sum(frequency * 1.0) / count(*), 5) AS weighted_frequency FROM state GROUP BY ALL""",
+       round(sum(frequency * 1.0) / count(*), 6) AS weighted_frequency FROM state GROUP BY ALL""",
 )
 def segment_lifetime(spark, sf_dir):
     return st.assigned(st.rfm(spark, sf_dir)).groupBy("segment_name").agg(
         F.count_distinct("customer_id").alias("customers"), F.count_distinct("cycle_number").alias("cycles"),
-        r(F.sum("current_orders"), 4, "orders"), r(F.sum("current_revenue"), 2, "revenue"), r(F.avg("frequency"), 5, "weighted_frequency"),
+        r(F.sum("current_orders"), 4, "orders"), r(F.sum("current_revenue"), 2, "revenue"), r(F.avg("frequency"), 6, "weighted_frequency"),
     )
 
 
@@ -924,14 +931,14 @@ def segment_countries(spark, sf_dir):
 @registered(
     "product_quadrant",
     sql.with_(sql.LEDGER)
-    + """SELECT description, round(sum(total_price), 2) AS revenue, round(sum(quantity), 4) AS quantity, count(DISTINCT customer_id) AS customers, count(DISTINCT invoice_no) AS orders, round(avg(unit_price), 4) AS average_price
+    + """SELECT description, round(sum(total_price), 2) AS revenue, round(sum(quantity), 4) AS quantity, count(DISTINCT customer_id) AS customers, count(DISTINCT invoice_no) AS orders, round(avg(unit_price), 6) AS average_price
     FROM ledger GROUP BY description ORDER BY round(sum(total_price), 2) DESC, description LIMIT 40""",
 )
 def product_quadrant(spark, sf_dir):
     """The forty products with most revenue."""
     totals = st.ledger(spark, sf_dir).groupBy("description").agg(
         r(F.sum("total_price"), 2, "revenue"), r(F.sum("quantity"), 4, "quantity"), F.count_distinct("customer_id").alias("customers"),
-        F.count_distinct("purchase_invoice_no").alias("orders"), r(F.avg("unit_price"), 4, "average_price"),
+        F.count_distinct("purchase_invoice_no").alias("orders"), r(F.avg("unit_price"), 6, "average_price"),
     )
     return reports.top(totals, "revenue", "description", 40)
 
