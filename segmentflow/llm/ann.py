@@ -125,8 +125,12 @@ def _search(rows: pa.Table, queries: pa.Table, space: Space, k: int, stop: float
     qv, q_ids, bounds = matrix(queries.column("vec")), queries.column("vec_key").to_numpy(), queries.column("bound").to_numpy()
     p, qp = space.rows(v), space.queries(qv)
     leaves = _leaves(p)
-    low = np.array([p[at].min(axis=0) for at in leaves])
-    high = np.array([p[at].max(axis=0) for at in leaves])
+    stops = np.cumsum([len(at) for at in leaves]).tolist()
+    runs = list(zip([0, *stops], stops))  # each leaf's rows, once they are stored leaf by leaf
+    order = np.concatenate(leaves)
+    v, ids, p = v[order], ids[order], p[order]
+    low = np.array([p[a:b].min(axis=0) for a, b in runs])
+    high = np.array([p[a:b].max(axis=0) for a, b in runs])
     unit = space.largest / np.linalg.norm(qv, axis=1)
     out_q, out_v, out_s = [], [], []
     for i in range(len(qv)):
@@ -136,18 +140,16 @@ def _search(rows: pa.Table, queries: pa.Table, space: Space, k: int, stop: float
         for leaf in np.argsort(ahead, kind="stable"):
             if ahead[leaf] > stop * bound:
                 break
-            at = leaves[leaf]
-            off = p[at] - qp[i]
-            near = at[(np.einsum("ij,ij->i", off, off) <= stop * bound) & (ids[at] != q_ids[i])]
-            if not len(near):
-                continue
-            s, n = v[near] @ qv[i], ids[near]
+            a, b = runs[leaf]
+            s = v[a:b] @ qv[i]
+            open_ = ids[a:b] != q_ids[i]
             if len(best_s) == k:
-                better = s >= best_s[-1]
-                if not better.any():
-                    continue
-                s, n = s[better], n[better]
-            s, n = np.append(best_s, s), np.append(best_i, n)
+                open_ &= s >= best_s[-1]
+            if not open_.any():
+                continue
+            off = p[a:b] - qp[i]
+            open_ &= np.einsum("ij,ij->i", off, off) <= stop * bound
+            s, n = np.append(best_s, s[open_]), np.append(best_i, ids[a:b][open_])
             top = np.lexsort((n, -s))[:k]
             best_s, best_i = s[top], n[top]
             if len(best_s) == k:
