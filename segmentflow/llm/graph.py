@@ -45,3 +45,22 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         .unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     )
+
+
+def first_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs per root of found (node_id, text_key, root): the least id, then the least text.
+
+    Rows without an id come last.  Only rows that tie by id are grouped with their texts.
+    """
+    least = found.groupBy("root").agg(F.min("node_id").alias("least_id"))
+    tied = found.join(least, "root").where(F.col("node_id").eqNullSafe(F.col("least_id")))
+    keepers = tied.groupBy("root", "least_id", F.col("text_key").alias("keeper_key")).agg(F.count("*").alias("n"))
+    alone = keepers.groupBy("root").agg(F.sum("n").alias("n_root"))
+    keepers = keepers.drop("n").join(alone, "root").checkpoint()
+    joined = docs.withColumn("text_key", F.xxhash64(F.col(text_col).cast("string"))).join(
+        keepers, F.col(id_col).eqNullSafe(F.col("least_id")) & (F.col("text_key") == F.col("keeper_key"))
+    )
+    several = joined.where("n_root > 1").groupBy("root").agg(
+        F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col).isNotNull(), F.col(text_col))).alias("row")
+    )
+    return joined.where("n_root = 1").select(*docs.columns).unionByName(several.select("row.*"))

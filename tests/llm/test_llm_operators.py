@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from segmentflow.llm import ann, bpe, chat, embed_dedup, graph, langid, packing, secret_scan, simhash, toxicity, url_filter
+from segmentflow.llm import ann, bpe, chat, embed_dedup, graph, langid, minhash, packing, secret_scan, simhash, toxicity, url_filter
 
 PATTERN = public_tokenizers.PATTERN
 ODD = "doc_id long, text string, lang string, source string, n_chars long, found string, vec string, fingerprint string, component_id string"
@@ -417,3 +417,43 @@ def test_non_negative_risk_does_not_call_unlabelled_positives_clean():
     positive = np.array([float(r[0] == 0 and rng.random() < 0.2) for r in rows])
     w, b = toxicity.fit_nnpu(rows, positive, unlabelled, 2, prior=0.3)
     assert w[0] + b > 0 > w[1] + b
+
+
+# near duplicates of the pipeline: shingle sets
+
+
+def test_near_copies_by_similarity_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(500)]
+    texts, base = [None, "", "one two", "One  two"], [rng.choices(words, k=120) for _ in range(6)]
+    for i in range(120):
+        own = list(base[i % 6 if i < 60 else 0])
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append(" ".join(own))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if (w := (t or "").lower().split()) else set() for t in texts]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    roots = groups(len(texts), alike)
+    docs = odd_docs(spark, texts)
+    for most in (32, 8):  # the second has crowded keys
+        monkeypatch.setattr(minhash, "SMALL_BUCKET", most)
+        kept = [r.doc_id for r in minhash.keep_first(docs).collect()]
+        assert sorted(kept) == sorted(set(roots))
+    assert minhash.keep_first(one_row(spark, ODD)).count() == 0
+
+
+def test_similarity_decides_in_both_directions(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [*words[:100], "x", *words[101:]]  # 191 of 201 shingles in common; far more than two bits apart
+    far = [*words[:20], "x", *words[21:60], "y", *words[61:100], "z", *words[101:140], "q", *words[141:180], "r", *words[181:]]
+    assert bin(slow_fingerprint(" ".join(words), 5) ^ slow_fingerprint(" ".join(near), 5)).count("1") > 2
+    kept = minhash.keep_first(odd_docs(spark, [" ".join(words), " ".join(near), " ".join(far)])).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 2]
+
+
+def test_each_component_keeps_one_row_whatever_its_ids(spark):
+    texts = ["alpha beta gamma delta epsilon", "one quite different text of words", "a third text without any id here"]
+    rows = [(None, t) for t in texts] + [(None, texts[0]), (7, "first text under a shared id"), (7, "second and other words share it"), (8, texts[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted([(None, texts[0]), (None, texts[1]), (7, rows[4][1]), (7, rows[5][1]), (8, texts[2])], key=str)
+    assert sorted((tuple(r) for r in minhash.keep_first(docs).collect()), key=str) == expected

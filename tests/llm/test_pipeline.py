@@ -34,3 +34,10 @@ def test_stages_take_effect_and_keep_columns(spark, sf_dir):
 
 def test_run_of_the_whole_pipeline(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_near_dedup_stage_drops_similar_texts_only(spark, sf_dir):
+    words = [f"w{i}" for i in range(200)]
+    near, far = [*words[:100], "x", *words[101:]], [w if i % 20 else "y" for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((words, near, far))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, sf_dir).collect()) == [0, 2]
