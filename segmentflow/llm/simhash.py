@@ -23,11 +23,11 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segmentflow.llm.graph import components
+from segmentflow.llm.graph import components, first_rows
 from segmentflow.session import ensure_checkpoint_dir
 
 SEED = 42
@@ -150,6 +150,13 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def _rooted(hashed: DataFrame) -> DataFrame:
+    """(fingerprint, root) per distinct fingerprint; root is the smallest fingerprint of its component."""
+    nodes = hashed.select("fingerprint").distinct()
+    roots = components(links(nodes)).withColumnRenamed("node", "fingerprint")
+    return nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fingerprint, component_id) per row; component_id is the smallest id reachable by links."""
     ensure_checkpoint_dir(docs.sparkSession)
@@ -163,16 +170,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The documents with one row left of each component: the smallest id, then the smallest text.
+    """The documents with exactly one row left of each component: the smallest id, then the smallest text.
 
-    Rows of a component without any id are represented by one row.
+    Components are told by their fingerprints, so texts of several components may share an id or have none.
     """
-    found = near_duplicates(docs, id_col, text_col, width)
-    keepers = (
-        found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-        .select(F.col(id_col).alias("keeper_id"))
-        .distinct()
-    )
-    joined = docs.join(keepers, F.col(id_col).eqNullSafe(F.col("keeper_id")))
-    first = Window.partitionBy("keeper_id").orderBy(F.col(text_col))
-    return joined.withColumn("keeper_no", F.row_number().over(first)).where("keeper_no = 1").select(*docs.columns)
+    ensure_checkpoint_dir(docs.sparkSession)
+    key = F.struct(F.col(id_col).alias("node_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"))
+    hashed = fingerprints(docs.withColumn("row_id", key), "row_id", text_col, width).checkpoint()
+    found = hashed.join(_rooted(hashed), "fingerprint").select("node_id.*", "root")
+    return first_rows(docs, found, id_col, text_col)
