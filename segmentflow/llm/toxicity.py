@@ -2,7 +2,8 @@
 
 Confirmed toxic examples are the positives; other text is unlabelled, toxic or not.  With class prior
 pi the risk of a classifier is  pi R(P, +) + max(0, R(U, -) - pi R(P, -)),  so unlabelled toxic texts
-do not count as clean ones.  Features are hashed words and word beginnings present in a text; a test of
+do not count as clean ones.  Features are hashed words, word beginnings and, in
+words beyond ASCII, runs of code points present in a text; a test of
 their rates in P against U keeps the telling ones, and a logistic model is fitted on those in NumPy.
 
 Training takes a bounded sample (``MOST_POSITIVE`` and ``MOST_UNLABELLED`` rows, chosen by a hash of the
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,13 @@ USUAL_PRIOR, PRIOR_BOUNDS = 0.1, (0.001, 0.9)
 #: A feature needs this many positives, this share of toxic texts (prior times rate in P over rate in U)
 #: and this many standard deviations above chance.
 LEAST_COUNT, LEAST_PRECISION, LEAST_Z = 3, 0.6, 4.0
-#: Lengths in bytes of the word beginnings that are hashed; the last one stands for whole words.
-CUTS = (4, 6, 14)
+#: Lengths in code points of the word beginnings that are hashed, beside whole words.
+CUTS = (4, 6)
+#: Lengths of the runs of code points that are hashed inside words with any code point above ASCII, as
+#: many scripts have no spaces.
+GRAMS = (2, 3, 4)
 CHUNK = 1 << 20
-_LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+_LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(129)])
 
 
 def _chunks(text: str) -> Iterator[str]:
@@ -49,13 +54,43 @@ def _chunks(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+@lru_cache(maxsize=32)
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.full(n, 0x9E3779B97F4A7C15, dtype=np.uint64))
+
+
+def _slots(hashed: np.ndarray) -> np.ndarray:
+    return np.unique((hashed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOTS_BITS)).astype(np.uint32)
+
+
+def _word_hashes(data: np.ndarray, letter: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of the words up to their real ends, and of the runs inside words beyond ASCII."""
+    own = data[letter].astype(np.uint64) + np.uint64(1)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(len(own)) - np.repeat(first, lengths)
+    yield np.add.reduceat(own * _powers(1 << int(lengths.max()).bit_length())[place], first)
+    beyond = np.logical_or.reduceat(own > 128, first)
+    if not beyond.any():
+        return
+    inside = np.zeros(len(data), dtype=bool)
+    inside[letter] = np.repeat(beyond, lengths)
+    whole, hashed = inside, data.astype(np.uint64)
+    for n in range(2, GRAMS[-1] + 1):
+        whole = whole[:-1] & inside[n - 1 :]
+        hashed = hashed[:-1] * np.uint64(0x100000001B3) + data[n - 1 :]
+        if n in GRAMS:
+            yield (hashed[whole] ^ np.uint64(n)) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
 def features(text: str) -> np.ndarray:
-    """The distinct hashed features of a whole text, rising."""
+    """The distinct hashed features of a whole text, rising; every code point of a word is part of one."""
     found = []
     for part in _chunks(text):
-        data = np.frombuffer(b" " + part.lower().encode("utf-8", "replace") + b" " * CUTS[-1], dtype=np.uint8)
-        letter = _LETTER[data]
+        data = np.frombuffer(f" {part.lower()}{' ' * CUTS[-1]}".encode("utf-32-le", "replace"), dtype="<u4")
+        letter = _LETTER[np.minimum(data, 128)]
         at = np.flatnonzero(~letter[:-1] & letter[1:]) + 1
+        if not len(at):
+            continue
         hashed, live = np.zeros(len(at), dtype=np.uint32), np.ones(len(at), dtype=bool)
         for j in range(CUTS[-1]):
             live &= letter[at + j]
@@ -63,6 +98,8 @@ def features(text: str) -> np.ndarray:
             if j + 1 in CUTS:
                 salted = (hashed ^ np.uint32(j * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(2654435761)
                 found.append(np.unique(salted >> np.uint32(32 - SLOTS_BITS)))
+        lengths = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1 - at
+        found.extend(map(_slots, _word_hashes(data, letter, at, lengths)))
     return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint32)
 
 

@@ -458,3 +458,20 @@ def test_each_component_keeps_one_row_whatever_its_ids(spark):
     expected = sorted([(None, texts[0]), (None, texts[1]), (7, rows[4][1]), (7, rows[5][1]), (8, texts[2])], key=str)
     for keep_first in (minhash.keep_first, simhash.keep_first):
         assert sorted((tuple(r) for r in keep_first(docs).collect()), key=str) == expected
+
+
+def test_toxic_term_inside_unspaced_text_or_behind_a_long_prefix():
+    rng = random.Random(5)
+    signs = [chr(0x4E00 + i) for i in range(300)]
+
+    def plain():
+        return "".join(rng.choices(signs, k=200))
+
+    texts = [plain() for _ in range(400)]
+    toxic = [i % 4 == 0 for i in range(400)]
+    texts = [t[:100] + "鬼魔怪" + t[100:] if x else t for t, x in zip(texts, toxic)]
+    term = set(toxicity.features("鬼魔怪").tolist())
+    assert all(len(term & set(toxicity.features(t).tolist())) >= 2 for t, x in zip(texts, toxic) if x)
+    a, b = toxicity.features("a" * 40 + "x"), toxicity.features("a" * 40 + "y")
+    assert a.tolist() != b.tolist()
+    assert toxicity.features("").size == 0 and toxicity.features(" ,. ").size == 0
