@@ -40,6 +40,8 @@ SLOTS_BITS = 12
 SLOTS = 1 << SLOTS_BITS
 SAMPLE_ROWS, MOST_PER_LANGUAGE = 2400, 600
 CHUNK = 1 << 20
+#: A text is foreign if it fits its language worse than all but this share of the training rows, by this factor.
+FOREIGN_SHARE, FOREIGN_SLACK = 0.001, 1.25
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = [b if chr(b).isalpha() else 32 for b in range(128)]
 
@@ -95,6 +97,24 @@ class Model:
         rows = [fit_svm(x[(labels == i) | (labels == j)], labels[(labels == i) | (labels == j)] == i) for i, j in self.pairs]
         self.pair_weights = np.array(rows, dtype=np.float32).reshape(-1, SLOTS + 1)
 
+        # Squared entries of a vector are the frequencies of its grams, so fits are linear in them.
+        profiles = np.array([(x[labels == i] ** 2).mean(axis=0) for i in range(len(langs))], dtype=np.float64)
+        self.log_profiles = np.log((profiles + 1e-3 / SLOTS) / (1 + 1e-3))
+        self.usual = (profiles * self.log_profiles).sum(axis=1)
+        self.spread = np.sqrt(np.maximum((profiles * self.log_profiles**2).sum(axis=1) - self.usual**2, 1e-6))
+        self.bound = FOREIGN_SLACK * max(float(np.quantile(self.strangeness(x, labels), 1 - FOREIGN_SHARE)), 1.0)
+
+    def strangeness(self, x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """How far the mean log-likelihood of the grams lies below the usual one, for the length of the text."""
+        share = np.square(x, dtype=np.float64)
+        fit = np.einsum("ij,ij->i", share, self.log_profiles[labels])
+        least = np.where(share > 0, share, np.inf).min(axis=1)  # about one over the number of grams
+        return (self.usual[labels] - fit) / (0.1 + self.spread[labels] * np.sqrt(np.minimum(least, 1.0)))
+
+    def foreign(self, x: np.ndarray, langs: list[str]) -> np.ndarray:
+        """Whether each text fits its language worse than the training rows do."""
+        return self.strangeness(x, np.array([self.langs.index(lang) for lang in langs])) > self.bound
+
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         n = len(x)
         chance = np.ones((n, len(self.families)))
@@ -153,8 +173,11 @@ def fit(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: st
     return Model(langs, x, np.array([langs.index(n) for n in names]))
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with ``lang_pred`` and ``lang_score``; all columns of docs pass through."""
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", only_learned: bool = False) -> DataFrame:
+    """The rows with ``lang_pred`` and ``lang_score``; all columns of docs pass through.
+
+    With only_learned, lettered noise and texts in languages that were not learned are ``und`` too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -164,7 +187,11 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 ready = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
                 langs, scores = [UND] * len(texts), np.zeros(len(texts))
                 if ready:
-                    found, sure = model.predict(np.array([features(texts[i]) for i in ready]))
+                    x = np.array([features(texts[i]) for i in ready])
+                    found, sure = model.predict(x)
+                    if only_learned:
+                        foreign = model.foreign(x, found)
+                        found, sure = [UND if f else g for f, g in zip(foreign, found)], np.where(foreign, 0.0, sure)
                     scores[ready] = sure
                     for i, lang in zip(ready, found):
                         langs[i] = lang

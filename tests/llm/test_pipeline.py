@@ -1,9 +1,13 @@
 """The stages of the corpus pipeline on the smallest documents."""
 
+import random
+
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 from segmentflow.llm import simhash
+from segmentflow.llm.queries import fold_of
 
 
 def test_stages_take_effect_and_keep_columns(spark, sf_dir):
@@ -41,3 +45,19 @@ def test_near_dedup_stage_drops_similar_texts_only(spark, sf_dir):
     near, far = [*words[:100], "x", *words[101:]], [w if i % 20 else "y" for i, w in enumerate(words)]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((words, near, far))], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, sf_dir).collect()) == [0, 2]
+
+
+def test_language_stage_drops_noise_and_unlearned_languages_only(spark, sf_dir):
+    rng = random.Random(1)
+    planted = [
+        "Zażółć gęślą jaźń. Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах",
+        "人人生而自由在尊严和权利上一律平等他们赋有理性和良心",
+        "".join(rng.choices("abcdefghijklmnopqrstuvwxyz   ", k=400)),
+    ]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    extra = spark.createDataFrame([(10**6 + i, t, None, "s", len(t)) for i, t in enumerate(planted)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs.unionByName(extra), sf_dir).select("doc_id").collect()}
+    assert not any(i >= 10**6 for i in kept)
+    lettered = docs.where(F.col("text").rlike("[A-Za-z]") & (fold_of("doc_id", 3) == 1)).select("doc_id").collect()
+    assert np.mean([r.doc_id in kept for r in lettered]) > 0.98
