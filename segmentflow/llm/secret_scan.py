@@ -3,11 +3,12 @@
 Base spans stand alone: assignments with a value of 8+ characters, access identifiers, long hex runs.
 Weak parts (identifiers, password-like values, 40-character keys, endpoints) are ordinary in prose, so
 they are reported only where complementary parts co-occur: an interval join finds, for each weak part,
-the parts that start within ``reach`` code points of it in the same scope (text between blank lines).
+the parts at most ``reach`` code points before its start or after its end in the same scope (text
+between blank lines).
 A weak identifier needs a secret, a weak secret an identifier, an endpoint both.
 
 Matches become rows (row key, kind, order, gap before, length); running sums turn gaps and lengths into
-positions, and the interval join is a range frame over the starts of one text.  Texts are never
+positions, and the interval join is two running frames over the parts of one scope.  Texts are never
 shuffled: only the matches are, once, by row key, so a hot source or copied text does not meet in a task.
 
 Defined results: a null or empty text has no spans; repeated rows give repeated results; texts of any
@@ -114,10 +115,15 @@ def scan(docs: DataFrame, carry: dict[str, Column], text_col: str = "text", reac
     rows = rows.withColumn("kind", F.when(least, F.col("kind")))
     by_start = Window.partitionBy("row_key").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("scope", F.sum(F.when(F.col("kind") == "break", 1).otherwise(0)).over(by_start))
-    near = Window.partitionBy("row_key", "scope").orderBy("start").rangeBetween(-reach, reach)
+    scope = Window.partitionBy("row_key", "scope")
+    so_far = scope.orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    onward = scope.orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, 0)
 
     def beside(kinds: list[str]) -> Column:
-        return F.max(F.col("kind").isin(kinds).cast("int")).over(near) == 1
+        part = F.col("kind").isin(kinds)
+        before = F.col("start") - F.max(F.when(part, F.col("end"))).over(so_far)
+        after = F.min(F.when(part, F.col("start"))).over(onward) - F.col("end")
+        return F.coalesce(before <= reach, F.lit(False)) | F.coalesce(after <= reach, F.lit(False))
 
     rows = rows.withColumn("has_id", beside(IDS)).withColumn("has_secret", beside(SECRETS))
     reported = (

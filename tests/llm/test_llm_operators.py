@@ -475,3 +475,12 @@ def test_toxic_term_inside_unspaced_text_or_behind_a_long_prefix():
     a, b = toxicity.features("a" * 40 + "x"), toxicity.features("a" * 40 + "y")
     assert a.tolist() != b.tolist()
     assert toxicity.features("").size == 0 and toxicity.features(" ,. ").size == 0
+
+
+def test_weak_parts_link_by_their_gap_and_not_by_their_starts(spark):
+    long = "auth=" + "k%" * 300
+    texts = [f"{long}\nuser=bob", f"user=bob\n{long}", f"{long}{' ' * 401}user=bob", f"{long}\n\nuser=bob", f"{long}{' ' * 400}user=bob"]
+    docs = odd_docs(spark, texts)
+    got = {r.doc_id: [s.kind for s in r.found] for r in secret_scan.find_secrets(docs).collect()}
+    assert got == {0: ["weak_secret", "weak_id"], 1: ["weak_id", "weak_secret"], 2: [], 3: [], 4: ["weak_secret", "weak_id"]}
+    assert {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}[0] == "[SECRET]\n[SECRET]"
