@@ -644,7 +644,7 @@ def matched_reversals(spark, sf_dir):
 @registered("dynamic_clusters")
 def dynamic_clusters(spark, sf_dir):
     """Assignments of every cycle by the K-means baseline and the fuzzy updates."""
-    found = cycle_runs.run(st.rfm(spark, sf_dir), most_clusters=6, seeds=2)
+    found = cycle_runs.run(st.rfm(spark, sf_dir))
     return found.assignments.select("cycle_number", "customer_id", "cluster_index", "stable_cluster_id", "segment_name", "top_membership")
 
 
@@ -831,7 +831,7 @@ def country_groups(spark, sf_dir):
     """Countries of every cycle in the groups fitted on the baseline's countries."""
     ensure_checkpoint_dir(spark)
     found = markets.market_features(st.ledger(spark, sf_dir), st.cycles(spark), st.state(spark, sf_dir), st.asof(spark, sf_dir)).checkpoint()
-    scaling, centres, _ = markets.fit_groups(found, most=6, seeds=2)
+    scaling, centres, _ = markets.fit_groups(found)
     return markets.grouped(found, scaling, centres).select("cycle_number", "country", "cluster_index", "market", r("revenue", 2))
 
 

@@ -69,3 +69,23 @@ def test_registry_and_label_plan(spark, sf_dir):
     old = detailed.withColumn("segment_name", F.lit("Developing")).withColumn("details", F.transform("details", lambda d: d.withField("segment_name", F.lit("Developing at Risk"))))
     new = registry.relabelled(old, ["segment_name"], "details").select("segment_name", F.col("details")[0]["segment_name"]).distinct().collect()
     assert [tuple(n) for n in new] == [("Light Buyers", "Light Buyers at Risk")]
+
+
+def test_queries_sweep_with_the_defaults_of_the_operators(spark, sf_dir, monkeypatch):
+    from segmentflow.operators import clustering
+    from segmentflow.plans import queries
+
+    class Seen(Exception):
+        pass
+
+    def sweep(points, ks, seeds=5, *rest):
+        raise Seen(max(ks), seeds, points.count())
+
+    monkeypatch.setattr(clustering, "kmeans_sweep", sweep)
+    for name in ("dynamic_clusters", "country_groups"):
+        try:
+            queries.QUERIES[name](spark, sf_dir)
+            raise AssertionError(name)
+        except Seen as e:
+            most, seeds, n = e.args
+            assert most == min(10, n - 1) and seeds == 5
