@@ -11,9 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's ``spark.checkpoint.dir``; set one beside the warehouse only where it is unset."""
+    """Keep the cluster's ``spark.checkpoint.dir``; on a local master only, set one beside the warehouse where it is unset."""
     if spark.sparkContext.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(
             configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         )
