@@ -3,12 +3,13 @@
 A text becomes a unit vector of hashed byte bigrams and trigrams.  One-versus-rest linear support vector
 machines choose the language family; one-versus-one machines then separate the languages within it.
 The machines are fitted in NumPy on a bounded sample of labelled rows (``SAMPLE_ROWS`` in all, spread
-over the languages, chosen by a hash of the id); every row is scored whole on the executors.
+over the ``MOST_LANGUAGES`` languages with most rows, chosen by a hash of the id); every row is scored
+whole on the executors.
 
 Defined results: a null or empty text, or one without a letter, is ``und`` with score 0; so is every
 text if no row has a language to learn from.  A language alone in its family needs no second step.
-Repeated rows get equal results; a null id is never trained on; an empty table gives no rows; other
-columns are ignored.
+Repeated rows get equal results; a null id is never trained on; an empty table gives no rows; all other
+columns pass through, and one that has the name of a result gives way to it (callers choose those names).
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from segmentflow.llm.columns import column
+
 # Language families by code; any other code belongs to the family "other".
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
@@ -39,6 +42,8 @@ UND = "und"
 SLOTS_BITS = 12
 SLOTS = 1 << SLOTS_BITS
 SAMPLE_ROWS, MOST_PER_LANGUAGE = 2400, 600
+#: Languages with most rows that are learned; a ``lang`` column with more values holds noise.
+MOST_LANGUAGES = 200
 CHUNK = 1 << 20
 #: A text is foreign if it fits its language worse than all but this share of the training rows, by this factor.
 FOREIGN_SHARE, FOREIGN_SLACK = 0.001, 1.25
@@ -149,10 +154,11 @@ def _hash_share(id_col: str) -> Column:
 def fit(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model of the languages of the trainable rows; None if there are none."""
     rows = docs.where(trainable & F.col(lang_col).isNotNull() & (F.col(lang_col) != UND) & F.col(id_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).agg(F.count("*")).collect()}
+    counted = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in counted.collect()}
     if not counts:
         return None
-    each = min(MOST_PER_LANGUAGE, max(8, SAMPLE_ROWS // len(counts)))
+    each = min(MOST_PER_LANGUAGE, SAMPLE_ROWS // len(counts))
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, each / n))])
     sample = rows.where(_hash_share(id_col) < share[F.col(lang_col)]).select(
         F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")
@@ -173,8 +179,14 @@ def fit(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: st
     return Model(langs, x, np.array([langs.index(n) for n in names]))
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", only_learned: bool = False) -> DataFrame:
-    """The rows with ``lang_pred`` and ``lang_score``; all columns of docs pass through.
+def predict(
+    docs: DataFrame,
+    model: Model | None,
+    text_col: str = "text",
+    only_learned: bool = False,
+    names: tuple[str, str] = ("lang_pred", "lang_score"),
+) -> DataFrame:
+    """The rows with their language and its score under the given names; all other columns pass through.
 
     With only_learned, lettered noise and texts in languages that were not learned are ``und`` too.
     """
@@ -198,9 +210,9 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 columns = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, [*out.names])
 
-    kept = docs.columns
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(text_col).cast("string").alias("text"))
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    inner = docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(kept)], column(text_col).cast("string").alias("text"))
     fields = [inner.schema[f"c{i}"] for i in range(len(kept))]
-    out = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    out = T.StructType([*fields, T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
     done = inner.mapInArrow(run, out)
-    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "lang_pred", F.col("lang_score"))
+    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("lang").alias(names[0]), F.col("score").alias(names[1]))

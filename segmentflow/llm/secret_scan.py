@@ -22,6 +22,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segmentflow.llm.columns import column
+from segmentflow.llm.graph import spread_join
+from segmentflow.session import ensure_checkpoint_dir
+
 # The base kinds (kind, pattern, group that is measured, least length).
 BASE = (
     (
@@ -78,7 +82,7 @@ def _matches(text: Column, kind: tuple, when: Column) -> Column:
 
 def scan(docs: DataFrame, carry: dict[str, Column], text_col: str = "text", reach: int = 400) -> DataFrame:
     """Per input row: the carried columns and ``found``, its spans by start, then kind."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(column(text_col).cast("string"), F.lit(""))
     names = list(carry)
     base = docs.select(
         F.monotonically_increasing_id().alias("row_key"),
@@ -171,32 +175,29 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", reac
     """The documents with every reported span replaced; all other texts and columns stay.
 
     Texts without any part skip the join.  The rest meet their spans by the text's digest, so copies of
-    a text share one small row of spans.
+    a text share one small row of spans; digests with very many copies are broadcast to them.  Columns
+    travel as one struct, so their names cannot clash with those used here.
     """
-    some = F.coalesce(may_hold_secrets(F.col(text_col)), F.lit(False))
-    suspects, clean = docs.where(some), docs.where(~some)
-    spans = (
-        scan(suspects, {"redact_key": F.sha2(text_col, 256)}, text_col, reach)
-        .where(F.size("found") > 0)
-        .groupBy("redact_key")
-        .agg(F.first("found").alias("redact_found"))
+    ensure_checkpoint_dir(docs.sparkSession)
+    some = F.coalesce(may_hold_secrets(column(text_col)), F.lit(False))
+    clean = docs.where(~some)
+    suspects = docs.where(some).select(
+        F.struct(*map(column, docs.columns)).alias("doc"), column(text_col).alias("text"), F.sha2(column(text_col), 256).alias("digest")
     )
-    keyed = suspects.withColumn("redact_key", F.sha2(text_col, 256)).join(spans, "redact_key", "left")
-    cuts = _merged(F.col("redact_found"))
-    text = F.col(text_col)
+    spans = scan(suspects, {"digest": F.col("digest")}, "text", reach).groupBy("digest").agg(F.first("found").alias("found"), F.count("*").alias("n"))
+    spans = spans.select("digest", "n", _merged(F.col("found")).alias("cuts")).checkpoint()
+    total = spans.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    keyed = spread_join(suspects, spans, "digest", total)
+    text = F.col("text")
+
+    def until(i: Column) -> Column:
+        """The end of the span before the i-th."""
+        return F.coalesce(F.try_element_at("cuts", F.when(i > 0, i))["end"], F.lit(0))
+
     pieces = F.transform(
-        F.col("redact_cuts"),
-        lambda s, i: F.concat(
-            F.substring(
-                text,
-                (F.coalesce(F.try_element_at(F.col("redact_cuts"), F.when(i > 0, i))["end"], F.lit(0)) + 1).cast("int"),
-                (s["start"] - F.coalesce(F.try_element_at(F.col("redact_cuts"), F.when(i > 0, i))["end"], F.lit(0))).cast("int"),
-            ),
-            F.lit(mark),
-        ),
-    )
-    rest = F.substring(text, (F.col("redact_cuts")[F.size("redact_cuts") - 1]["end"] + 1).cast("int"), F.length(text))
-    changed = keyed.withColumn("redact_cuts", cuts).withColumn(
-        text_col, F.when(F.col("redact_cuts").isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), rest))
+        "cuts", lambda s, i: F.concat(F.substring(text, (until(i) + 1).cast("int"), (s["start"] - until(i)).cast("int")), F.lit(mark))
     )
-    return clean.unionByName(changed.select(*docs.columns))
+    rest = F.substring(text, (F.get("cuts", F.size("cuts") - 1)["end"] + 1).cast("int"), F.length(text))
+    new = F.when(F.size("cuts") == 0, text).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    kept = [F.col("new").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns]
+    return clean.unionByName(keyed.withColumn("new", new).select(*kept))

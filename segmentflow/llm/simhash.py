@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segmentflow.llm.graph import components, first_rows
+from segmentflow.llm.columns import column
+from segmentflow.llm.graph import components, first_rows, named_by_first, spread_join
 from segmentflow.session import ensure_checkpoint_dir
 
 SEED = 42
@@ -73,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = [fingerprint(texts[i].as_py(), width) for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["node_id", "fingerprint"])
 
-    chosen = docs.select(F.col(id_col).alias("node_id"), F.col(text_col).cast("string").alias("text"))
+    chosen = docs.select(column(id_col).alias("node_id"), column(text_col).cast("string").alias("text"))
     schema = T.StructType([chosen.schema["node_id"], T.StructField("fingerprint", T.LongType())])
     return chosen.mapInArrow(run, schema)
 
@@ -150,23 +151,14 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def _rooted(hashed: DataFrame) -> DataFrame:
-    """(fingerprint, root) per distinct fingerprint; root is the smallest fingerprint of its component."""
-    nodes = hashed.select("fingerprint").distinct()
-    roots = components(links(nodes)).withColumnRenamed("node", "fingerprint")
-    return nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fingerprint, component_id) per row; component_id is the smallest id reachable by links."""
     ensure_checkpoint_dir(docs.sparkSession)
     hashed = fingerprints(docs, id_col, text_col, width).checkpoint()
-    nodes = hashed.groupBy("fingerprint").agg(F.min("node_id").alias("first_id"))
-    roots = components(links(nodes.select("fingerprint"))).withColumnRenamed("node", "fingerprint")
-    rooted = nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(firsts, "root").select("fingerprint", "component_id")
-    return hashed.join(named, "fingerprint").select(F.col("node_id").alias(id_col), "fingerprint", "component_id")
+    nodes = hashed.groupBy("fingerprint").agg(F.min("node_id").alias("first_id"), F.count("*").alias("n")).checkpoint()
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    named = named_by_first(nodes, components(links(nodes.select("fingerprint"))), "fingerprint", total)
+    return spread_join(hashed, named, "fingerprint", total).select(F.col("node_id").alias(id_col), "fingerprint", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -175,7 +167,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Components are told by their fingerprints, so texts of several components may share an id or have none.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    key = F.struct(F.col(id_col).alias("node_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"))
-    hashed = fingerprints(docs.withColumn("row_id", key), "row_id", text_col, width).checkpoint()
-    found = hashed.join(_rooted(hashed), "fingerprint").select("node_id.*", "root")
+    text = column(text_col).cast("string")
+    keyed = docs.select(F.struct(column(id_col).alias("node_id"), F.xxhash64(text).alias("text_key")).alias("row_id"), text.alias("text"))
+    hashed = fingerprints(keyed, "row_id", "text", width).checkpoint()
+    nodes = hashed.groupBy("fingerprint").agg(F.count("*").alias("n")).checkpoint()
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    roots = components(links(nodes.select("fingerprint"))).withColumnRenamed("node", "fingerprint")
+    rooted = nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    found = spread_join(hashed, rooted, "fingerprint", total).select("node_id.*", "root")
     return first_rows(docs, found, id_col, text_col)

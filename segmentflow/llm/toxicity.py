@@ -11,7 +11,8 @@ id); every text is scored whole on the executors, in one scan and no shuffle.
 
 Defined results: null and empty texts get the score of a text without features; with no confirmed toxic
 example every score is the prior; a document labelled both ways counts as toxic; repeated rows get equal
-scores; a null id is never trained on; an empty table gives no rows; other columns are ignored.
+scores; a null id is never trained on; an empty table gives no rows; all other columns pass through, and
+one that has the name of the result gives way to it (callers choose that name).
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from segmentflow.llm.columns import column
+
 SLOTS_BITS = 20
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 9000
 #: The prior where no row is labelled as clean, and the bounds that a measured one is held to.
@@ -217,16 +220,16 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
     return Model(slots, weights, bias)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows with ``toxic_score``; all columns of docs pass through."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxic_score") -> DataFrame:
+    """The rows with their score under the given name; all other columns pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [model.score(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], out.names)
 
-    kept = docs.columns
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(text_col).cast("string").alias("text"))
-    out = T.StructType([*(inner.schema[f"c{i}"] for i in range(len(kept))), T.StructField("toxic_score", T.DoubleType())])
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    inner = docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(kept)], column(text_col).cast("string").alias("text"))
+    out = T.StructType([*(inner.schema[f"c{i}"] for i in range(len(kept))), T.StructField("score", T.DoubleType())])
     done = inner.mapInArrow(run, out)
-    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "toxic_score")
+    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("score").alias(name))
