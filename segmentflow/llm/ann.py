@@ -5,18 +5,22 @@ Inner products become distances by one added coordinate: with M the largest norm
 projections, so a projected squared distance is the true one times a chi-square variable.  The top of the
 kd-tree, fitted on a bounded sample of projected rows, deals all rows to shards; each shard completes its
 own tree.  A query first searches its home shard; its k-th distance then bounds the other shards: one
-whose box fails the test is skipped.  In a shard, leaves and points come in the order of their projected
-distance and are verified until the test stops: once the next projected squared distance exceeds the
-``CONFIDENCE`` quantile of chi-square times the k-th true squared distance, a nearer vector is left out
-with probability 1 - ``CONFIDENCE`` at most.
-
-Queries and shards meet in bounded blocks: crowded shards are cut by a hash of the id, queries by blocks
-of ``QUERY_BLOCK``.  Every row is indexed and may be found.
-
-Defined results: null, empty and zero vectors, those with null or non-finite components and those of
-another length than the most common one take no part, as query or candidate; ties go to the smaller id;
-repeated rows are candidates each, and a query skips every row with its own id; null ids take no part; an
-empty table gives no rows; other columns are ignored.
+whose box fails the test is skipped.  In a shard, the tree yields points in the order of their projected
+distance, and they are verified in that order until the test stops: once the next projected squared
+distance exceeds the ``CONFIDENCE`` quantile of chi-square times the k-th true squared distance, a nearer
+vector is left out with probability 1 - ``CONFIDENCE`` at most.
+
+Queries and shards meet in bounded blocks: crowded shards are cut by a hash of the row, and the queries
+that reach a shard by blocks of ``QUERY_BLOCK``; rows are copied to the blocks of their own shard only.
+Every row is indexed and may be found.
+
+Defined results: null, empty and zero vectors and those with null or non-finite components take no part,
+as query or candidate; vectors meet those of their own length only; very large and very small components
+are ranked as if scaled by a power of two, while the score is the plain product, which may overflow or
+vanish; ties go to the smaller id, and equal vectors tie wherever they are stored; repeated rows are
+candidates each, and a query skips every row with its own id; each query row has a list of its own, told
+apart by ``query_hash`` (a hash of its vector) and ``query_copy`` (from 1, for equal rows); null ids take
+no part; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmentflow.llm.vectors import matrix, packed
+from segmentflow.llm.vectors import exponents, matrix, packed
 from segmentflow.session import ensure_checkpoint_dir
 
 PROJECTIONS, CONFIDENCE, SEED = 8, 0.95, 20141029
 #: Rows that the top of the tree is fitted on, and bounds of shards, leaves and blocks of queries.
 SAMPLE_ROWS, SHARD_ROWS, MOST_SHARDS, LEAF_ROWS, QUERY_BLOCK = 16_384, 8_192, 4_096, 512, 8_192
+#: Shards for vectors of other lengths than the most common one, searched without the top of the tree.
+OTHER_SHARDS = 1_024
+CHUNK = 64
 
 
 def chi_square_quantile(share: float, degrees: int) -> float:
@@ -48,18 +55,28 @@ def chi_square_quantile(share: float, degrees: int) -> float:
 
 
 class Space:
-    """Lifts and projects vectors of one length."""
+    """Scales, lifts and projects vectors of one length; no component exceeds 2^exponent, no scaled norm ``largest``."""
 
-    def __init__(self, size: int, largest: float) -> None:
-        self.size, self.largest = size, largest
+    def __init__(self, size: int, exponent: int, largest: float) -> None:
+        self.size, self.exponent, self.largest = size, exponent, largest
         self.lines = np.random.default_rng([SEED, size]).standard_normal((size + 1, PROJECTIONS))
 
-    def rows(self, v: np.ndarray) -> np.ndarray:
-        rest = np.sqrt(np.maximum(self.largest**2 - np.einsum("ij,ij->i", v, v), 0.0))
-        return v @ self.lines[:-1] + rest[:, None] * self.lines[-1]
+    def scaled(self, v: np.ndarray) -> np.ndarray:
+        return np.ldexp(v, -self.exponent)
 
-    def queries(self, v: np.ndarray) -> np.ndarray:
-        return (v * (self.largest / np.linalg.norm(v, axis=1, keepdims=True))) @ self.lines[:-1]
+    def rows(self, scaled: np.ndarray) -> np.ndarray:
+        rest = np.sqrt(np.maximum(self.largest**2 - np.einsum("ij,ij->i", scaled, scaled), 0.0))
+        return scaled @ self.lines[:-1] + rest[:, None] * self.lines[-1]
+
+    def queries(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries scaled each by its own power of two, their norms and projections."""
+        scaled = np.ldexp(v, -exponents(v)[:, None])
+        norms = np.sqrt(np.einsum("ij,ij->i", scaled, scaled))
+        return scaled, norms, (scaled * (self.largest / norms)[:, None]) @ self.lines[:-1]
+
+    def distance(self, near: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """Squared distances behind products of scaled rows and a scaled query."""
+        return np.maximum(0.0, 2 * self.largest**2 - 2 * self.largest * near / norm)
 
 
 class TopTree:
@@ -116,143 +133,228 @@ def _leaves(points: np.ndarray) -> list[np.ndarray]:
     return leaves
 
 
-def _search(rows: pa.Table, queries: pa.Table, space: Space, k: int, stop: float) -> pa.Table:
-    """Each query's best k of these rows, verified in projected order until the stop."""
-    empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
-    if not rows.num_rows or not queries.num_rows:
-        return pa.table(empty)
-    v, ids = matrix(rows.column("vec")), rows.column("vec_key").to_numpy()
-    qv, q_ids, bounds = matrix(queries.column("vec")), queries.column("vec_key").to_numpy(), queries.column("bound").to_numpy()
-    p, qp = space.rows(v), space.queries(qv)
-    leaves = _leaves(p)
-    stops = np.cumsum([len(at) for at in leaves]).tolist()
-    runs = list(zip([0, *stops], stops))  # each leaf's rows, once they are stored leaf by leaf
-    order = np.concatenate(leaves)
-    v, ids, p = v[order], ids[order], p[order]
-    low = np.array([p[a:b].min(axis=0) for a, b in runs])
-    high = np.array([p[a:b].max(axis=0) for a, b in runs])
-    unit = space.largest / np.linalg.norm(qv, axis=1)
-    out_q, out_v, out_s = [], [], []
-    for i in range(len(qv)):
-        gap = np.maximum(0.0, np.maximum(low - qp[i], qp[i] - high))
+class Shard:
+    """Rows of one length stored leaf by leaf; yields each query's best."""
+
+    def __init__(self, v: np.ndarray, ids: np.ndarray, space: Space) -> None:
+        scaled = space.scaled(v)
+        p = space.rows(scaled)
+        leaves = _leaves(p)
+        order = np.concatenate(leaves)
+        self.space, self.v, self.ids, self.p = space, scaled[order], ids[order], p[order]
+        stops = np.cumsum([len(at) for at in leaves])
+        self.runs = list(zip([0, *stops[:-1].tolist()], stops.tolist()))
+        self.low = np.array([self.p[a:b].min(axis=0) for a, b in self.runs])
+        self.high = np.array([self.p[a:b].max(axis=0) for a, b in self.runs])
+
+    def best(self, query: np.ndarray, norm: float, at: np.ndarray, own_id: int, bound: float, k: int, stop: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places and products of the k best rows, verified in the order of projected distance until the stop.
+
+        bound is the query's k-th squared distance elsewhere.  Leaves are opened in the order of their boxes;
+        a point is verified once no unopened leaf can hold one that is nearer in projection.
+        """
+        gap = np.maximum(0.0, np.maximum(self.low - at, at - self.high))
         ahead = np.einsum("ij,ij->i", gap, gap)
-        best_s, best_i, bound = np.zeros(0), np.zeros(0, dtype=np.int64), bounds[i]
-        for leaf in np.argsort(ahead, kind="stable"):
-            if ahead[leaf] > stop * bound:
-                break
-            a, b = runs[leaf]
-            s = v[a:b] @ qv[i]
-            open_ = ids[a:b] != q_ids[i]
-            if len(best_s) == k:
-                open_ &= s >= best_s[-1]
-            if not open_.any():
-                continue
-            off = p[a:b] - qp[i]
-            open_ &= np.einsum("ij,ij->i", off, off) <= stop * bound
-            s, n = np.append(best_s, s[open_]), np.append(best_i, ids[a:b][open_])
-            top = np.lexsort((n, -s))[:k]
-            best_s, best_i = s[top], n[top]
-            if len(best_s) == k:
-                bound = min(bound, max(0.0, 2 * space.largest**2 - 2 * best_s[-1] * unit[i]))
-        out_q.append(np.full(len(best_i), q_ids[i]))
-        out_v.append(best_i)
-        out_s.append(best_s)
-    return pa.table(
-        {"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v).astype(np.int64), "score": np.concatenate(out_s)}
-    )
+        order = np.argsort(ahead, kind="stable")
+        near, found = np.zeros(0), np.zeros(0, dtype=np.int64)
+        waiting, waiting_d = np.zeros(0, dtype=np.int64), np.zeros(0)
+        opened, step = 0, 1
+        while True:
+            if opened < len(order) and ahead[order[opened]] <= stop * bound:
+                new = np.concatenate([np.arange(*self.runs[leaf]) for leaf in order[opened : opened + step]])
+                opened, step = opened + step, 2 * step
+                off = self.p[new] - at
+                d = np.einsum("ij,ij->i", off, off)
+                kept = (d <= stop * bound) & (self.ids[new] != own_id)
+                waiting, waiting_d = np.append(waiting, new[kept]), np.append(waiting_d, d[kept])
+            more = opened < len(order) and ahead[order[opened]] <= stop * bound
+            ready = waiting_d <= ahead[order[opened]] if more else np.ones(len(waiting), dtype=bool)
+            rank = np.flatnonzero(ready)[np.argsort(waiting_d[ready], kind="stable")]
+            c, size = 0, CHUNK
+            while c < len(rank) and waiting_d[rank[c]] <= stop * bound:
+                part = rank[c : c + size]
+                c, size = c + size, 2 * size
+                part = waiting[part[waiting_d[part] <= stop * bound]]
+                s = np.einsum("ij,j->i", self.v[part], query)  # a row's sum does not depend on its place
+                if len(near) == k:
+                    part, s = part[s >= near[-1]], s[s >= near[-1]]
+                if not len(part):
+                    continue
+                near, found = np.append(near, s), np.append(found, part)
+                top = np.lexsort((self.ids[found], -near))[:k]
+                near, found = near[top], found[top]
+                if len(near) == k:
+                    bound = min(bound, float(self.space.distance(near[-1], norm)))
+            if not more:
+                return found, near
+            waiting, waiting_d = waiting[~ready], waiting_d[~ready]
+
+
+FOUND = "query_id long, query_hash long, copies long, vec_id long, near double, score double"
+
+
+def _search(rows: pa.Table, queries: pa.Table, space_of: Callable[[int], Space], k: int, stop: float) -> pa.Table:
+    """Each query's best k of the rows of its length."""
+    parts = []
+    row_sizes, query_sizes = (np.array([len(b) // 8 for b in t.column("vec").to_pylist()]) for t in (rows, queries))
+    for size in np.intersect1d(row_sizes, query_sizes).tolist():
+        own, asked = rows.take(pa.array(np.flatnonzero(row_sizes == size))), queries.take(pa.array(np.flatnonzero(query_sizes == size)))
+        space = space_of(size)
+        shard = Shard(matrix(own.column("vec")), own.column("vec_key").to_numpy(), space)
+        qv = matrix(asked.column("vec"))
+        scaled, norms, at = space.queries(qv)
+        shift = exponents(qv) + space.exponent
+        ids, bounds = asked.column("vec_key").to_numpy(), asked.column("bound").to_numpy()
+        got = [shard.best(scaled[i], norms[i], at[i], ids[i], bounds[i], k, stop) for i in range(len(qv))]
+        counts = np.array([len(f) for f, _ in got])
+        which = pa.array(np.repeat(np.arange(len(qv)), counts))
+        near = np.concatenate([s for _, s in got])
+        head = asked.select(["vec_key", "query_hash", "copies"]).take(which)
+        with np.errstate(over="ignore", under="ignore"):
+            score = np.ldexp(near, np.repeat(shift, counts))
+        places = np.concatenate([f for f, _ in got])
+        columns = [*head.columns, pa.array(shard.ids[places]), pa.array(near), pa.array(score)]
+        parts.append(pa.table(columns, names=["query_id", "query_hash", "copies", "vec_id", "near", "score"]))
+    return pa.concat_tables(parts) if parts else pa.table({n: pa.array([], t) for n, t in zip(
+        ["query_id", "query_hash", "copies", "vec_id", "near", "score"], [pa.int64()] * 4 + [pa.float64()] * 2)})
+
+
+QUERY = ["query_id", "query_hash"]
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy(*QUERY).orderBy(F.desc("near"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, score) of each query's k best found among all other rows; is_query tells from an id whether it asks."""
-    ensure_checkpoint_dir(vectors.sparkSession)
-    rows = packed(vectors, id_col, vector_col).where("vec is not null and vec_key is not null")
-    rows = rows.select(F.col("vec_key").cast("long").alias("vec_key"), "vec").checkpoint()
+def _measure(rows: DataFrame) -> DataFrame:
+    """Per length: rows, the exponent of the largest component, and log2 of the largest norm."""
 
-    def norms(batches):
+    def run(batches):
         for batch in batches:
-            values = batch.column(0).to_pylist()
-            sizes = [len(b) // 8 for b in values]
-            largest = [float(np.linalg.norm(np.frombuffer(b, dtype="<f8"))) for b in values]
-            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(largest, pa.float64())], ["size", "norm"])
-
-    sizes = rows.select("vec").mapInArrow(norms, "size long, norm double").groupBy("size").agg(
-        F.count("*").alias("n"), F.max("norm").alias("largest")
+            vectors = [np.frombuffer(b, dtype="<f8") for b in batch.column(0).to_pylist()]
+            tops = [int(np.frexp(np.abs(v).max())[1]) for v in vectors]
+            logs = [e + math.log2(np.linalg.norm(np.ldexp(v, -e))) for v, e in zip(vectors, tops)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([len(v) for v in vectors], pa.int64()), pa.array(tops, pa.int64()), pa.array(logs, pa.float64())], ["size", "top", "log"]
+            )
+
+    return rows.select("vec").mapInArrow(run, "size long, top long, log double").groupBy("size").agg(
+        F.count("*").alias("n"), F.max("top").alias("top"), F.max("log").alias("log")
     )
-    usual = sizes.orderBy(F.desc("n"), "size").first()
-    schema = "query_id long, vec_id long, score double"
+
+
+def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, score, query_hash, query_copy) of each query row's k best found among all other rows.
+
+    is_query tells from an id whether its rows ask.
+    """
+    spark = vectors.sparkSession
+    ensure_checkpoint_dir(spark)
+    rows = packed(vectors, id_col, vector_col).where("vec is not null and vec_key is not null")
+    rows = rows.select(F.col("vec_key").cast("long").alias("vec_key"), "vec", F.monotonically_increasing_id().alias("row_no")).checkpoint()
+    sizes = _measure(rows).orderBy(F.desc("n"), "size")
+    usual = sizes.first()
+    out = ["query_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias(id_col), "score", "query_hash"]
     if usual is None:
-        return rows.sparkSession.createDataFrame([], schema).select("query_id", F.lit(0).alias("rank"), F.col("vec_id").alias(id_col), "score")
-    space, total = Space(usual["size"], usual["largest"]), usual["n"]
-    rows = rows.where(F.octet_length("vec") == 8 * space.size)
-    share = min(1.0, SAMPLE_ROWS / total)
-    sample = rows.where(F.pmod(F.xxhash64("vec_key"), F.lit(1 << 30)) < share * (1 << 30)).select("vec").toArrow()
-    depth = min(int(math.log2(MOST_SHARDS)), max(0, math.ceil(math.log2(total / SHARD_ROWS))))
-    tree = TopTree(space.rows(matrix(sample.column("vec"))) if sample.num_rows else np.zeros((0, PROJECTIONS)), depth)
+        none = spark.createDataFrame([], FOUND).withColumn("rank", F.lit(0))
+        return none.select(*out, F.lit(1).alias("query_copy"))
+    exponent = sizes.agg(F.max("top")).first()[0]
+    largest = 2.0 ** (usual["log"] - exponent) * (1 + 1e-9)
+    common = Space(usual["size"], exponent, max(largest, 1e-150))
+
+    def space_of(size: int) -> Space:
+        return common if size == common.size else Space(size, exponent, math.sqrt(size))
+
+    is_common = F.octet_length("vec") == 8 * common.size
+
+    def project(batches):
+        for batch in batches:
+            if batch.num_rows:
+                p = common.rows(common.scaled(matrix(batch.column(0))))
+                yield pa.RecordBatch.from_arrays([pa.array(list(p), pa.list_(pa.float64()))], ["p"])
+
+    share = min(1.0, SAMPLE_ROWS / usual["n"])
+    chosen = rows.where(is_common & (F.pmod(F.xxhash64("row_no"), F.lit(1 << 30)) < share * (1 << 30)))
+    sample = chosen.select("vec").mapInArrow(project, "p array<double>").toArrow().column("p").to_pylist()
+    depth = min(int(math.log2(MOST_SHARDS)), max(0, math.ceil(math.log2(usual["n"] / SHARD_ROWS))))
+    tree = TopTree(np.array(sample, dtype=float).reshape(-1, PROJECTIONS), depth)
     stop = chi_square_quantile(CONFIDENCE, PROJECTIONS)
 
-    def deal(project, first_only: bool):
-        """Rows to their shard; or queries with a bound to every other shard that may hold a nearer row."""
+    def placed(place: Callable):
+        """Appends the shards of each row; place gives (row, shard) of a batch of one length."""
 
         def run(batches):
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                p = project(matrix(batch.column("vec")))
-                home = tree.shard(p)
-                if first_only:
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home)], [*batch.schema.names, "shard"])
-                    continue
-                open_ = tree.distances(p) <= stop * batch.column("bound").to_numpy()[:, None]
-                open_[np.arange(len(p)), home] = False
-                at, shard = np.nonzero(open_)
-                part = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shard)], [*batch.schema.names, "shard"])
+                lengths = np.array([len(b) // 8 for b in batch.column("vec").to_pylist()], dtype=np.int64)
+                for size in np.unique(lengths).tolist():
+                    part = batch.take(pa.array(np.flatnonzero(lengths == size)))
+                    at, shard = place(part, size)
+                    part = part.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shard, pa.int64())], [*batch.schema.names, "shard"])
 
         return run
 
-    dealt = rows.mapInArrow(deal(space.rows, True), "vec_key long, vec binary, shard long")
-    crowds = dealt.groupBy("shard").agg(F.count("*").alias("rows"))
-    # At most MOST_SHARDS rows.
-    cuts = F.broadcast(crowds.select("shard", F.ceil(F.col("rows") / (2 * SHARD_ROWS)).cast("int").alias("cuts")))
-    asked = rows.where(F.coalesce(is_query(F.col("vec_key")), F.lit(False)))
-    query_blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    blocked = (
-        dealt.join(cuts, "shard")
-        .withColumn("cut", F.pmod(F.xxhash64("vec_key"), F.col("cuts")).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-        .select("vec_key", "vec", "shard", "cut", "block")
-    )
-
-    def search(queries: DataFrame) -> DataFrame:
+    def home(projected: Callable) -> Callable:
+        def place(part, size):
+            at = np.arange(part.num_rows)
+            if size != common.size:
+                return at, np.full(part.num_rows, -1 - size % OTHER_SHARDS)
+            return at, tree.shard(projected(matrix(part.column("vec"))))
+
+        return place
+
+    def elsewhere(part, size):
+        """The shards beside a query's own that may hold a nearer row."""
+        p = common.queries(matrix(part.column("vec")))[2]
+        open_ = tree.distances(p) <= stop * part.column("bound").to_numpy()[:, None]
+        open_[np.arange(len(p)), tree.shard(p)] = False
+        return np.nonzero(open_)
+
+    dealt = rows.mapInArrow(placed(home(lambda v: common.rows(common.scaled(v)))), "vec_key long, vec binary, row_no long, shard long")
+    crowds = dealt.groupBy("shard").agg(F.ceil(F.count("*") / (2 * SHARD_ROWS)).cast("int").alias("cuts"))
+    kind = "vec_key long, query_hash long, copies long, vec binary, bound double"
+
+    def search(queries: DataFrame, place: Callable) -> DataFrame:
+        asking = queries.mapInArrow(placed(place), f"{kind}, shard long")
+        load = asking.groupBy("shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+        meetings = F.broadcast(crowds.join(load, "shard"))  # MOST_SHARDS + OTHER_SHARDS rows at most
+        here = (
+            dealt.join(meetings, "shard")
+            .withColumn("cut", F.pmod(F.xxhash64("row_no"), F.col("cuts")).cast("int"))
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("vec_key", "vec", "shard", "cut", "block")
+        )
         spread = (
-            queries.join(cuts, "shard")
+            asking.join(meetings, "shard")
             .withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-            .withColumn("block", F.pmod(F.xxhash64("vec_key"), F.lit(query_blocks)).cast("int"))
-            .select("vec_key", "vec", "bound", "shard", "cut", "block")
+            .withColumn("block", F.pmod(F.xxhash64("vec_key", "query_hash"), F.col("blocks")).cast("int"))
+            .select("vec_key", "query_hash", "copies", "vec", "bound", "shard", "cut", "block")
         )
         keys = ["shard", "cut", "block"]
-        both = blocked.groupBy(*keys).cogroup(spread.groupBy(*keys))
-        return both.applyInArrow(lambda a, b: _search(a, b, space, k, stop), schema)
-
-    queried = asked.withColumn("bound", F.lit(float("inf")))
-    kind = "vec_key long, vec binary, bound double, shard long"
-    near_home = _best(search(queried.mapInArrow(deal(space.queries, True), kind)), k).checkpoint()
-    kth = near_home.where(F.col("rank") == k).select(F.col("query_id").alias("vec_key"), F.col("score").alias("kth"))
+        return here.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(lambda a, b: _search(a, b, space_of, k, stop), FOUND)
+
+    asked = (
+        rows.where(F.coalesce(is_query(F.col("vec_key")), F.lit(False)))
+        .groupBy("vec_key", F.xxhash64("vec").alias("query_hash"), "vec")
+        .agg(F.count("*").alias("copies"))
+        .select("vec_key", "query_hash", "copies", "vec")
+        .checkpoint()
+    )
+    first = search(asked.withColumn("bound", F.lit(float("inf"))), home(lambda v: common.queries(v)[2]))
+    near_home = _best(first, k).checkpoint()
+    kth = near_home.where(F.col("rank") == k).select(F.col("query_id").alias("vec_key"), "query_hash", F.col("near").alias("kth"))
 
     def bound(batches):
         for batch in batches:
-            v = matrix(batch.column("vec")) if batch.num_rows else np.zeros((0, space.size))
+            if not batch.num_rows:
+                continue
+            norms = common.queries(matrix(batch.column("vec")))[1]
             s = batch.column("kth").to_numpy(zero_copy_only=False).astype(float)
-            d = 2 * space.largest**2 - 2 * s * space.largest / np.linalg.norm(v, axis=1)
-            d = np.where(np.isnan(s), np.inf, np.maximum(d, 0.0))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_key"), batch.column("vec"), pa.array(d)], ["vec_key", "vec", "bound"])
-
-    bounded = asked.join(kth, "vec_key", "left").select("vec_key", "vec", "kth").mapInArrow(bound, "vec_key long, vec binary, bound double")
-    others = search(bounded.mapInArrow(deal(space.queries, False), kind))
-    merged = near_home.select("query_id", "vec_id", "score").unionByName(others)
-    return _best(merged, k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias(id_col), "score")
+            d = np.where(np.isnan(s), np.inf, common.distance(s, norms))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(d)], ["vec_key", "query_hash", "copies", "vec", "bound"])
+
+    joined = asked.where(is_common).join(kth, ["vec_key", "query_hash"], "left").select("vec_key", "query_hash", "copies", "vec", "kth")
+    others = search(joined.mapInArrow(bound, kind).checkpoint(), elsewhere)
+    merged = _best(near_home.drop("rank").unionByName(others), k)
+    return merged.select(*out, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("query_copy"))
