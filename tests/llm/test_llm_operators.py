@@ -79,6 +79,17 @@ def test_redaction_keeps_rows_and_other_text(spark):
     assert out[len(texts) - 1].text == "a [SECRET] b"
 
 
+def test_redaction_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "redact_key", "redact_cuts", "cuts", "digest", "doc", "n", "a.b"]
+    rows = [(i, "password=abcdefgh1 b", *["k"] * 7) for i in range(300)] + [(500, None, *["k"] * 7), (None, "plain", *["k"] * 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, redact_key string, redact_cuts string, cuts string, digest string, doc string, n string, `a.b` string")
+    out = secret_scan.redact(docs)
+    assert out.columns == names
+    got = out.collect()
+    assert len(got) == 302 and all(list(r)[2:] == ["k"] * 7 for r in got)
+    assert sum(r.text == "[SECRET] b" for r in got) == 300
+
+
 def test_secret_scan_of_no_rows(spark):
     assert secret_scan.find_secrets(one_row(spark, ODD)).count() == 0
     assert secret_scan.redact(one_row(spark, ODD)).count() == 0
@@ -124,6 +135,11 @@ def test_rank_queue_finds_the_lowest_rank():
     assert order == sorted(set(pushed))
 
 
+def test_bpe_of_no_rows(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    assert bpe.decode(bpe.encode(one_row(spark, ODD), path, PATTERN), path, PATTERN).count() == 0
+
+
 # 3 chat windows
 
 
@@ -202,9 +218,59 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch):
     assert embed_dedup.near_duplicates(one_row(spark, "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_embedding_design_grows_slowly():
-    bits, bundles, _, least = embed_dedup.design(10**9, 0.95)
-    assert bits == 22 and bundles <= embed_dedup.MOST_BUNDLES and 20 <= least < embed_dedup.LINES
+def test_embedding_design_keeps_its_recall():
+    """Every design's bundles reach the promised chance to share a cell, whatever the threshold and spread."""
+    for n in (10**3, 10**5, 10**7, 10**9, 10**11):
+        for cosine in (0.5, 0.8, 0.9, 0.95, 0.99):
+            for spread in (1.0, 0.5, 0.05):
+                bits, bundles, _, least = embed_dedup.design(n, cosine, spread)
+                together = (1 - np.arccos(max(-1, 1 - (1 - cosine) / spread)) / np.pi) ** bits
+                assert 1 - (1 - together) ** bundles >= embed_dedup.RECALL - 1e-9
+                assert bundles <= embed_dedup.MOST_BUNDLES and 20 <= least < embed_dedup.LINES
+    assert embed_dedup.design(10**9, 0.95)[:2] == (22, 62)
+
+
+def test_collisions_equal_all_pairs():
+    rng = np.random.default_rng(2)
+    a, b = rng.standard_normal((70, 9)), rng.standard_normal((50, 9))
+    inside = (np.abs(a[:, None] - b[None]) <= 0.7).sum(axis=2)
+    for least in (0, 1, 4, 6):
+        i, j = embed_dedup.colliding(a, b, 0.7, least)
+        assert set(zip(i, j)) == set(zip(*np.nonzero(inside >= least)))
+
+
+def planted_pairs(rng, n, pairs, size, low, high, shift):
+    """n vectors, the last ``pairs`` of them at a cosine between low and high to one of the others."""
+    base = rng.standard_normal((n - pairs, size)) + shift
+    unit = base[:pairs] / np.linalg.norm(base[:pairs], axis=1, keepdims=True)
+    off = rng.standard_normal((pairs, size))
+    off -= np.einsum("ij,ij->i", off, unit)[:, None] * unit
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    c = rng.uniform(low, high, (pairs, 1))
+    return np.vstack([base, 3 * (c * unit + np.sqrt(1 - c * c) * off)])
+
+
+@pytest.mark.parametrize("cosine, shift", [(0.95, 0.0), (0.9, 0.0), (0.8, 0.0), (0.97, 0.7)])
+def test_embedding_recall_of_planted_pairs(spark, cosine, shift):
+    """12,000 vectors with 2,000 pairs within 0.01 of the threshold; also around a common mean."""
+    v = planted_pairs(np.random.default_rng(6), 12_000, 2_000, 64, cosine, cosine + 0.01, shift)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    wanted = np.concatenate([(u[i : i + 1000] @ u.T >= cosine).sum(axis=1) - 1 for i in range(0, len(u), 1000)])
+    assert wanted.sum() >= 2 * 1990
+    table = spark.createDataFrame([(i, r) for i, r in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = embed_dedup.near_duplicates(table, cosine).select("vec_id", "n_links").collect()
+    found = np.zeros(len(v), dtype=int)
+    found[[r.vec_id for r in got]] = [r.n_links for r in got]
+    assert (found <= wanted).all() and found.sum() >= 0.98 * wanted.sum()
+
+
+def test_embedding_links_of_extreme_norms_and_hot_copies(spark):
+    base = [[1.0, 2.0, 3.0], [1e200, 2e200, 3.01e200], [1e-200, 2e-200, 2.99e-200], [-1.0, 5.0, 0.0]]
+    rows = [(i, v, "x") for i, v in enumerate(base)] + [(10 + i, base[3], "x") for i in range(400)] + [(None, base[0], "x")]
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, class_key string")).collect()}
+    assert [got[i].n_links for i in range(3)] == [3, 3, 3] and {got[i].component_id for i in range(3)} == {0}
+    assert got[None].n_links == 3 and got[None].component_id == 0 and not got[None].kept
+    assert got[3].n_links == got[100].n_links == 400 and got[100].component_id == 3 and got[3].kept
 
 
 # 5 url filter
@@ -258,6 +324,19 @@ def test_fingerprints_and_components(spark):
     assert simhash.near_duplicates(one_row(spark, ODD)).count() == 0
 
 
+@pytest.mark.parametrize("keep", [simhash.keep_first, minhash.keep_first])
+def test_keep_first_with_clashing_columns_and_a_hot_group(spark, keep):
+    names = "keeper_id keeper_no root doc text_key least_id n node row_id".split()
+    texts = ["one two three four five six"] * 300 + ["other words are here for a second text"] * 2 + [None, ""]
+    rows = [(i if i % 7 else None, t, *["k"] * len(names)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = keep(docs, width=5)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert sorted((r.doc_id for r in got), key=str) == [1, 300, 302] and all(list(r)[2:] == ["k"] * len(names) for r in got)
+    assert keep(docs.limit(0)).count() == 0
+
+
 def test_hot_buckets_link_exactly(spark):
     rng = random.Random(3)
     values = {rng.getrandbits(64)}
@@ -355,6 +434,64 @@ def test_neighbours_recall_and_order(spark, monkeypatch):
     assert ann.nearest(one_row(spark, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_query_rows(spark, monkeypatch):
+    """Rows that share an id ask each for themselves; repeated rows are candidates each."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", 64)
+    v = np.random.default_rng(3).standard_normal((300, 8))
+    rows = [(i, r) for i, r in enumerate(v.tolist())] + [(0, v[0].tolist()), (0, v[7].tolist()), (5, v[5].tolist())]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, k=10).collect()
+    own = [r for r in got if r.query_id == 0]
+    lists = {}
+    for r in sorted(own, key=lambda r: r["rank"]):
+        lists.setdefault((r.query_hash, r.query_copy), []).append(r.vec_id)
+    assert sorted(len(x) for x in lists.values()) == [10, 10, 10] and sorted(c for _, c in lists) == [1, 1, 2]
+    ids = np.array([r[0] for r in rows])
+    for vector in (v[0], v[7]):
+        s = np.where(ids == 0, -np.inf, np.array([r[1] for r in rows]) @ vector)
+        assert ids[np.lexsort((ids, -s))[:10]].tolist() in list(lists.values())
+    assert len(got) == (15 + 2) * 10
+
+
+def test_neighbours_tie_to_the_smaller_id_wherever_they_lie(spark, monkeypatch):
+    """Exact copies of a vector tie in the last bit, in any shard, leaf and place."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", 200)
+    monkeypatch.setattr(ann, "LEAF_ROWS", 37)
+    rng = np.random.default_rng(5)
+    kinds = rng.standard_normal((23, 61)) * 1.37
+    which = rng.integers(0, 23, 1500)
+    rows = [(i, kinds[k].tolist()) for i, k in enumerate(which)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 100 == 0, k=30).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    same = 0
+    for q, found in by.items():
+        s = np.einsum("ij,j->i", kinds, kinds[which[q]])[which]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(len(s)), -s))[:30].tolist()
+        mine = [found[r] for r in range(1, 31)]
+        assert mine == sorted(mine, key=lambda f: (-f[1], f[0]))
+        same += [f[0] for f in mine] == want
+    assert same >= 0.9 * len(by)
+
+
+@pytest.mark.parametrize("scale", [1e200, 1e-200])
+def test_neighbours_of_extreme_norms_and_odd_lengths(spark, scale):
+    v = np.random.default_rng(9).standard_normal((120, 6))
+    rows = [(i, (scale * r).tolist()) for i, r in enumerate(v)] + [(1000 + 20 * i, [1.0, float(i)]) for i in range(3)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, k=5).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, 120, 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        assert by[q] == np.argsort(-s)[:5].tolist()
+    assert by[1000] == [1020, 1040] and by[1040] == [1020, 1000]
+    mixed = [(i, r.tolist()) for i, r in enumerate(v)] + [(500, [1e200] * 6)]
+    assert ann.nearest(spark.createDataFrame(mixed, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, k=5).where("rank = 1").count() >= 6
+
+
 def test_chi_square_quantile():
     draws = (np.random.default_rng(1).standard_normal((200_000, 8)) ** 2).sum(axis=1)
     assert np.mean(draws <= ann.chi_square_quantile(0.95, 8)) == pytest.approx(0.95, abs=0.003)
@@ -394,6 +531,10 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert all(0 <= r.lang_score <= 1 for r in got.values()) and len(got) == docs.count()
     assert langid.fit(docs.limit(0), F.lit(True)) is None
     assert langid.predict(docs.select("doc_id", "text"), None).where("lang_pred <> 'und'").count() == 0
+    assert langid.predict(docs, model).columns == ["doc_id", "text", "lang", "lang_pred", "lang_score"]
+    kept = langid.predict(docs, model, names=("l", "s"))
+    assert kept.columns == [*docs.columns, "l", "s"] and kept.where("lang_pred = 'k'").count() == docs.count()
+    assert langid.predict(docs.limit(0), model).count() == 0
 
 
 def test_toxicity_held_out_and_edges(spark):
@@ -406,6 +547,9 @@ def test_toxicity_held_out_and_edges(spark):
     held = [r for r in rows if fold(r[0], 5) == 0]
     assert np.mean([(got[i] >= 0.5) == x for i, _, _, x in held]) > 0.97
     assert 0 <= got[5000] == got[5001] < 0.5 and got[None] >= 0.5
+    assert toxicity.score(docs, model).columns == ["doc_id", "text", "toxic_score"]
+    assert toxicity.score(docs, model, name="s").where("toxic_score = 'k'").count() == docs.count()
+    assert toxicity.score(docs.limit(0), model).count() == 0
     blank = toxicity.fit(docs, labels.limit(0), trainable)
     assert all(r.toxic_score == pytest.approx(0.1) for r in toxicity.score(docs.select("doc_id", "text"), blank).collect())
 
