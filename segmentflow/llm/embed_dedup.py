@@ -185,9 +185,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     classes = rows.where("vec is not null").groupBy("class_key").agg(
         F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_key").alias("first_id")
     ).checkpoint()
-    n_classes, n_rows = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     centre, spread = centre_of(classes)
-    plan = bits, bundles, _, _ = design(n_classes, cosine, spread)
+    plan = bits, bundles, _, _ = design(classes.count(), cosine, spread)
 
     def cells(batches):
         for batch in batches:
@@ -228,10 +227,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     )
     links = found.groupBy("class_key").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("class_key").alias("src"), F.col("reaches").alias("dst")))
-    nodes = classes.select("class_key", "first_id", F.col("copies").alias("n"))
-    named = named_by_first(nodes, roots, "class_key", n_rows).join(links, "class_key", "left")
-    valid = spread_join(rows.where("vec is not null").select("vec_key", "class_key"), named, "class_key", n_rows)
-    linked = (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long")
+    named = named_by_first(classes.select("class_key", "first_id", "copies"), roots, "class_key").join(links, "class_key", "left")
+    valid = spread_join(rows.where("vec is not null").select("vec_key", "class_key"), named, "class_key")
+    linked = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
     alone = rows.where("vec is null").select("vec_key", F.lit(0).cast("long").alias("n_links"), F.col("vec_key").alias("component_id"))
     done = valid.select("vec_key", linked.alias("n_links"), F.coalesce("component_id", "vec_key").alias("component_id")).unionByName(alone)
     return done.select(

@@ -2,7 +2,7 @@
 
 Each round is two group-minimum joins; the edges shrink to one star per component.  Rounds are cut with
 ``checkpoint()`` in the shared checkpoint folder, so a lost executor costs one round at most.  A star's
-centre may own most edges, so its rows never meet in one task: see ``spread_join``.
+centre may own most edges, so its rows must not meet in one task: see ``spread_join``.
 """
 
 from __future__ import annotations
@@ -13,32 +13,26 @@ from pyspark.sql import functions as F
 from segmentflow.llm.columns import column
 from segmentflow.session import ensure_checkpoint_dir
 
-#: A key is hot from this many rows; and from so large a share of all rows that at most MOST_HOT keys can be.
-LEAST_HOT, MOST_HOT = 128, 10_000
 
+def spread_join(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of values, which holds one row per key; a key may hold most rows.
 
-def spread_join(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
-    """rows with the columns of values, which holds one row per key and the number ``n`` of the key's rows.
-
-    Hot keys are broadcast to their rows, wherever those are; as counts sum up to total, there are at most
-    MOST_HOT of them.  All other keys meet in an ordinary join.
+    values are grouped results.  They are written first, as adaptive execution splits a crowded key's rows
+    over tasks only where both sides of a join are plain exchanges, without an aggregation in between.
     """
-    least = max(LEAST_HOT, total // MOST_HOT)
-    hot = F.broadcast(values.where(F.col("n") > least))
-    rest = rows.join(hot, key, "left_anti").join(values.where(F.col("n") <= least), key)
-    return rows.join(hot, key).unionByName(rest)
+    return rows.join(values.checkpoint(), key)
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return spread_join(both.where("v > u"), least, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return spread_join(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    moved = spread_join(down, least, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
+    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -54,8 +48,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     now = now.checkpoint()
     seen = _signature(now)
     while seen[0]:
-        stars = _large_star(now, seen[0]).checkpoint()
-        now = _small_star(stars, stars.count()).checkpoint()
+        now = _small_star(_large_star(now).checkpoint()).checkpoint()
         before, seen = seen, _signature(now)
         if before == seen:
             break
@@ -65,18 +58,14 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     )
 
 
-def named_by_first(nodes: DataFrame, roots: DataFrame, node: str, total: int) -> DataFrame:
-    """(node, component_id, n) for nodes (node, first_id, n): the least first_id of the node's component.
+def named_by_first(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """nodes (node, first_id, ...) with component_id, the least first_id of the node's component.
 
-    Rows of nodes sum up to total by n; a component without any id has a null name.
+    A component without any id has a null name.
     """
-    rooted = (
-        nodes.join(roots.withColumnRenamed("node", node), node, "left")
-        .withColumn("root", F.coalesce("root", node))
-        .select(node, "root", "first_id", F.col("n").alias("copies"))
-    )
-    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
-    return spread_join(rooted, firsts, "root", total).select(node, "component_id", F.col("copies").alias("n"))
+    rooted = nodes.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
+    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return spread_join(rooted, firsts, "root").drop("root", "first_id")
 
 
 def first_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -85,12 +74,11 @@ def first_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) ->
     Rows without an id come last.  Only rows that tie by id are grouped with their texts.  Columns of docs
     travel as one struct, so their names cannot clash with those used here.
     """
-    total = found.count()
-    least = found.groupBy("root").agg(F.min("node_id").alias("least_id"), F.count("*").alias("n"))
-    tied = spread_join(found, least, "root", total).where(F.col("node_id").eqNullSafe(F.col("least_id")))
+    least = found.groupBy("root").agg(F.min("node_id").alias("least_id"))
+    tied = spread_join(found, least, "root").where(F.col("node_id").eqNullSafe(F.col("least_id")))
     keepers = tied.groupBy("root", "least_id", "text_key").agg(F.count("*").alias("rows"))
-    alone = keepers.groupBy("root").agg(F.sum("rows").alias("n_root"), F.count("*").alias("n"))
-    keepers = spread_join(keepers.drop("rows"), alone, "root", total).drop("n").checkpoint()
+    alone = keepers.groupBy("root").agg(F.sum("rows").alias("n_root"))
+    keepers = spread_join(keepers.drop("rows"), alone, "root").checkpoint()
     text = column(text_col)
     keyed = docs.select(
         F.struct(*map(column, docs.columns)).alias("doc"), column(id_col).alias("least_id"),

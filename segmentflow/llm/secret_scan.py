@@ -175,8 +175,8 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", reac
     """The documents with every reported span replaced; all other texts and columns stay.
 
     Texts without any part skip the join.  The rest meet their spans by the text's digest, so copies of
-    a text share one small row of spans; digests with very many copies are broadcast to them.  Columns
-    travel as one struct, so their names cannot clash with those used here.
+    a text share one small row of spans; a text of very many copies is split over tasks.  Columns travel
+    as one struct, so their names cannot clash with those used here.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     some = F.coalesce(may_hold_secrets(column(text_col)), F.lit(False))
@@ -184,10 +184,8 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", reac
     suspects = docs.where(some).select(
         F.struct(*map(column, docs.columns)).alias("doc"), column(text_col).alias("text"), F.sha2(column(text_col), 256).alias("digest")
     )
-    spans = scan(suspects, {"digest": F.col("digest")}, "text", reach).groupBy("digest").agg(F.first("found").alias("found"), F.count("*").alias("n"))
-    spans = spans.select("digest", "n", _merged(F.col("found")).alias("cuts")).checkpoint()
-    total = spans.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    keyed = spread_join(suspects, spans, "digest", total)
+    spans = scan(suspects, {"digest": F.col("digest")}, "text", reach).groupBy("digest").agg(F.first("found").alias("found"))
+    keyed = spread_join(suspects, spans.select("digest", _merged(F.col("found")).alias("cuts")), "digest")
     text = F.col("text")
 
     def until(i: Column) -> Column:

@@ -155,10 +155,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fingerprint, component_id) per row; component_id is the smallest id reachable by links."""
     ensure_checkpoint_dir(docs.sparkSession)
     hashed = fingerprints(docs, id_col, text_col, width).checkpoint()
-    nodes = hashed.groupBy("fingerprint").agg(F.min("node_id").alias("first_id"), F.count("*").alias("n")).checkpoint()
-    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    named = named_by_first(nodes, components(links(nodes.select("fingerprint"))), "fingerprint", total)
-    return spread_join(hashed, named, "fingerprint", total).select(F.col("node_id").alias(id_col), "fingerprint", "component_id")
+    nodes = hashed.groupBy("fingerprint").agg(F.min("node_id").alias("first_id"))
+    named = named_by_first(nodes, components(links(nodes.select("fingerprint"))), "fingerprint")
+    return spread_join(hashed, named, "fingerprint").select(F.col("node_id").alias(id_col), "fingerprint", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -170,9 +169,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = column(text_col).cast("string")
     keyed = docs.select(F.struct(column(id_col).alias("node_id"), F.xxhash64(text).alias("text_key")).alias("row_id"), text.alias("text"))
     hashed = fingerprints(keyed, "row_id", "text", width).checkpoint()
-    nodes = hashed.groupBy("fingerprint").agg(F.count("*").alias("n")).checkpoint()
-    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    nodes = hashed.select("fingerprint").distinct()
     roots = components(links(nodes.select("fingerprint"))).withColumnRenamed("node", "fingerprint")
     rooted = nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    found = spread_join(hashed, rooted, "fingerprint", total).select("node_id.*", "root")
+    found = spread_join(hashed, rooted, "fingerprint").select("node_id.*", "root")
     return first_rows(docs, found, id_col, text_col)
