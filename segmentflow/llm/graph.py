@@ -37,7 +37,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    """Number and summed hashes of the edges, and whether any node has edges to several smaller ones."""
+    per_node = edges.groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash"))
+    return tuple(per_node.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("hash"), F.max("n") > 1).first())
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -48,10 +50,12 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     now = now.checkpoint()
     seen = _signature(now)
     while seen[0]:
-        now = _small_star(_large_star(now).checkpoint()).checkpoint()
-        before, seen = seen, _signature(now)
-        if before == seen:
+        stars = _large_star(now).checkpoint()
+        before, seen = seen, _signature(stars)
+        if before == seen and not seen[2]:  # nothing moved, and each node has one edge: the small stars are these
             break
+        now = _small_star(stars).checkpoint()
+        seen = _signature(now)
     return (
         now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         .unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

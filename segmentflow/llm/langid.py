@@ -107,7 +107,8 @@ class Model:
         self.log_profiles = np.log((profiles + 1e-3 / SLOTS) / (1 + 1e-3))
         self.usual = (profiles * self.log_profiles).sum(axis=1)
         self.spread = np.sqrt(np.maximum((profiles * self.log_profiles**2).sum(axis=1) - self.usual**2, 1e-6))
-        self.bound = FOREIGN_SLACK * max(float(np.quantile(self.strangeness(x, labels), 1 - FOREIGN_SHARE)), 1.0)
+        blocks = [self.strangeness(x[a : a + 256], labels[a : a + 256]) for a in range(0, len(x), 256)]
+        self.bound = FOREIGN_SLACK * max(float(np.quantile(np.concatenate(blocks), 1 - FOREIGN_SHARE)), 1.0)
 
     def strangeness(self, x: np.ndarray, labels: np.ndarray) -> np.ndarray:
         """How far the mean log-likelihood of the grams lies below the usual one, for the length of the text."""
@@ -167,15 +168,15 @@ def fit(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [(g, t) for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t and has_letter(t)]
-            vectors = pa.array([features(t).tobytes() for _, t in kept], pa.binary())
+            vectors = pa.array([features(t) for _, t in kept], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in kept], pa.string()), vectors], ["lang", "vector"])
 
-    got = sample.mapInArrow(run, "lang string, vector binary").toArrow()
+    got = sample.mapInArrow(run, "lang string, vector array<float>").toArrow()
     if not got.num_rows:
         return None
     names = got.column("lang").to_pylist()
     langs = sorted(set(names))
-    x = np.frombuffer(b"".join(got.column("vector").to_pylist()), dtype=np.float32).reshape(-1, SLOTS)
+    x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in got.column("vector").chunks]).reshape(-1, SLOTS)
     return Model(langs, x, np.array([langs.index(n) for n in names]))
 
 

@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,16 +122,16 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -50, 50))))
 
 
-def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, width: int, prior: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias that lower the non-negative risk with logistic loss; rows list present features."""
-    lengths = np.array([len(r) for r in rows])
-    column = np.concatenate(rows).astype(np.int64) if lengths.sum() else np.zeros(0, dtype=np.int64)
-    row = np.repeat(np.arange(len(rows)), lengths)
+def fit_nnpu(
+    row: np.ndarray, column: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, width: int, prior: float, steps: int = 400
+) -> tuple[np.ndarray, float]:
+    """Weights and bias that lower the non-negative risk with logistic loss; (row, column) are the present features."""
+    n = len(positive)
     w, b = np.zeros(width), np.log(prior / (1 - prior))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     p_share, u_share = positive / max(positive.sum(), 1), unlabelled / max(unlabelled.sum(), 1)
     for t in range(1, steps + 1):
-        z = b + np.bincount(row, weights=w[column], minlength=len(rows))
+        z = b + np.bincount(row, weights=w[column], minlength=n)
         chance = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
         as_negative = np.logaddexp(0, z)
         below = u_share @ as_negative - prior * (p_share @ as_negative)
@@ -145,7 +146,7 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarra
         move = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     # The mean chance over unlabelled texts is the prior; a bias that left it too low is raised to it.
-    z = b + np.bincount(row, weights=w[column], minlength=len(rows))
+    z = b + np.bincount(row, weights=w[column], minlength=n)
     low, high = 0.0, 20.0
     for _ in range(50):
         raised = (low + high) / 2
@@ -188,20 +189,27 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [features(t or "").astype("<u4").tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.binary())], ["positive", "unlabelled", "slots"])
+            own = [features(t or "").astype(np.int32) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.list_(pa.int32()))], ["positive", "unlabelled", "slots"])
 
-    got = sample.mapInArrow(run, "positive boolean, unlabelled boolean, slots binary").toArrow()
-    rows = [np.frombuffer(s, dtype="<u4") for s in got.column("slots").to_pylist()]
+    got = sample.mapInArrow(run, "positive boolean, unlabelled boolean, slots array<int>").toArrow()
     positive = np.array(got.column("positive").to_pylist(), dtype=bool)
     unlabelled = np.array(got.column("unlabelled").to_pylist(), dtype=bool)
     if not positive.any() or not unlabelled.any():
         return untaught
 
+    def present() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row numbers and slots, one chunk of rows at a time."""
+        before = 0
+        for chunk in got.column("slots").chunks:
+            lengths = pc.list_value_length(chunk).to_numpy(zero_copy_only=False)
+            yield np.repeat(np.arange(before, before + len(chunk)), lengths), chunk.flatten().to_numpy(zero_copy_only=False)
+            before += len(chunk)
+
     def counts(which: np.ndarray) -> np.ndarray:
         total = np.zeros(1 << SLOTS_BITS)
-        for i in np.flatnonzero(which):
-            total[rows[i]] += 1
+        for row, slot in present():
+            total += np.bincount(slot[which[row]], minlength=1 << SLOTS_BITS)
         return total
 
     in_p, in_u = counts(positive), counts(unlabelled)
@@ -215,8 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
         return untaught
     place = np.full(1 << SLOTS_BITS, -1)
     place[slots] = np.arange(len(slots))
-    kept = [p[p >= 0] for p in (place[r] for r in rows)]
-    weights, bias = fit_nnpu(kept, positive.astype(float), unlabelled.astype(float), len(slots), prior)
+    kept = [(row[place[slot] >= 0], place[slot[place[slot] >= 0]]) for row, slot in present()]
+    row, column_ = (np.concatenate(parts) for parts in zip(*kept))
+    weights, bias = fit_nnpu(row, column_, positive.astype(float), unlabelled.astype(float), len(slots), prior)
     return Model(slots, weights, bias)
 
 
