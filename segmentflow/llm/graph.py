@@ -37,9 +37,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _signature(edges: DataFrame) -> tuple:
-    """Number and summed hashes of the edges, and whether any node has edges to several smaller ones."""
-    per_node = edges.groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash"))
-    return tuple(per_node.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("hash"), F.max("n") > 1).first())
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def _single(edges: DataFrame) -> bool:
+    """Whether each node has an edge to one smaller node only."""
+    return not edges.groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n") > 1).first()[0]
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -52,7 +55,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     while seen[0]:
         stars = _large_star(now).checkpoint()
         before, seen = seen, _signature(stars)
-        if before == seen and not seen[2]:  # nothing moved, and each node has one edge: the small stars are these
+        if before == seen and _single(stars):  # nothing moved, and small stars would not change them either
             break
         now = _small_star(stars).checkpoint()
         seen = _signature(now)
