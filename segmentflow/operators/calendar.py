@@ -73,6 +73,18 @@ def in_windows(ledger: DataFrame, cycles: DataFrame) -> DataFrame:
     ).drop("window_start", "snapshot_date")
 
 
+def with_first_cycle(rows: DataFrame, cycles: DataFrame, time_col: str) -> DataFrame:
+    """Each row with ``first_cycle``, the first cycle whose cutoff lies after it; later rows go."""
+    c = F.broadcast(cycles.select(F.col("cycle_number").alias("first_cycle"), "period_start", "snapshot_date"))
+    own = (F.col(time_col) < F.col("snapshot_date")) & ((F.col("first_cycle") == 0) | (F.col(time_col) >= F.col("period_start")))
+    return rows.join(c, own).drop("period_start", "snapshot_date")
+
+
+def cycles_from(first, last: int):
+    """The cycle numbers from a column to the last one; no cycle where the column lies beyond it."""
+    return F.when(first <= last, F.sequence(first, F.lit(last))).otherwise(F.array().cast("array<int>"))
+
+
 def cycle_number_of(cycle_id):
     """The number in a cycle's name, for ordering by number rather than text."""
     return F.regexp_extract(cycle_id, "([0-9]+)$", 1).try_cast("int")

@@ -196,17 +196,18 @@ def starts(points: DataFrame, centres: np.ndarray, sizes: list[int], masses: np.
             F.count("*").alias("n"), F.sum(F.array_min("d2")).alias("loss"),
             *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs],
         )
-        for row in stats.orderBy("cluster_index").collect():  # K rows
-            c, n = row["cluster_index"], row["n"]
-            if n < 2:
-                continue
-            mean = np.array([row[f"s{i}"] for i in range(size)]) / n
-            cov = np.zeros((size, size))
-            for i, j in pairs:
-                cov[i, j] = cov[j, i] = (row[f"p{i}_{j}"] - n * mean[i] * mean[j]) / (n - 1)
-            axis = np.linalg.eigh(cov)[1][:, -1]
+        found = {row["cluster_index"]: row for row in stats.collect()}  # K rows
+        for c in range(k):
+            row, n = found.get(c), found[c]["n"] if c in found else 0
+            axis, loss = np.eye(size)[0], 0.0  # a centre with fewer than two members splits along the first axis
+            if n >= 2:
+                mean = np.array([row[f"s{i}"] for i in range(size)]) / n
+                cov = np.zeros((size, size))
+                for i, j in pairs:
+                    cov[i, j] = cov[j, i] = (row[f"p{i}_{j}"] - n * mean[i] * mean[j]) / (n - 1)
+                axis, loss = np.linalg.eigh(cov)[1][:, -1], max(row["loss"], 0.0) / n
             axis = axis * (np.sign(axis[np.abs(axis).argmax()]) or 1.0)
-            step = max(math.sqrt(max(row["loss"], 0.0) / n) / 2, 1e-3)
+            step = max(math.sqrt(loss) / 2, 1e-3)
             split = np.vstack([np.delete(centres, c, axis=0), centres[c] + step * axis, centres[c] - step * axis])
             carried = np.append(np.delete(masses, c), [masses[c] / 2, masses[c] / 2])
             out.append((f"split {c}", split, carried))

@@ -13,10 +13,15 @@ def fuzzy_overlap(paired: DataFrame, digits: int = 8) -> DataFrame:
     Earlier memberships are compared as stored, rounded.  Pairs of cells are summed in the map-side
     aggregation, so K times K' rows per cycle and task are shuffled.
     """
-    earlier = paired.select("cycle_number", "u", F.posexplode("prev_u").alias("previous_index", "raw"))
-    both = earlier.select(
-        "cycle_number", "previous_index", F.round("raw", digits).alias("p"), F.posexplode("u").alias("current_index", "q")
+    cells = F.flatten(
+        F.transform(
+            "prev_u",
+            lambda p, i: F.transform(
+                "u", lambda q, j: F.struct(i.alias("previous_index"), j.alias("current_index"), F.round(p, digits).alias("p"), q.alias("q"))
+            ),
+        )
     )
+    both = paired.select("cycle_number", F.explode(cells).alias("c")).select("cycle_number", "c.*")
     return (
         both.groupBy("cycle_number", "previous_index", "current_index")
         .agg(F.sum(F.least("p", "q")).alias("low"), F.sum(F.greatest("p", "q")).alias("high"))
@@ -106,7 +111,13 @@ def match_identities(
                 continue
             primary = matched.get(b) == a
             split, merged = out_degree[a] > 1, in_degree[b] > 1
-            event = "continued" if primary else "split-merge" if split and merged else "split" if split else "merge" if merged else "secondary overlap"
+            event = (
+                "continued" if primary
+                else "split/merge contribution" if split and merged
+                else "split contribution" if split
+                else "merge contribution" if merged
+                else "secondary overlap"
+            )
             rows.append({"previous_id": old_ids[a], "current_id": ids[b], "distance": float(distance[a, b]), "overlap": float(overlap[a, b]), "cost": float(cost[a, b]), "event": event, "is_primary": int(primary)})
         if a not in kept:
             rows.append({"previous_id": old_ids[a], "current_id": None, "distance": None, "overlap": None, "cost": None, "event": "retired", "is_primary": 0})

@@ -1,7 +1,8 @@
 """Customer master, as-of country and the customer-by-cycle panel, all cycles in one job.
 
-Rows are pre-aggregated by (customer, day, invoice, product) before the windows multiply them, and every
-later step is keyed by customer, so the ledger is shuffled once.
+Rows are pre-aggregated by (customer, day, invoice, product) before the windows multiply them.  What
+concerns all history before a cutoff is summed by the first cycle that sees it, and one small array per
+customer then gives every cycle's value, so no row of history meets all later cycles.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmentflow.operators.calendar import in_periods, in_windows
+from segmentflow.operators.calendar import cycles_from, with_first_cycle
 
 
 def customer_master(ledger: DataFrame) -> DataFrame:
@@ -31,25 +32,19 @@ def country_asof(ledger: DataFrame, cycles: DataFrame) -> DataFrame:
     running sums of first sights instead of one pass over all history per cycle.
     """
     first_seen = ledger.groupBy("customer_id", "country", "purchase_invoice_no").agg(F.min("invoice_date").alias("seen"))
-    per_day = first_seen.groupBy("customer_id", "country", "seen").agg(F.count("*").alias("invoices"))
-    c = F.broadcast(cycles.select("cycle_number", "snapshot_date"))
-    upto = per_day.join(c, F.col("seen") < F.col("snapshot_date")).groupBy("cycle_number", "customer_id", "country").agg(
-        F.sum("invoices").alias("n")
-    )
-    return upto.groupBy("cycle_number", "customer_id").agg(
-        F.min_by("country", F.struct(-F.col("n"), "country")).alias("country"),
-        F.max("n").alias("country_invoices"),
-    )
+    counted = with_first_cycle(first_seen, cycles, "seen").groupBy("customer_id", "country", "first_cycle").agg(F.count("*").alias("n"))
+    last = cycles.agg(F.max("cycle_number")).first()[0]
+    # One entry per cycle at most.
+    pairs = counted.groupBy("customer_id", "country").agg(F.min("first_cycle").alias("start"), F.collect_list(F.struct("first_cycle", "n")).alias("sights"))
 
+    def upto(c: Column) -> Column:
+        return F.aggregate("sights", F.lit(0).cast("long"), lambda s, x: s + F.when(x["first_cycle"] <= c, x["n"]).otherwise(0))
 
-def _activity(rows: DataFrame, names: tuple[str, str, str, str], share: float) -> DataFrame:
-    """Distinct invoices, value, distinct products and quantity by cycle and customer, times share."""
-    invoices, value, products, quantity = names
-    return rows.groupBy("cycle_number", "customer_id").agg(
-        (F.count_distinct("purchase_invoice_no") * share).alias(invoices),
-        (F.sum("total_price") * share).alias(value),
-        (F.count_distinct("description") * share).alias(products),
-        (F.sum("quantity") * share).alias(quantity),
+    sums = F.transform(cycles_from(F.col("start"), last), lambda c: F.struct(c.alias("cycle_number"), upto(c).alias("n")))
+    running = pairs.select("customer_id", "country", F.explode(sums).alias("s")).select("s.cycle_number", "customer_id", "country", "s.n")
+    return running.groupBy("cycle_number", "customer_id").agg(
+        F.min_by("country", F.struct(-F.col("n"), "country")).alias("country"),
+        F.max("n").alias("country_invoices"),
     )
 
 
@@ -71,16 +66,36 @@ def panel(ledger: DataFrame, cycles: DataFrame, months: int = 3) -> DataFrame:
     period; recency counts days between midnights and has no upper bound; absent activity is zero.
     """
     rows = compact(ledger)
-    rolling = _activity(in_windows(rows, cycles), ROLLING, 1.0 / months)
-    current = _activity(in_periods(rows, cycles), CURRENT, 1.0)
-    days = rows.groupBy("customer_id", "invoice_date").agg(F.lit(1).alias("one"))
-    c = F.broadcast(cycles)
-    known = days.join(c, F.col("invoice_date") < F.col("snapshot_date")).groupBy("cycle_number", "customer_id").agg(
-        F.min("invoice_date").alias("first_purchase"), F.max("invoice_date").alias("latest_purchase")
+    c = F.broadcast(cycles.select("cycle_number", "period_start", "period_end", "window_start", "snapshot_date"))
+    at = F.col("invoice_date")
+    rolls = (at >= F.col("window_start")) & (at < F.col("snapshot_date"))
+    counts = (at >= F.col("period_start")) & (at < F.col("period_end"))
+    placed = rows.join(c, rolls | counts).select(
+        "cycle_number", "customer_id", "purchase_invoice_no", "description", "total_price", "quantity", rolls.alias("rolls"), counts.alias("counts")
+    )
+
+    def measures(names: tuple[str, ...], flag: str, share: float) -> list[Column]:
+        distinct = [F.count_distinct(F.when(F.col(flag), F.col(x))) for x in ("purchase_invoice_no", "description")]
+        sums = [F.coalesce(F.sum(F.when(F.col(flag), F.col(x))), F.lit(0.0)) for x in ("total_price", "quantity")]
+        values = (distinct[0], sums[0], distinct[1], sums[1])
+        return [(v * F.lit(share)).alias(n) for v, n in zip(values, names)]
+
+    active = placed.groupBy("cycle_number", "customer_id").agg(*measures(ROLLING, "rolls", 1.0 / months), *measures(CURRENT, "counts", 1.0))
+    days = with_first_cycle(rows.select("customer_id", "invoice_date"), cycles, "invoice_date")
+    seen = days.groupBy("customer_id", "first_cycle").agg(F.min("invoice_date").alias("first"), F.max("invoice_date").alias("latest"))
+    last = cycles.agg(F.max("cycle_number")).first()[0]
+    # One entry per cycle at most.
+    history = seen.groupBy("customer_id").agg(
+        F.min("first_cycle").alias("start"), F.min("first").alias("first_purchase"), F.collect_list(F.struct("first_cycle", "latest")).alias("sights")
     )
+
+    def latest(n: Column) -> Column:
+        return F.array_max(F.transform(F.filter("sights", lambda x: x["first_cycle"] <= n), lambda x: x["latest"]))
+
+    values = F.transform(cycles_from(F.col("start"), last), lambda n: F.struct(n.alias("cycle_number"), latest(n).alias("latest_purchase")))
+    known = history.select("customer_id", "first_purchase", F.explode(values).alias("v")).select("v.*", "customer_id", "first_purchase")
     joined = (
-        known.join(rolling, ["cycle_number", "customer_id"], "left")
-        .join(current, ["cycle_number", "customer_id"], "left")
+        known.join(active, ["cycle_number", "customer_id"], "left")
         .na.fill(0.0, [*ROLLING, *CURRENT])
         .join(c, "cycle_number")
     )
@@ -119,17 +134,42 @@ def _derived() -> list[Column]:
     ]
 
 
+RANGES = 200
+
+
+def running_counts(counts: DataFrame, keys: list[str], value: str, ranges: int = RANGES) -> DataFrame:
+    """Distinct values with their ``ties`` become values with ``below`` and ``total``, the rows below them and in all.
+
+    A group's values are cut into ranges at approximate quantiles; each range counts its own, and the few
+    sums per range give the offsets, so no task sorts a whole group.
+    """
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, shares, 10 * ranges).alias("cuts"))
+    # One row per group, such as a cycle.
+    placed = counts.join(F.broadcast(cuts), keys).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    sums = placed.groupBy(*keys, "part").agg(F.sum("ties").alias("rows"))
+    over = Window.partitionBy(*keys).orderBy("part")  # at most ``ranges`` rows
+    offsets = sums.select(
+        *keys, "part", F.coalesce(F.sum("rows").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
+        F.sum("rows").over(Window.partitionBy(*keys)).alias("total"),
+    )
+    inside = Window.partitionBy(*keys, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        placed.withColumn("own", F.coalesce(F.sum("ties").over(inside), F.lit(0)))
+        .join(F.broadcast(offsets), [*keys, "part"])
+        .select(*keys, value, "ties", (F.col("own") + F.col("offset")).alias("below"), "total")
+    )
+
+
 def rank_share(df: DataFrame, value: str, group: str = "cycle_number", out: str = "rank_share") -> DataFrame:
     """Average-tie percentile rank of a value within its group.
 
-    Equal values are counted first; the running count then orders distinct values only, and one join
-    brings the shares back, so a whole group never has to be sorted row by row.
+    Equal values are counted first; running counts over ranges of distinct values follow, and one join
+    brings the shares back, so a whole group is never sorted in one task.
     """
     counts = df.groupBy(group, value).agg(F.count("*").alias("ties"))
-    order = Window.partitionBy(group).orderBy(value)
-    below = F.coalesce(F.sum("ties").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("ties").over(Window.partitionBy(group))
-    shares = counts.select(group, value, ((below + (F.col("ties") + 1) / 2) / total).alias(out))
+    ranked = running_counts(counts, [group], value)
+    shares = ranked.select(group, value, ((F.col("below") + (F.col("ties") + 1) / 2) / F.col("total")).alias(out))
     return df.join(shares, [group, value])
 
 

@@ -225,7 +225,7 @@ def principal_components(spark, sf_dir):
        round(u1, 6) AS u1, round(u2, 6) AS u2, round(u3, 6) AS u3, round(top_membership, 6) AS top_membership FROM state""",
 )
 def memberships(spark, sf_dir):
-    return st.assigned(st.rfm(spark, sf_dir)).select(
+    return st.segments(spark, sf_dir).select(
         "cycle_number", "customer_id", "cluster_index", "stable_cluster_id", "segment_name",
         *[r(F.get("u", F.lit(k)), 6, f"u{k}") for k in range(4)], r("top_membership", 6),
     )
@@ -307,7 +307,7 @@ def migration_attribution(spark, sf_dir):
 )
 def carry_over_mass(spark, sf_dir):
     """Membership mass left behind by customers absent from the next cycle; every seventh row is absent by rule."""
-    rows = st.assigned(st.rfm(spark, sf_dir)).where(F.col("customer_id") % 7 != F.col("cycle_number") % 7)
+    rows = st.segments(spark, sf_dir).where(F.col("customer_id") % 7 != F.col("cycle_number") % 7)
     return behaviour.vanished(rows).groupBy("cycle_number", "stable_cluster_id").agg(
         F.count("*").alias("customers"), r(F.sum(F.array_max("u")), 4, "mass")
     )
@@ -325,7 +325,7 @@ def carry_over_mass(spark, sf_dir):
     FROM long GROUP BY cycle_number, k HAVING sum(u * u) > 0""",
 )
 def centre_profiles(spark, sf_dir):
-    rows = st.assigned(st.rfm(spark, sf_dir))
+    rows = st.segments(spark, sf_dir)
     long = rows.select(
         "cycle_number", "cluster_index", "recency", "frequency", "monetary", F.posexplode(F.arrays_zip("u", "d2")).alias("k", "c")
     ).select("*", F.col("c.u").alias("m"), F.col("c.d2").alias("d"))
@@ -361,7 +361,7 @@ def fuzzy_objective(spark, sf_dir):
     least = min(sum((x - y) ** 2 for x, y in zip(a, b)) for i, a in enumerate(st.CENTRES) for b in st.CENTRES[:i])
     j = F.aggregate(F.zip_with("u", "d2", lambda u, d: u * u * d), F.lit(0.0), lambda s, x: s + x)
     even = F.array_max(F.transform("u", lambda u: F.abs(u - 0.25))) <= 0.05
-    return st.assigned(st.rfm(spark, sf_dir)).groupBy("cycle_number").agg(
+    return st.segments(spark, sf_dir).groupBy("cycle_number").agg(
         F.count("*").alias("n"),
         r(F.sum(j), 3, "objective"),
         r(F.sum(j) / (F.count("*") * F.lit(round(least, 9))), 5, "xie_beni"),
@@ -380,7 +380,7 @@ def fuzzy_objective(spark, sf_dir):
 )
 def identity_overlap(spark, sf_dir):
     """Fuzzy Jaccard of each earlier with each later cluster over shared customers."""
-    paired = behaviour.with_previous(st.assigned(st.rfm(spark, sf_dir))).where("prev_u is not null")
+    paired = behaviour.with_previous(st.segments(spark, sf_dir)).where("prev_u is not null")
     return lineage.fuzzy_overlap(paired).select("cycle_number", "previous_index", "current_index", r("fuzzy_jaccard", 5))
 
 
@@ -423,7 +423,7 @@ def segment_summary(spark, sf_dir):
        count(DISTINCT customer_id) AS customers, count(DISTINCT invoice_no) AS orders, round(avg(unit_price), 6) AS average_price FROM labelled GROUP BY ALL""",
 )
 def product_summary(spark, sf_dir):
-    rows = summaries.labelled_rows(st.ledger(spark, sf_dir), st.cycles(spark), st.assigned(st.rfm(spark, sf_dir)))
+    rows = summaries.labelled_rows(st.ledger(spark, sf_dir), st.cycles(spark), st.segments(spark, sf_dir))
     return summaries.product_summary(rows).select(
         "cycle_number", "stable_cluster_id", "segment_name", "description", r("quantity"), r("revenue", 2), "customers", "orders", r("average_price", 6)
     )
@@ -437,7 +437,7 @@ def product_summary(spark, sf_dir):
     FROM t QUALIFY place <= 5""",
 )
 def top_products_by_segment(spark, sf_dir):
-    rows = summaries.labelled_rows(st.ledger(spark, sf_dir), st.cycles(spark), st.assigned(st.rfm(spark, sf_dir)))
+    rows = summaries.labelled_rows(st.ledger(spark, sf_dir), st.cycles(spark), st.segments(spark, sf_dir))
     totals = rows.groupBy("segment_name", "description").agg(r(F.sum("total_price"), 2, "revenue"))
     order = Window.partitionBy("segment_name").orderBy(F.desc("revenue"), "description")
     return totals.withColumn("place", F.row_number().over(order)).where("place <= 5")
@@ -471,7 +471,7 @@ def risk_by_segment(spark, sf_dir):
 )
 def value_and_confidence_bands(spark, sf_dir):
     return (
-        st.assigned(st.rfm(spark, sf_dir))
+        st.segments(spark, sf_dir)
         .groupBy(
             "cycle_number",
             profiles.value_band(F.col("current_revenue")).alias("value_band"),
@@ -606,7 +606,7 @@ def market_behaviour_matrix(spark, sf_dir):
     """Customers by market and behaviour; the markets here are stated by the country's name."""
     asof = st.asof(spark, sf_dir)
     grouped = asof.select("cycle_number", "country").distinct().withColumn("market", F.when(F.col("country") < "I", "Early").otherwise("Late"))
-    classes = markets.cross_classes(st.assigned(st.rfm(spark, sf_dir)), asof, grouped)
+    classes = markets.cross_classes(st.segments(spark, sf_dir), asof, grouped)
     return classes.groupBy("cycle_number", "market", "combined_label").agg(F.count("*").alias("customers"))
 
 
@@ -657,7 +657,7 @@ def dynamic_clusters(spark, sf_dir):
     SELECT cycle_number, idx::INTEGER AS cluster_index, count(*) AS customers, round(avg(CASE WHEN n = 1 THEN 0 ELSE (o - i) / nullif(greatest(o, i), 0) END), 5) AS mean_silhouette FROM ab GROUP BY ALL""",
 )
 def cluster_scores(spark, sf_dir):
-    rows = st.assigned(st.rfm(spark, sf_dir)).select("cycle_number", "customer_id", "cluster_index", "point")
+    rows = st.segments(spark, sf_dir).select("cycle_number", "customer_id", "cluster_index", "point")
     scored = validity.squared_silhouette(rows, ["cycle_number"])
     return scored.groupBy("cycle_number", "cluster_index").agg(F.count("*").alias("customers"), r(F.avg("silhouette"), 5, "mean_silhouette"))
 
@@ -670,7 +670,7 @@ def cluster_scores(spark, sf_dir):
     SELECT cycle_number, cohort, count(*) AS customers, count(DISTINCT idx) AS occupied, round(avg(top_membership), 6) AS mean_membership FROM c GROUP BY ALL""",
 )
 def cohort_quality(spark, sf_dir):
-    rows = st.assigned(st.rfm(spark, sf_dir)).withColumn("cohort", F.explode(validity.cohorts()))
+    rows = st.segments(spark, sf_dir).withColumn("cohort", F.explode(validity.cohorts()))
     return rows.groupBy("cycle_number", "cohort").agg(
         F.count("*").alias("customers"), F.count_distinct("cluster_index").alias("occupied"), r(F.avg("top_membership"), 6, "mean_membership")
     )
@@ -702,7 +702,7 @@ def dashboard_overview(spark, sf_dir):
     FROM state QUALIFY place <= 12""",
 )
 def top_customers(spark, sf_dir):
-    rows = st.assigned(st.rfm(spark, sf_dir)).select("cycle_number", "customer_id", "segment_name", r("current_revenue", 2, "revenue"))
+    rows = st.segments(spark, sf_dir).select("cycle_number", "customer_id", "segment_name", r("current_revenue", 2, "revenue"))
     order = Window.partitionBy("cycle_number").orderBy(F.desc("revenue"), "customer_id")
     return rows.withColumn("place", F.row_number().over(order)).where("place <= 12")
 
@@ -733,7 +733,7 @@ def customer_page(spark, sf_dir):
 )
 def filter_options(spark, sf_dir):
     """Values to filter by and their rows, counted in one pass."""
-    rows = st.assigned(st.rfm(spark, sf_dir)).select(
+    rows = st.segments(spark, sf_dir).select(
         F.explode(
             F.array(
                 F.struct(F.lit("segment").alias("kind"), F.col("segment_name").alias("value")),
@@ -765,7 +765,7 @@ def last_fitted_cycles(spark, sf_dir):
     FROM m a JOIN m b ON a.stable_cluster_id = b.stable_cluster_id AND a.cycle_number = b.cycle_number + 1""",
 )
 def segment_identity_history(spark, sf_dir):
-    means = st.assigned(st.rfm(spark, sf_dir)).groupBy("cycle_number", "stable_cluster_id").agg(
+    means = st.segments(spark, sf_dir).groupBy("cycle_number", "stable_cluster_id").agg(
         F.avg("recency").alias("r"), F.avg("frequency").alias("f"), F.avg("monetary").alias("m")
     )
     before = means.select((F.col("cycle_number") + 1).alias("cycle_number"), "stable_cluster_id", *[F.col(c).alias(f"old_{c}") for c in "rfm"])
@@ -802,7 +802,7 @@ def period_reconciliation(spark, sf_dir):
     UNION ALL SELECT 'customer lost from one cycle to the next', (SELECT count(*) FROM state a WHERE cycle_number < 9 AND NOT EXISTS (SELECT 1 FROM state b WHERE b.customer_id = a.customer_id AND b.cycle_number = a.cycle_number + 1)))""",
 )
 def panel_violations(spark, sf_dir):
-    return quality.panel_violations(st.assigned(st.rfm(spark, sf_dir)))
+    return quality.panel_violations(st.segments(spark, sf_dir))
 
 
 @registered(
@@ -842,7 +842,7 @@ def country_groups(spark, sf_dir):
     SELECT cycle_number, k AS cluster_index, {sql.pick(st.IDS, 'k')} AS stable_cluster_id, {sql.pick(st.NAMES, 'k')} AS segment_name, round(m, 4) AS membership_mass, w AS winners, (m > 1e-8 AND w = 0) AS soft_only FROM mass""",
 )
 def centre_registry(spark, sf_dir):
-    rows = st.assigned(st.rfm(spark, sf_dir))
+    rows = st.segments(spark, sf_dir)
     fitted = st.cycles(spark).select("cycle_number", F.posexplode(st.literal(st.IDS)).alias("cluster_index", "stable_cluster_id")).withColumn(
         "segment_name", F.get(st.literal(st.NAMES), F.col("cluster_index"))
     )
@@ -869,7 +869,7 @@ def public_names(spark, sf_dir):
         .when(i == 2, "Mid-Tier Occasional · 3")
         .otherwise(F.col("segment_name"))
     )
-    rows = st.assigned(st.rfm(spark, sf_dir)).select("cycle_number", name.alias("old_name"))
+    rows = st.segments(spark, sf_dir).select("cycle_number", name.alias("old_name"))
     counted = rows.groupBy("cycle_number", "old_name").agg(F.count("*").alias("customers"))
     new = registry.relabelled(counted.withColumn("new_name", F.col("old_name")), ["new_name"])
     return new.withColumn("family", profiles.family(F.col("old_name")))
@@ -882,7 +882,7 @@ def public_names(spark, sf_dir):
     SELECT cycle_number, prev_idx::INTEGER AS prev_cluster_index, idx::INTEGER AS cluster_index, n AS shared, round(n / (sum(n) OVER (PARTITION BY cycle_number, prev_idx) + sum(n) OVER (PARTITION BY cycle_number, idx) - n)::DOUBLE, 6) AS jaccard FROM p""",
 )
 def crisp_overlap(spark, sf_dir):
-    paired = behaviour.with_previous(st.assigned(st.rfm(spark, sf_dir))).where("prev_cluster_index is not null")
+    paired = behaviour.with_previous(st.segments(spark, sf_dir)).where("prev_cluster_index is not null")
     return lineage.crisp_overlap(paired).select("cycle_number", "prev_cluster_index", "cluster_index", "shared", r("jaccard", 6))
 
 
@@ -895,7 +895,7 @@ def crisp_overlap(spark, sf_dir):
 )
 def cycle_comparison(spark, sf_dir):
     """Segment profiles and observed centres per cycle; crisp baseline memberships show as null."""
-    return st.assigned(st.rfm(spark, sf_dir)).groupBy("cycle_number", "segment_name").agg(
+    return st.segments(spark, sf_dir).groupBy("cycle_number", "segment_name").agg(
         F.count("*").alias("customers"), r(F.avg("recency"), 6, "recency"), r(F.avg("frequency"), 6, "frequency"), r(F.avg("monetary"), 6, "monetary"),
         *[r(F.avg(f"log_{c}"), 6, f"centre_{c}") for c in "rfm"],
         r(F.avg(F.when(F.col("cycle_number") > 0, F.col("top_membership"))), 6, "membership"),
@@ -909,7 +909,7 @@ def cycle_comparison(spark, sf_dir):
        round(sum(frequency * 1.0) / count(*), 6) AS weighted_frequency FROM state GROUP BY ALL""",
 )
 def segment_lifetime(spark, sf_dir):
-    return st.assigned(st.rfm(spark, sf_dir)).groupBy("segment_name").agg(
+    return st.segments(spark, sf_dir).groupBy("segment_name").agg(
         F.count_distinct("customer_id").alias("customers"), F.count_distinct("cycle_number").alias("cycles"),
         r(F.sum("current_orders"), 4, "orders"), r(F.sum("current_revenue"), 2, "revenue"), r(F.avg("frequency"), 6, "weighted_frequency"),
     )
@@ -922,7 +922,7 @@ def segment_lifetime(spark, sf_dir):
     SELECT *, row_number() OVER (PARTITION BY cycle_number, segment_name ORDER BY customers DESC, country)::INTEGER AS place FROM c QUALIFY place <= 10""",
 )
 def segment_countries(spark, sf_dir):
-    rows = st.assigned(st.rfm(spark, sf_dir)).join(st.asof(spark, sf_dir), ["cycle_number", "customer_id"])
+    rows = st.segments(spark, sf_dir).join(st.asof(spark, sf_dir), ["cycle_number", "customer_id"])
     counted = rows.groupBy("cycle_number", "segment_name", "country").agg(F.count("*").alias("customers"))
     order = Window.partitionBy("cycle_number", "segment_name").orderBy(F.desc("customers"), "country")
     return counted.withColumn("place", F.row_number().over(order)).where("place <= 10")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,9 @@ from segmentflow.operators import behaviour
 from segmentflow.operators.calendar import CycleConfig, calendar
 from segmentflow.operators.cleaning import clean
 from segmentflow.operators.snapshot import country_asof, panel
+from segmentflow.session import ensure_checkpoint_dir
 from segmentflow.sources.ledger import order_ledger
+from segmentflow.sources.sinks import read_table, write_table
 
 CONFIG = CycleConfig()
 #: Stated centres over (log_r, log_f, log_m); log_r moves by DRIFT a cycle, so boundaries move too.
@@ -20,12 +25,35 @@ IDS = ("CL-001", "CL-002", "CL-003", "CL-004")
 NAMES = ("Champions", "Loyalists", "Mid-Tier Occasionals", "Hibernating / Lost")
 
 
+_TABLES: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the application's run over a folder: written on first use, read by every report after it.
+
+    Runs lie in the shared checkpoint folder.  Source tables are taken as fixed while an application runs;
+    ``forget`` starts a new run.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        ensure_checkpoint_dir(spark)
+        path = f"{spark.sparkContext.getCheckpointDir()}/run-{uuid.uuid4().hex}"
+        write_table(build(), path, name, by_cycle=False, mode="errorifexists")
+        _TABLES[key] = path
+    return read_table(spark, _TABLES[key], name)
+
+
+def forget() -> None:
+    """Let the next reports build their tables anew."""
+    _TABLES.clear()
+
+
 def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_ledger(spark, sf_dir)
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean(raw_ledger(spark, sf_dir), CONFIG.baseline_start, CONFIG.end)
+    return stored(spark, sf_dir, "ledger", lambda: clean(raw_ledger(spark, sf_dir), CONFIG.baseline_start, CONFIG.end))
 
 
 def cycles(spark: SparkSession) -> DataFrame:
@@ -33,7 +61,7 @@ def cycles(spark: SparkSession) -> DataFrame:
 
 
 def rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel(ledger(spark, sf_dir), cycles(spark))
+    return stored(spark, sf_dir, "panel", lambda: panel(ledger(spark, sf_dir), cycles(spark)))
 
 
 def centres_at(cycle: Column) -> Column:
@@ -67,9 +95,18 @@ def assigned(rows: DataFrame) -> DataFrame:
 
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assigned rows with the previous cycle beside them, transition and risk."""
-    paired = behaviour.with_previous(assigned(rfm(spark, sf_dir)))
-    return behaviour.add_risk(paired).withColumn("transition_status", behaviour.transition())
+
+    def build() -> DataFrame:
+        paired = behaviour.with_previous(segments(spark, sf_dir))
+        return behaviour.add_risk(paired).withColumn("transition_status", behaviour.transition())
+
+    return stored(spark, sf_dir, "state", build)
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel's assigned rows."""
+    return stored(spark, sf_dir, "segments", lambda: assigned(rfm(spark, sf_dir)))
 
 
 def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return country_asof(ledger(spark, sf_dir), cycles(spark))
+    return stored(spark, sf_dir, "country_asof", lambda: country_asof(ledger(spark, sf_dir), cycles(spark)))
