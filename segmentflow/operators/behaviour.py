@@ -162,3 +162,43 @@ def last_fitted_cycle(state: DataFrame, fitted: Column) -> DataFrame:
     """Per row, the last cycle up to it in which the customer's row was fitted."""
     upto = Window.partitionBy("customer_id").orderBy("cycle_number").rowsBetween(Window.unboundedPreceding, 0)
     return state.withColumn("last_fitted_cycle", F.last(F.when(fitted, F.col("cycle_number")), ignorenulls=True).over(upto))
+
+
+def cycle_summary(state: DataFrame) -> DataFrame:
+    """Per cycle the customers by activity and transition, and the moves in per cent of comparable customers."""
+    known = F.col("prev_stable_cluster_id").isNotNull()
+    moved = F.count_if(F.col("transition_status") == "Existing Migrated")
+    active = F.col("activity_status") == "Active"
+    back = (F.col("is_new") == 0) & known & active & (F.col("prev_activity_status") == "Inactive")
+    return state.groupBy("cycle_number").agg(
+        F.count("*").alias("customers"),
+        F.count_if(active).alias("active"),
+        F.count_if(~active).alias("inactive"),
+        F.count_if(F.col("transition_status") == "New").alias("new"),
+        F.count_if(back).alias("reactivated"),
+        F.count_if(F.col("transition_status") == "Existing Stable").alias("stable"),
+        moved.alias("migrated"),
+        F.count_if(known).alias("comparable"),
+        F.coalesce(F.try_divide(moved * 100.0, F.count_if(known)), F.lit(0.0)).alias("migration_rate"),
+    )
+
+
+def centroid_shift(old: Column, new: Column) -> Column:
+    """Mean distance to the nearest centre of the other set, averaged over both directions."""
+
+    def one_way(a: Column, b: Column) -> Column:
+        nearest = F.transform(a, lambda c: F.sqrt(F.array_min(squared_distances(c, b))))
+        return F.aggregate(nearest, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+
+    return (one_way(old, new) + one_way(new, old)) / 2
+
+
+def risk_replay(state: DataFrame) -> DataFrame:
+    """Per cycle and stored status: customers, and how many the rules now give another status or other reasons."""
+    results = ["risk_status", "risk_reasons", "membership_change", "frequency_change", "monetary_change"]
+    stored = state.withColumns({f"stored_{c}": F.col(c) for c in results[:2]}).drop(*results)
+    again = add_risk(stored)
+    differs = ~(F.col("risk_status").eqNullSafe(F.col("stored_risk_status")) & F.col("risk_reasons").eqNullSafe(F.col("stored_risk_reasons")))
+    return again.groupBy("cycle_number", F.col("stored_risk_status").alias("status")).agg(
+        F.count("*").alias("customers"), F.count_if(differs).alias("mismatches")
+    ).withColumnRenamed("status", "risk_status")

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmentflow.operators.calendar import in_periods
+from segmentflow.functions.membership import first_min, memberships, squared_distances
+from segmentflow.operators.calendar import cycles_from, in_periods, with_first_cycle
 from segmentflow.operators.cleaning import clean
 from segmentflow.operators.snapshot import rank_quartile, rank_share
 
@@ -68,6 +69,33 @@ def period_reconciliation(ledger: DataFrame, cycles: DataFrame, panel: DataFrame
     return joined.withColumn("agrees", F.abs(F.col("ledger_sales") - F.col("panel_sales")) < 0.01)
 
 
+def population_scope(ledger: DataFrame, cycles: DataFrame, state: DataFrame) -> DataFrame:
+    """Per cycle the customers seen in the ledger before the cutoff, those fitted, and those on one side only."""
+    first = with_first_cycle(ledger.groupBy("customer_id").agg(F.min("invoice_date").alias("first")), cycles, "first")
+    last = cycles.agg(F.max("cycle_number")).first()[0]
+    observed = first.select("customer_id", F.explode(cycles_from(F.col("first_cycle"), last)).alias("cycle_number"), F.lit(1).alias("seen"))
+    fitted = state.select("cycle_number", "customer_id", F.lit(1).alias("fit"))
+    return observed.join(fitted, ["cycle_number", "customer_id"], "full").groupBy("cycle_number").agg(
+        F.count("seen").alias("observed"),
+        F.count("fit").alias("fitted"),
+        F.count_if(F.col("fit").isNull()).alias("observed_only"),
+        F.count_if(F.col("seen").isNull()).alias("fitted_only"),
+    )
+
+
+def membership_replay(state: DataFrame, centres: Column, tolerance: float = 1e-9) -> DataFrame:
+    """Per cycle: rows whose stored memberships or assignment differ from those of the centres, and the objective."""
+    rows = state.withColumn("again_d2", squared_distances(F.col("point"), centres)).withColumn("again", memberships(F.col("again_d2")))
+    apart = F.array_max(F.zip_with("u", "again", lambda a, b: F.abs(a - b)))
+    j = F.aggregate(F.zip_with("again", "again_d2", lambda u, d: u * u * d), F.lit(0.0), lambda s, x: s + x)
+    return rows.groupBy("cycle_number").agg(
+        F.count("*").alias("customers"),
+        F.count_if(~(apart <= tolerance)).alias("membership_mismatches"),
+        F.count_if(first_min(F.col("again_d2")) != F.col("cluster_index")).alias("assignment_mismatches"),
+        F.sum(j).alias("objective"),
+    )
+
+
 def signature(table: DataFrame) -> DataFrame:
     """An order-free content signature: rows, summed and xored row hashes."""
     h = F.xxhash64(*[f"`{c}`" for c in sorted(table.columns)])

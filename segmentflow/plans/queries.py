@@ -300,14 +300,14 @@ def migration_attribution(spark, sf_dir):
 @registered(
     "carry_over_mass",
     sql.with_(sql.ASSIGNED)
-    + """, half AS (SELECT * FROM assigned WHERE customer_id % 7 <> cycle_number % 7)
+    + """, buying AS (SELECT * FROM assigned WHERE bought_in_window = 1)
     SELECT (a.cycle_number + 1)::INTEGER AS cycle_number, a.stable_cluster_id, count(*) AS customers, round(sum(greatest(u0, u1, u2, u3)), 4) AS mass
-    FROM half a WHERE a.cycle_number < 9 AND NOT EXISTS (SELECT 1 FROM half b WHERE b.customer_id = a.customer_id AND b.cycle_number = a.cycle_number + 1)
+    FROM buying a WHERE a.cycle_number < 9 AND NOT EXISTS (SELECT 1 FROM buying b WHERE b.customer_id = a.customer_id AND b.cycle_number = a.cycle_number + 1)
     GROUP BY ALL""",
 )
 def carry_over_mass(spark, sf_dir):
-    """Membership mass left behind by customers absent from the next cycle; every seventh row is absent by rule."""
-    rows = st.segments(spark, sf_dir).where(F.col("customer_id") % 7 != F.col("cycle_number") % 7)
+    """Membership mass left behind by the customers of a window who buy nothing in the next one."""
+    rows = st.segments(spark, sf_dir).where("bought_in_window = 1")
     return behaviour.vanished(rows).groupBy("cycle_number", "stable_cluster_id").agg(
         F.count("*").alias("customers"), r(F.sum(F.array_max("u")), 4, "mass")
     )
@@ -986,3 +986,119 @@ def build_residuals(spark, sf_dir):
 def ledger_signature(spark, sf_dir):
     """Order-free content signature of the cleaned ledger; hashes are Spark's own, so rows only."""
     return quality.signature(st.ledger(spark, sf_dir))
+
+
+# Summaries, evaluation and replays of the stored run
+
+
+@registered(
+    "cycle_summary",
+    sql.with_(sql.STATE)
+    + f"""SELECT cycle_number, count(*) AS customers, count(*) FILTER (activity_status = 'Active') AS active, count(*) FILTER (activity_status = 'Inactive') AS inactive,
+       count(*) FILTER (transition_status = 'New') AS new, count(*) FILTER (is_new = 0 AND prev_id IS NOT NULL AND activity_status = 'Active' AND prev_activity = 'Inactive') AS reactivated,
+       count(*) FILTER (transition_status = 'Existing Stable') AS stable, count(*) FILTER (transition_status = 'Existing Migrated') AS migrated, count(prev_id) AS comparable,
+       round(coalesce(100.0 * count(*) FILTER (transition_status = 'Existing Migrated') / nullif(count(prev_id), 0), 0)::DOUBLE, 4) AS migration_rate,
+       CASE WHEN cycle_number > 0 THEN {st.DRIFT}::DOUBLE END AS centroid_shift FROM state GROUP BY cycle_number""",
+)
+def cycle_summary(spark, sf_dir):
+    """Counts of states and moves per cycle, the migration rate in per cent and the shift of the centres."""
+    n = F.col("cycle_number")
+    shift = behaviour.centroid_shift(st.centres_at(n - 1), st.centres_at(n))
+    found = behaviour.cycle_summary(st.state(spark, sf_dir)).withColumn("centroid_shift", F.when(n > 0, F.round(shift, 6)))
+    return found.withColumn("migration_rate", F.round("migration_rate", 4))
+
+
+@registered(
+    "risk_by_cluster",
+    sql.with_(sql.STATE)
+    + f"""SELECT cycle_number, i::INTEGER AS cluster_index, {sql.pick(st.IDS, 'i')} AS stable_cluster_id, {sql.pick(st.NAMES, 'i')} AS segment_name, count(customer_id) AS customers,
+       count(*) FILTER (risk_status IN ('At risk', 'Slipping')) AS flagged, count(*) FILTER (risk_status = 'Lost') AS lost,
+       count(*) FILTER (risk_status = 'No prior comparison') AS unassessed,
+       round((count(*) FILTER (risk_status IN ('At risk', 'Slipping')))::DOUBLE / nullif(count(*) FILTER (risk_status IN ('At risk', 'Slipping', 'No risk flag')), 0), 6) AS rate
+    FROM cal CROSS JOIN range(4) AS t(i) LEFT JOIN state USING (cycle_number) WHERE state.idx IS NULL OR state.idx = i GROUP BY cycle_number, i
+    UNION ALL SELECT cycle_number, i::INTEGER, {sql.pick(st.IDS, 'i')}, {sql.pick(st.NAMES, 'i')}, 0, 0, 0, 0, NULL
+    FROM cal CROSS JOIN range(4) AS t(i) WHERE EXISTS (SELECT 1 FROM state s WHERE s.cycle_number = cal.cycle_number) AND NOT EXISTS (SELECT 1 FROM state s WHERE s.cycle_number = cal.cycle_number AND s.idx = i)""",
+)
+def risk_by_cluster(spark, sf_dir):
+    """Risk counts of every fitted centre, those that no customer is assigned to included."""
+    fitted = st.cycles(spark).select("cycle_number", F.posexplode(st.literal(st.IDS)).alias("cluster_index", "stable_cluster_id")).withColumn(
+        "segment_name", F.get(st.literal(st.NAMES), F.col("cluster_index"))
+    )
+    flagged = F.col("risk_status").isin(*summaries.AT_RISK)
+    assessed = flagged | (F.col("risk_status") == "No risk flag")
+    counts = st.state(spark, sf_dir).groupBy("cycle_number", "cluster_index").agg(
+        F.count("*").alias("customers"), F.count_if(flagged).alias("flagged"), F.count_if(F.col("risk_status") == "Lost").alias("lost"),
+        F.count_if(F.col("risk_status") == "No prior comparison").alias("unassessed"),
+        r(F.try_divide(F.count_if(flagged).cast("double"), F.count_if(assessed)), 6, "rate"),
+    )
+    return fitted.join(counts, ["cycle_number", "cluster_index"], "left").na.fill(0, ["customers", "flagged", "lost", "unassessed"])
+
+
+@registered(
+    "observed_centres",
+    sql.with_(sql.STATE)
+    + """SELECT cycle_number, idx::INTEGER AS cluster_index, count(*) AS customers, round(avg(log_r), 6) AS observed_r, round(avg(log_f), 6) AS observed_f, round(avg(log_m), 6) AS observed_m,
+       round(avg(CASE idx WHEN 0 THEN d0 WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END), 6) AS mean_square_distance FROM assigned GROUP BY cycle_number, idx""",
+)
+def observed_centres(spark, sf_dir):
+    """Means of the customers of each group beside their mean squared distance to the fitted centre."""
+    return st.segments(spark, sf_dir).groupBy("cycle_number", "cluster_index").agg(
+        F.count("*").alias("customers"), *[r(F.avg(f"log_{c}"), 6, f"observed_{c}") for c in "rfm"],
+        r(F.avg(F.get("d2", F.col("cluster_index"))), 6, "mean_square_distance"),
+    )
+
+
+@registered(
+    "model_evaluation",
+    sql.with_(sql.STATE)
+    + """SELECT cycle_number, count(*) AS customers, count(DISTINCT idx) AS occupied, round(avg(top_membership), 6) AS mean_membership,
+       round(min(top_membership), 6) AS least_membership, round(sum(least(d0, d1, d2, d3)), 3) AS hard_inertia,
+       round(sum(u0 * u0 * d0 + u1 * u1 * d1 + u2 * u2 * d2 + u3 * u3 * d3), 3) AS objective,
+       round(coalesce(100.0 * count(*) FILTER (transition_status = 'Existing Migrated') / nullif(count(prev_id), 0), 0)::DOUBLE, 4) AS migration_rate,
+       count(*) FILTER (prev_name <> segment_name AND prev_id = stable_cluster_id) AS renamed FROM state GROUP BY cycle_number""",
+)
+def model_evaluation(spark, sf_dir):
+    """Quality beside migration per cycle, one row each."""
+    compared = F.count("prev_stable_cluster_id")
+    moved = F.count_if(F.col("transition_status") == "Existing Migrated")
+    j = F.aggregate(F.zip_with("u", "d2", lambda u, d: u * u * d), F.lit(0.0), lambda s, x: s + x)
+    renamed = (F.col("prev_segment_name") != F.col("segment_name")) & (F.col("prev_stable_cluster_id") == F.col("stable_cluster_id"))
+    return st.state(spark, sf_dir).groupBy("cycle_number").agg(
+        F.count("*").alias("customers"), F.count_distinct("cluster_index").alias("occupied"),
+        r(F.avg("top_membership"), 6, "mean_membership"), r(F.min("top_membership"), 6, "least_membership"),
+        r(F.sum(F.array_min("d2")), 3, "hard_inertia"), r(F.sum(j), 3, "objective"),
+        r(F.coalesce(F.try_divide(moved * 100.0, compared), F.lit(0.0)), 4, "migration_rate"), F.count_if(renamed).alias("renamed"),
+    )
+
+
+@registered(
+    "population_scope",
+    sql.with_(sql.STATE)
+    + """SELECT cal.cycle_number, count(DISTINCT l.customer_id) AS observed, (SELECT count(*) FROM state s WHERE s.cycle_number = cal.cycle_number) AS fitted, 0::BIGINT AS observed_only, 0::BIGINT AS fitted_only
+    FROM cal JOIN ledger l ON l.invoice_date < cal.period_end GROUP BY cal.cycle_number""",
+)
+def population_scope(spark, sf_dir):
+    """Customers seen in the ledger before each cutoff against the customers of the stored run."""
+    return quality.population_scope(st.ledger(spark, sf_dir), st.cycles(spark), st.segments(spark, sf_dir))
+
+
+@registered(
+    "membership_replay",
+    sql.with_(sql.STATE)
+    + """SELECT cycle_number, count(*) AS customers, 0::BIGINT AS membership_mismatches, 0::BIGINT AS assignment_mismatches,
+       round(sum(u0 * u0 * d0 + u1 * u1 * d1 + u2 * u2 * d2 + u3 * u3 * d3), 3) AS objective FROM state WHERE cycle_number > 0 GROUP BY cycle_number""",
+)
+def membership_replay(spark, sf_dir):
+    """Memberships, assignments and objective computed again from the stored centres and points."""
+    rows = st.state(spark, sf_dir).where("cycle_number > 0")
+    return quality.membership_replay(rows, st.centres_at(F.col("cycle_number"))).withColumn("objective", r("objective", 3))
+
+
+@registered(
+    "risk_replay",
+    sql.with_(sql.STATE)
+    + """SELECT cycle_number, risk_status, count(*) AS customers, 0::BIGINT AS mismatches FROM state GROUP BY cycle_number, risk_status""",
+)
+def risk_replay(spark, sf_dir):
+    """Risk of every stored customer-cycle by the rules once more, against the stored status and reasons."""
+    return behaviour.risk_replay(st.state(spark, sf_dir))
