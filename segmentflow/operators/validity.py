@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def _moments(rows: DataFrame, keys: list[str], label: str, size: int, column: str) -> DataFrame:
@@ -26,7 +28,8 @@ def squared_silhouette(rows: DataFrame, keys: list[str], label: str = "cluster_i
         F.collect_list(F.struct(F.col(label).alias("k"), "n", "mean", "square")).alias("groups")
     )
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    joined = rows.join(groups, keys) if keys else rows.crossJoin(F.broadcast(groups))
+    # One row per key, such as a cycle.
+    joined = rows.join(F.broadcast(groups), keys) if keys else rows.crossJoin(F.broadcast(groups))
     joined = joined.withColumn("self_square", dot(F.col(column), F.col(column)))
 
     def away(g: Column) -> Column:
@@ -40,37 +43,57 @@ def squared_silhouette(rows: DataFrame, keys: list[str], label: str = "cluster_i
     return joined.withColumn("silhouette", value).drop("groups", "self_square")
 
 
-def exact_silhouette(rows: DataFrame, label: str = "cluster_index", column: str = "point", id_col: str = "customer_id", most_rows: int = 20_000) -> DataFrame:
-    """(id, silhouette) over Euclidean distances, in blocks; refuses more than ``most_rows`` rows as quadratic."""
-    n = rows.count()
-    if n > most_rows:
-        raise ValueError(f"{n} rows; exact silhouettes are limited to {most_rows}")
-    chosen = rows.select(F.col(id_col).alias("id"), F.col(label).alias("k"), F.col(column).alias("x"))
-    whole = chosen.toArrow()  # at most most_rows rows
-    labels = np.array(whole.column("k").to_pylist())
-    points = np.array(whole.column("x").to_pylist(), dtype=float)
-    names, index = np.unique(labels, return_inverse=True)
-    sizes = np.bincount(index)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            x = np.array(batch.column(2).to_pylist(), dtype=float)
-            own = np.searchsorted(names, np.array(batch.column(1).to_pylist()))
-            sums = np.zeros((len(x), len(names)))
-            for i, p in enumerate(x):
-                sums[i] = np.bincount(index, weights=np.sqrt(((points - p) ** 2).sum(axis=1)), minlength=len(names))
-            at = np.arange(len(x))
-            a = sums[at, own] / np.maximum(sizes[own] - 1, 1)
-            means = sums / sizes
-            means[at, own] = np.inf
-            b = means.min(axis=1) if len(names) > 1 else np.full(len(x), np.nan)
-            s = np.where(sizes[own] == 1, 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-300))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["id", "silhouette"])
-
-    kind = chosen.schema["id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"id {kind}, silhouette double").withColumnRenamed("id", id_col)
+def exact_silhouette(
+    rows: DataFrame, keys: list[str] | None = None, label: str = "cluster_index", column: str = "point", id_col: str = "customer_id", block_rows: int = 4096
+) -> DataFrame:
+    """(keys, id, label, silhouette) over Euclidean distances of all rows with equal keys.
+
+    Rows are cut into blocks by a hash of their id; every pair of blocks is one task's matrix, and only the
+    distance sums per row and label leave it.  The work is quadratic in the rows of a key, the memory is not.
+    """
+    keys = keys or []
+    named = [F.col(k) for k in keys]
+    chosen = rows.select(*named, F.col(id_col).alias("id"), F.col(label).alias("k"), F.col(column).alias("x"))
+    blocks = max(1, math.ceil(chosen.count() / block_rows))
+    at, each = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = chosen.withColumn("block", at.cast("int")).withColumn("other", each)
+    right = chosen.withColumn("other", at.cast("int")).withColumn("block", each).drop("id")
+    groups = [*keys, "block", "other"]
+    id_type, k_type = chosen.schema["id"].dataType.simpleString(), chosen.schema["k"].dataType.simpleString()
+    head = [f"`{k}` {chosen.schema[k].dataType.simpleString()}" for k in keys]
+
+    names_out = [*keys, "id", "k", "other_k", "apart", "rows"]
+    types_out = [to_arrow_type(chosen.schema[c].dataType) for c in [*keys, "id", "k", "k"]] + [pa.float64(), pa.int64()]
+
+    def sums(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:  # a block that only one side has
+            return pa.table([pa.array([], t) for t in types_out], names=names_out)
+        x, y = (np.array(t.column("x").to_pylist(), dtype=float).reshape(t.num_rows, -1) for t in (a, b))
+        names, own = np.unique(np.array(b.column("k").to_pylist()), return_inverse=True)
+        sizes = np.bincount(own, minlength=len(names))
+        out = np.zeros((len(x), len(names)))
+        for s in range(0, len(x), 256):
+            apart = np.sqrt(((x[s : s + 256, None] - y[None]) ** 2).sum(axis=2))
+            for j in range(len(names)):
+                out[s : s + 256, j] = apart[:, own == j].sum(axis=1)
+        rows_ = pa.array(np.repeat(np.arange(len(x)), len(names)))
+        columns = [a.column(c).take(rows_) for c in [*keys, "id", "k"]]
+        columns += [pa.array(np.tile(names, len(x)), types_out[-3]), pa.array(out.ravel()), pa.array(np.tile(sizes, len(x)).astype(np.int64))]
+        return pa.table(columns, names=names_out)
+
+    schema = ", ".join([*head, f"id {id_type}", f"k {k_type}", f"other_k {k_type}", "apart double", "rows bigint"])
+    found = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(sums, schema)
+    totals = found.groupBy(*keys, "id", "k", "other_k").agg(F.sum("apart").alias("apart"), F.sum("rows").alias("rows"))
+    same = F.col("other_k") == F.col("k")
+    wide = totals.groupBy(*keys, "id", "k").agg(
+        F.max(F.when(same, F.col("rows"))).alias("n"),
+        F.max(F.when(same, F.try_divide(F.col("apart"), F.col("rows") - 1))).alias("inside"),
+        F.min(F.when(~same, F.col("apart") / F.col("rows"))).alias("outside"),
+    )
+    value = F.when(F.col("outside").isNull(), None).when(F.col("n") == 1, 0.0).otherwise(
+        F.coalesce(F.try_divide(F.col("outside") - F.col("inside"), F.greatest("inside", "outside")), F.lit(0.0))
+    )
+    return wide.select(*named, F.col("id").alias(id_col), F.col("k").alias(label), value.alias("silhouette"))
 
 
 def scores(rows: DataFrame, label: str = "cluster_index", size: int = 3, column: str = "point") -> dict[str, float | None]:

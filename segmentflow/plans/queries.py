@@ -1102,3 +1102,21 @@ def membership_replay(spark, sf_dir):
 def risk_replay(spark, sf_dir):
     """Risk of every stored customer-cycle by the rules once more, against the stored status and reasons."""
     return behaviour.risk_replay(st.state(spark, sf_dir))
+
+
+@registered(
+    "exact_silhouettes",
+    sql.with_(sql.ASSIGNED)
+    + """, away AS (SELECT a.cycle_number, a.customer_id, a.idx, b.idx AS k, count(*) AS n, sum(sqrt(pow(a.log_r - b.log_r, 2) + pow(a.log_f - b.log_f, 2) + pow(a.log_m - b.log_m, 2))) AS s
+        FROM assigned a JOIN assigned b USING (cycle_number) GROUP BY ALL),
+    ab AS (SELECT cycle_number, customer_id, any_value(idx) AS idx, max(CASE WHEN k = idx THEN n END) AS n, max(CASE WHEN k = idx AND n > 1 THEN s / (n - 1) END) AS i, min(CASE WHEN k <> idx THEN s / n END) AS o FROM away GROUP BY cycle_number, customer_id),
+    sil AS (SELECT cycle_number, idx, CASE WHEN o IS NULL THEN NULL WHEN n = 1 THEN 0 ELSE coalesce((o - i) / nullif(greatest(o, i), 0), 0) END AS v FROM ab)
+    SELECT cycle_number, idx::INTEGER AS cluster_index, count(*) AS customers, round(avg(v), 5) AS mean_silhouette, round(avg((v < -1e-9)::INTEGER), 6) AS negative_share FROM sil GROUP BY ALL""",
+)
+def exact_silhouettes(spark, sf_dir):
+    """Mean Euclidean silhouette and share of negative ones per cycle and group, all pairs of a cycle in blocks."""
+    scored = validity.exact_silhouette(st.segments(spark, sf_dir), ["cycle_number"])
+    return scored.groupBy("cycle_number", "cluster_index").agg(
+        F.count("*").alias("customers"), r(F.avg("silhouette"), 5, "mean_silhouette"),
+        r(F.avg((F.col("silhouette") < -1e-9).cast("int")), 6, "negative_share"),
+    )

@@ -102,8 +102,9 @@ def test_silhouettes_and_scores(spark):
     assert np.allclose([r.silhouette for r in got], silhouette(2), atol=1e-9)
     exact = validity.exact_silhouette(df).orderBy("customer_id").collect()
     assert np.allclose([r.silhouette for r in exact], silhouette(1), atol=1e-9)
-    with pytest.raises(ValueError):
-        validity.exact_silhouette(df, most_rows=10)
+    blocks = validity.exact_silhouette(df, ["g"], block_rows=7).orderBy("customer_id").collect()
+    assert np.allclose([r.silhouette for r in blocks], silhouette(1), atol=1e-9)
+    assert validity.exact_silhouette(df.limit(0)).count() == 0
     means = np.array([x[label == k].mean(axis=0) for k in range(3)])
     s = np.array([np.sqrt(((x[label == k] - means[k]) ** 2).sum(axis=1)).mean() for k in range(3)])
     gap = np.sqrt(((means[:, None] - means[None]) ** 2).sum(axis=2))
@@ -133,6 +134,32 @@ def test_identities_survive_relabelling_and_splits():
     far = np.vstack([CENTRES[:3], [[9, 9, 9]]])
     ids, rows, number = lineage.match_identities(CENTRES, far, np.diag([1.0, 1.0, 1.0, 0.0]), ["a", "b", "c", "d"], 5)
     assert ids[3] == "CL-005" and number == 6 and {"retired", "created"} <= {r["event"] for r in rows}
+    split = np.vstack([CENTRES[:1] + 0.1, CENTRES[:1] - 0.1, CENTRES[1:]])
+    shared = np.vstack([[0.6, 0.3, 0, 0, 0], [0, 0, 1, 0, 0], [0, 0, 0, 0.9, 0.2], [0, 0, 0, 0.1, 0.9]])
+    ids, rows, number = lineage.match_identities(CENTRES, split, shared, ["a", "b", "c", "d"], 5)
+    events = {(r["previous_id"], r["current_id"]): r["event"] for r in rows}
+    assert ids == ["a", "CL-005", "b", "c", "d"] and events["a", "CL-005"] == "split contribution"
+    assert events["c", "d"] == events["d", "c"] == "split/merge contribution"
+    merged = lineage.match_identities(CENTRES[:2], CENTRES[:1], np.array([[0.9], [0.2]]), ["a", "b"], 3)[1]
+    assert ("b", "a", "merge contribution") in {(r["previous_id"], r["current_id"], r["event"]) for r in merged}
+
+
+def test_tiny_centres_split_along_the_first_axis(spark):
+    rows = points_df(spark, CENTRES[:3].astype(float))
+    found = clustering.starts(rows, CENTRES.astype(float), [5], np.ones(4))
+    assert len(found) == 4 and all(len(c) == 5 for _, c, _ in found)
+    assert np.allclose(found[3][1][-2:], CENTRES[3] + np.array([[1e-3, 0, 0], [-1e-3, 0, 0]]))
+
+
+def test_rank_shares_of_many_ties_in_few_ranges(spark):
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 300, 3000) / 4
+    df = spark.createDataFrame([(i % 2, float(v)) for i, v in enumerate(values)], "g int, v double")
+    got = {(r.g, r.v): r.rank_share for r in snapshot.rank_share(df, "v", "g").collect()}
+    for g in (0, 1):
+        own = values[g::2]
+        for v in np.unique(own):
+            assert got[g, v] == pytest.approx(((own < v).sum() + ((own == v).sum() + 1) / 2) / len(own))
 
 
 def test_names_are_unique_and_follow_profiles():
