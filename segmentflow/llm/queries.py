@@ -139,6 +139,16 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_embeddings": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        l AS (SELECT a.vec_id AS s, b.vec_id AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id
+              WHERE isfinite(list_cosine_similarity(a.e, b.e)) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach AS (SELECT vec_id AS s, vec_id AS d FROM v UNION SELECT r.s, l.d FROM reach r JOIN l ON r.d = l.s),
+        named AS (SELECT s AS vec_id, min(d) AS component_id FROM reach GROUP BY s),
+        counted AS (SELECT s AS vec_id, count(*) AS n FROM l GROUP BY s)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM named LEFT JOIN counted USING (vec_id)
+    """,
     "op5_urls": """
         WITH parts AS (
             SELECT page_id,
