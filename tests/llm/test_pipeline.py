@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from segmentflow.llm import simhash
@@ -61,3 +62,19 @@ def test_language_stage_drops_noise_and_unlearned_languages_only(spark, sf_dir):
     assert not any(i >= 10**6 for i in kept)
     lettered = docs.where(F.col("text").rlike("[A-Za-z]") & (fold_of("doc_id", 3) == 1)).select("doc_id").collect()
     assert np.mean([r.doc_id in kept for r in lettered]) > 0.98
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_of_no_rows_and_of_clashing_columns(spark, sf_dir, name):
+    """Every stage gives no rows for no rows, and all but the last pass columns with the names used inside."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    if name == "packing":
+        return
+    names = ["lang_pred", "lang_score", "toxic_score", "doc", "root", "text_key", "digest", "cuts", "a.b"]
+    wide = docs.limit(60).withColumns({n: F.lit("k") for n in names})
+    out = stage(spark, wide, sf_dir)
+    assert out.columns == wide.columns
+    got = out.collect()
+    assert got and all(list(r)[-len(names) :] == ["k"] * len(names) for r in got)
