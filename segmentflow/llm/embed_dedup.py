@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from segmentflow.llm.graph import components, named_by_first, spread_join
 from segmentflow.llm.vectors import matrix, packed, units
