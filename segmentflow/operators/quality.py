@@ -39,6 +39,41 @@ def panel_violations(state: DataFrame) -> DataFrame:
     )
 
 
+def run_invariants(state: DataFrame, cycles: DataFrame, centres: int) -> DataFrame:
+    """Rows, cycles or centres that break each rule of a stored run; counts of zero mean the rule holds."""
+    ends = F.broadcast(cycles.select("cycle_number", "period_end"))  # one row per cycle
+    rules: dict[str, Column] = {
+        "recency differs from the last purchase": F.datediff("period_end", "latest_purchase") != F.col("recency"),
+        "last purchase before the first": F.col("latest_purchase") < F.col("first_purchase"),
+        "memberships of another number": F.size("u") != centres,
+        "membership outside 0 to 1": F.exists("u", lambda u: (u < 0) | (u > 1 + 1e-12)),
+        "assigned below the highest membership": F.get("u", F.col("cluster_index")) < F.array_max("u"),
+    }
+    rows = state.join(ends, "cycle_number").agg(*[F.count_if(c).alias(f"v{i}") for i, c in enumerate(rules.values())])
+    simple = rows.select(
+        F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"v{i}").alias("violations")) for i, k in enumerate(rules)])).alias("r")
+    ).select("r.*")
+
+    def counted(rule: str, broken: DataFrame) -> DataFrame:
+        return broken.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+
+    sizes = state.groupBy("cycle_number").agg(F.count("*").alias("n"))
+    before = sizes.select((F.col("cycle_number") + 1).alias("cycle_number"), F.col("n").alias("n_before"))
+    masses = state.select("cycle_number", F.posexplode("u").alias("k", "m")).groupBy("cycle_number", "k").agg(F.sum("m").alias("mass"))
+    pairs = state.groupBy("cycle_number", "cluster_index", "stable_cluster_id").agg(F.count("*").alias("n"))
+    return reduce(
+        DataFrame.unionByName,
+        [
+            simple,
+            counted("cycle without customers", cycles.select("cycle_number").join(sizes, "cycle_number", "left_anti")),
+            counted("fewer customers than the cycle before", sizes.join(before, "cycle_number").where("n < n_before")),
+            counted("centre without mass", masses.where("mass <= 1e-8")),
+            counted("several ids for one centre", pairs.groupBy("cycle_number", "cluster_index").count().where("count > 1")),
+            counted("several centres for one id", pairs.groupBy("cycle_number", "stable_cluster_id").count().where("count > 1")),
+        ],
+    )
+
+
 def require_none(violations: DataFrame) -> None:
     broken = violations.where("violations > 0").limit(20).collect()
     if broken:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segmentflow.functions import profiles
@@ -16,7 +14,6 @@ from segmentflow.operators import (
     markets,
     quality,
     registry,
-    reversals,
     snapshot,
     summaries,
     validity,
@@ -24,40 +21,12 @@ from segmentflow.operators import (
 from segmentflow.operators.calendar import in_periods, in_windows
 
 from segmentflow.plans import cycles as cycle_runs
-from segmentflow.plans import reports, sql
+from segmentflow.plans import details, reports, sql
 from segmentflow.plans import state as st
+from segmentflow.plans.register import ORACLE_SQL, QUERIES, day, per, r, registered
 from segmentflow.session import ensure_checkpoint_dir
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def registered(name: str, oracle: str | None = None):
-    def keep(function):
-        QUERIES[name] = function
-        if oracle:
-            ORACLE_SQL[name] = oracle
-        return function
-
-    return keep
-
-
-def r(c: str | Column, digits: int = 4, name: str | None = None) -> Column:
-    """A double rounded for comparison; sums may come in any order."""
-    column = F.col(c) if isinstance(c, str) else c
-    return (F.round(column.cast("double"), digits) + 0.0).alias(name or c)  # no negative zero
-
-
-def per(total: str | Column, count: str | Column, name: str) -> Column:
-    """A total in cents over a count, zero for none; divided after rounding, so that order cannot matter."""
-    total = F.col(total) if isinstance(total, str) else total
-    count = F.col(count) if isinstance(count, str) else count
-    return F.coalesce(F.try_divide(F.round(total, 2), count), F.lit(0.0)).alias(name)
-
-
-def day(c: str) -> Column:
-    return F.date_format(c, "yyyy-MM-dd").alias(c)
-
+__all__ = ["ORACLE_SQL", "QUERIES", "details"]
 
 # Cleaning, calendar, customers
 
@@ -612,22 +581,13 @@ def market_behaviour_matrix(spark, sf_dir):
 
 @registered(
     "matched_reversals",
-    sql.with_(sql.RAW)
-    + """, rows AS (SELECT DISTINCT * FROM raw WHERE customer_id IS NOT NULL AND unit_price > 0),
-    ordered AS (SELECT *, row_number() OVER (ORDER BY invoice_date, invoice_no, stock_code, quantity, description, country) AS no FROM rows),
-    s AS (SELECT *, sum(quantity) OVER w AS running FROM ordered WINDOW w AS (PARTITION BY customer_id, stock_code, unit_price ORDER BY no)),
-    h AS (SELECT *, running - least(min(running) OVER w, 0) AS on_hand FROM s WINDOW w AS (PARTITION BY customer_id, stock_code, unit_price ORDER BY no)),
-    c AS (SELECT *, CASE WHEN quantity < 0 THEN coalesce(lag(on_hand) OVER w, 0) - on_hand ELSE 0 END AS consumed FROM h WINDOW w AS (PARTITION BY customer_id, stock_code, unit_price ORDER BY no))
-    SELECT year(invoice_date)::INTEGER AS year, count(*) FILTER (quantity < 0) AS return_rows, count(*) FILTER (consumed > 0) AS matched_rows, round(coalesce(sum(consumed), 0), 4) AS matched_units,
+    sql.with_(sql.RAW, sql.REVERSED)
+    + """SELECT year(invoice_date)::INTEGER AS year, count(*) FILTER (quantity < 0) AS return_rows, count(*) FILTER (consumed > 0) AS matched_rows, round(coalesce(sum(consumed), 0), 4) AS matched_units,
            round(coalesce(sum(consumed * unit_price), 0), 2) AS matched_value, count(DISTINCT CASE WHEN consumed > 0 THEN customer_id END) AS matched_customers FROM c GROUP BY ALL""",
 )
 def matched_reversals(spark, sf_dir):
     """Returns per year and how many of their units meet earlier purchases."""
-    raw = st.raw_ledger(spark, sf_dir).where("customer_id is not null and unit_price > 0")
-    rows = cleaning.dedup_exact(raw).withColumn(
-        "arrival", F.struct("invoice_date", "invoice_no", "stock_code", "quantity", "description", "country")
-    )
-    matched = reversals.match_reversals(rows, "arrival")
+    matched = st.reversed_rows(spark, sf_dir)
     hit = F.col("consumed") > 0
     return matched.groupBy(F.year("invoice_date").alias("year")).agg(
         F.count_if(F.col("quantity") < 0).alias("return_rows"),
@@ -843,9 +803,7 @@ def country_groups(spark, sf_dir):
 )
 def centre_registry(spark, sf_dir):
     rows = st.segments(spark, sf_dir)
-    fitted = st.cycles(spark).select("cycle_number", F.posexplode(st.literal(st.IDS)).alias("cluster_index", "stable_cluster_id")).withColumn(
-        "segment_name", F.get(st.literal(st.NAMES), F.col("cluster_index"))
-    )
+    fitted = st.fitted(spark)
     return registry.registry(rows, fitted).select(
         "cycle_number", "cluster_index", "stable_cluster_id", "segment_name", r("membership_mass"), "winners", "soft_only"
     )
@@ -1021,9 +979,7 @@ def cycle_summary(spark, sf_dir):
 )
 def risk_by_cluster(spark, sf_dir):
     """Risk counts of every fitted centre, those that no customer is assigned to included."""
-    fitted = st.cycles(spark).select("cycle_number", F.posexplode(st.literal(st.IDS)).alias("cluster_index", "stable_cluster_id")).withColumn(
-        "segment_name", F.get(st.literal(st.NAMES), F.col("cluster_index"))
-    )
+    fitted = st.fitted(spark)
     flagged = F.col("risk_status").isin(*summaries.AT_RISK)
     assessed = flagged | (F.col("risk_status") == "No risk flag")
     counts = st.state(spark, sf_dir).groupBy("cycle_number", "cluster_index").agg(

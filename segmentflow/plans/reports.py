@@ -37,5 +37,18 @@ def browse(table: DataFrame, filters: dict[str, str], sort: str, descending: boo
     return kept.orderBy(order).offset(size * (max(1, page_no) - 1)).limit(size)
 
 
+def search(customers: DataFrame, segments: DataFrame, cycles: DataFrame, term: str, most: int = 25) -> DataFrame:
+    """Customers by id or country (the first ones in id order), segments and cycles whose text holds a term."""
+
+    def names(rows: DataFrame, kind: str, column: str) -> DataFrame:
+        found = rows.where(F.coalesce(matches({column: term}), F.lit(False))).select(F.col(column).alias("value")).distinct()
+        return found.select(F.lit(kind).alias("kind"), "value", F.lit(None).cast("string").alias("detail"))
+
+    hit = F.coalesce(matches({"customer_id": term}), F.lit(False)) | F.coalesce(matches({"country": term}), F.lit(False))
+    first = customers.where(hit).orderBy("customer_id").limit(most)
+    people = first.select(F.lit("customer").alias("kind"), F.col("customer_id").cast("string").alias("value"), F.col("country").alias("detail"))
+    return people.unionByName(names(segments, "segment", "segment_name")).unionByName(names(cycles, "cycle", "cycle"))
+
+
 def top(rows: DataFrame, measure: str, tie: str, n: int) -> DataFrame:
     return rows.orderBy(F.desc(measure), tie).limit(n)

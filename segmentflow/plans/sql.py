@@ -107,6 +107,11 @@ ROWS = """labelled AS (
     SELECT s.cycle_number, s.stable_cluster_id, s.segment_name, l.*
     FROM ledger l JOIN cal ON invoice_date >= period_start AND invoice_date < period_end
          JOIN state s ON s.cycle_number = cal.cycle_number AND s.customer_id = l.customer_id)"""
+REVERSED = """rows AS (SELECT DISTINCT * FROM raw WHERE customer_id IS NOT NULL AND unit_price > 0),
+    ordered AS (SELECT *, row_number() OVER (ORDER BY invoice_date, invoice_no, stock_code, quantity, description, country) AS no FROM rows),
+    s AS (SELECT *, sum(quantity) OVER w AS running FROM ordered WINDOW w AS (PARTITION BY customer_id, stock_code, unit_price ORDER BY no)),
+    h AS (SELECT *, running - least(min(running) OVER w, 0) AS on_hand FROM s WINDOW w AS (PARTITION BY customer_id, stock_code, unit_price ORDER BY no)),
+    c AS (SELECT *, CASE WHEN quantity < 0 THEN coalesce(lag(on_hand) OVER w, 0) - on_hand ELSE 0 END AS consumed FROM h WINDOW w AS (PARTITION BY customer_id, stock_code, unit_price ORDER BY no))"""
 
 
 def with_(*steps: str) -> str:

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmentflow.functions.membership import centre_array, first_min, memberships, squared_distances
-from segmentflow.operators import behaviour
+from segmentflow.operators import behaviour, reversals
 from segmentflow.operators.calendar import CycleConfig, calendar
-from segmentflow.operators.cleaning import clean
+from segmentflow.operators.cleaning import clean, dedup_exact
 from segmentflow.operators.snapshot import country_asof, panel
 from segmentflow.session import ensure_checkpoint_dir
 from segmentflow.sources.ledger import order_ledger
@@ -110,3 +110,16 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "country_asof", lambda: country_asof(ledger(spark, sf_dir), cycles(spark)))
+
+
+def fitted(spark: SparkSession) -> DataFrame:
+    """Every centre of every cycle with its id and name."""
+    ids = F.posexplode(literal(IDS)).alias("cluster_index", "stable_cluster_id")
+    return cycles(spark).select("cycle_number", ids).withColumn("segment_name", F.get(literal(NAMES), F.col("cluster_index")))
+
+
+def reversed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked, priced rows of all years with the returned units that meet earlier purchases."""
+    raw = raw_ledger(spark, sf_dir).where("customer_id is not null and unit_price > 0")
+    arrival = F.struct("invoice_date", "invoice_no", "stock_code", "quantity", "description", "country")
+    return reversals.match_reversals(dedup_exact(raw).withColumn("arrival", arrival), "arrival")

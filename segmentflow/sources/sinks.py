@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,30 @@ def write_table(df: DataFrame, run_path: str, name: str, by_cycle: bool = True,
     writer.parquet(f"{run_path}/{name}")
 
 
+def replace_table(df: DataFrame, run_path: str, name: str, by_cycle: bool = True) -> None:
+    """Write a table beside the old one and swap names when it is whole; a failed job leaves the old one.
+
+    ``df`` may read the table that it replaces.  Between the two renames readers find no table.
+    """
+    new, old = f"{name}__new_{uuid.uuid4().hex}", f"{name}__old_{uuid.uuid4().hex}"
+    write_table(df, run_path, new, by_cycle, mode="errorifexists")
+    jvm = df.sparkSession.sparkContext._jvm
+    to_path = jvm.org.apache.hadoop.fs.Path
+    target = to_path(f"{run_path}/{name}")
+    files = target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+
+    def rename(source, goal) -> None:
+        if not files.rename(source, goal):
+            raise OSError(f"cannot rename {source} to {goal}")
+
+    held = files.exists(target)
+    if held:
+        rename(target, to_path(f"{run_path}/{old}"))
+    rename(to_path(f"{run_path}/{new}"), target)
+    if held:
+        files.delete(to_path(f"{run_path}/{old}"), True)
+
+
 def read_table(spark: SparkSession, run_path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{run_path}/{name}")
 

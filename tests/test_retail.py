@@ -305,3 +305,45 @@ def test_rank_share_averages_ties(spark):
     df = spark.createDataFrame([(0, v) for v in (3.0, 1.0, 3.0, 2.0)], "cycle_number int, v double")
     got = sorted((r.v, r.rank_share) for r in snapshot.rank_share(df, "v").collect())
     assert got == [(1.0, 0.25), (2.0, 0.5), (3.0, 0.875), (3.0, 0.875)]
+
+
+def test_replace_table_swaps_and_keeps_the_old_one_on_failure(spark, tmp_path):
+    path = str(tmp_path / "run")
+    old = spark.createDataFrame([(0, "a"), (1, "b")], "cycle_number int, v string")
+    sinks.replace_table(old, path, "t")
+    again = sinks.read_table(spark, path, "t")
+    sinks.replace_table(again.withColumn("v", F.upper("v")), path, "t")
+    assert sorted(r["v"] for r in sinks.read_table(spark, path, "t").collect()) == ["A", "B"]
+    broken = old.withColumn("v", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception):
+        sinks.replace_table(broken, path, "t")
+    assert sorted(r["v"] for r in sinks.read_table(spark, path, "t").collect()) == ["A", "B"]
+    assert [f.name for f in (tmp_path / "run").iterdir() if "__old" in f.name] == []
+
+
+def test_run_invariants_count_planted_faults(spark):
+    cycles = spark.createDataFrame([(0, "2020-02-01"), (1, "2020-03-01"), (2, "2020-04-01")], "cycle_number int, period_end string")
+    row = "cycle_number int, customer_id long, first_purchase string, latest_purchase string, recency int, u array<double>, cluster_index int, stable_cluster_id string"
+    state = spark.createDataFrame(
+        [
+            (0, 1, "2020-01-01", "2020-01-02", 30, [1.0, 0.0], 0, "a"),
+            (0, 2, "2020-01-05", "2020-01-02", 30, [1.0, 0.0], 0, "b"),
+            (1, 1, "2020-01-01", "2020-01-02", 1, [0.4, 0.6], 0, "a"),
+            (1, 2, "2020-01-01", "2020-02-29", 1, [1.2, 0.1, -0.3], 1, "a"),
+        ],
+        row,
+    )
+    found = {r["rule"]: r["violations"] for r in quality.run_invariants(state, cycles, 2).collect()}
+    assert found == {
+        "recency differs from the last purchase": 1,
+        "last purchase before the first": 1,
+        "memberships of another number": 1,
+        "membership outside 0 to 1": 1,
+        "assigned below the highest membership": 2,
+        "cycle without customers": 1,
+        "fewer customers than the cycle before": 0,
+        "centre without mass": 2,
+        "several ids for one centre": 1,
+        "several centres for one id": 1,
+    }
+    assert {r["violations"] for r in quality.run_invariants(state.limit(0), cycles, 2).where("rule <> 'cycle without customers'").collect()} == {0}
