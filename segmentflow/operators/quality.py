@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from segmentflow.functions.membership import first_min, memberships, squared_distances
 from segmentflow.operators.calendar import cycles_from, in_periods, with_first_cycle
-from segmentflow.operators.cleaning import clean
+from segmentflow.operators.cleaning import clean, finite
 from segmentflow.operators.snapshot import rank_quartile, rank_share
 
 
@@ -74,6 +74,45 @@ def run_invariants(state: DataFrame, cycles: DataFrame, centres: int) -> DataFra
     )
 
 
+def fit_violations(assignments: DataFrame, centres: DataFrame, lineage: DataFrame, candidates: DataFrame, least_overlap: float = 0.05, fuzziness: float = 2.0) -> DataFrame:
+    """Counts per rule of a fitted run: choice of candidates, lineage, ids, and memberships replayed from the centres.
+
+    Cycle 0 is crisp; the other tables hold a few rows a cycle.
+    """
+
+    def counted(rule: str, broken: DataFrame) -> DataFrame:
+        return broken.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+
+    usable = F.col("converged") & finite(F.col("xie_beni"))
+    chosen = candidates.groupBy("cycle_number").agg(
+        F.count_if("selected").alias("n"), F.min(F.when(usable, F.col("xie_beni"))).alias("least"), F.min(F.when(F.col("selected"), F.col("xie_beni"))).alias("taken")
+    )
+    born = lineage.where("event = 'created'").select(F.col("cycle_number").alias("at"), F.col("current_id").alias("stable_cluster_id"))
+    ordered = F.sort_array(F.collect_list(F.struct("cluster_index", "centre")))  # the centres of one cycle
+    sets = centres.groupBy("cycle_number").agg(F.transform(ordered, lambda c: c["centre"]).alias("centres"))
+    replayed = assignments.join(F.broadcast(sets), "cycle_number", "left").withColumn("again_d2", squared_distances(F.col("point"), F.col("centres")))
+    own, least = F.get("again_d2", F.col("cluster_index")), F.array_min("again_d2")
+    apart = F.array_max(F.zip_with("u", memberships(F.col("again_d2"), fuzziness), lambda a, b: F.abs(a - b)))
+    rules = {
+        "memberships of another number": ~F.coalesce(F.size("u") == F.size("centres"), F.lit(False)),
+        "assigned to a farther centre": ~F.coalesce(own <= least * (1 + 1e-9) + 1e-12, F.lit(False)),
+        "memberships differ from the centres": (F.col("cycle_number") > 0) & ~F.coalesce(apart <= 1e-9, F.lit(False)),
+    }
+    rows = replayed.agg(*[F.count_if(c).alias(f"v{i}") for i, c in enumerate(rules.values())])
+    return reduce(
+        DataFrame.unionByName,
+        [
+            rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"v{i}").alias("violations")) for i, k in enumerate(rules)])).alias("r")).select("r.*"),
+            counted("not one candidate selected", chosen.where("n <> 1")),
+            counted("selected candidate without the least index", chosen.where("not (taken <=> least)")),
+            counted("link below the least overlap", lineage.where(F.col("overlap") < least_overlap)),
+            counted("primary link between two ids", lineage.where("is_primary = 1 and not (previous_id <=> current_id)")),
+            counted("two centres under one id", centres.groupBy("cycle_number", "stable_cluster_id").count().where("count > 1")),
+            counted("created id used before", born.join(centres, "stable_cluster_id").where("cycle_number < at").select("at", "stable_cluster_id").distinct()),
+        ],
+    )
+
+
 def require_none(violations: DataFrame) -> None:
     broken = violations.where("violations > 0").limit(20).collect()
     if broken:

@@ -29,6 +29,26 @@ class Run:
     candidates: list[dict] = field(default_factory=list)
     quality: list[dict] = field(default_factory=list)
 
+    def tables(self) -> dict[str, DataFrame]:
+        """The run as tables: assignments, and a few rows a cycle for each of the rest."""
+        spark = self.assignments.sparkSession
+        small = {n: spark.createDataFrame([_plain(r, schema) for r in getattr(self, n)], schema) for n, schema in RUN_TABLES.items()}
+        return {"assignments": self.assignments, **small}
+
+
+RUN_TABLES = {
+    "centres": "cycle_number int, cluster_index int, stable_cluster_id string, segment_name string, centre array<double>",
+    "lineage": "cycle_number int, previous_id string, current_id string, distance double, overlap double, cost double, event string, is_primary int",
+    "candidates": "cycle_number int, k int, source string, objective double, xie_beni double, iterations int, converged boolean, selected boolean",
+    "quality": "cycle_number int, k int, n long, objective double, xie_beni double, iterations int, source string",
+}
+
+
+def _plain(row: dict, schema: str) -> tuple:
+    """A row's values in the schema's order, NumPy scalars as Python's."""
+    values = (row[column.split()[0]] for column in schema.split(", "))
+    return tuple(v.item() if isinstance(v, np.generic) else v for v in values)
+
 
 def project(panel: DataFrame, components: int = 3) -> DataFrame:
     """The panel with ``point``: scaled features projected with the baseline's parameters."""

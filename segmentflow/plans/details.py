@@ -289,3 +289,35 @@ def report_reconciliation(spark, sf_dir):
     ]
     met = reduce(DataFrame.unionByName, sides).groupBy("cycle_number", "item").agg(F.max("reported").alias("reported"), F.max("expected").alias("expected"))
     return met.withColumn("agrees", F.abs(F.col("reported") - F.col("expected")) < 0.01)
+
+
+# The fitted run: random starts and iterations, so rows only
+
+
+@registered("fitted_registry")
+def fitted_registry(spark, sf_dir):
+    """Every fitted centre with its membership mass and winners, beside its cycle's quality."""
+    run = st.fitted_run(spark, sf_dir)
+    measures = run["quality"].select("cycle_number", "k", "source", r("objective", 6), r("xie_beni", 6), "iterations")
+    centres = run["centres"].select("cycle_number", "cluster_index", "stable_cluster_id", "segment_name")
+    return registry.registry(run["assignments"], centres).join(measures, "cycle_number").select(
+        "cycle_number", "cluster_index", "stable_cluster_id", "segment_name", r("membership_mass"), "winners", "soft_only",
+        "k", "source", "objective", "xie_beni", "iterations",
+    )
+
+
+@registered("fitted_lineage")
+def fitted_lineage(spark, sf_dir):
+    return st.fitted_run(spark, sf_dir)["lineage"]
+
+
+@registered("fitted_candidates")
+def fitted_candidates(spark, sf_dir):
+    return st.fitted_run(spark, sf_dir)["candidates"]
+
+
+@registered("fit_audit")
+def fit_audit(spark, sf_dir):
+    """Rules of the fitted run with their violations; memberships are computed again from the stored centres."""
+    run = st.fitted_run(spark, sf_dir)
+    return quality.fit_violations(run["assignments"], run["centres"], run["lineage"], run["candidates"])

@@ -20,7 +20,6 @@ from segmentflow.operators import (
 )
 from segmentflow.operators.calendar import in_periods, in_windows
 
-from segmentflow.plans import cycles as cycle_runs
 from segmentflow.plans import details, reports, sql
 from segmentflow.plans import state as st
 from segmentflow.plans.register import ORACLE_SQL, QUERIES, day, per, r, registered
@@ -604,8 +603,7 @@ def matched_reversals(spark, sf_dir):
 @registered("dynamic_clusters")
 def dynamic_clusters(spark, sf_dir):
     """Assignments of every cycle by the K-means baseline and the fuzzy updates."""
-    found = cycle_runs.run(st.rfm(spark, sf_dir))
-    return found.assignments.select("cycle_number", "customer_id", "cluster_index", "stable_cluster_id", "segment_name", "top_membership")
+    return st.fitted_run(spark, sf_dir)["assignments"].select("cycle_number", "customer_id", "cluster_index", "stable_cluster_id", "segment_name", "top_membership")
 
 
 @registered(

@@ -13,6 +13,8 @@ from segmentflow.operators import behaviour, reversals
 from segmentflow.operators.calendar import CycleConfig, calendar
 from segmentflow.operators.cleaning import clean, dedup_exact
 from segmentflow.operators.snapshot import country_asof, panel
+from segmentflow.plans.cycles import RUN_TABLES
+from segmentflow.plans.cycles import run as run_cycles
 from segmentflow.session import ensure_checkpoint_dir
 from segmentflow.sources.ledger import order_ledger
 from segmentflow.sources.sinks import read_table, write_table
@@ -123,3 +125,15 @@ def reversed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_ledger(spark, sf_dir).where("customer_id is not null and unit_price > 0")
     arrival = F.struct("invoice_date", "invoice_no", "stock_code", "quantity", "description", "country")
     return reversals.match_reversals(dedup_exact(raw).withColumn("arrival", arrival), "arrival")
+
+
+def fitted_run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Tables of the cycle loop over the panel, fitted once per application."""
+    found: dict[str, DataFrame] = {}
+
+    def build(name: str) -> DataFrame:
+        if not found:
+            found.update(run_cycles(rfm(spark, sf_dir)).tables())
+        return found[name]
+
+    return {n: stored(spark, sf_dir, f"fit_{n}", lambda n=n: build(n)) for n in ("assignments", *RUN_TABLES)}
