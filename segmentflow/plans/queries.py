@@ -1028,8 +1028,9 @@ def model_evaluation(spark, sf_dir):
 @registered(
     "population_scope",
     sql.with_(sql.STATE)
-    + """SELECT cal.cycle_number, count(DISTINCT l.customer_id) AS observed, (SELECT count(*) FROM state s WHERE s.cycle_number = cal.cycle_number) AS fitted, 0::BIGINT AS observed_only, 0::BIGINT AS fitted_only
-    FROM cal JOIN ledger l ON l.invoice_date < cal.period_end GROUP BY cal.cycle_number""",
+    + """, observed AS (SELECT DISTINCT cycle_number, customer_id FROM ledger JOIN cal ON invoice_date < period_end)
+    SELECT cycle_number, count(o.customer_id) AS observed, count(s.customer_id) AS fitted, count(*) FILTER (s.customer_id IS NULL) AS observed_only, count(*) FILTER (o.customer_id IS NULL) AS fitted_only
+    FROM observed o FULL JOIN state s USING (cycle_number, customer_id) GROUP BY cycle_number""",
 )
 def population_scope(spark, sf_dir):
     """Customers seen in the ledger before each cutoff against the customers of the stored run."""
