@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmentflow.operators import behaviour, markets, quality, registry, summaries
+from segmentflow.operators import behaviour, features, markets, quality, registry, snapshot, summaries
 from segmentflow.operators.calendar import in_periods
 from segmentflow.plans import reports, sql
 from segmentflow.plans import state as st
@@ -110,6 +110,22 @@ def cycle_segments(spark, sf_dir):
     )
 
 
+@registered(
+    "latest_segments",
+    sql.with_(sql.STATE)
+    + """SELECT cycle_number, segment_name, count(*) AS customers, round(sum(current_revenue), 2) AS revenue, count(*) FILTER (risk_status IN ('At risk', 'Slipping')) AS at_risk
+    FROM state WHERE cycle_number = (SELECT max(cycle_number) FROM state) GROUP BY ALL""",
+)
+def latest_segments(spark, sf_dir):
+    """Segments of the last cycle that has customers."""
+    rows = st.state(spark, sf_dir)
+    last = rows.agg(F.max("cycle_number")).first()[0]
+    return rows.where(F.col("cycle_number") == F.lit(last)).groupBy("cycle_number", "segment_name").agg(
+        F.count("*").alias("customers"), r(F.sum("current_revenue"), 2, "revenue"),
+        F.count_if(F.col("risk_status").isin(*summaries.AT_RISK)).alias("at_risk"),
+    )
+
+
 @registered(
     "centre_paths",
     sql.with_(sql.STATE)
@@ -291,6 +307,21 @@ def report_reconciliation(spark, sf_dir):
     return met.withColumn("agrees", F.abs(F.col("reported") - F.col("expected")) < 0.01)
 
 
+@registered("explained_variance")
+def explained_variance(spark, sf_dir):
+    """Each component's share of the baseline's variance, by its fit and by the variance of its projected rows."""
+    rows = st.rfm(spark, sf_dir).where("cycle_number = 0")
+    scaled = features.fit_min_max(rows).apply(rows)
+    columns = [f"scaled_{c}" for c in snapshot.FEATURES]
+    fit = features.fit_pca(scaled, tuple(columns))
+    whole = sum((F.var_samp(c) for c in columns[1:]), F.var_samp(columns[0]))
+    shares = [
+        F.struct(F.lit(i + 1).alias("component"), F.lit(round(float(e), 6)).alias("explained"), r(F.try_divide(F.var_samp(f"pc{i + 1}"), whole), 6, "projected"))
+        for i, e in enumerate(fit.explained)
+    ]
+    return fit.apply(scaled).agg(F.array(*shares).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+
+
 # The fitted run: random starts and iterations, so rows only
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from segmentflow.functions import membership, profiles
 from segmentflow.operators import behaviour, calendar, cleaning, clustering, features, lineage, naming, quality, reversals, snapshot, validity
-from segmentflow.plans import reports
+from segmentflow.plans import details, reports
 from segmentflow.sources import sinks
 from segmentflow.sources.ledger import LEDGER_SCHEMA, read_ledger
 
@@ -347,3 +347,10 @@ def test_run_invariants_count_planted_faults(spark):
         "several centres for one id": 1,
     }
     assert {r["violations"] for r in quality.run_invariants(state.limit(0), cycles, 2).where("rule <> 'cycle without customers'").collect()} == {0}
+
+
+def test_explained_variance_is_that_of_the_projected_rows(spark, sf_dir):
+    found = sorted(tuple(r) for r in details.explained_variance(spark, sf_dir).collect())
+    assert [c for c, _, _ in found] == [1, 2, 3] and sum(e for _, e, _ in found) <= 1 + 1e-6
+    assert all(e == pytest.approx(p, abs=2e-6) for _, e, p in found)
+    assert found[0][1] >= found[1][1] >= found[2][1] >= 0
