@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmentflow.llm import ann, bpe, chat, embed_dedup, langid, packing, secret_scan, simhash, toxicity, url_filter
+from segmentflow.llm import ann, bpe, chat, decontaminate, embed_dedup, langid, packing, secret_scan, simhash, toxicity, url_filter
 from segmentflow.session import table
 
 URL_RULES = """
@@ -125,6 +125,18 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
@@ -136,6 +148,7 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_toxicity": op9_toxicity,
     "op10_langid": op10_langid,
+    "op12_decontaminate": op12_decontaminate,
 }
 
 ORACLE_SQL = {
@@ -164,4 +177,24 @@ ORACLE_SQL = {
             FROM parts s LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
         SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fits WHERE n = 1
     """,
+    "op12_decontaminate": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS own FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS own FROM benchmark),
+        t AS (SELECT DISTINCT item_id, least(len(own), 10) AS size,
+                  array_to_string(own[pos:pos + least(len(own), 10) - 1], ' ') AS shown
+              FROM (SELECT *, unnest(range(1, greatest(len(own) - 9, 1) + 1)) AS pos FROM i WHERE len(own) > 0)),
+        p AS (SELECT doc_id, own, unnest(range(1, len(own) + 1)) AS pos FROM w),
+        h AS (SELECT doc_id, pos, s.size, item_id
+              FROM (SELECT doc_id, pos, size, array_to_string(own[pos:pos + size - 1], ' ') AS shown
+                    FROM p, (SELECT DISTINCT size FROM t) WHERE pos + size - 1 <= len(own)) s
+              JOIN t USING (size, shown)),
+        c AS (SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS word FROM h) GROUP BY doc_id),
+        g AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+              FROM h GROUP BY doc_id)
+        SELECT doc_id, coalesce(len(own), 0)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(g.n, 0)::BIGINT AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
+        FROM w LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id)
+    """,
 }
