@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmentflow.llm import ann, bpe, chat, decontaminate, embed_dedup, langid, packing, secret_scan, simhash, toxicity, url_filter
+from segmentflow.llm import ann, bpe, chat, collocations, decontaminate, embed_dedup, langid, lexical_search, packing, secret_scan, simhash, toxicity, url_filter
 from segmentflow.session import table
 
 URL_RULES = """
@@ -125,6 +125,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, most_words=5, absorbed=100, k=2000)
+
+
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -137,6 +141,10 @@ def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
@@ -148,7 +156,9 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_toxicity": op9_toxicity,
     "op10_langid": op10_langid,
+    "op11_phrases": op11_phrases,
     "op12_decontaminate": op12_decontaminate,
+    "op13_search": op13_search,
 }
 
 ORACLE_SQL = {
@@ -177,6 +187,29 @@ ORACLE_SQL = {
             FROM parts s LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
         SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fits WHERE n = 1
     """,
+    "op11_phrases": r"""
+        WITH p AS (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS own
+                   FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+                         FROM documents)),
+        o AS (SELECT lang, own, unnest(range(1, len(own) + 1)) AS pos FROM p),
+        f AS (SELECT lang, size, array_to_string(own[pos:pos + size - 1], ' ') AS phrase, count(*) AS f
+              FROM o, (SELECT unnest(range(1, 6)) AS size) WHERE pos + size - 1 <= len(own) GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 100),
+        k AS (SELECT lang, size, phrase, c.f AS a, w, unnest(range(1, size)) AS k FROM c),
+        s AS (SELECT lang, k.phrase, k.size, a, k.k, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+              FROM k JOIN n USING (lang)
+              JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:k.k], ' ') AND x.size = k.k
+              JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(w[k.k + 1:], ' ') AND y.size = k.size - k.k),
+        b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM s),
+        d AS (SELECT DISTINCT x.lang, x.phrase FROM c x JOIN c y ON x.lang = y.lang AND y.size > x.size
+              AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') AND 100 * y.f >= 100 * x.f)
+        SELECT lang, rank, phrase, a, l, r, n, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+              FROM b ANTI JOIN d USING (lang, phrase) WHERE cut = 1)
+        WHERE rank <= 2000
+    """,
     "op12_decontaminate": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS own FROM documents),
@@ -197,4 +230,21 @@ ORACLE_SQL = {
                sha256(coalesce(items, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
         FROM w LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id)
     """,
+    "op13_search": r"""
+        WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        i AS (SELECT item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        dt AS (SELECT doc_id, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, count(*) AS tf
+               FROM d GROUP BY ALL),
+        it AS (SELECT item_id, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, count(*) AS times
+               FROM i GROUP BY ALL),
+        ns AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM dt GROUP BY doc_id),
+        g AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM ns),
+        m AS (SELECT doc_id, 75 + (25 * n * big_n) // big_l AS m FROM ns, g),
+        w AS (SELECT term, floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM dt, g GROUP BY term, big_n),
+        s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+              FROM it JOIN dt USING (term) JOIN m USING (doc_id) JOIN w USING (term) GROUP BY ALL)
+        SELECT item_id, rank::INT AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        WHERE rank <= 20
+    """,
 }
