@@ -2,13 +2,16 @@
 
 Inner products become distances by one added coordinate: with M the largest norm, |(x, sqrt(M^2-|x|^2)) -
 (Mq/|q|, 0)|^2 = 2 M^2 - 2 M x.q/|q|.  Every vector is projected by ``PROJECTIONS`` Gaussian (2-stable)
-projections, so a projected squared distance is the true one times a chi-square variable.  The top of the
+projections made orthogonal, so a projected squared distance is the true one times a variable with no heavier
+upper tail than chi-square.  The added coordinate is in every query's distances; its line has the mean length,
+as a long draw would push all neighbours of all queries over the stop together.  The top of the
 kd-tree, fitted on a bounded sample of projected rows, deals all rows to shards; each shard completes its
 own tree.  A query first searches its home shard; its k-th distance then bounds the other shards: one
 whose box fails the test is skipped.  In a shard, the tree yields points in the order of their projected
 distance, and they are verified in that order until the test stops: once the next projected squared
-distance exceeds the ``CONFIDENCE`` quantile of chi-square times the k-th true squared distance, a nearer
-vector is left out with probability 1 - ``CONFIDENCE`` at most.
+distance exceeds the ``CONFIDENCE`` quantile of chi-square times the k-th true squared distance.  The bound on
+what is left out holds over draws of the lines; a run has one draw, so the stop is raised to the ``CALIBRATED``
+quantile of projected over true squared distances measured on the neighbours within a sample of rows.
 
 Queries and shards meet in bounded blocks: crowded shards are cut by a hash of the row, and the queries
 that reach a shard by blocks of ``QUERY_BLOCK``; rows are copied to the blocks of their own shard only.
@@ -37,6 +40,8 @@ from segmentflow.llm.vectors import exponents, matrix, packed
 from segmentflow.session import ensure_checkpoint_dir
 
 PROJECTIONS, CONFIDENCE, SEED = 8, 0.95, 20141029
+#: The stop is checked on the neighbours of so many queries among so many sampled rows, of so many numbers in all.
+CALIBRATED, CALIBRATION_QUERIES, CALIBRATION_ROWS, CALIBRATION_NUMBERS = 0.97, 128, 2_048, 1 << 21
 #: Rows that the top of the tree is fitted on, and bounds of shards, leaves and blocks of queries.
 SAMPLE_ROWS, SHARD_ROWS, MOST_SHARDS, LEAF_ROWS, QUERY_BLOCK = 16_384, 8_192, 4_096, 512, 8_192
 #: Shards for vectors of other lengths than the most common one, searched without the top of the tree.
@@ -59,7 +64,12 @@ class Space:
 
     def __init__(self, size: int, exponent: int, largest: float) -> None:
         self.size, self.exponent, self.largest = size, exponent, largest
-        self.lines = np.random.default_rng([SEED, size]).standard_normal((size + 1, PROJECTIONS))
+        drawn = np.random.default_rng([SEED, size]).standard_normal((size + 1, PROJECTIONS))
+        if size + 1 >= PROJECTIONS:
+            self.lines = np.linalg.qr(drawn)[0] * math.sqrt(size + 1)
+        else:  # fewer coordinates than lines: distances are kept exactly
+            self.lines = np.linalg.qr(drawn.T)[0].T * math.sqrt(PROJECTIONS)
+        self.lines[-1] *= math.sqrt(PROJECTIONS) / np.linalg.norm(self.lines[-1])
 
     def scaled(self, v: np.ndarray) -> np.ndarray:
         return np.ldexp(v, -self.exponent)
@@ -79,6 +89,25 @@ class Space:
         return np.maximum(0.0, 2 * self.largest**2 - 2 * self.largest * near / norm)
 
 
+def calibrated_stop(space: Space, sample: np.ndarray, k: int) -> float:
+    """The chi-square quantile, or the measured one where it is larger; sample are vectors of the space's length."""
+    stop = chi_square_quantile(CONFIDENCE, PROJECTIONS)
+    if len(sample) <= k:
+        return stop
+    scaled, asked = space.scaled(sample), sample[:CALIBRATION_QUERIES]
+    queries, norms, at = space.queries(asked)
+    true = space.distance(scaled @ queries.T, norms[None, :])
+    true[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+    near = np.argpartition(true, k, axis=0)[:k]
+    points, ratios = space.rows(scaled), []
+    for i in range(len(asked)):
+        d = true[near[:, i], i]
+        apart = np.isfinite(d) & (d > 1e-9 * space.largest**2)  # copies are found anyway, and their rounding is no distance
+        ratios.append(((points[near[apart, i]] - at[i]) ** 2).sum(axis=1) / d[apart])
+    measured = np.concatenate(ratios)
+    return max(stop, float(np.quantile(measured, CALIBRATED))) if len(measured) else stop
+
+
 class TopTree:
     """Median splits of the projected sample, to a depth; shards are numbered left to right."""
 
@@ -274,12 +303,16 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 2
                 p = common.rows(common.scaled(matrix(batch.column(0))))
                 yield pa.RecordBatch.from_arrays([pa.array(list(p), pa.list_(pa.float64()))], ["p"])
 
-    share = min(1.0, SAMPLE_ROWS / usual["n"])
-    chosen = rows.where(is_common & (F.pmod(F.xxhash64("row_no"), F.lit(1 << 30)) < share * (1 << 30)))
+    def sampled(most: int) -> DataFrame:
+        share = min(1.0, most / usual["n"])
+        return rows.where(is_common & (F.pmod(F.xxhash64("row_no"), F.lit(1 << 30)) < share * (1 << 30)))
+
+    chosen = sampled(SAMPLE_ROWS)
     sample = chosen.select("vec").mapInArrow(project, "p array<double>").toArrow().column("p").to_pylist()
     depth = min(int(math.log2(MOST_SHARDS)), max(0, math.ceil(math.log2(usual["n"] / SHARD_ROWS))))
     tree = TopTree(np.array(sample, dtype=float).reshape(-1, PROJECTIONS), depth)
-    stop = chi_square_quantile(CONFIDENCE, PROJECTIONS)
+    few = sampled(min(CALIBRATION_ROWS, CALIBRATION_NUMBERS // common.size)).select("vec").toArrow().column("vec").combine_chunks()
+    stop = calibrated_stop(common, matrix(few) if len(few) else np.zeros((0, common.size)), k)
 
     def placed(place: Callable):
         """Appends the shards of each row; place gives (row, shard) of a batch of one length."""

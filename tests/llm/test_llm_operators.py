@@ -434,6 +434,27 @@ def test_neighbours_recall_and_order(spark, monkeypatch):
     assert ann.nearest(one_row(spark, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [8, 48, 64, 256, 768])
+@pytest.mark.parametrize("kind", ["normal", "unit", "lognormal", "one long"])
+def test_neighbours_recall_by_dimension_and_norms(size, kind):
+    """One draw of lines serves all queries; the stop holds for every shape of norms."""
+    rng, n, k = np.random.default_rng(size), 5000, 20
+    v = rng.standard_normal((n, size))
+    v = {"normal": v, "unit": v / np.linalg.norm(v, axis=1, keepdims=True), "lognormal": v * np.exp(0.5 * rng.standard_normal((n, 1))),
+         "one long": np.where(np.arange(n)[:, None] == 7, 20 * v, v)}[kind]
+    space = ann.Space(size, 0, float(np.linalg.norm(v, axis=1).max()) * (1 + 1e-9))
+    stop = ann.calibrated_stop(space, v[rng.permutation(n)[:1000]], k)
+    shard, asked = ann.Shard(v, np.arange(n), space), np.arange(0, n, 40)
+    scaled, norms, at = space.queries(v[asked])
+    hits = 0
+    for i, q in enumerate(asked.tolist()):
+        s = v @ v[q]
+        s[q] = -np.inf
+        found, _ = shard.best(scaled[i], norms[i], at[i], q, np.inf, k, stop)
+        hits += len(set(np.argsort(-s)[:k].tolist()) & set(shard.ids[found].tolist()))
+    assert hits >= 0.95 * k * len(asked)
+
+
 def test_neighbours_of_repeated_query_rows(spark, monkeypatch):
     """Rows that share an id ask each for themselves; repeated rows are candidates each."""
     monkeypatch.setattr(ann, "SHARD_ROWS", 64)
@@ -585,6 +606,38 @@ def test_near_copies_by_similarity_equal_brute_force(spark, monkeypatch):
     assert minhash.keep_first(one_row(spark, ODD)).count() == 0
 
 
+def test_crowded_keys_lose_no_link_among_texts_with_boilerplate(spark, monkeypatch):
+    """All texts share most of their words, so band keys are crowded and no hub joins the planted pairs."""
+    rng = random.Random(12)
+
+    def fresh_words(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    common, texts = fresh_words(860), []
+    for _ in range(150):
+        pair = fresh_words(34)
+        texts += [" ".join(common + pair + fresh_words(100)) for _ in range(2)]
+    a, b, c = (minhash.shingle_set(t, 5) for t in texts[:3])
+    assert minhash.alike(a, b) and 0.74 < len(np.intersect1d(a, c)) / len(np.union1d(a, c)) < 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    for small, nodes in ((8, 1024), (10**6, 1024), (8, 16)):  # blocks, rows of pairs, many small blocks
+        monkeypatch.setattr(minhash, "SMALL_BUCKET", small)
+        monkeypatch.setattr(minhash, "BLOCK_NODES", nodes)
+        root = {r.node_id: r.root for r in minhash.rooted(docs).collect()}
+        assert sum(root[2 * i] == root[2 * i + 1] for i in range(150)) >= 0.99 * 150 and len(set(root.values())) >= 150
+        seen.append(root)
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_common_counts_equal_intersections():
+    rng = np.random.default_rng(1)
+    left, right = ([np.unique(rng.integers(0, 500, n).astype(np.uint64)) for n in sizes] for sizes in ((50, 1, 300, 150) * 6, (60, 10, 250) * 7))
+    want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert minhash.common_counts(left, right).tolist() == want
+    assert minhash.common_counts(left[:1], [np.array([10**6], dtype=np.uint64)]).tolist() == [[0]]
+
+
 def test_similarity_decides_in_both_directions(spark):
     words = [f"w{i}" for i in range(200)]
     near = [*words[:100], "x", *words[101:]]  # 191 of 201 shingles in common; far more than two bits apart
