@@ -2,11 +2,12 @@
 
 The occurrences of a language are cut into blocks of whole documents.  A block's relation of level k holds the
 sorted positions of its k-word phrases, each with a number; positions skip one between pieces, so positions that
-follow each other lie in one piece.  One step from k to k+1 words semi-joins a relation with the frequent groups
-of its block, merge-joins it with itself at adjacent positions, and counts the pairs of each block.  A pair of
-(first k words, last k words) is an exact name of k+1 words, so Spark sums the blocks' counts by two numbers,
-and only groups of ``least`` occurrences come back to the blocks that hold them.  Relations and groups are
-written as tables in the shared checkpoint folder; a crowded word or phrase has one row per block at most.
+follow each other lie in one piece.  One step from k to k+1 words merge-joins a relation of frequent groups with
+itself at adjacent positions and counts the pairs of each block.  A pair of (first k words, last k words) is an
+exact name of k+1 words.  Pairs are dealt by hash to shards of about ``SHARD_PAIRS``, in packed chunks; a shard
+sums the blocks' counts, and groups of ``least`` occurrences come back to the blocks that hold them, where a
+semi-join leaves the relation of the next level.  Relations and groups are written as tables in the shared
+checkpoint folder; a crowded word or phrase has one count per block at most.
 
 Defined results: null and empty texts have no words; a null language is ``und``; repeated rows count each; a
 document of any length is read whole and stays in one block; an empty table gives no rows; other columns are
@@ -17,9 +18,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,29 +36,37 @@ UND = "und"
 BLOCK_WORDS, OPEN_WORDS = 2_000_000, 4_000_000
 _WORD = np.array([b not in b" \t.,;:!?\n\x0b\x0c\r" for b in range(256)])
 _BREAK = np.array([b in b".,;:!?\n\x0b\x0c\r" for b in range(256)])
+#: Occurrences whose pairs one shard counts.
+SHARD_PAIRS = 2_000_000
 RELATION = -1
-#: Rows of code RELATION hold a block's relation, the others its groups: own number, name, occurrences.
+#: Rows of code RELATION hold a block's relation, the others its words: own number, name, occurrences.
 FIRST = "block long, code long, lang string, word string, n long, relation binary"
-LATER = "block long, code long, `left` long, `right` long, n long, relation binary"
+CHUNKS = "shard long, block long, pairs binary"
+GROUPS = "block long, `left` long, `right` long, id long, chief boolean, total long"
 
 
-def _stored(positions: np.ndarray, codes: np.ndarray) -> bytes:
-    both = np.concatenate([np.diff(positions, prepend=0), codes]).astype("<i4")
-    return len(codes).to_bytes(8, "little") + pa.compress(both.tobytes(), codec="zstd", asbytes=True)
+def _packed(*columns: np.ndarray) -> bytes:
+    """Equally long columns of whole numbers, compressed."""
+    raw = b"".join(x.astype("<i8" if len(x) and x.max() >= 1 << 31 else "<i4").tobytes() for x in columns)
+    widths = bytes(8 if len(x) and x.max() >= 1 << 31 else 4 for x in columns)
+    return bytes([len(columns)]) + widths + len(columns[0]).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _read(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    both = np.frombuffer(pa.decompress(blob[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), "<i4")
-    return np.cumsum(both[:n], dtype=np.int64), both[n:].astype(np.int64)
+def _unpacked(blob: bytes) -> list[np.ndarray]:
+    widths = blob[1 : 1 + blob[0]]
+    n = int.from_bytes(blob[1 + blob[0] : 9 + blob[0]], "little")
+    raw = pa.decompress(blob[9 + blob[0] :], decompressed_size=n * sum(widths), codec="zstd", asbytes=True)
+    edges = np.cumsum([0, *(n * w for w in widths)])
+    return [np.frombuffer(raw[a:b], f"<i{w}").astype(np.int64) for a, b, w in zip(edges, edges[1:], widths)]
+
 
+def _relation(positions: np.ndarray, names: np.ndarray) -> bytes:
+    return _packed(np.diff(positions, prepend=0), names)
 
-def _batch(block: int, names: list[pa.Array], counts: np.ndarray, positions: np.ndarray, codes: np.ndarray, total: int, schema: list[str]) -> pa.RecordBatch:
-    """The groups of a block, then one row with its relation; a lang stands in every row."""
-    n = len(counts)
-    blob = pa.array([None] * n + [_stored(positions, codes)], pa.binary())
-    numbers = pa.array(np.append(np.arange(n), RELATION))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n + 1, block)), numbers, *names, pa.array(np.append(counts, total)), blob], schema)
+
+def _read(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, names = _unpacked(blob)
+    return np.cumsum(steps), names
 
 
 def word_relations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -77,9 +88,13 @@ def word_relations(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
             for _, at in parts:  # one place stays free between parts, as their documents differ
                 positions.append(at + last + 2)
                 last = int(positions[-1][-1])
-            word = pa.concat_arrays([own, pa.nulls(1, pa.string())])
-            counts = np.bincount(codes, minlength=len(own))
-            return _batch(made, [pa.array([lang] * (len(own) + 1)), word], counts, np.concatenate(positions), codes, len(codes), names)
+            n, counts = len(own), np.bincount(codes, minlength=len(own))
+            columns = [
+                pa.array(np.full(n + 1, made)), pa.array(np.append(np.arange(n), RELATION)), pa.array([lang] * (n + 1)),
+                pa.concat_arrays([own, pa.nulls(1, pa.string())]), pa.array(np.append(counts, len(codes))),
+                pa.array([None] * n + [_relation(np.concatenate(positions), codes)], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         size = lambda lang: sum(len(p[0]) for p in open_[lang])
         for batch in batches:
@@ -104,39 +119,105 @@ def word_relations(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     return chosen.mapInArrow(run, FIRST)
 
 
-def longer(relations: DataFrame, groups: DataFrame) -> DataFrame:
-    """LATER: one step from the relations (block, relation) of a level and its frequent groups (block, code, id)."""
-    names = ["block", "code", "left", "right", "n", "relation"]
-
-    def step(own: pa.Table, frequent: pa.Table) -> pa.Table:
-        empty = pa.schema([pa.field(n, pa.binary() if n == "relation" else pa.int64()) for n in names]).empty_table()
-        if not own.num_rows or not frequent.num_rows:
-            return empty
-        at, codes = _read(own.column("relation")[0].as_py())
-        numbers, ids = (frequent.column(c).to_numpy() for c in ("code", "id"))
-        width = int(max(codes.max(), numbers.max())) + 1
-        wanted = np.zeros(width, dtype=bool)
-        wanted[numbers] = True
-        kept = wanted[codes]  # the semi-join with frequent groups
-        at, codes = at[kept], codes[kept]
-        first = np.flatnonzero(np.diff(at) == 1)  # the merge-join by piece and adjacent position
-        if not len(first):
-            return empty
-        pairs, new, counts = np.unique(codes[first] * width + codes[first + 1], return_inverse=True, return_counts=True)
-        id_of = np.zeros(width, dtype=np.int64)
-        id_of[numbers] = ids
-        sides = [pa.array(np.append(id_of[x], -1)) for x in np.divmod(pairs, width)]
-        return pa.Table.from_batches([_batch(own.column("block")[0].as_py(), sides, counts, at[first], new, len(first), names)])
-
-    return relations.groupBy("block").cogroup(groups.select("block", "code", "id").groupBy("block")).applyInArrow(step, LATER)
-
-
-def _frequent(counted: DataFrame, name: list[str], least: int) -> DataFrame:
-    """(block, code, id, chief, name, total) of groups with the least total; one row of each id is its chief."""
-    same = Window.partitionBy(*name)
-    rows = counted.where(F.col("code") != RELATION).select("block", "code", *name, "n", F.monotonically_increasing_id().alias("row_id"))
+def _adjacent(at: np.ndarray) -> np.ndarray:
+    """The merge-join of a relation with itself by piece and adjacent position: first rows of the pairs."""
+    return np.flatnonzero(np.diff(at) == 1)
+
+
+def _with_ids(own: pa.Table, words: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The relation of level 1 semi-joined with the frequent words (left: number, id) of its block."""
+    at, codes = _read(own.column("relation")[0].as_py())
+    numbers, ids = (words.column(c).to_numpy() for c in ("left", "id"))
+    id_of = np.full(int(max(codes.max(), numbers.max(initial=0))) + 1, -1)
+    id_of[numbers] = ids
+    named = id_of[codes]
+    return at[named >= 0], named[named >= 0]
+
+
+def _chunks(block: int, at: np.ndarray, ids: np.ndarray, shards: int) -> pa.Table:
+    """CHUNKS: the pairs of a block with their counts, by shard."""
+    names = ["shard", "block", "pairs"]
+    first = _adjacent(at)
+    kinds, code = np.unique(ids, return_inverse=True)
+    pairs, counts = np.unique(code[first] * len(kinds) + code[first + 1], return_counts=True)
+    left, right = (kinds[x] for x in np.divmod(pairs, max(1, len(kinds))))
+    mixed = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    shard = ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    found, cuts = np.unique(shard[order], return_index=True)
+    blobs = [_packed(left[p], right[p], counts[p]) for p in np.split(order, cuts[1:])] if len(found) else []
+    return pa.table([pa.array(found, pa.int64()), pa.array(np.full(len(found), block), pa.int64()), pa.array(blobs, pa.binary())], names=names)
+
+
+def _pair_chunks(relation: DataFrame, words_: DataFrame | None, shards: int) -> DataFrame:
+    """CHUNKS of all blocks; words_ are given for the relations of level 1, whose names are numbers of words."""
+
+    def of_words(own: pa.Table, known: pa.Table) -> pa.Table:
+        none = np.zeros(0, dtype=np.int64)
+        at, ids = _with_ids(own, known) if own.num_rows and known.num_rows else (none, none)
+        return _chunks(own.column("block")[0].as_py() if own.num_rows else 0, at, ids, shards)
+
+    def of_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield from _chunks(block, *_read(blob), shards).to_batches()
+
+    if words_ is None:
+        return relation.select("block", "relation").mapInArrow(of_phrases, CHUNKS)
+    return relation.select("block", "relation").groupBy("block").cogroup(words_.groupBy("block")).applyInArrow(of_words, CHUNKS)
+
+
+def counted_pairs(chunks: DataFrame, least: int) -> DataFrame:
+    """GROUPS: the frequent pairs of each block, with an id of each pair; one row of an id is its chief."""
+
+    def count(chunk: pa.Table) -> pa.Table:
+        shard = chunk.column("shard")[0].as_py()
+        read = [_unpacked(x) for x in chunk.column("pairs").to_pylist()]
+        left, right, n = (np.concatenate(x) for x in zip(*read))
+        block = np.repeat(chunk.column("block").to_numpy(), [len(x[0]) for x in read])
+        order = np.lexsort((block, right, left))
+        left, right, n, block = left[order], right[order], n[order], block[order]
+        chief = np.ones(len(left), dtype=bool)
+        chief[1:] = (np.diff(left) != 0) | (np.diff(right) != 0)
+        group = np.cumsum(chief) - 1
+        total = np.bincount(group, weights=n)[group].astype(np.int64) if len(n) else n  # below 2^53, so exact
+        kept = total >= least
+        columns = (block, left, right, (shard << 32) + group, chief, total)
+        return pa.table([pa.array(x[kept]) for x in columns], names=["block", "left", "right", "id", "chief", "total"])
+
+    return chunks.groupBy("shard").applyInArrow(count, GROUPS)
+
+
+def _semi_joined(own: pa.Table, frequent: pa.Table, from_words: bool) -> pa.Table:
+    """(block, n, relation): the pairs of a block's relation that are frequent, as the relation of the next level."""
+    names = ["block", "n", "relation"]
+    empty = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("relation", pa.binary())]).empty_table()
+    wanted = frequent.filter(pc.greater_equal(frequent.column("right"), 0))
+    if not own.num_rows or not wanted.num_rows:
+        return empty
+    if from_words:
+        at, ids = _with_ids(own, frequent.filter(pc.less(frequent.column("right"), 0)))
+    else:
+        at, ids = _read(own.column("relation")[0].as_py())
+    first = _adjacent(at)
+    kinds, code = np.unique(ids, return_inverse=True)
+    left, right, new = (wanted.column(c).to_numpy() for c in ("left", "right", "id"))
+    pairs = np.searchsorted(kinds, left) * len(kinds) + np.searchsorted(kinds, right)
+    order = np.argsort(pairs)
+    pairs, new = pairs[order], new[order]
+    asked = code[first] * len(kinds) + code[first + 1]
+    place = np.minimum(np.searchsorted(pairs, asked), len(pairs) - 1)
+    hit = pairs[place] == asked
+    blob = _relation(at[first[hit]], new[place[hit]])
+    return pa.table([[own.column("block")[0].as_py()], [int(hit.sum())], pa.array([blob], pa.binary())], names=names)
+
+
+def _frequent_words(level: DataFrame, least: int) -> DataFrame:
+    """(block, code, id, chief, lang, word, total) of words with the least total; one row of each id is its chief."""
+    same = Window.partitionBy("lang", "word")
+    rows = level.where(F.col("code") != RELATION).select("block", "code", "lang", "word", "n", F.monotonically_increasing_id().alias("row_id"))
     summed = rows.withColumn("total", F.sum("n").over(same)).withColumn("id", F.min("row_id").over(same))
-    return summed.where(F.col("total") >= least).select("block", "code", "id", (F.col("id") == F.col("row_id")).alias("chief"), *name, "total")
+    return summed.where(F.col("total") >= least).select("block", "code", "id", (F.col("id") == F.col("row_id")).alias("chief"), "lang", "word", "total")
 
 
 def phrases(docs: DataFrame, least: int = 100, most_words: int = 5, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
@@ -154,19 +235,26 @@ def phrases(docs: DataFrame, least: int = 100, most_words: int = 5, lang_col: st
 
     level = written(word_relations(docs, lang_col, text_col), "relations-1")
     sizes = level.where(F.col("code") == RELATION).groupBy("lang").agg(F.sum("n").alias("n"))
-    groups = written(_frequent(level, ["lang", "word"], least), "groups-1")
+    words_ = written(_frequent_words(level, least), "groups-1")
     alone = F.array("total")
-    found = [groups.where("chief").select("id", "lang", F.col("word").alias("phrase"), "total", alone.alias("firsts"), alone.alias("lasts"))]
+    found = [words_.where("chief").select("id", "lang", F.col("word").alias("phrase"), "total", alone.alias("firsts"), alone.alias("lasts"))]
+    relation = level.where(F.col("code") == RELATION).select("block", "n", "relation")
+    by_number = words_.select("block", F.col("code").alias("left"), F.lit(-1).cast("long").alias("right"), "id")
     for size in range(2, most_words + 1):
-        relations = level.where(F.col("code") == RELATION).select("block", "relation")
-        level = written(longer(relations, groups), f"relations-{size}")
-        groups = written(_frequent(level, ["left", "right"], least), f"groups-{size}")
+        occurrences = relation.agg(F.sum("n")).first()[0] or 0
+        chunks_ = _pair_chunks(relation, by_number if size == 2 else None, max(1, -(-int(occurrences) // SHARD_PAIRS)))
+        groups = written(counted_pairs(chunks_, least), f"groups-{size}")
+        if size < most_words:
+            frequent = groups.select("block", "left", "right", "id")
+            frequent = frequent.unionByName(by_number) if size == 2 else frequent
+            step = partial(_semi_joined, from_words=size == 2)
+            joined = relation.groupBy("block").cogroup(frequent.groupBy("block"))
+            relation = written(joined.applyInArrow(step, "block long, n long, relation binary"), f"relations-{size}")
         one = found[-1]
         last = F.substring_index(F.col("phrase_right"), " ", -1)
         left = one.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("phrase_left"), "firsts")
         right = one.select(F.col("id").alias("right"), F.col("phrase").alias("phrase_right"), "lasts")
-        joined = groups.where("chief").select("id", "left", "right", "total").join(left, "left").join(right, "right")
-        named = joined.select(
+        named = groups.where("chief").select("id", "left", "right", "total").join(left, "left").join(right, "right").select(
             "id", "left", "right", "lang", F.concat_ws(" ", "phrase_left", last).alias("phrase"), "total",
             F.concat("firsts", F.array("total")).alias("firsts"), F.concat("lasts", F.array("total")).alias("lasts"),
         )
