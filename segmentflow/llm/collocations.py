@@ -42,7 +42,8 @@ RELATION = -1
 #: Rows of code RELATION hold a block's relation, the others its words: own number, name, occurrences.
 FIRST = "block long, code long, lang string, word string, n long, relation binary"
 CHUNKS = "shard long, block long, pairs binary"
-GROUPS = "block long, `left` long, `right` long, id long, chief boolean, total long"
+#: A row per frequent pair (block is null) and a row per block and shard with the pairs (left, right, id) it holds.
+GROUPS = "block long, pairs binary, `left` long, `right` long, id long, total long"
 
 
 def _packed(*columns: np.ndarray) -> bytes:
@@ -168,7 +169,7 @@ def _pair_chunks(relation: DataFrame, words_: DataFrame | None, shards: int) ->
 
 
 def counted_pairs(chunks: DataFrame, least: int) -> DataFrame:
-    """GROUPS: the frequent pairs of each block, with an id of each pair; one row of an id is its chief."""
+    """GROUPS: the frequent pairs with an id and their occurrences, and which of them each block holds."""
 
     def count(chunk: pa.Table) -> pa.Table:
         shard = chunk.column("shard")[0].as_py()
@@ -181,9 +182,19 @@ def counted_pairs(chunks: DataFrame, least: int) -> DataFrame:
         chief[1:] = (np.diff(left) != 0) | (np.diff(right) != 0)
         group = np.cumsum(chief) - 1
         total = np.bincount(group, weights=n)[group].astype(np.int64) if len(n) else n  # below 2^53, so exact
-        kept = total >= least
-        columns = (block, left, right, (shard << 32) + group, chief, total)
-        return pa.table([pa.array(x[kept]) for x in columns], names=["block", "left", "right", "id", "chief", "total"])
+        ids, kept = (shard << 32) + group, total >= least
+        own = kept & chief
+        order = np.flatnonzero(kept)[np.argsort(block[kept], kind="stable")]
+        blocks, cuts = np.unique(block[order], return_index=True)
+        blobs = [_packed(left[p], right[p], ids[p]) for p in np.split(order, cuts[1:])] if len(blocks) else []
+        n_own, n_blocks = int(own.sum()), len(blocks)
+        none = pa.nulls(n_blocks, pa.int64())
+        columns = [
+            pa.concat_arrays([pa.nulls(n_own, pa.int64()), pa.array(blocks, pa.int64())]),
+            pa.array([None] * n_own + blobs, pa.binary()),
+            *[pa.concat_arrays([pa.array(x[own], pa.int64()), none]) for x in (left, right, ids, total)],
+        ]
+        return pa.table(columns, names=["block", "pairs", "left", "right", "id", "total"])
 
     return chunks.groupBy("shard").applyInArrow(count, GROUPS)
 
@@ -192,16 +203,16 @@ def _semi_joined(own: pa.Table, frequent: pa.Table, from_words: bool) -> pa.Tabl
     """(block, n, relation): the pairs of a block's relation that are frequent, as the relation of the next level."""
     names = ["block", "n", "relation"]
     empty = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("relation", pa.binary())]).empty_table()
-    wanted = frequent.filter(pc.greater_equal(frequent.column("right"), 0))
-    if not own.num_rows or not wanted.num_rows:
+    blobs = frequent.column("pairs").drop_null().to_pylist()
+    if not own.num_rows or not blobs:
         return empty
     if from_words:
-        at, ids = _with_ids(own, frequent.filter(pc.less(frequent.column("right"), 0)))
+        at, ids = _with_ids(own, frequent.filter(pc.is_null(frequent.column("pairs"))))
     else:
         at, ids = _read(own.column("relation")[0].as_py())
     first = _adjacent(at)
     kinds, code = np.unique(ids, return_inverse=True)
-    left, right, new = (wanted.column(c).to_numpy() for c in ("left", "right", "id"))
+    left, right, new = (np.concatenate(x) for x in zip(*map(_unpacked, blobs)))
     pairs = np.searchsorted(kinds, left) * len(kinds) + np.searchsorted(kinds, right)
     order = np.argsort(pairs)
     pairs, new = pairs[order], new[order]
@@ -239,13 +250,13 @@ def phrases(docs: DataFrame, least: int = 100, most_words: int = 5, lang_col: st
     alone = F.array("total")
     found = [words_.where("chief").select("id", "lang", F.col("word").alias("phrase"), "total", alone.alias("firsts"), alone.alias("lasts"))]
     relation = level.where(F.col("code") == RELATION).select("block", "n", "relation")
-    by_number = words_.select("block", F.col("code").alias("left"), F.lit(-1).cast("long").alias("right"), "id")
+    by_number = words_.select("block", F.lit(None).cast("binary").alias("pairs"), F.col("code").alias("left"), "id")
     for size in range(2, most_words + 1):
         occurrences = relation.agg(F.sum("n")).first()[0] or 0
         chunks_ = _pair_chunks(relation, by_number if size == 2 else None, max(1, -(-int(occurrences) // SHARD_PAIRS)))
         groups = written(counted_pairs(chunks_, least), f"groups-{size}")
         if size < most_words:
-            frequent = groups.select("block", "left", "right", "id")
+            frequent = groups.where(F.col("block").isNotNull()).select("block", "pairs", "left", "id")
             frequent = frequent.unionByName(by_number) if size == 2 else frequent
             step = partial(_semi_joined, from_words=size == 2)
             joined = relation.groupBy("block").cogroup(frequent.groupBy("block"))
@@ -254,7 +265,7 @@ def phrases(docs: DataFrame, least: int = 100, most_words: int = 5, lang_col: st
         last = F.substring_index(F.col("phrase_right"), " ", -1)
         left = one.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("phrase_left"), "firsts")
         right = one.select(F.col("id").alias("right"), F.col("phrase").alias("phrase_right"), "lasts")
-        named = groups.where("chief").select("id", "left", "right", "total").join(left, "left").join(right, "right").select(
+        named = groups.where(F.col("block").isNull()).select("id", "left", "right", "total").join(left, "left").join(right, "right").select(
             "id", "left", "right", "lang", F.concat_ws(" ", "phrase_left", last).alias("phrase"), "total",
             F.concat("firsts", F.array("total")).alias("firsts"), F.concat("lasts", F.array("total")).alias("lasts"),
         )
