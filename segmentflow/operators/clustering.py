@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmentflow.functions.membership import TOUCH, centre_array, first_min, memberships, squared_distances
@@ -38,7 +38,17 @@ class Fit:
     iterations: int
     converged: bool
     source: str = ""
-    masses: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    start: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    carried: np.ndarray | None = None
+
+
+@dataclass(frozen=True)
+class Start:
+    """Centres to fit from.  With carried masses they are moved from where they stand; without, plain fuzzy c-means."""
+
+    source: str
+    centres: np.ndarray
+    carried: np.ndarray | None = None
 
 
 # K-means
@@ -112,64 +122,61 @@ def _numpy_memberships(d2: np.ndarray, fuzziness: float) -> np.ndarray:
     return u
 
 
-def fuzzy_sums(points: DataFrame, sets: list[np.ndarray], fuzziness: float, even_margin: float | None = None, column: str = "point") -> list[dict]:
+def fuzzy_sums(points: DataFrame, sets: list[np.ndarray], fuzziness: float, left_out: str | None = None, column: str = "point") -> list[dict]:
     """Per set of centres: rows, objective, and per centre the sums of u^m, u^m x and hard-winner membership.
 
-    With ``even_margin``, rows that meet both trigger conditions are left out of the sums, not of the objective.
-    Partial sums of each Arrow batch are added up by Spark; the driver gets one row per set.
+    ``left_out`` names a boolean column; for its rows there are sums of their own, so a caller can take them away
+    (``out_weight`` and so on).  Partial sums of each Arrow batch are added up by Spark; the driver gets one row
+    per set and place.
     """
     size = len(sets[0][0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [[0.0, 0.0, np.zeros(len(c)), np.zeros((len(c), size)), np.zeros(len(c))] for c in sets]
+        totals = [np.zeros(2 + 2 * len(c) * (size + 2)) for c in sets]
         for batch in batches:
             x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for total, centres in zip(totals, sets):
                 d2 = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
                 u = _numpy_memberships(d2, fuzziness)
-                weight = u**fuzziness
-                total[0] += len(x)
-                total[1] += float((weight * d2).sum())
-                kept = np.ones(len(x), dtype=bool) if even_margin is None else ~(even(u, even_margin) & beyond(d2, centres))
-                total[2] += weight[kept].sum(axis=0)
-                total[3] += weight[kept].T @ x[kept]
-                winner = u.argmax(axis=1)
-                total[4] += np.bincount(winner[kept], weights=u[np.arange(len(u)), winner][kept], minlength=len(centres))
-        rows = [np.concatenate([[t[0], t[1]], t[2], t[3].ravel(), t[4]]).tolist() for t in totals]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["which", "parts"])
-
-    parts = points.select(column).mapInArrow(run, "which int, parts array<double>")
-    summed = parts.select("which", F.posexplode("parts").alias("place", "value")).groupBy("which", "place").agg(F.sum("value").alias("value"))
-    flat: list[dict[int, float]] = [{} for _ in sets]
-    for row in summed.collect():  # sets x K x (size + 2) numbers
-        flat[row["which"]][row["place"]] = row["value"]
-    out = []
+                weight, winner = u**fuzziness, u.argmax(axis=1)
+                parts = [[len(x), (weight * d2).sum()]]
+                for own in (~out, out):
+                    won = np.bincount(winner[own], weights=u[np.arange(len(u)), winner][own], minlength=len(centres))
+                    parts += [weight[own].sum(axis=0), (weight[own].T @ x[own]).ravel(), won]
+                total += np.concatenate(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int32()), pa.array([t.tolist() for t in totals], pa.list_(pa.float64()))], ["which", "parts"])
+
+    flag = F.coalesce(F.col(left_out), F.lit(False)) if left_out else F.lit(False)
+    flat = _summed(points.select(column, flag.alias("out")).mapInArrow(run, "which int, parts array<double>"), len(sets))
+    found = []
     for values, centres in zip(flat, sets):
         k = len(centres)
-        v = np.array([values[i] for i in range(len(values))]) if values else np.zeros(2 + k * (size + 2))
-        out.append({"rows": int(v[0]), "objective": v[1], "weight": v[2 : 2 + k], "moment": v[2 + k : 2 + k + k * size].reshape(k, size), "won": v[2 + k + k * size :]})
-    return out
-
+        v = values if len(values) else np.zeros(2 + 2 * k * (size + 2))
+        one = {"rows": int(v[0]), "objective": float(v[1])}
+        for prefix, w in (("", v[2 : 2 + k * (size + 2)]), ("out_", v[2 + k * (size + 2) :])):
+            one |= {f"{prefix}weight": w[:k], f"{prefix}moment": w[k : k + k * size].reshape(k, size), f"{prefix}won": w[k + k * size :]}
+        found.append(one)
+    return found
 
-def even(u: np.ndarray, margin: float) -> np.ndarray:
-    """Condition one: memberships all close to 1/K."""
-    return np.abs(u - 1.0 / u.shape[1]).max(axis=1) <= margin
 
-
-def beyond(d2: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Condition two: farther from every centre than half that centre's farthest separation."""
-    reach = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2)).max(axis=1) / 2
-    return (np.sqrt(d2) > reach).all(axis=1)
+def _summed(parts: DataFrame, sets: int) -> list[np.ndarray]:
+    """The sums by place of the arrays (which, parts) of each set."""
+    summed = parts.select("which", F.posexplode("parts").alias("place", "value")).groupBy("which", "place").agg(F.sum("value").alias("value"))
+    rows = summed.toArrow()
+    which, place, value = (rows.column(c).to_numpy() for c in ("which", "place", "value"))
+    out = []
+    for i in range(sets):
+        own = np.zeros(int(place[which == i].max(initial=-1)) + 1)
+        own[place[which == i]] = value[which == i]
+        out.append(own)
+    return out
 
 
 def conditions(points: DataFrame, centres: np.ndarray, config: FuzzyConfig = FuzzyConfig(), column: str = "point") -> tuple[bool, bool]:
-    """Whether any row meets condition one, and whether any meets condition two."""
-    far = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2)).max(axis=1) / 2
-    d2 = squared_distances(F.col(column), centre_array(centres))
-    u = memberships(d2, config.fuzziness)
-    is_even = F.array_max(F.transform(u, lambda m: F.abs(m - 1.0 / len(centres)))) <= config.even_margin
-    outside = F.forall(F.arrays_zip(d2.alias("d"), F.array(*[F.lit(float(f)) for f in far]).alias("f")), lambda p: F.sqrt(p["d"]) > p["f"])
-    row = points.agg(F.coalesce(F.bool_or(is_even), F.lit(False)), F.coalesce(F.bool_or(outside), F.lit(False))).first()
+    """Whether any row meets condition one (memberships all close to 1/K), and whether any meets condition two
+    (farther from every centre than half that centre's farthest separation)."""
+    row = points.agg(*[F.coalesce(F.bool_or(c), F.lit(False)) for c in condition_columns(F.col(column), centre_array(centres), config)]).first()
     return bool(row[0]), bool(row[1])
 
 
@@ -179,15 +186,32 @@ def candidate_sizes(k: int, condition_one: bool, condition_two: bool, rows: int)
     return [n for n in sizes[condition_one, condition_two] if 2 <= n <= rows]
 
 
-def starts(points: DataFrame, centres: np.ndarray, sizes: list[int], masses: np.ndarray, column: str = "point") -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(source, centres, carried masses) for each size: kept, one centre less, or one centre split.
+def unclassifiable(point: Column, centres: np.ndarray, config: FuzzyConfig = FuzzyConfig()) -> Column:
+    """Whether a row meets both conditions under the given centres; null points are null."""
+    first, second = condition_columns(point, centre_array(centres), config)
+    return first & second
+
+
+def condition_columns(point: Column, centres: Column, config: FuzzyConfig = FuzzyConfig()) -> tuple[Column, Column]:
+    """Condition one and condition two of a row, as expressions over a column of centres."""
+    d2 = squared_distances(point, centres)
+    u = memberships(d2, config.fuzziness)
+    is_even = F.array_max(F.transform(u, lambda m: F.abs(m - 1.0 / F.size(centres)))) <= config.even_margin
+    reach = F.transform(centres, lambda a: F.array_max(squared_distances(a, centres)))  # squared farthest separation
+    outside = F.forall(F.zip_with(d2, reach, lambda d, f: F.sqrt(d) > F.sqrt(f) / 2), lambda far: far) & (F.size(centres) > 1)
+    return is_even, outside
+
 
-    A split moves a centre by half the root of its mean loss along the first axis of its members' covariance.
+def starts(points: DataFrame, centres: np.ndarray, sizes: list[int], masses: np.ndarray, column: str = "point") -> list[Start]:
+    """The starts for each size, in order of size: one centre less, all kept and moved, or one centre split.
+
+    A split moves a centre by half the root of its mean loss along the first axis of its members' covariance, to
+    both sides: back in its own place, forward behind all others.
     """
     k, size = centres.shape
-    out = [("keep", centres, masses)] if k in sizes else []
-    if k - 1 in sizes:
-        out += [(f"drop {i}", np.delete(centres, i, axis=0), np.delete(masses, i)) for i in range(k)]
+    out = [Start(f"drop {i}", np.delete(centres, i, axis=0)) for i in range(k)] if k - 1 in sizes else []
+    if k in sizes:
+        out.append(Start("keep", centres, masses))
     if k + 1 in sizes:
         own = nearest(points, centres, column)
         x = [F.get(column, F.lit(i)) for i in range(size)]
@@ -208,64 +232,73 @@ def starts(points: DataFrame, centres: np.ndarray, sizes: list[int], masses: np.
                 axis, loss = np.linalg.eigh(cov)[1][:, -1], max(row["loss"], 0.0) / n
             axis = axis * (np.sign(axis[np.abs(axis).argmax()]) or 1.0)
             step = max(math.sqrt(loss) / 2, 1e-3)
-            split = np.vstack([np.delete(centres, c, axis=0), centres[c] + step * axis, centres[c] - step * axis])
-            carried = np.append(np.delete(masses, c), [masses[c] / 2, masses[c] / 2])
-            out.append((f"split {c}", split, carried))
+            split = np.vstack([centres, centres[c] + step * axis])
+            split[c] = centres[c] - step * axis
+            out.append(Start(f"split {c}", split))
     return out
 
 
-def fit_moving(points: DataFrame, candidates: list[tuple[str, np.ndarray, np.ndarray]], config: FuzzyConfig = FuzzyConfig(), column: str = "point") -> list[Fit]:
-    """Blend each start's fixed centres with new weighted means until the objective settles; all starts per pass.
+def moved(start: Start, sums: dict) -> np.ndarray:
+    """The centres after one update.
+
+    Plain fuzzy c-means takes weighted means of all rows.  A moving start blends where it stood with the means of
+    the rows that are not left out, by the share of new mass, (hard-winner membership) / (carried + new); a centre
+    without new mass stays.
+    """
+    fixed = start.centres
+    if start.carried is None:
+        weight = np.maximum(sums["weight"] + sums["out_weight"], 1e-12)
+        return (sums["moment"] + sums["out_moment"]) / weight[:, None]
+    some = sums["weight"] > 1e-12
+    mean = np.divide(sums["moment"], sums["weight"][:, None], out=fixed.astype(float).copy(), where=some[:, None])
+    total = start.carried + sums["won"]
+    share = np.divide(sums["won"], total, out=np.zeros(len(fixed)), where=some & (total > 1e-12))[:, None]
+    return (1 - share) * fixed + share * mean
+
+
+def fit_starts(points: DataFrame, tried: list[Start], config: FuzzyConfig = FuzzyConfig(), left_out: str | None = None, column: str = "point") -> list[Fit]:
+    """Update every start until its objective changes by no more than the tolerance; all live starts per pass.
 
-    A centre moves by its share of new mass, (hard-winner membership) / (carried + new); without new mass it stays.
+    A pass gives the objective of the centres it was asked for and the sums for their next update.
     """
-    now = [c.copy() for _, c, _ in candidates]
-    fits: list[Fit | None] = [None] * len(candidates)
-    last: list[float] = [math.inf] * len(candidates)
-    for iteration in range(1, config.max_iterations + 1):
+    now, last, fits = [s.centres.astype(float) for s in tried], [math.inf] * len(tried), [None] * len(tried)
+    for done in range(config.max_iterations + 1):  # updates made so far
         live = [i for i, f in enumerate(fits) if f is None]
         if not live:
             break
-        sums = fuzzy_sums(points, [now[i] for i in live], config.fuzziness, config.even_margin, column)
-        for i, s in zip(live, sums):
-            source, fixed, carried = candidates[i]
-            if abs(last[i] - s["objective"]) <= config.tolerance or iteration == config.max_iterations:
-                settled = abs(last[i] - s["objective"]) <= config.tolerance
-                fits[i] = Fit(now[i], s["objective"], xie_beni(s["objective"], s["rows"], now[i]), iteration, settled, source, carried + s["won"])
+        for i, s in zip(live, fuzzy_sums(points, [now[i] for i in live], config.fuzziness, left_out, column)):
+            settled = done >= 2 and abs(last[i] - s["objective"]) <= config.tolerance
+            if settled or done == config.max_iterations:
+                index = xie_beni(s["objective"], s["rows"], now[i])
+                fits[i] = Fit(now[i], s["objective"], index, done, settled, tried[i].source, tried[i].centres, tried[i].carried)
                 continue
-            last[i] = s["objective"]
-            mean = np.divide(s["moment"], s["weight"][:, None], out=fixed.copy(), where=s["weight"][:, None] > 0)
-            share = np.divide(s["won"], carried + s["won"], out=np.zeros(len(fixed)), where=s["won"] > 0)[:, None]
-            now[i] = (1 - share) * fixed + share * mean
+            last[i] = s["objective"] if done else math.inf
+            now[i] = moved(tried[i], s)
     return [f for f in fits if f is not None]
 
 
 def fit_fuzzy(points: DataFrame, first: np.ndarray, config: FuzzyConfig = FuzzyConfig(), column: str = "point") -> Fit:
     """Plain fuzzy c-means from given centres."""
-    centres, last = first.astype(float), math.inf
-    for iteration in range(1, config.max_iterations + 1):
-        s = fuzzy_sums(points, [centres], config.fuzziness, None, column)[0]
-        if abs(last - s["objective"]) <= config.tolerance:
-            return Fit(centres, s["objective"], xie_beni(s["objective"], s["rows"], centres), iteration, True, "fuzzy", s["won"])
-        last = s["objective"]
-        centres = np.divide(s["moment"], s["weight"][:, None], out=centres.copy(), where=s["weight"][:, None] > 0)
-    return Fit(centres, last, xie_beni(last, s["rows"], centres), config.max_iterations, False, "fuzzy", s["won"])
+    return fit_starts(points, [Start("fuzzy", first)], config, column=column)[0]
 
 
 def best_fit(fits: list[Fit]) -> Fit:
-    """Lowest finite Xie-Beni index among converged fits, the first of ties."""
-    usable = [f for f in fits if f.converged and math.isfinite(f.xie_beni)]
-    if not usable:
-        raise ValueError("no candidate converged")
+    """Lowest finite Xie-Beni index among converged fits, the first of ties; every number of clusters tried must have one."""
+    usable = [f for f in fits if f.converged and math.isfinite(f.xie_beni) and math.isfinite(f.objective)]
+    without = sorted({len(f.centres) for f in fits} - {len(f.centres) for f in usable})
+    if without or not usable:
+        raise ValueError(f"no converged candidate with a finite index for {without} clusters")
     return min(usable, key=lambda f: f.xie_beni)
 
 
-def update(points: DataFrame, centres: np.ndarray, masses: np.ndarray, config: FuzzyConfig = FuzzyConfig(), column: str = "point") -> tuple[Fit, list[Fit]]:
-    """One cycle's step: conditions, candidate sizes, starts, fits and the choice; points are read from cache."""
-    points = points.select(column).persist()
+def update(points: DataFrame, centres: np.ndarray, masses: np.ndarray, config: FuzzyConfig = FuzzyConfig(), column: str = "point") -> tuple[Fit, list[Fit], tuple[int, int, int]]:
+    """One cycle's step: the choice, all fits, and how many rows meet condition one, two and both; points are read from cache."""
+    first, second = condition_columns(F.col(column), centre_array(centres), config)
+    points = points.select(column, first.alias("first"), second.alias("second"), (first & second).alias("left_out")).persist()
     try:
-        sizes = candidate_sizes(len(centres), *conditions(points, centres, config, column), points.count())
-        fits = fit_moving(points, starts(points, centres, sizes, masses, column), config, column)
-        return best_fit(fits), fits
+        n, *met = points.agg(F.count("*"), F.count_if("first"), F.count_if("second"), F.count_if("left_out")).first()
+        sizes = candidate_sizes(len(centres), met[0] > 0, met[1] > 0, n)
+        fits = fit_starts(points, starts(points, centres, sizes, masses, column), config, "left_out", column)
+        return best_fit(fits), fits, tuple(met)
     finally:
         points.unpersist()

@@ -28,6 +28,7 @@ class Run:
     lineage: list[dict] = field(default_factory=list)
     candidates: list[dict] = field(default_factory=list)
     quality: list[dict] = field(default_factory=list)
+    overlaps: list[dict] = field(default_factory=list)
 
     def tables(self) -> dict[str, DataFrame]:
         """The run as tables: assignments, and a few rows a cycle for each of the rest."""
@@ -39,14 +40,16 @@ class Run:
 RUN_TABLES = {
     "centres": "cycle_number int, cluster_index int, stable_cluster_id string, segment_name string, centre array<double>",
     "lineage": "cycle_number int, previous_id string, current_id string, distance double, overlap double, cost double, event string, is_primary int",
-    "candidates": "cycle_number int, k int, source string, objective double, xie_beni double, iterations int, converged boolean, selected boolean",
-    "quality": "cycle_number int, k int, n long, objective double, xie_beni double, iterations int, source string",
+    "candidates": "cycle_number int, k int, source string, objective double, xie_beni double, iterations int, converged boolean, selected boolean, "
+    "start array<array<double>>, carried array<double>, fitted array<array<double>>",
+    "quality": "cycle_number int, k int, n long, objective double, xie_beni double, iterations int, source string, condition_one long, condition_two long, left_out long",
+    "overlaps": "cycle_number int, previous_index int, current_index int, overlap double",
 }
 
 
 def _plain(row: dict, schema: str) -> tuple:
     """A row's values in the schema's order, NumPy scalars as Python's."""
-    values = (row[column.split()[0]] for column in schema.split(", "))
+    values = (row.get(column.split()[0]) for column in schema.split(", "))
     return tuple(v.item() if isinstance(v, np.generic) else v for v in values)
 
 
@@ -97,13 +100,17 @@ def run(panel: DataFrame, config: clustering.FuzzyConfig = clustering.FuzzyConfi
             next_number, crisp = len(ids) + 1, True
             rows = clustering.nearest(own, centres)
             n, cost = rows.agg(F.count("*"), F.sum(F.array_min("d2"))).first()
-            out.quality.append({"cycle_number": cycle, "k": len(ids), "n": n, "objective": cost, "xie_beni": None, "iterations": None, "source": "k-means"})
+            out.quality.append({"cycle_number": cycle, "k": len(ids), "n": n, "objective": cost, "source": "k-means"})
         else:
             crisp = False
             carried = _carried(before, own, ids)
-            fit, fits = clustering.update(own, centres, carried, config)
+            fit, fits, met = clustering.update(own, centres, carried, config)
             out.candidates += [
-                {"cycle_number": cycle, "k": len(f.centres), "source": f.source, "objective": f.objective, "xie_beni": f.xie_beni, "iterations": f.iterations, "converged": f.converged, "selected": f is fit}
+                {
+                    "cycle_number": cycle, "k": len(f.centres), "source": f.source, "objective": f.objective, "xie_beni": f.xie_beni,
+                    "iterations": f.iterations, "converged": f.converged, "selected": f is fit, "start": f.start.tolist(),
+                    "carried": None if f.carried is None else f.carried.tolist(), "fitted": f.centres.tolist(),
+                }
                 for f in fits
             ]
             paired = _assigned(own, fit.centres, [""] * len(fit.centres), [""] * len(fit.centres), False, config.fuzziness).join(
@@ -112,10 +119,18 @@ def run(panel: DataFrame, config: clustering.FuzzyConfig = clustering.FuzzyConfi
             overlap = np.zeros((len(centres), len(fit.centres)))
             for r in lineage.fuzzy_overlap(paired).collect():  # K x K' rows
                 overlap[r["previous_index"], r["current_index"]] = r["fuzzy_jaccard"]
+            out.overlaps += [
+                {"cycle_number": cycle, "previous_index": a, "current_index": b, "overlap": float(v)} for (a, b), v in np.ndenumerate(overlap)
+            ]
             ids, events, next_number = lineage.match_identities(centres, fit.centres, overlap, ids, next_number)
             out.lineage += [{"cycle_number": cycle, **e} for e in events]
             centres = fit.centres
-            out.quality.append({"cycle_number": cycle, "k": len(ids), "n": own.count(), "objective": fit.objective, "xie_beni": fit.xie_beni, "iterations": fit.iterations, "source": fit.source})
+            out.quality.append(
+                {
+                    "cycle_number": cycle, "k": len(ids), "n": own.count(), "objective": fit.objective, "xie_beni": fit.xie_beni, "iterations": fit.iterations,
+                    "source": fit.source, **dict(zip(("condition_one", "condition_two", "left_out"), met)),
+                }
+            )
         blank = _assigned(own, centres, ids, [""] * len(ids), crisp, config.fuzziness)
         names = naming.names_of(naming.centre_profiles(blank, len(ids)))
         before = _assigned(own, centres, ids, names, crisp, config.fuzziness)

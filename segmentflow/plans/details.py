@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmentflow.operators import behaviour, features, markets, quality, registry, snapshot, summaries
+from segmentflow.operators import behaviour, features, markets, quality, registry, replay, snapshot, summaries
 from segmentflow.operators.calendar import in_periods
 from segmentflow.plans import reports, sql
 from segmentflow.plans import state as st
@@ -352,3 +352,24 @@ def fit_audit(spark, sf_dir):
     """Rules of the fitted run with their violations; memberships are computed again from the stored centres."""
     run = st.fitted_run(spark, sf_dir)
     return quality.fit_violations(run["assignments"], run["centres"], run["lineage"], run["candidates"])
+
+
+@registered("centre_replay")
+def centre_replay(spark, sf_dir):
+    """Every candidate of every cycle fitted again from its stored start and masses."""
+    run = st.fitted_run(spark, sf_dir)
+    return replay.candidates_again(run["assignments"], run["centres"], run["candidates"])
+
+
+@registered("identity_replay")
+def identity_replay(spark, sf_dir):
+    """Overlaps, link costs, ids and events of every cycle computed again."""
+    run = st.fitted_run(spark, sf_dir)
+    return replay.identities_again(run["assignments"], run["centres"], run["lineage"], run["overlaps"])
+
+
+@registered("fit_replay")
+def fit_replay(spark, sf_dir):
+    """Memberships, objective, Xie-Beni index and condition counts of every fitted cycle computed again (V5)."""
+    run = st.fitted_run(spark, sf_dir)
+    return replay.cycles_again(run["assignments"], run["centres"], run["quality"])

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segmentflow.functions.membership import membership_details
-from segmentflow.operators import markets, quality, registry
+from segmentflow.operators import clustering, lineage, markets, quality, registry, replay
 from segmentflow.plans import cycles, state
 
 
@@ -39,6 +39,27 @@ def test_cycle_loop_invariants(spark):
     found = audit(lineage=again)
     assert [found[n] for n in ("created id used before", "link below the least overlap", "primary link between two ids")] == [1, 1, 1]
     assert audit(centres=tables["centres"].unionByName(tables["centres"]))["two centres under one id"] == len(run.centres)
+    # The replay agrees with the run, and sees each planted fault.
+    again = lambda f, *names, **changed: [r.asDict() for r in f(*[{**tables, **changed}[n] for n in names]).collect()]
+    fits = lambda **changed: again(replay.candidates_again, "assignments", "centres", "candidates", **changed)
+    links = lambda **changed: again(replay.identities_again, "assignments", "centres", "lineage", "overlaps", **changed)
+    cycle = lambda **changed: again(replay.cycles_again, "assignments", "centres", "quality", **changed)
+    assert len(fits()) == len(run.candidates) and all(r["holds"] for rows in (fits(), links(), cycle()) for r in rows) and len(links()) == len(cycle()) == 1
+    keep = F.col("source") == "keep"
+    for column, change in {
+        "fitted": F.transform("fitted", lambda c: F.transform(c, lambda v: v + 1e-6)), "objective": F.col("objective") + 1e-6, "xie_beni": F.col("xie_beni") * 1.001,
+        "iterations": F.col("iterations") + 1, "carried": F.transform("carried", lambda m: m + 50.0), "start": F.transform("start", lambda c: F.transform(c, lambda v: v + 0.05)),
+    }.items():
+        wrong = tables["candidates"].withColumn(column, F.when(keep, change).otherwise(F.col(column)))
+        assert [r["source"] for r in fits(candidates=wrong) if not r["holds"]] == ["keep"], column
+    for name, change in {"overlaps": {"overlap": F.col("overlap") + 1e-6}, "lineage": {"cost": F.col("cost") + 1e-6}}.items():
+        assert not links(**{name: tables[name].withColumns(change)})[0]["holds"]
+    assert not links(lineage=tables["lineage"].withColumn("event", F.lit("retired")))[0]["holds"]
+    renamed = tables["centres"].withColumn("stable_cluster_id", F.when(F.col("cycle_number") == 1, F.translate("stable_cluster_id", "12", "21")).otherwise(F.col("stable_cluster_id")))
+    assert links(centres=renamed)[0]["wrong_ids"] == 2
+    for column in ("condition_one", "condition_two", "left_out", "n"):
+        assert not cycle(quality=tables["quality"].withColumn(column, F.col(column) + 1))[0]["holds"], column
+    assert cycle(assignments=tables["assignments"].withColumn("u", F.reverse("u")))[0]["membership_mismatches"] > 0
     for c in (0, 1):
         names = [x["segment_name"] for x in run.centres if x["cycle_number"] == c]
         assert len(names) == len(set(names))
@@ -46,6 +67,56 @@ def test_cycle_loop_invariants(spark):
         assert len(order) == len(set(order))
 
 
+@pytest.mark.parametrize("extra", [((0.0, 0.0, 0.0),), ((3.0, 0.0, 0.0),), ((0.0, 0.0, 3.0),)])
+def test_update_equals_a_direct_computation(spark, extra):
+    """All starts of all branches: moving centres leave out rows by the cycle before, other sizes are plain fuzzy c-means."""
+    centres = np.array([[1, 1, 0], [1, -1, 0], [-1, 1, 0], [-1, -1, 0]], dtype=float)
+    rng = np.random.default_rng(20261025)
+    x = np.vstack([*[c + rng.normal(0.02, 0.05, (35, 3)) for c in centres], extra])
+    df = spark.createDataFrame([(p.tolist(),) for p in x], "point array<double>")
+    carried = np.array([35.0, 10.0, 0.0, 70.0])
+    gaps = lambda c: ((x[:, None] - c[None]) ** 2).sum(axis=2)
+
+    def shares(c):
+        d = gaps(c)
+        return np.where((d <= 1e-24).any(axis=1, keepdims=True), d <= 1e-24, (1 / np.maximum(d, 1e-300)) / (1 / np.maximum(d, 1e-300)).sum(axis=1, keepdims=True))
+
+    u = shares(centres)
+    far = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2)).max(axis=1) / 2
+    out = (np.abs(u - 0.25).max(axis=1) <= 0.05) & (np.sqrt(gaps(centres)) > far).all(axis=1)
+    fit, fits, met = clustering.update(df, centres, carried)
+    assert met[2] == out.sum()
+    for f in fits:
+        now, last = f.start, None
+        for updates in range(1, 301):
+            u = shares(now)
+            if f.carried is None:
+                now = (u**2).T @ x / (u**2).sum(axis=0)[:, None]
+            else:
+                w, won = (u**2)[~out], np.array([u[~out & (u.argmax(axis=1) == k), k].sum() for k in range(4)])
+                share = np.divide(won, f.carried + won, out=np.zeros(4), where=won > 0)[:, None]
+                now = (1 - share) * f.start + share * (w.T @ x[~out] / w.sum(axis=0)[:, None])
+            objective = (shares(now) ** 2 * gaps(now)).sum()
+            if last is not None and abs(last - objective) <= 0.01:
+                break
+            last = objective
+        assert f.iterations == updates and np.allclose(f.centres, now, atol=1e-9) and f.objective == pytest.approx(objective, abs=1e-9)
+    sizes = [len(f.centres) for f in fits]
+    assert sizes == sorted(sizes) and fit.xie_beni == min(f.xie_beni for f in fits)
+
+
+def test_least_pairs_equal_augmenting_paths():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        k, j = rng.integers(1, 7, 2)
+        cost, allowed = rng.random((k, j)) * 1.4, rng.random((k, j)) < 0.7
+        wide = np.zeros((k + j, k + j))
+        wide[:k, :j], wide[:k, j:], wide[k:, :j] = np.where(allowed, cost, 1e6), 0.5, 0.5
+        pairs = [(a, b) for a, b in lineage.assign_least_cost(wide) if a < k and b < j and allowed[a, b]]
+        price, found = replay.least_pairs(cost, allowed, 0.5)
+        assert found == sorted(pairs) and price == pytest.approx(sum(cost[p] for p in pairs) + 0.5 * (k + j - 2 * len(pairs)))
+
+
 def test_market_groups_are_frozen_and_checked(spark):
     rng = np.random.default_rng(6)
     rows = [(c, f"N{i}", 1000.0 * (i % 3 + 1), 50.0 * (i % 2 + 1), 0.1 * (i % 4), *map(float, np.array([i % 3, i % 3, i % 2, i % 3, i % 2, 0.1 * (i % 4)]) + rng.random(6) / 20)) for c in range(2) for i in range(12)]

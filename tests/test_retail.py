@@ -55,8 +55,9 @@ def test_four_branches_of_the_cycle_update(spark, extra, sizes):
     assert clustering.candidate_sizes(4, *met, len(x)) == sizes
     masses = np.full(4, 35.0)
     tried = clustering.starts(df, CENTRES, sizes, masses)
-    assert sorted({len(c) for _, c, _ in tried}) == sizes and all(np.isclose(m.sum(), 140) or len(c) == 3 for _, c, m in tried)
-    fit, fits = clustering.update(df, CENTRES, masses)
+    assert sorted({len(s.centres) for s in tried}) == sizes and all((s.carried is not None) == (s.source == "keep") for s in tried)
+    fit, fits, met_rows = clustering.update(df, CENTRES, masses)
+    assert tuple(n > 0 for n in met_rows[:2]) == met
     u, d2 = numpy_memberships(x, fit.centres)
     assert fit.objective == pytest.approx(float((u**2 * d2).sum()), abs=1e-9)
     assert fit.xie_beni == pytest.approx(clustering.xie_beni(fit.objective, len(x), fit.centres))
@@ -65,7 +66,7 @@ def test_four_branches_of_the_cycle_update(spark, extra, sizes):
 
 def test_a_centre_without_new_mass_stays(spark):
     x = four_groups()[:70]
-    fits = clustering.fit_moving(points_df(spark, x), [("keep", CENTRES, np.full(4, 10.0))])
+    fits = clustering.fit_starts(points_df(spark, x), [clustering.Start("keep", CENTRES, np.full(4, 10.0))])
     assert np.allclose(fits[0].centres[2:], CENTRES[2:])
 
 
@@ -147,8 +148,8 @@ def test_identities_survive_relabelling_and_splits():
 def test_tiny_centres_split_along_the_first_axis(spark):
     rows = points_df(spark, CENTRES[:3].astype(float))
     found = clustering.starts(rows, CENTRES.astype(float), [5], np.ones(4))
-    assert len(found) == 4 and all(len(c) == 5 for _, c, _ in found)
-    assert np.allclose(found[3][1][-2:], CENTRES[3] + np.array([[1e-3, 0, 0], [-1e-3, 0, 0]]))
+    assert len(found) == 4 and all(len(s.centres) == 5 for s in found)
+    assert np.allclose(found[3].centres[[4, 3]], CENTRES[3] + np.array([[1e-3, 0, 0], [-1e-3, 0, 0]]))
 
 
 def test_rank_shares_of_many_ties_in_few_ranges(spark):
