@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from segmentflow.sources.ledger import LEDGER_COLUMNS, require_columns
 
 
-def dedup_exact(raw: DataFrame) -> DataFrame:
-    """One of each row equal in all eight raw columns; nulls equal nulls."""
+def dedup_exact(raw: DataFrame, arrival: str | None = None) -> DataFrame:
+    """One of each row equal in all eight raw columns; nulls equal nulls.  With ``arrival``, the first to come."""
+    if arrival:
+        return raw.groupBy(*LEDGER_COLUMNS).agg(F.min(arrival).alias(arrival))
     return raw.dropDuplicates(LEDGER_COLUMNS)
 
 
@@ -60,14 +62,16 @@ def is_paid_sale(start: str, end: str) -> Column:
     )
 
 
-def clean(raw: DataFrame, start: str, end: str, deduplicate: bool = True) -> DataFrame:
+def clean(raw: DataFrame, start: str, end: str, deduplicate: bool = True, arrival: str | None = None) -> DataFrame:
     """Paid sales of the range, with their value.
 
     Equal rows pass or fail the filter alike, so filtering before the dedup gives the same rows and
-    shuffles fewer.  The dedup compares raw columns, before any trimming.
+    shuffles fewer.  The dedup compares raw columns, before any trimming.  ``arrival`` names the column with the
+    place of a row in its source, which then goes with the sale; (invoice_date, arrival) is the stable order.
     """
+    carried = [arrival] if arrival else []
     if not deduplicate:
-        kept = normalise(raw).where(is_paid_sale(start, end))
+        kept = normalise(raw, *carried).where(is_paid_sale(start, end))
     else:
         roomy = raw.where(
             (F.col("invoice_date").try_cast("timestamp") >= F.lit(start).cast("timestamp"))
@@ -76,7 +80,7 @@ def clean(raw: DataFrame, start: str, end: str, deduplicate: bool = True) -> Dat
             & (F.col("quantity").try_cast("double") > 0)
             & F.col("customer_id").isNotNull()
         )
-        kept = normalise(dedup_exact(roomy)).where(is_paid_sale(start, end))
+        kept = normalise(dedup_exact(roomy, arrival), *carried).where(is_paid_sale(start, end))
     return kept.withColumns(
         {
             "total_price": F.col("quantity") * F.col("unit_price"),
@@ -129,19 +133,33 @@ def cleaning_decisions(raw: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def duplicate_examples(ordered: DataFrame, order_col: str, limit: int = 20) -> DataFrame:
-    """The first repeats of whole rows with the row number of their first occurrence."""
+    """The first repeats of whole rows, with the arrival number of their first occurrence and their own values.
+
+    Of a row repeated more often than the limit, only as many repeats as could be shown are kept per task before
+    they meet.
+    """
     same = Window.partitionBy(*LEDGER_COLUMNS).orderBy(order_col)
-    marked = ordered.withColumn("occurrence", F.row_number().over(same)).withColumn("first_row", F.first(order_col).over(same))
-    return marked.where("occurrence > 1").select(order_col, "first_row", "occurrence").orderBy(order_col).limit(limit)
+    early = ordered.select(*LEDGER_COLUMNS, order_col).withColumn("occurrence", F.row_number().over(same)).where(F.col("occurrence") <= limit + 1)
+    marked = early.withColumn("first_row", F.min(order_col).over(Window.partitionBy(*LEDGER_COLUMNS)))
+    return marked.where("occurrence > 1").select(order_col, "first_row", "occurrence", *LEDGER_COLUMNS).orderBy(order_col).limit(limit)
+
+
+def first_and_last(sales: DataFrame, order_col: str) -> DataFrame:
+    """Each customer's first and last invoice in the stable order (invoice_date, order_col)."""
+    place = F.struct("invoice_date", order_col)
+    return sales.groupBy("customer_id").agg(
+        F.min_by("invoice_no", place).alias("first_invoice"), F.max_by("invoice_no", place).alias("last_invoice"),
+        F.min_by(order_col, place).alias("first_row"), F.max_by(order_col, place).alias("last_row"), F.count("*").alias("rows"),
+    )
 
 
 def out_of_order_rows(ordered: DataFrame, order_col: str, time_col: str = "invoice_date", buckets: int = 1 << 20) -> DataFrame:
-    """How many rows are earlier than the row before them in arrival order.
+    """How many rows are earlier than the row before them in arrival order; rows without a time are passed over.
 
     Arrival numbers are cut into ranges; each range compares its own neighbours, and the seams between
     ranges are compared from one row per range.
     """
-    rows = ordered.select(F.col(order_col).alias("no"), F.col(time_col).alias("at")).withColumn("range", F.floor(F.col("no") / buckets))
+    rows = ordered.select(F.col(order_col).alias("no"), F.col(time_col).alias("at")).where("at is not null").withColumn("range", F.floor(F.col("no") / buckets))
     inner = rows.withColumn("before", F.lag("at").over(Window.partitionBy("range").orderBy("no")))
     within = inner.agg(F.count_if(F.col("at") < F.col("before")).alias("n"))
     ends = rows.groupBy("range").agg(F.min_by("at", "no").alias("first_at"), F.max_by("at", "no").alias("last_at"))

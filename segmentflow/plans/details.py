@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmentflow.operators import behaviour, features, markets, quality, registry, replay, snapshot, summaries
+from segmentflow.operators import behaviour, cleaning, features, markets, quality, registry, replay, snapshot, summaries
 from segmentflow.operators.calendar import in_periods
 from segmentflow.plans import reports, sql
 from segmentflow.plans import state as st
@@ -373,3 +373,56 @@ def fit_replay(spark, sf_dir):
     """Memberships, objective, Xie-Beni index and condition counts of every fitted cycle computed again (V5)."""
     run = st.fitted_run(spark, sf_dir)
     return replay.cycles_again(run["assignments"], run["centres"], run["quality"])
+
+
+# The order of the source
+
+INSIDE = "invoice_date >= TIMESTAMP '1995-01-01' AND invoice_date < TIMESTAMP '1996-01-01'"
+
+
+@registered(
+    "duplicate_examples",
+    sql.with_(sql.ARRIVED)
+    + f""", same AS (
+        SELECT *, row_number() OVER w AS occurrence, min(arrival) OVER w AS first_row FROM raw WHERE {INSIDE}
+        WINDOW w AS (PARTITION BY invoice_no, stock_code, description, quantity, invoice_date, unit_price, customer_id, country ORDER BY arrival))
+    SELECT arrival, first_row, occurrence, invoice_no, stock_code, quantity, unit_price, customer_id::BIGINT AS customer_id,
+           strftime(invoice_date, '%Y-%m-%d') AS invoice_date
+    FROM same WHERE occurrence > 1 ORDER BY arrival LIMIT 20""",
+)
+def duplicate_examples(spark, sf_dir):
+    """The first twenty repeats of whole rows in the period, each with the row that it repeats."""
+    found = cleaning.duplicate_examples(st.arrived_ledger(spark, sf_dir).where(INSIDE), "arrival", limit=20)
+    return found.select(
+        "arrival", "first_row", "occurrence", "invoice_no", "stock_code", "quantity", "unit_price", F.col("customer_id").cast("long").alias("customer_id"), day("invoice_date")
+    )
+
+
+@registered(
+    "out_of_order_rows",
+    sql.with_(sql.ARRIVED)
+    + """SELECT count(*) AS rows, (count(*) FILTER (invoice_date < before))::BIGINT AS out_of_order_rows
+    FROM (SELECT invoice_date, lag(invoice_date) OVER (ORDER BY arrival) AS before FROM raw)""",
+)
+def out_of_order_rows(spark, sf_dir):
+    """Rows of the source that are earlier than the row before them."""
+    rows = st.arrived_ledger(spark, sf_dir)
+    return cleaning.out_of_order_rows(rows, "arrival").crossJoin(F.broadcast(rows.agg(F.count("*").alias("rows"))))  # one row each
+
+
+@registered(
+    "first_and_last_invoices",
+    sql.with_(sql.ARRIVED)
+    + f""", once AS (
+        SELECT min(arrival) AS arrival, invoice_no, stock_code, description, quantity, invoice_date, unit_price, customer_id, country FROM raw
+        WHERE customer_id IS NOT NULL AND quantity > 0 AND unit_price > 0 AND invoice_no NOT LIKE 'C%' AND {INSIDE} GROUP BY ALL),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY invoice_date, arrival) AS up,
+                      row_number() OVER (PARTITION BY customer_id ORDER BY invoice_date DESC, arrival DESC) AS down FROM once)
+    SELECT customer_id::BIGINT AS customer_id, max(invoice_no) FILTER (up = 1) AS first_invoice, max(invoice_no) FILTER (down = 1) AS last_invoice,
+           (max(arrival) FILTER (up = 1))::BIGINT AS first_row, (max(arrival) FILTER (down = 1))::BIGINT AS last_row, count(*) AS rows
+    FROM placed GROUP BY customer_id""",
+)
+def first_and_last_invoices(spark, sf_dir):
+    """Each customer's first and last sale in the stable order of date and source."""
+    sales = cleaning.clean(st.arrived_ledger(spark, sf_dir), st.CONFIG.baseline_start, st.CONFIG.end, arrival="arrival")
+    return cleaning.first_and_last(sales, "arrival")

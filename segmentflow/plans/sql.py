@@ -16,6 +16,9 @@ RAW = """raw AS (
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
          JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
          JOIN (VALUES (0), (1)) AS c(copy) ON c.copy = 0 OR l_orderkey % 97 = 0)"""
+ARRIVED = RAW.replace("SELECT CASE WHEN l_returnflag", "SELECT 2 * (line_no - 1) + c.copy AS arrival, CASE WHEN l_returnflag", 1).replace(
+    "FROM lineitem JOIN", "FROM (SELECT *, row_number() OVER () AS line_no FROM lineitem) JOIN", 1
+)
 LEDGER = f"""{RAW}, ledger AS (
     SELECT invoice_no, stock_code, coalesce(description, 'Unknown product') AS description, quantity, invoice_date,
            unit_price, customer_id, coalesce(country, 'Unspecified') AS country, quantity * unit_price AS total_price

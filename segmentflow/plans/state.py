@@ -54,6 +54,11 @@ def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_ledger(spark, sf_dir)
 
 
+def arrived_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw ledger with the place of each row in its source."""
+    return stored(spark, sf_dir, "arrived", lambda: order_ledger(spark, sf_dir, "arrival"))
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "ledger", lambda: clean(raw_ledger(spark, sf_dir), CONFIG.baseline_start, CONFIG.end))
 

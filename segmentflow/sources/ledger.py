@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segmentflow.session import table
+from segmentflow.sources.arrival import numbered_csv, numbered_parquet
 
 LEDGER_SCHEMA = T.StructType(
     [
@@ -36,12 +37,23 @@ def read_ledger(spark: SparkSession, path: str, kind: str = "parquet") -> DataFr
     return require_columns(reader.format(kind).load(path), LEDGER_COLUMNS).select(*LEDGER_COLUMNS)
 
 
-def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+def read_ordered_ledger(spark: SparkSession, path: str, kind: str = "parquet", name: str = "arrival") -> DataFrame:
+    """The ledger's columns with the arrival number of each row."""
+    rows = numbered_csv(spark, path, name) if kind == "csv" else numbered_parquet(spark, path, name)
+    return require_columns(rows, LEDGER_COLUMNS).select(*LEDGER_COLUMNS, name)
+
+
+def order_ledger(spark: SparkSession, sf_dir: str, arrival: str | None = None) -> DataFrame:
     """lineitem, orders, part, supplier and nation as a ledger, with returns, gaps, zero prices and repeats.
 
-    Dimension tables are joined by key; Catalyst broadcasts them while they are small.
+    Dimension tables are joined by key; Catalyst broadcasts them while they are small.  ``arrival`` names a column
+    for the place of each row in the line file, repeats directly behind their line.
     """
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    needed = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"]
+    if arrival:
+        lines = numbered_parquet(spark, f"{sf_dir}/lineitem.parquet", "line_no", needed)
+    else:
+        lines = table(spark, sf_dir, "lineitem").select(*needed, F.lit(0).alias("line_no"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     places = (
@@ -64,6 +76,7 @@ def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("o_custkey") % 50 != 0, F.col("o_custkey")).cast("double").alias("customer_id"),
             F.when(F.col("l_suppkey") % 29 != 0, F.col("n_name")).alias("country"),
             F.explode(F.when(F.col("l_orderkey") % 97 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+            "line_no",
         )
     )
-    return once.select(*LEDGER_COLUMNS)
+    return once.select(*LEDGER_COLUMNS, *([(2 * F.col("line_no") + F.col("copy")).alias(arrival)] if arrival else []))

@@ -1,11 +1,13 @@
 """Operators of the retail jobs against direct computations."""
 
+import datetime
 import itertools
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segmentflow.functions import membership, profiles
 from segmentflow.operators import behaviour, calendar, cleaning, clustering, features, lineage, naming, quality, reversals, snapshot, validity
@@ -355,3 +357,45 @@ def test_explained_variance_is_that_of_the_projected_rows(spark, sf_dir):
     assert [c for c, _, _ in found] == [1, 2, 3] and sum(e for _, e, _ in found) <= 1 + 1e-6
     assert all(e == pytest.approx(p, abs=2e-6) for _, e, p in found)
     assert found[0][1] >= found[1][1] >= found[2][1] >= 0
+
+
+def test_arrival_numbers_follow_files_and_rows(spark, tmp_path):
+    """Many files and many splits; numbers are gapless and in the order of names and rows."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from segmentflow.sources.arrival import numbered_csv, numbered_parquet
+
+    sizes, n = [700, 1, 0, 1500, 30], 0
+    for kind in ("parquet", "csv"):
+        (tmp_path / kind).mkdir()
+    for i, size in enumerate(sizes):
+        own = list(range(n, n + size))
+        n += size
+        pq.write_table(pa.table({"v": pa.array(own, pa.int64()), "a.b": pa.array(["x"] * size)}), tmp_path / "parquet" / f"part-{i}.parquet", row_group_size=100)
+        (tmp_path / "csv" / f"part-{i}.csv").write_text("v,w\n" + "".join(f"{v},text {v}\n" for v in own))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "2048")
+        for rows in (numbered_parquet(spark, str(tmp_path / "parquet")), numbered_csv(spark, str(tmp_path / "csv"))):
+            got = rows.select(F.col("v").cast("long"), "arrival").collect()
+            assert sorted(r.arrival for r in got) == list(range(n)) and all(r.v == r.arrival for r in got)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_first_of_equal_rows_is_kept_and_crowded_repeats_are_shown(spark, tmp_path):
+    row = ("1", "a", "d", 1.0, datetime.datetime(2020, 1, 5), 2.0, 7.0, "X")
+    late = ("2", "b", "d", 1.0, datetime.datetime(2020, 1, 5), 2.0, 7.0, "X")
+    rows = [(*r, i) for i, r in enumerate([late, row, row, late, *[row] * 50])]
+    df = spark.createDataFrame(rows, T.StructType([*LEDGER_SCHEMA.fields, T.StructField("arrival", T.LongType())])).repartition(4)
+    shown = cleaning.duplicate_examples(df, "arrival", limit=5).collect()
+    assert [(r.arrival, r.first_row, r.occurrence) for r in shown] == [(2, 1, 2), (3, 0, 2), (4, 1, 3), (5, 1, 4), (6, 1, 5)]
+    sales = cleaning.clean(df, "2020-01-01", "2021-01-01", arrival="arrival")
+    assert sorted(r.arrival for r in sales.collect()) == [0, 1]
+    ends = cleaning.first_and_last(sales, "arrival").first()
+    assert (ends.first_invoice, ends.last_invoice, ends.first_row, ends.last_row) == ("2", "1", 0, 1)
+    assert cleaning.out_of_order_rows(df.limit(0), "arrival").first()[0] == 0
+    assert cleaning.out_of_order_rows(df.withColumn("invoice_date", F.when(F.col("arrival") % 2 == 0, F.col("invoice_date"))), "arrival").first()[0] == 0
