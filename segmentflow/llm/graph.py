@@ -7,12 +7,17 @@ centre may own most edges, so its rows must not meet in one task: see ``spread_j
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmentflow.llm.columns import column
 from segmentflow.session import ensure_checkpoint_dir
 
+#: Rows of a broadcast table of bit masks; a power of two.
+MOST_SLOTS = 1 << 20
+
 
 def spread_join(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
     """rows with the columns of values, which holds one row per key; a key may hold most rows.
@@ -75,25 +80,47 @@ def named_by_first(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
     return spread_join(rooted, firsts, "root").drop("root", "first_id")
 
 
+def sieved(rows: DataFrame, hashed: Column, wanted: DataFrame, name: str) -> DataFrame:
+    """rows with the boolean ``name``: true for every hash among wanted (hash), and for few others.
+
+    The hashes become a table of bit masks that is broadcast: ``MOST_SLOTS`` rows of two numbers at most,
+    whatever the number of hashes, so rows that cannot match stay where they are.  With more hashes than bits,
+    more rows pass; none that should is lost.
+    """
+    n = wanted.count()
+    slots = 1 << min(MOST_SLOTS.bit_length() - 1, max(10, (16 * n // 63).bit_length()))
+    slot = lambda h: F.pmod(h, F.lit(slots)).alias("sieve_slot")
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(63)).cast("int"))
+    masks = wanted.select(slot(F.col("hash")), bit(F.col("hash")).alias("bit")).groupBy("sieve_slot").agg(F.bit_or("bit").alias("sieve_mask"))
+    joined = rows.withColumn("sieve_hash", hashed).withColumn("sieve_slot", slot(F.col("sieve_hash"))).join(F.broadcast(masks), "sieve_slot", "left")
+    hit = F.coalesce(F.col("sieve_mask").bitwiseAND(bit(F.col("sieve_hash"))) != 0, F.lit(False))
+    return joined.withColumn(name, hit).drop("sieve_slot", "sieve_mask", "sieve_hash")
+
+
 def first_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of docs per root of found (node_id, text_key, root): the least id, then the least text.
 
-    Rows without an id come last.  Only rows that tie by id are grouped with their texts.  Columns of docs
-    travel as one struct, so their names cannot clash with those used here.
+    Rows without an id come last.  Rows alone under their root stay where they are; only the others meet their
+    group, and only rows that tie by id are grouped with their texts.  Columns of docs travel as one struct, so
+    their names cannot clash with those used here.
     """
-    least = found.groupBy("root").agg(F.min("node_id").alias("least_id"))
-    tied = spread_join(found, least, "root").where(F.col("node_id").eqNullSafe(F.col("least_id")))
-    keepers = tied.groupBy("root", "least_id", "text_key").agg(F.count("*").alias("rows"))
-    alone = keepers.groupBy("root").agg(F.sum("rows").alias("n_root"))
-    keepers = spread_join(keepers.drop("rows"), alone, "root").checkpoint()
+    sizes = found.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    pairs = spread_join(found, sizes.select("root"), "root").groupBy("root", "node_id", "text_key").agg(F.count("*").alias("rows")).checkpoint()
+    least = pairs.groupBy("root").agg(F.min("node_id").alias("least_id"))
+    pairs = spread_join(pairs, least, "root").withColumn("keeps", F.col("node_id").eqNullSafe(F.col("least_id")))
+    ties = pairs.where("keeps").groupBy("root").agg(F.sum("rows").alias("n_root"))
+    pairs = spread_join(pairs, ties, "root").select("root", "node_id", F.col("text_key").alias("pair_key"), "keeps", "n_root").checkpoint()
     text = column(text_col)
     keyed = docs.select(
-        F.struct(*map(column, docs.columns)).alias("doc"), column(id_col).alias("least_id"),
+        F.struct(*map(column, docs.columns)).alias("doc"), column(id_col).alias("own_id"),
         F.xxhash64(text.cast("string")).alias("text_key"), text.alias("text"),
     )
-    same = keyed["least_id"].eqNullSafe(keepers["least_id"]) & (keyed["text_key"] == keepers["text_key"])
-    joined = keyed.join(keepers, same).select("doc", "root", "n_root", "text")
-    several = joined.where("n_root > 1").groupBy("root").agg(
+    wanted = pairs.select(F.xxhash64("node_id", "pair_key").alias("hash"))
+    marked = sieved(keyed, F.xxhash64("own_id", "text_key"), wanted, "grouped")
+    same = F.col("own_id").eqNullSafe(F.col("node_id")) & (F.col("text_key") == F.col("pair_key"))
+    met = marked.where("grouped").join(pairs, same, "left").where("keeps or keeps is null")
+    several = met.where("n_root > 1").groupBy("root").agg(
         F.min_by("doc", F.struct(F.col("text").isNotNull(), F.col("text"))).alias("doc")
     )
-    return joined.where("n_root = 1").select("doc.*").unionByName(several.select("doc.*"))
+    alone = [marked.where("not grouped"), met.where("n_root is null or n_root = 1"), several]
+    return reduce(DataFrame.unionByName, [rows.select("doc.*") for rows in alone])
