@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from segmentflow.llm.columns import column
+
 NO_RANK = -1
 #: Bytes of new pre-tokens that share a linked list, and words that a worker remembers.
 LIST_BYTES, REMEMBERED = 1_000_000, 250_000
@@ -257,7 +259,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 packed = pa.array(vocab.encode(texts[a:b]), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], packed], ["id", "ids"])
 
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    chosen = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
     schema = T.StructType([chosen.schema["id"], T.StructField("ids", T.BinaryType())])
     return chosen.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
@@ -273,6 +275,6 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
                 decoded = pa.array([vocab.decode(p) for p in packed[a:b]], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch[a:b].columns, decoded], ["id", "ids", "decoded"])
 
-    chosen = encoded.select(F.col(id_col).alias("id"), "ids")
+    chosen = encoded.select(column(id_col).alias("id"), "ids")
     schema = T.StructType([*chosen.schema, T.StructField("decoded", T.BinaryType())])
     return chosen.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segmentflow.llm.columns import column
+
 START, END = "<|im_start|>", "<|im_end|>"
 TAIL = END + "\n"
 
@@ -56,10 +58,10 @@ def format_windows(
     order = Window.partitionBy("conv_key").orderBy("turn_key", "role", "text")
     rows = (
         turns.select(
-            F.col(conv_col).alias("conv_key"),
-            F.col(turn_col).alias("turn_key"),
-            F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
-            F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+            column(conv_col).alias("conv_key"),
+            column(turn_col).alias("turn_key"),
+            F.coalesce(column(role_col).cast("string"), F.lit("")).alias("role"),
+            F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"),
         )
         .withColumn("tokens", estimated_tokens(F.col("text")))
         .withColumn("no", F.row_number().over(order))
@@ -161,7 +163,7 @@ def read_windows(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
         )
 
     read = windows.select(
-        F.col(conv_col).alias("conv_key"),
+        column(conv_col).alias("conv_key"),
         "window_no",
         F.transform(bodies, parse).alias("turns"),
         F.transform(

@@ -265,7 +265,7 @@ def overlaps(
 ) -> DataFrame:
     """(id, n_words, n_hit, items, spans) per row; items rise as strings, spans are ranges of the text's UTF-8 bytes."""
     found = _scan(docs, benchmark, text_col, item_col, item_text, width)
-    return found.select(F.col("doc").getField(id_col).alias(id_col), "n_words", "n_hit", "items", "spans")
+    return found.select(F.col("doc")[id_col].alias(id_col), "n_words", "n_hit", "items", "spans")
 
 
 def without_hits(

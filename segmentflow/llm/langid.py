@@ -41,9 +41,10 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 UND = "und"
 SLOTS_BITS = 12
 SLOTS = 1 << SLOTS_BITS
-SAMPLE_ROWS, MOST_PER_LANGUAGE = 2400, 600
-#: Languages with most rows that are learned; a ``lang`` column with more values holds noise.
-MOST_LANGUAGES = 200
+#: Rows to learn from in all, and of one language; with many languages, each still gets the least number.
+SAMPLE_ROWS, MOST_PER_LANGUAGE, LEAST_PER_LANGUAGE = 2400, 600, 6
+#: Languages that are learned, those with most rows first.  Texts of any further one get the nearest learned language.
+MOST_LANGUAGES = 1000
 CHUNK = 1 << 20
 #: A text is foreign if it fits its language worse than all but this share of the training rows, by this factor.
 FOREIGN_SHARE, FOREIGN_SLACK = 0.001, 1.25
@@ -149,20 +150,20 @@ class Model:
 
 def _hash_share(id_col: str) -> Column:
     """A number in [0, 1) that depends on the id alone."""
-    return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.pmod(F.xxhash64(column(id_col).cast("string"), F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def fit(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model of the languages of the trainable rows; None if there are none."""
-    rows = docs.where(trainable & F.col(lang_col).isNotNull() & (F.col(lang_col) != UND) & F.col(id_col).isNotNull())
-    counted = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    rows = docs.where(trainable & column(lang_col).isNotNull() & (column(lang_col) != UND) & column(id_col).isNotNull())
+    counted = rows.groupBy(column(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
     counts = {r["lang"]: r["n"] for r in counted.collect()}
     if not counts:
         return None
-    each = min(MOST_PER_LANGUAGE, SAMPLE_ROWS // len(counts))
+    each = max(LEAST_PER_LANGUAGE, min(MOST_PER_LANGUAGE, SAMPLE_ROWS // len(counts)))
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, each / n))])
-    sample = rows.where(_hash_share(id_col) < share[F.col(lang_col)]).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")
+    sample = rows.where(_hash_share(id_col) < share[column(lang_col)]).select(
+        column(lang_col).alias("lang"), column(text_col).cast("string").alias("text")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmentflow.llm import ann, bpe, chat, collocations, decontaminate, embed_dedup, langid, lexical_search, packing, secret_scan, simhash, toxicity, url_filter
+from segmentflow.llm.columns import column
 from segmentflow.session import table
 
 URL_RULES = """
@@ -93,7 +94,7 @@ def packed_pieces(pieces: DataFrame) -> DataFrame:
 
 
 def fold_of(id_col: str, folds: int) -> Column:
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
+    return F.pmod(F.crc32(column(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

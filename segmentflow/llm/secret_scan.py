@@ -142,13 +142,13 @@ def scan(docs: DataFrame, carry: dict[str, Column], text_col: str = "text", reac
     return (
         rows.groupBy("row_key", "carried")
         .agg(F.array_sort(F.collect_list(span)).cast(SPANS).alias("found"))
-        .select(*[F.col(f"carried.{n}").alias(n) for n in names], "found")
+        .select(*[F.col("carried")[n].alias(n) for n in names], "found")
     )
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 400) -> DataFrame:
     """One row (id, found) per document; ``found`` lists spans (start, rank, kind, end) in code points."""
-    return scan(docs, {id_col: F.col(id_col)}, text_col, reach)
+    return scan(docs, {id_col: column(id_col)}, text_col, reach)
 
 
 def spans_text(found: Column) -> Column:

@@ -156,15 +156,15 @@ def fit_nnpu(
 
 
 def _share(id_col: str, salt: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.pmod(F.xxhash64(column(id_col).cast("string"), F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from the labels of the trainable ids and from trainable texts; trainable is over id_col."""
     known = (
-        labels.where(trainable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-        .groupBy(id_col)
-        .agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
+        labels.where(trainable & column(label_col).isNotNull() & column(id_col).isNotNull())
+        .groupBy(column(id_col))
+        .agg(F.max(column(label_col).cast("int")).alias("toxic"))
     )
     n_positive, n_known = known.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     prior = n_positive / n_known if n_positive < n_known else USUAL_PRIOR
@@ -175,10 +175,10 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
     total = docs.count()
     chosen = known.where((F.col("toxic") == 1) & (_share(id_col, "positive") < min(1.0, MOST_POSITIVE / n_positive)))
     # At most about MOST_POSITIVE ids of eight bytes, whatever the size of the tables.
-    confirmed = F.broadcast(chosen.select(F.col(id_col).alias("confirmed_id")))
-    texts = docs.where(trainable & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("doc_key"),
-        F.col(text_col).cast("string").alias("text"),
+    confirmed = F.broadcast(chosen.select(column(id_col).alias("confirmed_id")))
+    texts = docs.where(trainable & column(id_col).isNotNull()).select(
+        column(id_col).alias("doc_key"),
+        column(text_col).cast("string").alias("text"),
         (_share(id_col, "unlabelled") < min(1.0, MOST_UNLABELLED / max(total, 1))).alias("unlabelled"),
     )
     sample = (

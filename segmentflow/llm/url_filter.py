@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segmentflow.llm.columns import column
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PREFIX_HEX = 8
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -75,9 +77,9 @@ def judge_urls(
     ).first()
     base = pages.select(
         F.monotonically_increasing_id().alias("row_key"),
-        F.col(id_col).alias("page_key"),
-        host_of(F.col(url_col)).alias("host"),
-        path_of(F.col(url_col)).alias("path"),
+        column(id_col).alias("page_key"),
+        host_of(column(url_col)).alias("host"),
+        path_of(column(url_col)).alias("path"),
     )
     if not shapes.n:
         return base.select(

@@ -680,3 +680,23 @@ def test_weak_parts_link_by_their_gap_and_not_by_their_starts(spark):
     got = {r.doc_id: [s.kind for s in r.found] for r in secret_scan.find_secrets(docs).collect()}
     assert got == {0: ["weak_secret", "weak_id"], 1: ["weak_id", "weak_secret"], 2: [], 3: [], 4: ["weak_secret", "weak_id"]}
     assert {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}[0] == "[SECRET]\n[SECRET]"
+
+
+def test_columns_of_any_name(spark):
+    """Dots and backquotes in the names of the columns that operators are told to read."""
+    rows = [(i, t, "en" if i % 2 else "de", f"https://example.org/en/{i}") for i, t in enumerate(TEXTS)]
+    docs = spark.createDataFrame(rows, ["doc.id", "own`text", "a.lang", "page.url"])
+    names = {"id_col": "doc.id", "text_col": "own`text"}
+    path, json_path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+    decoded = bpe.decode(bpe.encode(docs, path, PATTERN, **names), path, PATTERN, id_col="doc.id")
+    assert decoded.columns[0] == "doc.id" and decoded.count() == len(TEXTS)
+    assert packing.pack(docs, json_path, PATTERN, **names).columns[0] == "doc.id"
+    assert secret_scan.find_secrets(docs, **names).count() == len(TEXTS)
+    rules = spark.createDataFrame([("example.org", "/en/1", "block")], "host string, path string, verdict string")
+    assert url_filter.judge_urls(docs, rules, id_col="doc.id", url_col="page.url").where("verdict = 'block'").count() == 5
+    assert langid.fit(docs, F.lit(True), lang_col="a.lang", **names) is not None
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(TEXTS))], ["doc.id", "is.toxic"])
+    toxicity.fit(docs, labels, F.lit(True), label_col="is.toxic", **names)
+    talks = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "ok")], ["c.id", "t`n", "a.role", "b.text"])
+    windows = chat.format_windows(talks, conv_col="c.id", turn_col="t`n", role_col="a.role", text_col="b.text")
+    assert chat.read_windows(windows, conv_col="c.id").count() == 1
