@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+COHORTS = (
+    ("All customers", "true"),
+    ("Purchased this month", "current_orders > 0"),
+    ("Purchased within 90 days", "recency <= 90"),
+    ("No purchase for over 90 days", "recency > 90"),
+)
+
+
 def _moments(rows: DataFrame, keys: list[str], label: str, size: int, column: str) -> DataFrame:
     x = [F.get(column, F.lit(i)) for i in range(size)]
     return rows.groupBy(*keys, label).agg(
@@ -43,49 +51,57 @@ def squared_silhouette(rows: DataFrame, keys: list[str], label: str = "cluster_i
     return joined.withColumn("silhouette", value).drop("groups", "self_square")
 
 
-def exact_silhouette(
-    rows: DataFrame, keys: list[str] | None = None, label: str = "cluster_index", column: str = "point", id_col: str = "customer_id", block_rows: int = 4096
-) -> DataFrame:
-    """(keys, id, label, silhouette) over Euclidean distances of all rows with equal keys.
+def exact_silhouettes(rows: DataFrame, labels: Column, keys: list[str] | None = None, column: str = "point", id_col: str = "customer_id", block_rows: int = 4096) -> DataFrame:
+    """(keys, id, place, label, silhouette) over Euclidean distances of all rows with equal keys, for many labellings at once.
 
-    Rows are cut into blocks by a hash of their id; every pair of blocks is one task's matrix, and only the
-    distance sums per row and label leave it.  The work is quadratic in the rows of a key, the memory is not.
+    ``labels`` is an array; each place is one labelling, and a row whose label is null has no part in it, so
+    overlapping cohorts are labellings as well.  Rows are cut into blocks of their key by a hash of their id; every
+    pair of blocks is one task's matrix of distances, used for all labellings, and only sums per row and label leave
+    it.  The work is quadratic in the rows of a key, the memory is not.
     """
     keys = keys or []
     named = [F.col(k) for k in keys]
-    chosen = rows.select(*named, F.col(id_col).alias("id"), F.col(label).alias("k"), F.col(column).alias("x"))
-    blocks = max(1, math.ceil(chosen.count() / block_rows))
-    at, each = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = chosen.withColumn("block", at.cast("int")).withColumn("other", each)
-    right = chosen.withColumn("other", at.cast("int")).withColumn("block", each).drop("id")
+    chosen = rows.select(*named, F.col(id_col).alias("id"), labels.alias("ks"), F.col(column).alias("x"))
+    cuts = F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")
+    counted = chosen.groupBy(*keys).agg(cuts)  # one row per key
+    sized = chosen.join(counted, keys) if keys else chosen.crossJoin(F.broadcast(counted))
+    at, each = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = sized.withColumn("block", at).withColumn("other", each).drop("blocks")
+    right = sized.select(*[F.col(c).alias(c) for c in [*keys, "ks", "x"]], at.alias("other"), each.alias("block"))  # columns of its own
     groups = [*keys, "block", "other"]
-    id_type, k_type = chosen.schema["id"].dataType.simpleString(), chosen.schema["k"].dataType.simpleString()
+    id_type, k_kind = chosen.schema["id"].dataType.simpleString(), chosen.schema["ks"].dataType.elementType
+    k_type = k_kind.simpleString()
     head = [f"`{k}` {chosen.schema[k].dataType.simpleString()}" for k in keys]
-
-    names_out = [*keys, "id", "k", "other_k", "apart", "rows"]
-    types_out = [to_arrow_type(chosen.schema[c].dataType) for c in [*keys, "id", "k", "k"]] + [pa.float64(), pa.int64()]
+    names_out = [*keys, "id", "place", "k", "other_k", "apart", "rows"]
+    types_out = [*[to_arrow_type(chosen.schema[c].dataType) for c in [*keys, "id"]], pa.int32(), *[to_arrow_type(k_kind)] * 2, pa.float64(), pa.int64()]
 
     def sums(a: pa.Table, b: pa.Table) -> pa.Table:
+        parts = [pa.table([pa.array([], t) for t in types_out], names=names_out)]
         if not a.num_rows or not b.num_rows:  # a block that only one side has
-            return pa.table([pa.array([], t) for t in types_out], names=names_out)
+            return parts[0]
         x, y = (np.array(t.column("x").to_pylist(), dtype=float).reshape(t.num_rows, -1) for t in (a, b))
-        names, own = np.unique(np.array(b.column("k").to_pylist()), return_inverse=True)
-        sizes = np.bincount(own, minlength=len(names))
-        out = np.zeros((len(x), len(names)))
+        own, theirs = (list(zip(*t.column("ks").to_pylist())) for t in (a, b))
+        found = [[n for n in dict.fromkeys(place) if n is not None] for place in theirs]
+        shares = np.concatenate([np.array([[k == n for n in ns] for k in place], dtype=float).reshape(len(y), len(ns)) for place, ns in zip(theirs, found)], axis=1)
+        out = np.zeros((len(x), shares.shape[1]))
         for s in range(0, len(x), 256):
-            apart = np.sqrt(((x[s : s + 256, None] - y[None]) ** 2).sum(axis=2))
-            for j in range(len(names)):
-                out[s : s + 256, j] = apart[:, own == j].sum(axis=1)
-        rows_ = pa.array(np.repeat(np.arange(len(x)), len(names)))
-        columns = [a.column(c).take(rows_) for c in [*keys, "id", "k"]]
-        columns += [pa.array(np.tile(names, len(x)), types_out[-3]), pa.array(out.ravel()), pa.array(np.tile(sizes, len(x)).astype(np.int64))]
-        return pa.table(columns, names=names_out)
-
-    schema = ", ".join([*head, f"id {id_type}", f"k {k_type}", f"other_k {k_type}", "apart double", "rows bigint"])
-    found = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(sums, schema)
-    totals = found.groupBy(*keys, "id", "k", "other_k").agg(F.sum("apart").alias("apart"), F.sum("rows").alias("rows"))
+            out[s : s + 256] = np.sqrt(((x[s : s + 256, None] - y[None]) ** 2).sum(axis=2)) @ shares
+        sizes, first = shares.sum(axis=0).astype(np.int64), 0
+        for place, ns in enumerate(found):
+            taking = np.flatnonzero([k is not None for k in own[place]])
+            rows_, span = pa.array(np.repeat(taking, len(ns))), slice(first, first + len(ns))
+            columns = [*[a.column(c).take(rows_) for c in [*keys, "id"]], pa.array(np.full(len(rows_), place), pa.int32())]
+            columns += [pa.array(own[place], types_out[-4]).take(rows_), pa.array(ns * len(taking), types_out[-3])]
+            columns += [pa.array(out[taking, span].ravel()), pa.array(np.tile(sizes[span], len(taking)))]
+            parts.append(pa.table(columns, names=names_out))
+            first += len(ns)
+        return pa.concat_tables(parts)
+
+    schema = ", ".join([*head, f"id {id_type}", "place int", f"k {k_type}", f"other_k {k_type}", "apart double", "rows bigint"])
+    met = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(sums, schema)
+    totals = met.groupBy(*keys, "id", "place", "k", "other_k").agg(F.sum("apart").alias("apart"), F.sum("rows").alias("rows"))
     same = F.col("other_k") == F.col("k")
-    wide = totals.groupBy(*keys, "id", "k").agg(
+    wide = totals.groupBy(*keys, "id", "place", "k").agg(
         F.max(F.when(same, F.col("rows"))).alias("n"),
         F.max(F.when(same, F.try_divide(F.col("apart"), F.col("rows") - 1))).alias("inside"),
         F.min(F.when(~same, F.col("apart") / F.col("rows"))).alias("outside"),
@@ -93,7 +109,59 @@ def exact_silhouette(
     value = F.when(F.col("outside").isNull(), None).when(F.col("n") == 1, 0.0).otherwise(
         F.coalesce(F.try_divide(F.col("outside") - F.col("inside"), F.greatest("inside", "outside")), F.lit(0.0))
     )
-    return wide.select(*named, F.col("id").alias(id_col), F.col("k").alias(label), value.alias("silhouette"))
+    return wide.select(*named, F.col("id").alias(id_col), "place", F.col("k").alias("label"), value.alias("silhouette"))
+
+
+def exact_silhouette(
+    rows: DataFrame, keys: list[str] | None = None, label: str = "cluster_index", column: str = "point", id_col: str = "customer_id", block_rows: int = 4096
+) -> DataFrame:
+    """(keys, id, label, silhouette) over Euclidean distances of all rows with equal keys, in blocks."""
+    found = exact_silhouettes(rows, F.array(label), keys, column, id_col, block_rows)
+    return found.select(*[F.col(k) for k in keys or []], id_col, F.col("label").alias(label), "silhouette")
+
+
+def cohort_silhouettes(rows: DataFrame, keys: list[str], label: str = "cluster_index", column: str = "point", id_col: str = "customer_id") -> DataFrame:
+    """(keys, cohort, customers, occupied, mean_membership, mean_silhouette) of the overlapping cohorts, distances taken once.
+
+    A cohort of one label has no silhouette.
+    """
+    names = [c for c, _ in COHORTS]
+    inside = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.col(label)) for _, c in _cohort_conditions()])
+    found = exact_silhouettes(rows, inside, keys, column, id_col).groupBy(*keys, "place").agg(F.avg("silhouette").alias("mean_silhouette"))
+    by_name = found.withColumn("cohort", F.get(F.array(*map(F.lit, names)), F.col("place"))).drop("place")
+    sizes = rows.withColumn("cohort", F.explode(cohorts())).groupBy(*keys, "cohort").agg(
+        F.count("*").alias("customers"), F.count_distinct(label).alias("occupied"), F.avg("top_membership").alias("mean_membership")
+    )
+    return sizes.join(by_name, [*keys, "cohort"], "left")
+
+
+def scores_by_key(rows: DataFrame, key: str, label: str = "cluster_index", size: int = 3, column: str = "point") -> DataFrame:
+    """(key, n, k, davies_bouldin, calinski_harabasz) per key over group means; null below two or at n groups.
+
+    Two passes of sums: moments of every group, then mean distances to the group means, which are K rows a key.
+    """
+    groups = _moments(rows, [key], label, size, column)
+    held = rows.join(F.broadcast(groups.select(key, label, "mean")), [key, label])
+    gap = F.aggregate(F.zip_with(column, "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    spread = held.groupBy(key, label).agg(F.avg(F.sqrt(gap)).alias("s"), F.sum(gap).alias("w"))
+    both = groups.join(spread, [key, label]).groupBy(key).agg(F.collect_list(F.struct("n", "mean", "s", "w")).alias("g"))
+    total = F.aggregate("g", F.lit(0).cast("long"), lambda t, x: t + x["n"])
+    centre = F.transform(
+        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate("g", F.lit(0.0), lambda t, x: t + x["n"] * F.get(x["mean"], i)) / F.col("n")
+    )
+    square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, v: t + v)
+    ratio = F.transform(
+        "g", lambda a, i: F.array_max(F.transform("g", lambda b, j: F.when(i != j, F.try_divide(a["s"] + b["s"], F.sqrt(square(a["mean"], b["mean"]))))))
+    )
+    between = F.aggregate("g", F.lit(0.0), lambda t, x: t + x["n"] * square(x["mean"], F.col("centre")))
+    within = F.aggregate("g", F.lit(0.0), lambda t, x: t + x["w"])
+    told = both.withColumn("n", total).withColumn("k", F.size("g")).withColumn("centre", centre)
+    usable = (F.col("k") >= 2) & (F.col("k") < F.col("n"))
+    return told.select(
+        key, "n", "k",
+        F.when(usable, F.aggregate(ratio, F.lit(0.0), lambda t, v: t + v) / F.col("k")).alias("davies_bouldin"),
+        F.when(usable, F.try_divide(between / (F.col("k") - 1), within / (F.col("n") - F.col("k")))).alias("calinski_harabasz"),
+    )
 
 
 def scores(rows: DataFrame, label: str = "cluster_index", size: int = 3, column: str = "point") -> dict[str, float | None]:
@@ -117,13 +185,10 @@ def scores(rows: DataFrame, label: str = "cluster_index", size: int = 3, column:
     return {"davies_bouldin": float(ratio.max(axis=1).mean()), "calinski_harabasz": between / (k - 1) / (max(within.sum(), 1e-300) / (n - k))}
 
 
+def _cohort_conditions() -> list[tuple[str, Column]]:
+    return [(name, F.expr(condition)) for name, condition in COHORTS]
+
+
 def cohorts() -> Column:
     """Names of the overlapping cohorts that a panel row belongs to."""
-    return F.array_compact(
-        F.array(
-            F.lit("All customers"),
-            F.when(F.col("current_orders") > 0, "Purchased this month"),
-            F.when(F.col("recency") <= 90, "Purchased within 90 days"),
-            F.when(F.col("recency") > 90, "No purchase for over 90 days"),
-        )
-    )
+    return F.array_compact(F.array(*[F.when(c, name) for name, c in _cohort_conditions()]))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmentflow.operators import behaviour, cleaning, features, markets, quality, registry, replay, snapshot, summaries
+from segmentflow.operators import behaviour, cleaning, features, markets, quality, registry, replay, snapshot, summaries, validity
 from segmentflow.operators.calendar import in_periods
 from segmentflow.plans import reports, sql
 from segmentflow.plans import state as st
@@ -426,3 +426,48 @@ def first_and_last_invoices(spark, sf_dir):
     """Each customer's first and last sale in the stable order of date and source."""
     sales = cleaning.clean(st.arrived_ledger(spark, sf_dir), st.CONFIG.baseline_start, st.CONFIG.end, arrival="arrival")
     return cleaning.first_and_last(sales, "arrival")
+
+
+# Quality
+
+_APART = "sqrt(pow(a.log_r - b.log_r, 2) + pow(a.log_f - b.log_f, 2) + pow(a.log_m - b.log_m, 2))"
+
+
+@registered(
+    "cohort_silhouettes",
+    sql.with_(sql.STATE)
+    + f""", c AS (SELECT cycle_number, customer_id, idx, log_r, log_f, log_m, top_membership, unnest(list_filter(['All customers', CASE WHEN current_orders > 0 THEN 'Purchased this month' END,
+        CASE WHEN recency <= 90 THEN 'Purchased within 90 days' END, CASE WHEN recency > 90 THEN 'No purchase for over 90 days' END], lambda x: x IS NOT NULL)) AS cohort FROM state),
+    away AS (SELECT a.cycle_number, a.cohort, a.customer_id, a.idx, b.idx AS k, count(*) AS n, sum({_APART}) AS s
+             FROM c a JOIN c b ON a.cycle_number = b.cycle_number AND a.cohort = b.cohort GROUP BY ALL),
+    ab AS (SELECT cycle_number, cohort, customer_id, any_value(idx) AS idx, max(CASE WHEN k = idx THEN n END) AS n, max(CASE WHEN k = idx AND n > 1 THEN s / (n - 1) END) AS i, min(CASE WHEN k <> idx THEN s / n END) AS o
+           FROM away GROUP BY cycle_number, cohort, customer_id),
+    sil AS (SELECT cycle_number, cohort, avg(CASE WHEN o IS NULL THEN NULL WHEN n = 1 THEN 0 ELSE coalesce((o - i) / nullif(greatest(o, i), 0), 0) END) AS v FROM ab GROUP BY ALL)
+    SELECT cycle_number, cohort, count(*) AS customers, count(DISTINCT idx) AS occupied, round(avg(top_membership), 6) AS mean_membership, round(any_value(v), 5) AS mean_silhouette
+    FROM c JOIN sil USING (cycle_number, cohort) GROUP BY cycle_number, cohort""",
+)
+def cohort_silhouettes(spark, sf_dir):
+    """Size, occupied labels, membership and Euclidean silhouette of every overlapping cohort of a cycle."""
+    found = validity.cohort_silhouettes(st.segments(spark, sf_dir), ["cycle_number"])
+    return found.select("cycle_number", "cohort", "customers", "occupied", r("mean_membership", 6), r("mean_silhouette", 5))
+
+
+@registered(
+    "separation_by_cycle",
+    sql.with_(sql.ASSIGNED)
+    + """, g AS (SELECT cycle_number, idx, count(*) AS n, avg(log_r) AS a, avg(log_f) AS b, avg(log_m) AS c FROM assigned GROUP BY ALL),
+    d AS (SELECT s.cycle_number, s.idx, avg(sqrt(pow(log_r - a, 2) + pow(log_f - b, 2) + pow(log_m - c, 2))) AS s, sum(pow(log_r - a, 2) + pow(log_f - b, 2) + pow(log_m - c, 2)) AS w
+          FROM assigned s JOIN g USING (cycle_number, idx) GROUP BY ALL),
+    m AS (SELECT cycle_number, avg(log_r) AS a, avg(log_f) AS b, avg(log_m) AS c, count(*) AS n FROM assigned GROUP BY ALL),
+    t AS (SELECT cycle_number, count(*) AS k, sum(w) AS w, sum(g.n * (pow(g.a - m.a, 2) + pow(g.b - m.b, 2) + pow(g.c - m.c, 2))) AS between_, any_value(m.n) AS n
+          FROM g JOIN d USING (cycle_number, idx) JOIN m USING (cycle_number) GROUP BY cycle_number),
+    r AS (SELECT x.cycle_number, x.idx, max((p.s + q.s) / sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2) + pow(x.c - y.c, 2))) AS worst
+          FROM g x JOIN g y ON x.cycle_number = y.cycle_number AND x.idx <> y.idx JOIN d p ON p.cycle_number = x.cycle_number AND p.idx = x.idx
+               JOIN d q ON q.cycle_number = y.cycle_number AND q.idx = y.idx GROUP BY ALL)
+    SELECT cycle_number, n AS customers, k::INTEGER AS k, round(avg(worst), 5) AS davies_bouldin, round((any_value(between_) / (k - 1)) / (any_value(w) / (n - k)), 4) AS calinski_harabasz
+    FROM t JOIN r USING (cycle_number) GROUP BY cycle_number, n, k""",
+)
+def separation_by_cycle(spark, sf_dir):
+    """Davies-Bouldin and Calinski-Harabasz indices of every cycle."""
+    found = validity.scores_by_key(st.segments(spark, sf_dir), "cycle_number")
+    return found.select("cycle_number", F.col("n").alias("customers"), "k", r("davies_bouldin", 5), r("calinski_harabasz", 4))
