@@ -12,8 +12,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,36 +49,27 @@ class Start:
     carried: np.ndarray | None = None
 
 
-# K-means
+# Choice of K
 
 
-def kmeans_sweep(points: DataFrame, ks: range, seeds: int = 5, first_seed: int = 42, column: str = "point") -> dict[int, tuple[float, np.ndarray]]:
-    """For each K the lowest training cost over several seeds and its centres."""
-    ready = points.select(array_to_vector(column).alias("features")).persist()
-    try:
-        found: dict[int, tuple[float, np.ndarray]] = {}
-        for k in ks:
-            for seed in range(first_seed, first_seed + seeds):
-                model = KMeans(k=k, seed=seed, maxIter=50, tol=1e-6).fit(ready)
-                cost, centres = model.summary.trainingCost, np.array(model.clusterCenters())
-                if len(centres) == k and (k not in found or cost < found[k][0]):
-                    found[k] = (cost, centres)
-        return found
-    finally:
-        ready.unpersist()
+def elbow_distances(costs: dict[int, float], between_ends: bool = False) -> dict[int, float]:
+    """How far each K lies below the chord of the cost curve; ``between_ends`` scales by first and last cost."""
+    ks = sorted(costs)
+    x = np.array(ks, dtype=float)
+    y = np.array([costs[k] for k in ks], dtype=float)
+    low, high = (y[-1], y[0]) if between_ends else (y.min(), y.max())
+    x = (x - x[0]) / max(x[-1] - x[0], 1.0)
+    y = (y - low) / (high - low) if high > low else np.zeros_like(y)
+    return dict(zip(ks, ((1 - x) - y).tolist()))
 
 
 def elbow(costs: dict[int, float], between_ends: bool = False) -> int:
-    """The K farthest below the chord of the cost curve; ``between_ends`` scales by first and last cost."""
+    """The K farthest below the chord, the first of ties; the least K of fewer than three."""
     ks = sorted(costs)
     if len(ks) < 3:
         return ks[0]
-    x = np.array(ks, dtype=float)
-    y = np.array([costs[k] for k in ks], dtype=float)
-    low, high = (y[-1], y[0]) if between_ends else (y.min(), y.max())
-    x = (x - x[0]) / (x[-1] - x[0])
-    y = (y - low) / (high - low) if high > low else np.zeros_like(y)
-    return ks[int(np.argmax((1 - x) - y))]
+    bends = elbow_distances(costs, between_ends)
+    return max(ks, key=lambda k: (bends[k], -k))
 
 
 def canonical_order(labelled: DataFrame, label: str = "cluster_index") -> list[int]:
@@ -148,7 +137,7 @@ def fuzzy_sums(points: DataFrame, sets: list[np.ndarray], fuzziness: float, left
         yield pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int32()), pa.array([t.tolist() for t in totals], pa.list_(pa.float64()))], ["which", "parts"])
 
     flag = F.coalesce(F.col(left_out), F.lit(False)) if left_out else F.lit(False)
-    flat = _summed(points.select(column, flag.alias("out")).mapInArrow(run, "which int, parts array<double>"), len(sets))
+    flat = summed(points.select(column, flag.alias("out")).mapInArrow(run, "which int, parts array<double>"), len(sets))
     found = []
     for values, centres in zip(flat, sets):
         k = len(centres)
@@ -160,7 +149,7 @@ def fuzzy_sums(points: DataFrame, sets: list[np.ndarray], fuzziness: float, left
     return found
 
 
-def _summed(parts: DataFrame, sets: int) -> list[np.ndarray]:
+def summed(parts: DataFrame, sets: int) -> list[np.ndarray]:
     """The sums by place of the arrays (which, parts) of each set."""
     summed = parts.select("which", F.posexplode("parts").alias("place", "value")).groupBy("which", "place").agg(F.sum("value").alias("value"))
     rows = summed.toArrow()
@@ -256,13 +245,14 @@ def moved(start: Start, sums: dict) -> np.ndarray:
     return (1 - share) * fixed + share * mean
 
 
-def fit_starts(points: DataFrame, tried: list[Start], config: FuzzyConfig = FuzzyConfig(), left_out: str | None = None, column: str = "point") -> list[Fit]:
+def fit_starts(points: DataFrame, tried: list[Start], config: FuzzyConfig = FuzzyConfig(), left_out: str | None = None, column: str = "point", made: int = 0) -> list[Fit]:
     """Update every start until its objective changes by no more than the tolerance; all live starts per pass.
 
-    A pass gives the objective of the centres it was asked for and the sums for their next update.
+    A pass gives the objective of the centres it was asked for and the sums for their next update.  ``made`` is
+    the number of updates that the given centres come from.
     """
     now, last, fits = [s.centres.astype(float) for s in tried], [math.inf] * len(tried), [None] * len(tried)
-    for done in range(config.max_iterations + 1):  # updates made so far
+    for done in range(made, config.max_iterations + 1):  # updates made so far
         live = [i for i, f in enumerate(fits) if f is None]
         if not live:
             break

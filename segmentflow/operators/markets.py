@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmentflow.functions.profiles import family, firmographic_label
-from segmentflow.operators import clustering
+from segmentflow.operators import clustering, sweep
 from segmentflow.operators.calendar import in_windows
 from segmentflow.operators.features import Scaling, fit_robust
 from segmentflow.operators.summaries import AT_RISK
@@ -101,7 +101,7 @@ def cross_classes(state: DataFrame, asof: DataFrame, markets: DataFrame) -> Data
 MARKET_NAMES = ("Largest Revenue Market", "Highest Revenue-per-Customer Market")
 
 
-def fit_groups(features: DataFrame, most: int = 10, seeds: int = 5) -> tuple[Scaling, np.ndarray, list[dict]]:
+def fit_groups(features: DataFrame, most: int = 10, seeds: int = 50) -> tuple[Scaling, np.ndarray, list[dict]]:
     """Robust scaling, ordered centres and the K table from the baseline's countries (a few dozen rows)."""
     base = features.where("cycle_number = 0")
     rows = base.select("country", "revenue", "revenue_per_customer", "repeat_purchase_rate", *MARKET_FEATURES)
@@ -112,9 +112,11 @@ def fit_groups(features: DataFrame, most: int = 10, seeds: int = 5) -> tuple[Sca
         raise ValueError("a market feature is not finite")
     scaling = fit_robust(rows, MARKET_FEATURES)
     points = scaled_points(rows, scaling)
-    found = clustering.kmeans_sweep(points, range(2, min(most, n - 1) + 1), seeds)
-    k = clustering.elbow({k: c for k, (c, _) in found.items()}, between_ends=True)
-    centres = found[k][1]
+    found = sweep.kmeans(points, list(range(2, min(most, n - 1) + 1)), seeds)
+    if len(found) < 3:
+        raise ValueError("an elbow needs three numbers of groups without an empty one")
+    table = sweep.k_table(points, found, "country", between_ends=True)
+    centres = found[next(row["k"] for row in table if row["selected"])].centres
     groups = clustering.nearest(points, centres).groupBy("cluster_index").agg(
         F.sum("revenue").alias("total"), F.avg("revenue_per_customer").alias("spend"), F.avg("repeat_purchase_rate").alias("repeat")
     )
@@ -124,7 +126,6 @@ def fit_groups(features: DataFrame, most: int = 10, seeds: int = 5) -> tuple[Sca
     if others:
         order.append(max(others, key=lambda i: (left[i]["spend"], -i)))
     order += sorted((i for i in left if i not in order), key=lambda i: (-left[i]["repeat"], -left[i]["total"], i))
-    table = [{"k": i, "inertia": c, "selected": i == k} for i, (c, _) in sorted(found.items())]
     return scaling, centres[order], table
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmentflow.functions.membership import centre_array, first_max, first_min, memberships, squared_distances
-from segmentflow.operators import clustering, features, lineage, naming
+from segmentflow.operators import clustering, features, lineage, naming, sweep
 from segmentflow.operators.snapshot import FEATURES
 from segmentflow.session import ensure_checkpoint_dir
 
@@ -29,6 +29,7 @@ class Run:
     candidates: list[dict] = field(default_factory=list)
     quality: list[dict] = field(default_factory=list)
     overlaps: list[dict] = field(default_factory=list)
+    k_table: list[dict] = field(default_factory=list)
 
     def tables(self) -> dict[str, DataFrame]:
         """The run as tables: assignments, and a few rows a cycle for each of the rest."""
@@ -43,6 +44,7 @@ RUN_TABLES = {
     "candidates": "cycle_number int, k int, source string, objective double, xie_beni double, iterations int, converged boolean, selected boolean, "
     "start array<array<double>>, carried array<double>, fitted array<array<double>>",
     "quality": "cycle_number int, k int, n long, objective double, xie_beni double, iterations int, source string, condition_one long, condition_two long, left_out long",
+    "k_table": sweep.K_TABLE,
     "overlaps": "cycle_number int, previous_index int, current_index int, overlap double",
 }
 
@@ -61,15 +63,16 @@ def project(panel: DataFrame, components: int = 3) -> DataFrame:
     return done.withColumn("point", F.array(*[f"pc{i + 1}" for i in range(components)]))
 
 
-def baseline(points: DataFrame, most: int, seeds: int) -> np.ndarray:
-    """Centres of the elbow's K, in canonical order of their customers' value."""
+def baseline(points: DataFrame, most: int, seeds: int) -> tuple[np.ndarray, list[dict]]:
+    """Centres of the elbow's K, in canonical order of their customers' value, and the table of all K."""
     n = points.count()
-    found = clustering.kmeans_sweep(points, range(2, max(3, min(most, n - 1) + 1)), seeds)
+    found = sweep.kmeans(points, list(range(2, max(3, min(most, n - 1) + 1))), seeds)
     if not found:
         raise ValueError("the baseline cycle is too small to cluster")
-    centres = found[clustering.elbow({k: c for k, (c, _) in found.items()})][1]
+    table = sweep.k_table(points, found, "customer_id")
+    centres = found[next(row["k"] for row in table if row["selected"])].centres
     order = clustering.canonical_order(clustering.nearest(points, centres))
-    return centres[order]
+    return centres[order], table
 
 
 def _assigned(points: DataFrame, centres: np.ndarray, ids: list[str], names: list[str], crisp: bool, fuzziness: float) -> DataFrame:
@@ -84,7 +87,7 @@ def _assigned(points: DataFrame, centres: np.ndarray, ids: list[str], names: lis
     )
 
 
-def run(panel: DataFrame, config: clustering.FuzzyConfig = clustering.FuzzyConfig(), most_clusters: int = 10, seeds: int = 5) -> Run:
+def run(panel: DataFrame, config: clustering.FuzzyConfig = clustering.FuzzyConfig(), most_clusters: int = 10, seeds: int = 50) -> Run:
     """Cluster every cycle of a panel with ``cycle_number``, ``customer_id``, measures and features."""
     ensure_checkpoint_dir(panel.sparkSession)
     points = project(panel).select("cycle_number", "customer_id", "recency", "frequency", "monetary", "point").checkpoint()
@@ -95,7 +98,7 @@ def run(panel: DataFrame, config: clustering.FuzzyConfig = clustering.FuzzyConfi
     for cycle in cycles:
         own = points.where(F.col("cycle_number") == cycle)
         if centres is None:
-            centres = baseline(own, most_clusters, seeds)
+            centres, out.k_table = baseline(own, most_clusters, seeds)
             ids = [f"CL-{i + 1:03d}" for i in range(len(centres))]
             next_number, crisp = len(ids) + 1, True
             rows = clustering.nearest(own, centres)

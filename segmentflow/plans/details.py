@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmentflow.operators import behaviour, cleaning, features, markets, quality, registry, replay, snapshot, summaries, validity
+from segmentflow.operators import behaviour, cleaning, features, markets, quality, registry, replay, snapshot, summaries, sweep, validity
 from segmentflow.operators.calendar import in_periods
 from segmentflow.plans import reports, sql
 from segmentflow.plans import state as st
@@ -471,3 +471,28 @@ def separation_by_cycle(spark, sf_dir):
     """Davies-Bouldin and Calinski-Harabasz indices of every cycle."""
     found = validity.scores_by_key(st.segments(spark, sf_dir), "cycle_number")
     return found.select("cycle_number", F.col("n").alias("customers"), "k", r("davies_bouldin", 5), r("calinski_harabasz", 4))
+
+
+# Choice of K; random starts, so rows only
+
+
+@registered("baseline_k_table")
+def baseline_k_table(spark, sf_dir):
+    """Inertia, silhouette, bend and sizes of every K tried on the baseline's customers."""
+    return st.fitted_run(spark, sf_dir)["k_table"]
+
+
+@registered("country_k_table")
+def country_k_table(spark, sf_dir):
+    """The same for the baseline's countries (C4, Q20)."""
+    found = st.country_features(spark, sf_dir)
+    return spark.createDataFrame([tuple(row.values()) for row in markets.fit_groups(found)[2]], sweep.K_TABLE)
+
+
+@registered("random_fuzzy_fits")
+def random_fuzzy_fits(spark, sf_dir):
+    """Plain fuzzy c-means of every cycle's last customers from ten random memberships."""
+    rows = st.segments(spark, sf_dir).where(f"cycle_number = {st.CONFIG.cycles - 1}").select("customer_id", "point")
+    fits = sweep.fit_random(rows, len(st.IDS), list(range(10)))
+    told = [(f.source, float(f.objective), float(f.xie_beni), f.iterations, f.converged) for f in fits]
+    return spark.createDataFrame(told, "source string, objective double, xie_beni double, iterations int, converged boolean")

@@ -23,7 +23,6 @@ from segmentflow.operators.calendar import in_periods, in_windows
 from segmentflow.plans import details, reports, sql
 from segmentflow.plans import state as st
 from segmentflow.plans.register import ORACLE_SQL, QUERIES, day, per, r, registered
-from segmentflow.session import ensure_checkpoint_dir
 
 __all__ = ["ORACLE_SQL", "QUERIES", "details"]
 
@@ -787,8 +786,7 @@ def duplicate_sensitivity(spark, sf_dir):
 @registered("country_groups")
 def country_groups(spark, sf_dir):
     """Countries of every cycle in the groups fitted on the baseline's countries."""
-    ensure_checkpoint_dir(spark)
-    found = markets.market_features(st.ledger(spark, sf_dir), st.cycles(spark), st.state(spark, sf_dir), st.asof(spark, sf_dir)).checkpoint()
+    found = st.country_features(spark, sf_dir)
     scaling, centres, _ = markets.fit_groups(found)
     return markets.grouped(found, scaling, centres).select("cycle_number", "country", "cluster_index", "market", r("revenue", 2))
 

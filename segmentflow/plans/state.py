@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmentflow.functions.membership import centre_array, first_min, memberships, squared_distances
-from segmentflow.operators import behaviour, reversals
+from segmentflow.operators import behaviour, markets, reversals
 from segmentflow.operators.calendar import CycleConfig, calendar
 from segmentflow.operators.cleaning import clean, dedup_exact
 from segmentflow.operators.snapshot import country_asof, panel
@@ -119,6 +119,13 @@ def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "country_asof", lambda: country_asof(ledger(spark, sf_dir), cycles(spark)))
 
 
+def country_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commercial features of every country and cycle."""
+    return stored(
+        spark, sf_dir, "country_features", lambda: markets.market_features(ledger(spark, sf_dir), cycles(spark), state(spark, sf_dir), asof(spark, sf_dir))
+    )
+
+
 def fitted(spark: SparkSession) -> DataFrame:
     """Every centre of every cycle with its id and name."""
     ids = F.posexplode(literal(IDS)).alias("cluster_index", "stable_cluster_id")

@@ -156,20 +156,20 @@ def test_registry_and_label_plan(spark, sf_dir):
 
 
 def test_queries_sweep_with_the_defaults_of_the_operators(spark, sf_dir, monkeypatch):
-    from segmentflow.operators import clustering
+    from segmentflow.operators import sweep as starts
     from segmentflow.plans import queries
 
     class Seen(Exception):
         pass
 
-    def sweep(points, ks, seeds=5, *rest):
+    def sweep(points, ks, seeds=30, *rest):
         raise Seen(max(ks), seeds, points.count())
 
-    monkeypatch.setattr(clustering, "kmeans_sweep", sweep)
+    monkeypatch.setattr(starts, "kmeans", sweep)
     for name in ("dynamic_clusters", "country_groups"):
         try:
             queries.QUERIES[name](spark, sf_dir)
             raise AssertionError(name)
         except Seen as e:
             most, seeds, n = e.args
-            assert most == min(10, n - 1) and seeds == 5
+            assert most == min(10, n - 1) and seeds == 50

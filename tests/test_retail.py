@@ -2,6 +2,7 @@
 
 import datetime
 import itertools
+import math
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segmentflow.functions import membership, profiles
-from segmentflow.operators import behaviour, calendar, cleaning, clustering, features, lineage, naming, quality, reversals, snapshot, validity
+from segmentflow.operators import behaviour, calendar, cleaning, clustering, features, lineage, naming, quality, reversals, snapshot, sweep, validity
 from segmentflow.plans import details, reports
 from segmentflow.sources import sinks
 from segmentflow.sources.ledger import LEDGER_SCHEMA, read_ledger
@@ -81,11 +82,59 @@ def test_plain_fuzzy_objective_falls(spark):
 
 
 def test_elbow_and_kmeans(spark):
-    found = clustering.kmeans_sweep(points_df(spark, four_groups()), range(2, 7), seeds=3)
-    costs = {k: c for k, (c, _) in found.items()}
+    found = sweep.kmeans(points_df(spark, four_groups()), list(range(2, 7)), starts=3)
+    costs = {k: p.cost for k, p in found.items()}
     assert clustering.elbow(costs) == clustering.elbow(costs, True) == 4 and costs[4] < costs[2]
 
 
+def test_kmeans_of_many_starts_reaches_the_optimum_of_a_line(spark, monkeypatch):
+    """On a line the best partition is known: cuts of the sorted values, by dynamic programming."""
+    rng = np.random.default_rng(8)
+    x = np.sort(np.concatenate([rng.normal(m, s, n) for m, s, n in ((0, 1, 40), (6, 0.5, 25), (9, 1, 30), (20, 3, 25))]))
+    first, second = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x, x * x))
+    cost = lambda a, b: second[b] - second[a] - (first[b] - first[a]) ** 2 / (b - a)
+    best = {1: [cost(0, b) if b else 0.0 for b in range(len(x) + 1)]}
+    for k in range(2, 7):
+        best[k] = [min((best[k - 1][a] + cost(a, b) for a in range(k - 1, b)), default=math.inf) for b in range(len(x) + 1)]
+    df = points_df(spark, x[:, None])
+    found = sweep.kmeans(df, list(range(2, 7)), starts=30)
+    assert all(found[k].cost == pytest.approx(best[k][-1], rel=1e-9) and sum(found[k].sizes) == len(x) for k in found) and sorted(found) == list(range(2, 7))
+    table = sweep.k_table(df, found, "customer_id")
+    for row in table:
+        label = ((x[:, None] - found[row["k"]].centres.ravel()[None]) ** 2).argmin(axis=1)
+        d = np.abs(x[:, None] - x[None])
+        inside = [d[i, label == label[i]].sum() / max((label == label[i]).sum() - 1, 1) for i in range(len(x))]
+        outside = [min(d[i, label == k].mean() for k in set(label) if k != label[i]) for i in range(len(x))]
+        value = np.mean([0 if (label == label[i]).sum() == 1 else (o - a) / max(o, a) for i, (a, o) in enumerate(zip(inside, outside))])
+        assert row["silhouette"] == pytest.approx(value, abs=1e-9)
+        assert row["sizes"] == sorted(np.bincount(label).tolist(), reverse=True) and row["singletons"] == (np.bincount(label) == 1).sum()
+    assert sum(r["selected"] for r in table) == sum(r["best_silhouette"] for r in table) == 1
+    same = points_df(spark, np.ones((5, 2)))
+    assert sweep.kmeans(same, [2, 3]) == {}  # one distinct point has no two clusters
+
+
+def test_fuzzy_fits_from_random_memberships_equal_numpy(spark):
+    x = four_groups()
+    df = points_df(spark, x)
+    drawn = df.select("customer_id", *[sweep.random_memberships(F.col("customer_id"), 4, F.lit(s)).alias(f"u{s}") for s in (3, 9)]).orderBy("customer_id").collect()
+    fits = sweep.fit_random(df, 4, [3, 9])
+    for fit, seed in zip(fits, (3, 9)):
+        u = np.array([r[f"u{seed}"] for r in drawn])
+        assert np.allclose(u.sum(axis=1), 1) and u.std() > 0.05
+        last = None
+        for updates in range(1, 301):
+            centres = (u**2).T @ x / (u**2).sum(axis=0)[:, None]
+            u, d2 = numpy_memberships(x, centres)
+            objective = (u**2 * d2).sum()
+            if last is not None and abs(last - objective) <= 0.01:
+                break
+            last = objective
+        assert fit.iterations == updates and np.allclose(fit.centres, centres, atol=1e-8) and fit.objective == pytest.approx(objective)
+    assert [f.objective for f in sweep.fit_random(df.repartition(7), 4, [3, 9])] == pytest.approx([f.objective for f in fits])
+    with pytest.raises(ValueError):
+        sweep.random_starts(df, 1, [1])
+
+
 def test_silhouettes_and_scores(spark):
     rng = np.random.default_rng(5)
     x = np.vstack([rng.normal(m, 0.6, (20, 3)) for m in (0, 2, 5)])
