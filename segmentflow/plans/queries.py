@@ -12,6 +12,7 @@ from segmentflow.operators import (
     features,
     lineage,
     markets,
+    order_stats,
     quality,
     registry,
     snapshot,
@@ -288,7 +289,8 @@ def carry_over_mass(spark, sf_dir):
     SELECT cycle_number, k AS cluster_index, round(sum(u * u * recency) / sum(u * u), 4) AS recency, round(sum(u * u * frequency) / sum(u * u), 4) AS frequency,
            round(sum(u * u * monetary) / sum(u * u), 3) AS monetary, round(sum(u), 4) AS membership_mass, count(*) FILTER (idx = k) AS winners,
            (sum(u) > 1e-8 AND count(*) FILTER (idx = k) = 0) AS soft_only, round(sum(u * u * d), 3) AS objective_share,
-           round(coalesce(sum(d) FILTER (idx = k), 0), 3) AS hard_sse, round(coalesce(quantile_cont(sqrt(d), 0.95) FILTER (idx = k), 0), 5) AS p95_distance
+           round(coalesce(sum(d) FILTER (idx = k), 0), 3) AS hard_sse, round(coalesce(avg(sqrt(d)) FILTER (idx = k), 0), 5) AS mean_distance,
+           round(coalesce(max(sqrt(d)) FILTER (idx = k), 0), 5) AS max_distance, round(avg(u) FILTER (idx = k), 6) AS mean_membership, round(coalesce(quantile_cont(sqrt(d), 0.95) FILTER (idx = k), 0), 5) AS p95_distance
     FROM long GROUP BY cycle_number, k HAVING sum(u * u) > 0""",
 )
 def centre_profiles(spark, sf_dir):
@@ -297,6 +299,8 @@ def centre_profiles(spark, sf_dir):
         "cycle_number", "cluster_index", "recency", "frequency", "monetary", F.posexplode(F.arrays_zip("u", "d2")).alias("k", "c")
     ).select("*", F.col("c.u").alias("m"), F.col("c.d2").alias("d"))
     won, weight = F.col("cluster_index") == F.col("k"), F.col("m") * F.col("m")
+    own = long.where(won).select("cycle_number", F.col("k").alias("cluster"), F.sqrt("d").alias("distance"))
+    far = order_stats.order_statistics(own, ["cycle_number", "cluster"], "distance", {"p95": 0.95}, linear=True)
     return (
         long.groupBy("cycle_number", F.col("k").alias("cluster"))
         .agg(
@@ -306,11 +310,15 @@ def centre_profiles(spark, sf_dir):
             ((F.sum("m") > 1e-8) & (F.count_if(won) == 0)).alias("soft_only"),
             r(F.sum(weight * F.col("d")), 3, "objective_share"),
             r(F.coalesce(F.sum(F.when(won, F.col("d"))), F.lit(0.0)), 3, "hard_sse"),
-            r(F.coalesce(F.percentile(F.when(won, F.sqrt("d")), 0.95), F.lit(0.0)), 5, "p95_distance"),
+            r(F.coalesce(F.avg(F.when(won, F.sqrt("d"))), F.lit(0.0)), 5, "mean_distance"),
+            r(F.coalesce(F.max(F.when(won, F.sqrt("d"))), F.lit(0.0)), 5, "max_distance"),
+            r(F.avg(F.when(won, F.col("m"))), 6, "mean_membership"),
             F.sum(weight).alias("weight"),
         )
         .where("weight > 0")
-        .drop("weight")
+        .join(far, ["cycle_number", "cluster"], "left")
+        .withColumn("p95_distance", r(F.coalesce("p95", F.lit(0.0)), 5, "p95_distance"))
+        .drop("weight", "p95", "n")
         .withColumnRenamed("cluster", "cluster_index")
     )
 
@@ -488,10 +496,7 @@ def transition_evolution(spark, sf_dir):
     FROM o GROUP BY cycle_number, f""",
 )
 def feature_summary(spark, sf_dir):
-    """Per cycle and feature: moments and lower-index quantiles.
-
-    Distinct values are counted first, so quantiles come from running counts over them.
-    """
+    """Per cycle and feature: moments and lower-index quantiles."""
     values = st.rfm(spark, sf_dir).select(
         "cycle_number",
         F.expr("stack(3, 'recency', cast(recency as double), 'frequency', round(frequency, 4), 'monetary', round(monetary, 4)) as (feature, x)"),
@@ -500,15 +505,7 @@ def feature_summary(spark, sf_dir):
     moments = values.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), r(F.avg("x"), 6, "mean"), r(F.stddev_samp("x"), 6, "sd")
     )
-    counts = values.groupBy(*keys, "x").agg(F.count("*").alias("ties"))
-    upto = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("ties").over(upto)).join(moments.select(*keys, "n"), keys)
-
-    def at(share: float, name: str) -> Column:
-        place = F.floor((F.col("n") - 1) * share)
-        return F.max(F.when((F.col("upto") > place) & (F.col("upto") - F.col("ties") <= place), F.col("x"))).alias(name)
-
-    return moments.join(ranked.groupBy(*keys).agg(at(0.25, "q1"), at(0.5, "median"), at(0.75, "q3")), keys)
+    return moments.join(order_stats.order_statistics(values, keys, "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("n"), keys)
 
 
 @registered(

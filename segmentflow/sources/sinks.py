@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from segmentflow.session import ensure_checkpoint_dir
+
 
 def sink_ready(df: DataFrame) -> DataFrame:
     """Timestamps as text and infinities as null, as the result tables store them."""
@@ -79,12 +81,18 @@ def upsert_metadata(current: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def with_surrogate_ids(df: DataFrame, id_col: str, order: list[str], group: str = "cycle_number") -> DataFrame:
-    """Numbers 1..n in (group, order), numbered per group plus the rows of the groups before it."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")  # one row per cycle
-    numbered = df.withColumn("n_in_group", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return numbered.join(offsets, group).withColumn(id_col, F.col("n_in_group") + F.col("offset")).drop("n_in_group", "offset")
+    """Numbers 1..n in (group, order): rows are dealt by ranges and sorted there, and each range counts on from those before it.
+
+    The sorted rows are stored once, as a second sort may cut other ranges.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("place", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("place", 33).alias("part")
+    sizes = placed.groupBy(part).agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    own = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn(id_col, F.col("offset") + own + 1).drop("part", "place", "offset")
 
 
 def derive_run(spark: SparkSession, source: str, target: str, kept: list[str], replaced: dict[str, DataFrame]) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segmentflow.functions import membership, profiles
-from segmentflow.operators import behaviour, calendar, cleaning, clustering, features, lineage, naming, quality, reversals, snapshot, sweep, validity
+from segmentflow.operators import behaviour, calendar, cleaning, clustering, features, lineage, naming, order_stats, quality, reversals, snapshot, sweep, validity
 from segmentflow.plans import details, reports
 from segmentflow.sources import sinks
 from segmentflow.sources.ledger import LEDGER_SCHEMA, read_ledger
@@ -448,3 +448,36 @@ def test_first_of_equal_rows_is_kept_and_crowded_repeats_are_shown(spark, tmp_pa
     assert (ends.first_invoice, ends.last_invoice, ends.first_row, ends.last_row) == ("2", "1", 0, 1)
     assert cleaning.out_of_order_rows(df.limit(0), "arrival").first()[0] == 0
     assert cleaning.out_of_order_rows(df.withColumn("invoice_date", F.when(F.col("arrival") % 2 == 0, F.col("invoice_date"))), "arrival").first()[0] == 0
+
+
+@pytest.mark.parametrize("small, cuts", [(100_000, 200), (20, 8), (3, 4)])
+def test_order_statistics_of_ties_skew_and_gaps(spark, monkeypatch, small, cuts):
+    """One crowded value, long tails, tiny and null groups; small ranges make every round of refinement run."""
+    monkeypatch.setattr(order_stats, "SMALL_RANGE", small)
+    monkeypatch.setattr(order_stats, "CUTS", cuts)
+    rng = np.random.default_rng(4)
+    groups = {
+        1: np.concatenate([np.full(300, 5.0), rng.exponential(4, 300)]), 2: rng.normal(size=501), 3: np.array([7.0]), 4: np.array([-1.0, 2.0]),
+        5: np.full(400, 1.5), None: rng.integers(0, 9, 200).astype(float), 6: np.array([-1e300, 1e300, 0.0, 1e-300]),
+    }
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [(1, None), (2, float("nan")), (9, None)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    shares = {"least": 0.0, "q1": 0.25, "median": 0.5, "p95": 0.95, "most": 1.0}
+    for linear in (False, True):
+        got = {r.g: r for r in order_stats.order_statistics(df, ["g"], "v", shares, linear).collect()}
+        assert set(got) == set(groups)
+        for g, vs in groups.items():
+            assert got[g].n == len(vs)
+            for name, p in shares.items():
+                want = np.quantile(vs, p) if linear else np.sort(vs)[math.floor((len(vs) - 1) * p)]
+                assert got[g][name] == pytest.approx(want, rel=1e-12), (g, name)
+    whole = order_stats.order_statistics(df.where("g = 2"), [], "v", {"median": 0.5}).first()
+    assert whole.median == np.sort(groups[2])[250]
+
+
+def test_surrogate_ids_over_many_ranges(spark):
+    rng = random.Random(2)
+    rows = [(g, x) for g in range(3) for x in rng.sample(range(10_000), 700)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "cycle_number int, x int")
+    got = {(r.cycle_number, r.x): r.id for r in sinks.with_surrogate_ids(df, "id", ["x"]).collect()}
+    assert got == {row: i for i, row in enumerate(sorted(rows), 1)}
