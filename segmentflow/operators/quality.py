@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmentflow.functions.membership import first_min, memberships, squared_distances
-from segmentflow.operators.calendar import cycles_from, in_periods, with_first_cycle
-from segmentflow.operators.cleaning import clean, finite
+from segmentflow.operators.calendar import cycles_from, in_periods, in_windows, with_first_cycle
+from segmentflow.operators.cleaning import clean, finite, is_paid_sale, normalise
 from segmentflow.operators.snapshot import rank_quartile, rank_share
+from segmentflow.sources.ledger import LEDGER_COLUMNS
 
 
 def panel_violations(state: DataFrame) -> DataFrame:
@@ -203,3 +204,25 @@ def duplicate_sensitivity(raw: DataFrame, start: str, end: str) -> DataFrame:
         F.count_if(rank_quartile(F.col("rx")) != rank_quartile(F.col("ry"))).alias("quartile_changes"),
         F.sum(F.col("y") - F.col("x")).alias("value_change"),
     )
+
+
+def duplicate_values(raw: DataFrame, start: str, end: str) -> DataFrame:
+    """(customer_id, invoice_date, added): what exact repeats of paid sales would add, one row per repeated row."""
+    groups = raw.groupBy(*LEDGER_COLUMNS).agg((F.count("*") - 1).alias("more")).where("more > 0")
+    sales = normalise(groups, "more").where(is_paid_sale(start, end))
+    return sales.select("customer_id", "invoice_date", (F.col("more") * F.col("quantity") * F.col("unit_price")).alias("added"))
+
+
+def duplicate_assignments(raw: DataFrame, panel: DataFrame, cycles: DataFrame, centres: Column, start: str, end: str, months: int = 3) -> DataFrame:
+    """The panel with each customer's cluster without and with exact repeats, under the same frozen centres.
+
+    Repeats change monetary values alone, so the second build is the first one plus what the few repeated rows add
+    to each window.
+    """
+    added = in_windows(duplicate_values(raw, start, end), cycles).groupBy("cycle_number", "customer_id").agg((F.sum("added") / months).alias("added"))
+    both = panel.join(added, ["cycle_number", "customer_id"], "left").withColumn("monetary_with", F.col("monetary") + F.coalesce("added", F.lit(0.0)))
+    point = lambda money: F.array("log_r", "log_f", F.log1p(money))
+    nearest = lambda money: first_min(squared_distances(point(money), centres))
+    return both.select(
+        "cycle_number", "customer_id", "monetary", "monetary_with", nearest("monetary").alias("cluster_without"), nearest("monetary_with").alias("cluster_with")
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +66,71 @@ def relabelled(state: DataFrame, columns: list[str], details: str | None = None)
     if details:
         out = out.withColumn(details, F.transform(details, lambda d: d.withField("segment_name", public_name(d["segment_name"]))))
     return out
+
+
+# Digests: which customers, whatever their order
+
+
+def digest(*columns: str) -> list:
+    """Rows, and the sum and the xor of their hashes; equal for equal multisets of rows, in any order and partition."""
+    h = F.xxhash64(*columns)
+    return [F.count("*").alias("members"), F.sum(h.cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor(h).alias("hash_xor")]
+
+
+DIGEST = ["members", "hash_sum", "hash_xor"]
+
+
+def population_digests(rows: DataFrame) -> DataFrame:
+    """(cycle_number, members, hash_sum, hash_xor) of the customers of each cycle."""
+    return rows.groupBy("cycle_number").agg(*digest("customer_id"))
+
+
+def digested(assignments: DataFrame, centres: DataFrame) -> DataFrame:
+    """The registry with the digest of each centre's winners beside that of its cycle's population."""
+    own = assignments.groupBy("cycle_number", "cluster_index", "stable_cluster_id").agg(*digest("customer_id"))
+    keys = ["cycle_number", "cluster_index", "stable_cluster_id"]
+    named = [F.coalesce("members", F.lit(0)).alias("members"), F.coalesce("hash_sum", F.lit(0)).cast("decimal(38,0)").alias("hash_sum"), F.coalesce("hash_xor", F.lit(0)).alias("hash_xor")]
+    whole = population_digests(assignments).select("cycle_number", *[F.col(c).alias(f"population_{c}") for c in DIGEST])
+    marked = registry(assignments, centres.select(*keys, "segment_name")).join(own, keys, "left")
+    return marked.select(*keys, "segment_name", "membership_mass", "winners", "soft_only", *named).join(F.broadcast(whole), "cycle_number")
+
+
+def registry_violations(stored: DataFrame, assignments: DataFrame, lineage: DataFrame, population: DataFrame) -> DataFrame:
+    """Counts per rule of a stored registry against the assignments, the lineage and the population that was to be fitted.
+
+    The registry and the lineage hold a few rows a cycle; customers are only summed.
+    """
+    keys = ["cycle_number", "cluster_index", "stable_cluster_id"]
+
+    def counted(rule: str, broken: DataFrame) -> DataFrame:
+        return broken.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+
+    def differing(a: DataFrame, b: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
+        """Rows that one side lacks, or whose columns differ."""
+        left = a.select(*on, F.struct(*columns).alias("a"))
+        return left.join(b.select(*on, F.struct(*columns).alias("b")), on, "full").where(~F.col("a").eqNullSafe(F.col("b")))
+
+    own = assignments.groupBy(*keys).agg(*digest("customer_id"))
+    told = stored.where("members > 0")
+    sizes = stored.groupBy("cycle_number").agg(F.sum("winners").alias("winners"), F.max("population_members").alias("members"))
+    whole = stored.select("cycle_number", *[F.col(f"population_{c}").alias(c) for c in DIGEST]).distinct()
+    ids = stored.select("cycle_number", "stable_cluster_id")
+    first = stored.agg(F.min("cycle_number")).first()[0]
+    arrived = lineage.where("current_id is not null").select("cycle_number", F.col("current_id").alias("stable_cluster_id")).distinct()
+    left = lineage.where("previous_id is not null").select((F.col("cycle_number") - 1).alias("cycle_number"), F.col("previous_id").alias("stable_cluster_id")).distinct()
+    last = stored.agg(F.max("cycle_number")).first()[0]
+    return reduce(
+        DataFrame.unionByName,
+        [
+            counted("a centre's members differ from the assignments", differing(told, own, keys, ["members"])),
+            counted("a centre's members are others", differing(told, own, keys, DIGEST)),
+            counted("winners and members differ", stored.where("winners <> members")),
+            counted("winners do not add up to the population", sizes.where("winners <> members")),
+            counted("population differs from the panel", differing(whole, population_digests(population), ["cycle_number"], DIGEST)),
+            counted("an id twice in a cycle", ids.groupBy("cycle_number", "stable_cluster_id").count().where("count > 1")),
+            counted("a customer twice in a cycle", assignments.groupBy("cycle_number", "customer_id").count().where("count > 1")),
+            counted("a centre that the lineage does not reach", ids.where(F.col("cycle_number") > first).join(arrived, ["cycle_number", "stable_cluster_id"], "left_anti")),
+            counted("a lineage id without a centre", arrived.join(ids, ["cycle_number", "stable_cluster_id"], "left_anti")),
+            counted("a centre that the lineage does not leave", ids.where(F.col("cycle_number") < last).join(left, ["cycle_number", "stable_cluster_id"], "left_anti")),
+        ],
+    )

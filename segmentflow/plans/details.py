@@ -496,3 +496,40 @@ def random_fuzzy_fits(spark, sf_dir):
     fits = sweep.fit_random(rows, len(st.IDS), list(range(10)))
     told = [(f.source, float(f.objective), float(f.xie_beni), f.iterations, f.converged) for f in fits]
     return spark.createDataFrame(told, "source string, objective double, xie_beni double, iterations int, converged boolean")
+
+
+# Repeats and the registry
+
+
+_WITH_COPIES = (
+    sql.ASSIGNED.replace("SELECT DISTINCT * FROM raw", "SELECT *, count(*) AS copies FROM raw GROUP BY ALL", 1)
+    .replace("quantity * unit_price AS total_price", "quantity * unit_price AS total_price, copies", 1)
+    .replace("/ 3 AS monetary,", "/ 3 AS monetary, coalesce(sum((copies - 1) * total_price) FILTER (invoice_date >= window_start), 0) / 3 AS added,", 1)
+)
+
+
+@registered(
+    "duplicate_assignments",
+    sql.with_(_WITH_COPIES)
+    + f""", b AS (SELECT cycle_number, log_r, log_f, monetary, idx, monetary + added AS monetary_with FROM assigned),
+    m AS (SELECT *, ln(1 + monetary_with) AS lw FROM b),
+    w AS (SELECT *, {", ".join(f"pow(log_r - ({c[0]} + cycle_number * {st.DRIFT}), 2) + pow(log_f - {c[1]}, 2) + pow(lw - {c[2]}, 2) AS w{k}" for k, c in enumerate(st.CENTRES))} FROM m)
+    SELECT cycle_number, count(*) AS customers, count(*) FILTER (monetary_with > monetary) AS customers_with_repeats,
+           count(*) FILTER ({sql.index_of("w0 w1 w2 w3")} <> idx) AS changed_assignments, round(sum(monetary_with - monetary), 2) AS monetary_change FROM w GROUP BY cycle_number""",
+)
+def duplicate_assignments(spark, sf_dir):
+    """Customers whose cluster would change if exact repeats were kept, under the same centres (V8)."""
+    both = quality.duplicate_assignments(
+        st.raw_ledger(spark, sf_dir), st.rfm(spark, sf_dir), st.cycles(spark), st.centres_at(F.col("cycle_number")), st.CONFIG.baseline_start, st.CONFIG.end
+    )
+    return both.groupBy("cycle_number").agg(
+        F.count("*").alias("customers"), F.count_if(F.col("monetary_with") > F.col("monetary")).alias("customers_with_repeats"),
+        F.count_if(F.col("cluster_without") != F.col("cluster_with")).alias("changed_assignments"), r(F.sum(F.col("monetary_with") - F.col("monetary")), 2, "monetary_change"),
+    )
+
+
+@registered("registry_audit")
+def registry_audit(spark, sf_dir):
+    """The fitted run's registry and its digests against assignments, lineage and panel."""
+    run = st.fitted_run(spark, sf_dir)
+    return registry.registry_violations(run["registry"], run["assignments"], run["lineage"], st.rfm(spark, sf_dir))

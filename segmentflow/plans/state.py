@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmentflow.functions.membership import centre_array, first_min, memberships, squared_distances
-from segmentflow.operators import behaviour, markets, reversals
+from segmentflow.operators import behaviour, markets, registry, reversals
 from segmentflow.operators.calendar import CycleConfig, calendar
 from segmentflow.operators.cleaning import clean, dedup_exact
 from segmentflow.operators.snapshot import country_asof, panel
@@ -17,7 +17,7 @@ from segmentflow.plans.cycles import RUN_TABLES
 from segmentflow.plans.cycles import run as run_cycles
 from segmentflow.session import ensure_checkpoint_dir
 from segmentflow.sources.ledger import order_ledger
-from segmentflow.sources.sinks import read_table, write_table
+from segmentflow.sources.runs import Run
 
 CONFIG = CycleConfig()
 #: Stated centres over (log_r, log_f, log_m); log_r moves by DRIFT a cycle, so boundaries move too.
@@ -27,22 +27,38 @@ IDS = ("CL-001", "CL-002", "CL-003", "CL-004")
 NAMES = ("Champions", "Loyalists", "Mid-Tier Occasionals", "Hibernating / Lost")
 
 
-_TABLES: dict[tuple[str, str, str], str] = {}
+_TABLES: dict[tuple[str, str, str, str], tuple[str, list[str]]] = {}
+#: The driver's tables that the ledger is made of.
+SOURCES = ("lineitem", "orders", "part", "supplier", "nation")
+
+
+def source_state(spark: SparkSession, sf_dir: str) -> str:
+    """Times, sizes and numbers of files of the source tables; changes when one of them is written again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    told = []
+    for name in SOURCES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(conf)
+        size = files.getContentSummary(path)
+        told.append(f"{files.getFileStatus(path).getModificationTime()}/{size.getLength()}/{size.getFileCount()}")
+    return " ".join(told)
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table of the application's run over a folder: written on first use, read by every report after it.
 
-    Runs lie in the shared checkpoint folder.  Source tables are taken as fixed while an application runs;
-    ``forget`` starts a new run.
+    Runs lie in the shared checkpoint folder, cycle by cycle where there are cycles.  A source table that is
+    written again while an application runs makes another run; ``forget`` starts one at any time.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, source_state(spark, sf_dir), name)
     if key not in _TABLES:
         ensure_checkpoint_dir(spark)
-        path = f"{spark.sparkContext.getCheckpointDir()}/run-{uuid.uuid4().hex}"
-        write_table(build(), path, name, by_cycle=False, mode="errorifexists")
-        _TABLES[key] = path
-    return read_table(spark, _TABLES[key], name)
+        run = Run(spark, f"{spark.sparkContext.getCheckpointDir()}/run-{uuid.uuid4().hex}")
+        df = build()
+        run.commit({name: df})
+        _TABLES[key] = (run.root, df.columns)
+    root, columns = _TABLES[key]
+    return Run(spark, root).read(name).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def forget() -> None:
@@ -146,6 +162,7 @@ def fitted_run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     def build(name: str) -> DataFrame:
         if not found:
             found.update(run_cycles(rfm(spark, sf_dir)).tables())
+            found["registry"] = registry.digested(found["assignments"], found["centres"])
         return found[name]
 
-    return {n: stored(spark, sf_dir, f"fit_{n}", lambda n=n: build(n)) for n in ("assignments", *RUN_TABLES)}
+    return {n: stored(spark, sf_dir, f"fit_{n}", lambda n=n: build(n)) for n in ("assignments", *RUN_TABLES, "registry")}
