@@ -21,11 +21,11 @@ from segmentflow.operators import (
 )
 from segmentflow.operators.calendar import in_periods, in_windows
 
-from segmentflow.plans import details, reports, sql
+from segmentflow.plans import details, fitted, reports, sql
 from segmentflow.plans import state as st
 from segmentflow.plans.register import ORACLE_SQL, QUERIES, day, per, r, registered
 
-__all__ = ["ORACLE_SQL", "QUERIES", "details"]
+__all__ = ["ORACLE_SQL", "QUERIES", "details", "fitted"]
 
 # Cleaning, calendar, customers
 

@@ -89,3 +89,27 @@ def test_repeats_change_values_and_assignments(spark):
     got = {r.customer_id: r for r in quality.duplicate_assignments(raw, panel, cycles, centres, "2020-01-01", "2021-01-01").collect()}
     assert (got[7].monetary_with, got[7].cluster_without, got[7].cluster_with) == (300.0, 0, 1)
     assert got[8].monetary == got[8].monetary_with and got[8].cluster_without == got[8].cluster_with == 0
+
+
+def test_reports_over_a_fitted_run_equal_sql_over_its_tables(spark, sf_dir, tmp_path):
+    """The run's stored tables, read by both engines."""
+    import duckdb
+
+    from segmentflow.plans import fitted
+
+    run = fitted.tables(spark, sf_dir)
+    con = duckdb.connect()
+    for name in ("assignments", "panel", "state", "centres", "candidates", "quality"):
+        run[name].coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}/*.parquet')")
+    for name, function in fitted.REPORTS.items():
+        df = function(run)
+        columns = sorted(df.columns)
+        got = sorted((tuple(x) for x in df.select(*columns).collect()), key=str)
+        want = sorted(con.execute(f"select {', '.join(columns)} from ({fitted.RUN_SQL[name]})").fetchall(), key=str)
+        assert got == want and got, name
+    for name in ("fitted_separation", "country_residuals", "registry_audit", "centre_replay", "identity_replay", "fit_replay", "baseline_k_table", "country_k_table", "random_fuzzy_fits"):
+        from segmentflow.plans.queries import QUERIES
+
+        rows = QUERIES[name](spark, sf_dir).collect()
+        assert rows and all(x["holds"] for x in rows if "holds" in x) and not any(x["violations"] for x in rows if "violations" in x), name
