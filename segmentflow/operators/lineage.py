@@ -118,11 +118,11 @@ def match_identities(
                 else "merge contribution" if merged
                 else "secondary overlap"
             )
-            rows.append({"previous_id": old_ids[a], "current_id": ids[b], "distance": float(distance[a, b]), "overlap": float(overlap[a, b]), "cost": float(cost[a, b]), "event": event, "is_primary": int(primary)})
+            rows.append({"previous_id": old_ids[a], "current_id": ids[b], "distance": float(distance[a, b]), "overlap": float(overlap[a, b]), "cost": float(cost[a, b]), "event": event, "is_primary": int(primary), "previous_index": a, "current_index": b})
         if a not in kept:
-            rows.append({"previous_id": old_ids[a], "current_id": None, "distance": None, "overlap": None, "cost": None, "event": "retired", "is_primary": 0})
+            rows.append({"previous_id": old_ids[a], "current_id": None, "distance": None, "overlap": None, "cost": None, "event": "retired", "is_primary": 0, "previous_index": a, "current_index": None})
     rows += [
-        {"previous_id": None, "current_id": ids[b], "distance": None, "overlap": None, "cost": None, "event": "created", "is_primary": 0}
+        {"previous_id": None, "current_id": ids[b], "distance": None, "overlap": None, "cost": None, "event": "created", "is_primary": 0, "previous_index": None, "current_index": b}
         for b in range(j)
         if b not in matched
     ]

@@ -137,11 +137,14 @@ def residuals(left: DataFrame, right: DataFrame, keys: list[str], tolerance: dic
 
 
 def period_reconciliation(ledger: DataFrame, cycles: DataFrame, panel: DataFrame) -> DataFrame:
-    """Sales of each period in the ledger and in the panel."""
-    a = in_periods(ledger, cycles).groupBy("cycle_number").agg(F.sum("total_price").alias("ledger_sales"))
-    b = panel.groupBy("cycle_number").agg(F.sum("current_revenue").alias("panel_sales"))
+    """Sales and orders of each period in the ledger and in the panel; an order is one customer's invoice."""
+    order = F.struct("customer_id", "purchase_invoice_no")
+    a = in_periods(ledger, cycles).groupBy("cycle_number").agg(F.sum("total_price").alias("ledger_sales"), F.count_distinct(order).cast("double").alias("ledger_orders"))
+    b = panel.groupBy("cycle_number").agg(F.sum("current_revenue").alias("panel_sales"), F.sum("current_orders").alias("panel_orders"))
     joined = cycles.select("cycle_number").join(a, "cycle_number", "left").join(b, "cycle_number", "left").na.fill(0.0)
-    return joined.withColumn("agrees", F.abs(F.col("ledger_sales") - F.col("panel_sales")) < 0.01)
+    return joined.withColumn(
+        "agrees", (F.abs(F.col("ledger_sales") - F.col("panel_sales")) < 0.01) & (F.abs(F.col("ledger_orders") - F.col("panel_orders")) < 1e-6)
+    )
 
 
 def population_scope(ledger: DataFrame, cycles: DataFrame, state: DataFrame) -> DataFrame:

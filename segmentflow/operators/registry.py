@@ -134,3 +134,23 @@ def registry_violations(stored: DataFrame, assignments: DataFrame, lineage: Data
             counted("a centre that the lineage does not leave", ids.where(F.col("cycle_number") < last).join(left, ["cycle_number", "stable_cluster_id"], "left_anti")),
         ],
     )
+
+
+def identity_links(state: DataFrame, centres: DataFrame) -> DataFrame:
+    """Each id that goes on from a cycle to the next: both names, and the change of its membership-weighted measures.
+
+    A centre's measure is the mean over all customers of the cycle by squared membership; one aggregation of
+    customers x K cells, then a few rows a cycle.
+    """
+    measures = ("recency", "frequency", "monetary")
+    cells = state.select("cycle_number", *measures, F.posexplode("u").alias("cluster_index", "m"))
+    weight = F.col("m") * F.col("m")
+    means = cells.groupBy("cycle_number", "cluster_index").agg(*[F.try_divide(F.sum(weight * F.col(c)), F.sum(weight)).alias(c) for c in measures])
+    named = means.join(centres.select("cycle_number", "cluster_index", "stable_cluster_id", "segment_name"), ["cycle_number", "cluster_index"])
+    before = named.select(
+        (F.col("cycle_number") + 1).alias("cycle_number"), "stable_cluster_id", F.col("segment_name").alias("old_name"), *[F.col(c).alias(f"old_{c}") for c in measures]
+    )
+    return named.join(before, ["cycle_number", "stable_cluster_id"]).select(
+        "cycle_number", "stable_cluster_id", "old_name", F.col("segment_name").alias("new_name"), (F.col("old_name") == F.col("segment_name")).alias("kept_name"),
+        *[(F.col(c) - F.col(f"old_{c}")).alias(f"{c}_change") for c in measures],
+    )

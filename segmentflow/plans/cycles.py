@@ -40,7 +40,8 @@ class Run:
 
 RUN_TABLES = {
     "centres": "cycle_number int, cluster_index int, stable_cluster_id string, segment_name string, centre array<double>",
-    "lineage": "cycle_number int, previous_id string, current_id string, distance double, overlap double, cost double, event string, is_primary int",
+    "lineage": "cycle_number int, previous_id string, current_id string, distance double, overlap double, cost double, event string, is_primary int, "
+    "previous_index int, current_index int",
     "candidates": "cycle_number int, k int, source string, objective double, xie_beni double, iterations int, converged boolean, selected boolean, "
     "start array<array<double>>, carried array<double>, fitted array<array<double>>",
     "quality": "cycle_number int, k int, n long, objective double, xie_beni double, iterations int, source string, condition_one long, condition_two long, left_out long",

@@ -533,3 +533,24 @@ def registry_audit(spark, sf_dir):
     """The fitted run's registry and its digests against assignments, lineage and panel."""
     run = st.fitted_run(spark, sf_dir)
     return registry.registry_violations(run["registry"], run["assignments"], run["lineage"], st.rfm(spark, sf_dir))
+
+
+@registered(
+    "identity_links",
+    sql.with_(sql.ASSIGNED)
+    + """, long AS (SELECT cycle_number, k::INTEGER AS k, CASE k WHEN 0 THEN u0 WHEN 1 THEN u1 WHEN 2 THEN u2 ELSE u3 END AS u, recency, frequency, monetary FROM assigned, range(4) AS t(k)),
+    m AS (SELECT cycle_number, k, sum(u * u * recency) / nullif(sum(u * u), 0) AS r, sum(u * u * frequency) / nullif(sum(u * u), 0) AS f, sum(u * u * monetary) / nullif(sum(u * u), 0) AS m
+          FROM long GROUP BY ALL),
+    n AS (SELECT *, """
+    + f"{sql.pick(st.IDS, 'k')} AS id, {sql.pick(st.NAMES, 'k')} AS name"
+    + """ FROM m)
+    SELECT a.cycle_number, a.id AS stable_cluster_id, b.name AS old_name, a.name AS new_name, a.name = b.name AS kept_name, round(a.r - b.r, 4) + 0.0 AS recency_change,
+           round(a.f - b.f, 4) + 0.0 AS frequency_change, round(a.m - b.m, 3) + 0.0 AS monetary_change
+    FROM n a JOIN n b ON a.id = b.id AND a.cycle_number = b.cycle_number + 1""",
+)
+def identity_links(spark, sf_dir):
+    """Names and weighted measures of every id that goes on."""
+    found = registry.identity_links(st.segments(spark, sf_dir), st.fitted(spark))
+    return found.select(
+        "cycle_number", "stable_cluster_id", "old_name", "new_name", "kept_name", r("recency_change", 4), r("frequency_change", 4), r("monetary_change", 3)
+    )

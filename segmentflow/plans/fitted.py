@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmentflow.operators import behaviour, markets, summaries, validity
+from segmentflow.operators import behaviour, markets, registry, summaries, validity
 from segmentflow.plans import state as st
 from segmentflow.plans.register import r, registered
 
@@ -184,3 +184,20 @@ def country_residuals(spark, sf_dir):
     found = st.country_features(spark, sf_dir)
     scaling, centres, _ = markets.fit_groups(found)
     return markets.group_fit(markets.grouped(found, scaling, centres)).select("cycle_number", "countries", r("wcss", 6), "occupied")
+
+
+@report(
+    "fitted_identity_links",
+    """WITH long AS (SELECT cycle_number, generate_subscripts(u, 1) - 1 AS k, unnest(u) AS m, recency, frequency, monetary FROM assignments),
+    w AS (SELECT cycle_number, k, sum(m * m * recency) / sum(m * m) AS r, sum(m * m * frequency) / sum(m * m) AS f, sum(m * m * monetary) / sum(m * m) AS m FROM long GROUP BY ALL HAVING sum(m * m) > 0),
+    n AS (SELECT w.*, stable_cluster_id AS id, segment_name AS name FROM w JOIN centres c ON c.cycle_number = w.cycle_number AND c.cluster_index = w.k)
+    SELECT a.cycle_number, a.id AS stable_cluster_id, b.name AS old_name, a.name AS new_name, a.name = b.name AS kept_name, round(a.r - b.r, 4) + 0.0 AS recency_change,
+           round(a.f - b.f, 4) + 0.0 AS frequency_change, round(a.m - b.m, 3) + 0.0 AS monetary_change
+    FROM n a JOIN n b ON a.id = b.id AND a.cycle_number = b.cycle_number + 1""",
+)
+def fitted_identity_links(run: Tables) -> DataFrame:
+    """Names and weighted measures of every fitted id that goes on."""
+    found = registry.identity_links(run["assignments"], run["centres"])
+    return found.select(
+        "cycle_number", "stable_cluster_id", "old_name", "new_name", "kept_name", r("recency_change", 4), r("frequency_change", 4), r("monetary_change", 3)
+    )

@@ -548,6 +548,7 @@ def feature_correlation(spark, sf_dir):
            coalesce(breadth, 0)::BIGINT AS product_diversity, round(coalesce(repeat_purchase_rate, 0), 6) AS repeat_purchase_rate,
            coalesce(round(revenue, 2) / nullif(active, 0), 0) AS revenue_per_customer, round(coalesce(orders / nullif(active, 0)::DOUBLE, 0), 6) AS orders_per_customer,
            round(coalesce(ch / customers::DOUBLE, 0), 6) AS champions_share, round(coalesce(lo / customers::DOUBLE, 0), 6) AS loyalists_share, round(coalesce(mi / customers::DOUBLE, 0), 6) AS mid_tier_share,
+           0.0::DOUBLE AS developing_share, round(coalesce(greatest(0, 1 - (ch + lo + mi + hi) / customers::DOUBLE), 0), 6) AS other_share, round(coalesce(quantity, 0), 2) AS quantity,
            round(coalesce(hi / customers::DOUBLE, 0), 6) AS lost_share, round(coalesce(ri / customers::DOUBLE, 0), 6) AS at_risk_share, round(ln(1 + coalesce(revenue, 0)), 6) AS log_revenue
     FROM seen_c LEFT JOIN com USING (cycle_number, country) LEFT JOIN rep USING (cycle_number, country) LEFT JOIN mix USING (cycle_number, country)""",
 )
@@ -556,7 +557,8 @@ def market_features(spark, sf_dir):
     return found.select(
         "cycle_number", "country", "customer_count", "active_customer_count", r("revenue", 2), "orders", "product_diversity",
         r("repeat_purchase_rate", 6), per("revenue", "active_customer_count", "revenue_per_customer"), r("orders_per_customer", 6),
-        *[r(c, 6) for c in ("champions_share", "loyalists_share", "mid_tier_share", "lost_share", "at_risk_share", "log_revenue")],
+        *[r(c, 6) for c in ("champions_share", "loyalists_share", "mid_tier_share", "developing_share", "lost_share", "other_share", "at_risk_share", "log_revenue")],
+        r("quantity", 2),
     )
 
 
@@ -735,13 +737,14 @@ def segment_identity_history(spark, sf_dir):
 @registered(
     "period_reconciliation",
     sql.with_(sql.PANEL)
-    + """SELECT cal.cycle_number, round(coalesce(l.sales, 0), 2) AS ledger_sales, round(coalesce(p.sales, 0), 2) AS panel_sales, abs(coalesce(l.sales, 0) - coalesce(p.sales, 0)) < 0.01 AS agrees
-    FROM cal LEFT JOIN (SELECT cycle_number, sum(total_price) AS sales FROM ledger JOIN cal ON invoice_date >= period_start AND invoice_date < period_end GROUP BY ALL) l USING (cycle_number)
-    LEFT JOIN (SELECT cycle_number, sum(current_revenue) AS sales FROM panel GROUP BY ALL) p USING (cycle_number)""",
+    + """SELECT cal.cycle_number, round(coalesce(l.sales, 0), 2) AS ledger_sales, round(coalesce(p.sales, 0), 2) AS panel_sales, coalesce(l.orders, 0)::DOUBLE AS ledger_orders, round(coalesce(p.orders, 0), 4) AS panel_orders,
+       abs(coalesce(l.sales, 0) - coalesce(p.sales, 0)) < 0.01 AND abs(coalesce(l.orders, 0) - coalesce(p.orders, 0)) < 1e-6 AS agrees
+    FROM cal LEFT JOIN (SELECT cycle_number, sum(total_price) AS sales, count(DISTINCT (customer_id, invoice_no)) AS orders FROM ledger JOIN cal ON invoice_date >= period_start AND invoice_date < period_end GROUP BY ALL) l USING (cycle_number)
+    LEFT JOIN (SELECT cycle_number, sum(current_revenue) AS sales, sum(current_orders) AS orders FROM panel GROUP BY ALL) p USING (cycle_number)""",
 )
 def period_reconciliation(spark, sf_dir):
     return quality.period_reconciliation(st.ledger(spark, sf_dir), st.cycles(spark), st.rfm(spark, sf_dir)).select(
-        "cycle_number", r("ledger_sales", 2), r("panel_sales", 2), "agrees"
+        "cycle_number", r("ledger_sales", 2), r("panel_sales", 2), r("ledger_orders", 4), r("panel_orders", 4), "agrees"
     )
 
 

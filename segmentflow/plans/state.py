@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from segmentflow.functions.membership import centre_array, first_min, memberships, squared_distances
 from segmentflow.operators import behaviour, markets, registry, reversals
-from segmentflow.operators.calendar import CycleConfig, calendar
+from segmentflow.operators.calendar import CycleConfig, calendar, require_coverage
 from segmentflow.operators.cleaning import clean, dedup_exact
 from segmentflow.operators.snapshot import country_asof, panel
 from segmentflow.plans.cycles import RUN_TABLES
@@ -84,7 +84,12 @@ def cycles(spark: SparkSession) -> DataFrame:
 
 
 def rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "panel", lambda: panel(ledger(spark, sf_dir), cycles(spark)))
+    def build() -> DataFrame:
+        sales = ledger(spark, sf_dir)
+        require_coverage(sales, CONFIG)
+        return panel(sales, cycles(spark))
+
+    return stored(spark, sf_dir, "panel", build)
 
 
 def centres_at(cycle: Column) -> Column:

@@ -26,6 +26,10 @@ def test_cycle_loop_invariants(spark):
     by = {c: {x["stable_cluster_id"] for x in run.centres if x["cycle_number"] == c} for c in (0, 1)}
     assert by[0] and by[0] & by[1] and [q["k"] for q in run.quality] == [len(by[0]), len(by[1])]
     assert sum(x["selected"] for x in run.candidates) == 1
+    index = {(x["cycle_number"], x["stable_cluster_id"]): x["cluster_index"] for x in run.centres}
+    assert all(x["current_index"] == index[1, x["current_id"]] for x in run.lineage if x["current_id"]) and all(
+        x["previous_index"] == index[0, x["previous_id"]] for x in run.lineage if x["previous_id"]
+    )
     tables = run.tables()
     audit = lambda **changed: {r["rule"]: r["violations"] for r in quality.fit_violations(*[{**tables, **changed}[n] for n in ("assignments", "centres", "lineage", "candidates")]).collect()}
     assert set(audit().values()) == {0}
@@ -35,7 +39,7 @@ def test_cycle_loop_invariants(spark):
     assert audit(assignments=swapped)["assigned to a farther centre"] == 120
     none = tables["candidates"].withColumn("selected", F.lit(False))
     assert audit(candidates=none)["not one candidate selected"] == 1 and audit(candidates=none)["selected candidate without the least index"] == 1
-    again = spark.createDataFrame([(1, None, run.centres[0]["stable_cluster_id"], None, 0.01, None, "created", 0), (1, "a", "b", 0.1, 0.5, 0.2, "continued", 1)], tables["lineage"].schema)
+    again = spark.createDataFrame([(1, None, run.centres[0]["stable_cluster_id"], None, 0.01, None, "created", 0, None, 0), (1, "a", "b", 0.1, 0.5, 0.2, "continued", 1, 0, 0)], tables["lineage"].schema)
     found = audit(lineage=again)
     assert [found[n] for n in ("created id used before", "link below the least overlap", "primary link between two ids")] == [1, 1, 1]
     assert audit(centres=tables["centres"].unionByName(tables["centres"]))["two centres under one id"] == len(run.centres)
