@@ -113,3 +113,18 @@ def test_reports_over_a_fitted_run_equal_sql_over_its_tables(spark, sf_dir, tmp_
 
         rows = QUERIES[name](spark, sf_dir).collect()
         assert rows and all(x["holds"] for x in rows if "holds" in x) and not any(x["violations"] for x in rows if "violations" in x), name
+
+
+def test_csv_exports_read_back(spark, tmp_path):
+    """One folder of CSV for a table, and one per profile under its slug."""
+    from segmentflow.sources import sinks
+
+    rows = [("Hibernating / Lost", 1, 2.5), ("Hibernating / Lost", 2, None), ("Champions", 3, -1.0), ("Mid-Tier, \"quoted\"", 4, 0.0)]
+    df = spark.createDataFrame(rows, "profile string, customer_id int, value double")
+    sinks.write_csv(df, f"{tmp_path}/all")
+    back = spark.read.option("header", True).option("escape", "\\").csv(f"{tmp_path}/all", schema=df.schema)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    sinks.write_profile_csvs(df, f"{tmp_path}/profiles", "profile")
+    assert sorted(p.name for p in (tmp_path / "profiles").iterdir() if p.is_dir()) == ["slug=champions", "slug=hibernating_lost", "slug=mid_tier_quoted"]
+    own = spark.read.option("header", True).csv(f"{tmp_path}/profiles/slug=hibernating_lost")
+    assert sorted(r.customer_id for r in own.collect()) == ["1", "2"]
