@@ -108,10 +108,10 @@ def labelled(points: DataFrame, found: dict[int, Partition], column: str = "poin
     return F.array(*[first_min(squared_distances(F.col(column), centre_array(found[k].centres))) for k in sorted(found)])
 
 
-def mean_silhouettes(points: DataFrame, found: dict[int, Partition], id_col: str, column: str = "point") -> dict[int, float]:
+def mean_silhouettes(points: DataFrame, found: dict[int, Partition], column: str = "point") -> dict[int, float]:
     """The mean Euclidean silhouette of each partition, all from one pass over pairs of blocks."""
-    each = validity.exact_silhouettes(points, labelled(points, found, column), None, column, id_col)
-    rows = each.groupBy("place").agg(F.avg("silhouette").alias("s")).collect()  # one row per K
+    each = validity.weighted_silhouettes(points, labelled(points, found, column), None, column)
+    rows = each.groupBy("place").agg(validity.mean_silhouette().alias("s")).collect()  # one row per K
     ks = sorted(found)
     return {ks[r["place"]]: r["s"] for r in rows}
 
@@ -122,7 +122,7 @@ def k_table(points: DataFrame, found: dict[int, Partition], id_col: str, between
     ``elbow_k`` is farthest below the chord; ``shallow_bend`` tells that the second is within a twentieth of it.
     """
     ks = sorted(found)
-    silhouettes = mean_silhouettes(points, found, id_col, column)
+    silhouettes = mean_silhouettes(points, found, column)
     bends = clustering.elbow_distances({k: found[k].cost for k in ks}, between_ends)
     chosen = clustering.elbow({k: found[k].cost for k in ks}, between_ends)
     deep = sorted(bends.values(), reverse=True)

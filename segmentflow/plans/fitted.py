@@ -173,7 +173,8 @@ def fitted_evaluation(run: Tables) -> DataFrame:
 def fitted_separation(spark, sf_dir):
     """Silhouette, Davies-Bouldin and Calinski-Harabasz of the fitted groups in projected space, per cycle."""
     rows = tables(spark, sf_dir)["assignments"].select("cycle_number", "customer_id", "cluster_index", "point")
-    mean = validity.exact_silhouette(rows, ["cycle_number"]).groupBy("cycle_number").agg(r(F.avg("silhouette"), 5, "silhouette"))
+    found = validity.weighted_silhouettes(rows, F.array("cluster_index"), ["cycle_number"])
+    mean = found.groupBy("cycle_number").agg(r(validity.mean_silhouette(), 5, "silhouette"))
     scores = validity.scores_by_key(rows, "cycle_number").select("cycle_number", "n", "k", r("davies_bouldin", 5), r("calinski_harabasz", 4))
     return scores.join(mean, "cycle_number", "left")
 
