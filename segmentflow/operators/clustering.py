@@ -1,13 +1,13 @@
 """K-means baseline and the fuzzy update of one cycle: distributed sums, K-sized algebra on the driver.
 
-Feature points are an array column.  Every pass over the rows is one aggregation for all live starts at
-once; what returns to the driver is bounded by starts x K rows, whatever the number of customers.
+Feature points are an array column; iterations run over packed distinct points.  Every pass is one job for all live
+starts at once; what returns to the driver is bounded by tasks x starts x K, whatever the number of customers.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -100,14 +100,72 @@ def xie_beni(objective: float, rows: int, centres: np.ndarray) -> float:
 # One pass over the rows
 
 
+CHUNK = 4_096
+
+
+def packed(points: DataFrame, column: str = "point", others: dict[str, Column] | None = None) -> DataFrame:
+    """Distinct points with their other values and ``n``, the rows that have them, packed in blocks of doubles.
+
+    Passes of an iteration read bytes instead of rows, in as many tasks as there are cores, and equal rows once.
+    Columns are x, the others' names and n.
+    """
+    others = others or {}
+    distinct = points.groupBy(F.col(column).alias("x"), *[c.alias(name) for name, c in others.items()]).agg(F.count("*").alias("n"))
+    names = ["x", *others, "n"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                columns = [batch.column(0).flatten(), *batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).astype(float).tobytes()], pa.binary()) for c in columns], names)
+
+    tasks = points.sparkSession.sparkContext.defaultParallelism
+    return distinct.select(*names).repartition(tasks, "x").mapInArrow(pack, ", ".join(f"{n} binary" for n in names))
+
+
+def block_sums(blocks: DataFrame, size: int, sums: Callable[..., np.ndarray]) -> np.ndarray | None:
+    """The sum over all blocks of what ``sums`` makes of one: coordinates by row of ``size``, then the other values.
+
+    Each task adds up its own blocks, so the driver gets one array per task; without blocks there is none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for block in zip(*[c.to_pylist() for c in batch.columns]):
+                x, *values = (np.frombuffer(b, dtype=float) for b in block)
+                x = np.ascontiguousarray(x.reshape(-1, size).T)
+                for a in range(0, x.shape[1], CHUNK):
+                    part = sums(np.ascontiguousarray(x[:, a : a + CHUNK]), *[v[a : a + CHUNK] for v in values])
+                    total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    found = [np.frombuffer(row["total"], dtype=float) for row in blocks.mapInArrow(run, "total binary").collect()]  # one row per task
+    return np.sum(found, axis=0) if found else None
+
+
+def gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances, a row per centre; x has a row per coordinate."""
+    out = np.zeros((len(centres), x.shape[1]))
+    for own, c in zip(x, centres.T):
+        one = own - c[:, None]
+        one *= one
+        out += one
+    return out
+
+
 def _numpy_memberships(d2: np.ndarray, fuzziness: float) -> np.ndarray:
+    """Memberships, a row per centre."""
     touched = d2 <= TOUCH
-    least = d2.min(axis=1, keepdims=True)
     with np.errstate(divide="ignore", invalid="ignore"):
-        u = (least / d2) ** (1.0 / (fuzziness - 1.0))
-        u /= u.sum(axis=1, keepdims=True)
-    some = touched.any(axis=1)
-    u[some] = touched[some] / touched[some].sum(axis=1, keepdims=True)
+        u = d2.min(axis=0) / d2
+        if fuzziness != 2.0:
+            u **= 1.0 / (fuzziness - 1.0)
+        u /= u.sum(axis=0)
+    some = touched.any(axis=0)
+    if some.any():
+        u[:, some] = touched[:, some] / touched[:, some].sum(axis=0)
     return u
 
 
@@ -115,33 +173,39 @@ def fuzzy_sums(points: DataFrame, sets: list[np.ndarray], fuzziness: float, left
     """Per set of centres: rows, objective, and per centre the sums of u^m, u^m x and hard-winner membership.
 
     ``left_out`` names a boolean column; for its rows there are sums of their own, so a caller can take them away
-    (``out_weight`` and so on).  Partial sums of each Arrow batch are added up by Spark; the driver gets one row
-    per set and place.
+    (``out_weight`` and so on).
     """
+    return packed_fuzzy_sums(fuzzy_blocks(points, left_out, column), sets, fuzziness)
+
+
+def fuzzy_blocks(points: DataFrame, left_out: str | None = None, column: str = "point") -> DataFrame:
+    """The points packed for fuzzy sums."""
+    return packed(points, column, {"out": F.coalesce(F.col(left_out), F.lit(False)) if left_out else F.lit(False)})
+
+
+def packed_fuzzy_sums(blocks: DataFrame, sets: list[np.ndarray], fuzziness: float) -> list[dict]:
+    """``fuzzy_sums`` over packed points."""
     size = len(sets[0][0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros(2 + 2 * len(c) * (size + 2)) for c in sets]
-        for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-            out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for total, centres in zip(totals, sets):
-                d2 = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
-                u = _numpy_memberships(d2, fuzziness)
-                weight, winner = u**fuzziness, u.argmax(axis=1)
-                parts = [[len(x), (weight * d2).sum()]]
-                for own in (~out, out):
-                    won = np.bincount(winner[own], weights=u[np.arange(len(u)), winner][own], minlength=len(centres))
-                    parts += [weight[own].sum(axis=0), (weight[own].T @ x[own]).ravel(), won]
-                total += np.concatenate(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int32()), pa.array([t.tolist() for t in totals], pa.list_(pa.float64()))], ["which", "parts"])
-
-    flag = F.coalesce(F.col(left_out), F.lit(False)) if left_out else F.lit(False)
-    flat = summed(points.select(column, flag.alias("out")).mapInArrow(run, "which int, parts array<double>"), len(sets))
-    found = []
-    for values, centres in zip(flat, sets):
+    def sums(x: np.ndarray, out: np.ndarray, n: np.ndarray) -> np.ndarray:
+        parts = []
+        for centres in sets:
+            d2 = gaps(x, centres)
+            u = _numpy_memberships(d2, fuzziness)
+            weight, winner = u**fuzziness * n, u.argmax(axis=0)
+            parts.append(np.array([n.sum(), (weight * d2).sum()]))
+            top = u.max(axis=0) * n
+            for share in (1.0 - out, out):
+                w = weight * share
+                parts += [w.sum(axis=1), (w @ x.T).ravel(), np.bincount(winner, weights=top * share, minlength=len(centres))]
+        return np.concatenate(parts)
+
+    flat, at, found = block_sums(blocks, size, sums), 0, []
+    for centres in sets:
         k = len(centres)
-        v = values if len(values) else np.zeros(2 + 2 * k * (size + 2))
+        length = 2 + 2 * k * (size + 2)
+        v = np.zeros(length) if flat is None else flat[at : at + length]
+        at += length
         one = {"rows": int(v[0]), "objective": float(v[1])}
         for prefix, w in (("", v[2 : 2 + k * (size + 2)]), ("out_", v[2 + k * (size + 2) :])):
             one |= {f"{prefix}weight": w[:k], f"{prefix}moment": w[k : k + k * size].reshape(k, size), f"{prefix}won": w[k + k * size :]}
@@ -149,19 +213,6 @@ def fuzzy_sums(points: DataFrame, sets: list[np.ndarray], fuzziness: float, left
     return found
 
 
-def summed(parts: DataFrame, sets: int) -> list[np.ndarray]:
-    """The sums by place of the arrays (which, parts) of each set."""
-    summed = parts.select("which", F.posexplode("parts").alias("place", "value")).groupBy("which", "place").agg(F.sum("value").alias("value"))
-    rows = summed.toArrow()
-    which, place, value = (rows.column(c).to_numpy() for c in ("which", "place", "value"))
-    out = []
-    for i in range(sets):
-        own = np.zeros(int(place[which == i].max(initial=-1)) + 1)
-        own[place[which == i]] = value[which == i]
-        out.append(own)
-    return out
-
-
 def conditions(points: DataFrame, centres: np.ndarray, config: FuzzyConfig = FuzzyConfig(), column: str = "point") -> tuple[bool, bool]:
     """Whether any row meets condition one (memberships all close to 1/K), and whether any meets condition two
     (farther from every centre than half that centre's farthest separation)."""
@@ -252,18 +303,22 @@ def fit_starts(points: DataFrame, tried: list[Start], config: FuzzyConfig = Fuzz
     the number of updates that the given centres come from.
     """
     now, last, fits = [s.centres.astype(float) for s in tried], [math.inf] * len(tried), [None] * len(tried)
-    for done in range(made, config.max_iterations + 1):  # updates made so far
-        live = [i for i, f in enumerate(fits) if f is None]
-        if not live:
-            break
-        for i, s in zip(live, fuzzy_sums(points, [now[i] for i in live], config.fuzziness, left_out, column)):
-            settled = done >= 2 and abs(last[i] - s["objective"]) <= config.tolerance
-            if settled or done == config.max_iterations:
-                index = xie_beni(s["objective"], s["rows"], now[i])
-                fits[i] = Fit(now[i], s["objective"], index, done, settled, tried[i].source, tried[i].centres, tried[i].carried)
-                continue
-            last[i] = s["objective"] if done else math.inf
-            now[i] = moved(tried[i], s)
+    blocks = fuzzy_blocks(points, left_out, column).persist()
+    try:
+        for done in range(made, config.max_iterations + 1):  # updates made so far
+            live = [i for i, f in enumerate(fits) if f is None]
+            if not live:
+                break
+            for i, s in zip(live, packed_fuzzy_sums(blocks, [now[i] for i in live], config.fuzziness)):
+                settled = done >= 2 and abs(last[i] - s["objective"]) <= config.tolerance
+                if settled or done == config.max_iterations:
+                    index = xie_beni(s["objective"], s["rows"], now[i])
+                    fits[i] = Fit(now[i], s["objective"], index, done, settled, tried[i].source, tried[i].centres, tried[i].carried)
+                    continue
+                last[i] = s["objective"] if done else math.inf
+                now[i] = moved(tried[i], s)
+    finally:
+        blocks.unpersist()
     return [f for f in fits if f is not None]
 
 

@@ -1,7 +1,7 @@
 """Replay of a fitted run: candidates, centres, conditions and identities computed again from what the run stored.
 
-Written apart from the fit, so that a fault in its code shows: distances, memberships and sums are column
-expressions, the candidates of all cycles advance together in one aggregation per iteration, and identities come
+Written apart from the fit, so that a fault in its code shows: distances, memberships and sums have code of their
+own, the candidates of all cycles advance together in one pass over packed points per iteration, and identities come
 from a dynamic programme over sets of clusters instead of augmenting paths.  What reaches the driver is bounded
 by cycles x candidates x centres, whatever the number of customers.
 
@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segmentflow.operators.clustering import block_sums, packed
+
 CLOSE = 1e-9
 EVENTS = {(False, False): "secondary overlap", (True, False): "split contribution", (False, True): "merge contribution", (True, True): "split/merge contribution"}
 
@@ -77,45 +79,27 @@ def candidates_again(assignments: DataFrame, centres: DataFrame, candidates: Dat
     spark = assignments.sparkSession
     stored = candidates.orderBy("cycle_number", "k", "source").collect()  # some K rows a cycle
     points = _with_conditions(assignments.select("cycle_number", "point"), centres, rules)
-    points = points.select("cycle_number", "point", (F.col("one") & F.col("two")).alias("left_out")).persist()
+    flag = F.coalesce(F.col("one") & F.col("two"), F.lit(False))
+    blocks = packed(points, "point", {"cycle": F.col("cycle_number"), "out": flag}).persist()
     size = len(stored[0]["start"][0]) if stored else 0
     now = [np.array(c["start"], dtype=float) for c in stored]
     ended: dict[int, tuple[np.ndarray, float, int, int, bool]] = {}
     before = [math.inf] * len(stored)
-    x = [F.get("point", F.lit(i)) for i in range(size)]
     try:
         for updates in range(rules.max_iterations + 1):
             live = [i for i in range(len(stored)) if i not in ended]
             if not live:
                 break
-            asked = spark.createDataFrame(
-                [(i, stored[i]["cycle_number"], stored[i]["carried"] is not None, now[i].tolist()) for i in live],
-                "candidate int, cycle_number int, moving boolean, centres array<array<double>>",
-            )
-            rows = points.join(F.broadcast(asked), "cycle_number").withColumn("gaps", _gaps(F.col("centres"), F.col("point")))
-            rows = rows.withColumn("u", _shares(F.col("gaps"), rules.fuzziness)).withColumn("first", F.array_position("u", F.array_max("u")) - 1)
-            cells = rows.select("candidate", "point", "first", (F.col("moving") & F.col("left_out")).alias("out"), F.posexplode(F.arrays_zip("u", "gaps")).alias("k", "c"))
-            weight = F.pow("c.u", F.lit(rules.fuzziness))
-            counted = F.when(~F.col("out"), weight).otherwise(0.0)
-            sums = cells.groupBy("candidate", "k").agg(
-                F.count("*").alias("n"), F.sum(weight * F.col("c.gaps")).alias("loss"), F.sum(counted).alias("weight"),
-                F.sum(F.when((F.col("first") == F.col("k")) & ~F.col("out"), F.col("c.u")).otherwise(0.0)).alias("won"),
-                F.array(*[F.sum(counted * c) for c in x]).alias("moment"),
-            )
-            found: dict[int, dict[int, tuple]] = {}
-            for row in sums.collect():  # live candidates x K rows
-                found.setdefault(row["candidate"], {})[row["k"]] = row
-            for i in live:
-                own = found.get(i, {})
-                loss, n = sum(r["loss"] for r in own.values()), max((r["n"] for r in own.values()), default=0)
-                settled = updates >= 2 and abs(before[i] - loss) <= rules.tolerance
+            asked = [(stored[i]["cycle_number"], stored[i]["carried"] is not None, now[i]) for i in live]
+            for i, own in zip(live, _candidate_sums(blocks, asked, size, rules.fuzziness)):
+                settled = updates >= 2 and abs(before[i] - own["loss"]) <= rules.tolerance
                 if settled or updates == rules.max_iterations:
-                    ended[i] = (now[i], loss, n, updates, settled)
+                    ended[i] = (now[i], own["loss"], own["n"], updates, settled)
                     continue
-                before[i] = loss if updates else math.inf
+                before[i] = own["loss"] if updates else math.inf
                 now[i] = _next(stored[i], own)
     finally:
-        points.unpersist()
+        blocks.unpersist()
     out = []
     for i, c in enumerate(stored):
         fitted, loss, n, updates, settled = ended[i]
@@ -130,19 +114,47 @@ def candidates_again(assignments: DataFrame, centres: DataFrame, candidates: Dat
     )
 
 
-def _next(candidate, own: dict[int, tuple]) -> np.ndarray:
+def _candidate_sums(blocks: DataFrame, asked: list[tuple[int, bool, np.ndarray]], size: int, fuzziness: float) -> list[dict]:
+    """Per asked (cycle, moving, centres): rows n, loss, and weight, won and moment of every centre, from one pass."""
+
+    def sums(x: np.ndarray, cycle: np.ndarray, out: np.ndarray, n: np.ndarray) -> np.ndarray:
+        parts, own_rows = [], {c: np.flatnonzero(cycle == c) for c in {c for c, _, _ in asked}}
+        for c, moving, centres in asked:
+            rows = own_rows[c]
+            p, times = x[:, rows], n[rows]
+            counted = np.where(out[rows] > 0, 0.0, times) if moving else times
+            d = ((p[None] - centres[:, :, None]) ** 2).sum(axis=1)  # centres x rows
+            hit = d <= 1e-24
+            with np.errstate(divide="ignore", invalid="ignore"):
+                closeness = d ** (-1.0 / (fuzziness - 1.0))
+                u = np.where(hit.any(axis=0), hit / np.maximum(hit.sum(axis=0), 1), closeness / closeness.sum(axis=0))
+            w = u**fuzziness
+            won = (np.arange(len(centres))[:, None] == u.argmax(axis=0)) * u
+            parts += [[times.sum(), (w * d * times).sum()], (w * counted).sum(axis=1), (won * counted).sum(axis=1), ((w * counted)[:, None] * p).sum(axis=2).ravel()]
+        return np.concatenate(parts)
+
+    flat, at, found = block_sums(blocks, size, sums), 0, []
+    for _, _, centres in asked:
+        k = len(centres)
+        length = 2 + k * (2 + size)
+        v = np.zeros(length) if flat is None else flat[at : at + length]
+        at += length
+        found.append({"n": int(v[0]), "loss": float(v[1]), "weight": v[2 : 2 + k], "won": v[2 + k : 2 + 2 * k], "moment": v[2 + 2 * k :].reshape(k, size)})
+    return found
+
+
+def _next(candidate, own: dict) -> np.ndarray:
     """The next centres of a candidate from its sums."""
     start = np.array(candidate["start"], dtype=float)
     out = np.zeros_like(start)
     for k in range(len(start)):
-        row = own.get(k)
-        weight = row["weight"] if row else 0.0
+        weight, won = own["weight"][k], own["won"][k]
         if candidate["carried"] is None:
-            out[k] = np.array(row["moment"]) / max(weight, 1e-12) if row else 0.0
+            out[k] = own["moment"][k] / max(weight, 1e-12)
             continue
-        mass = candidate["carried"][k] + (row["won"] if row else 0.0)
-        share = row["won"] / mass if row and weight > 1e-12 and mass > 1e-12 else 0.0
-        out[k] = start[k] if share == 0.0 else (1 - share) * start[k] + share * np.array(row["moment"]) / weight
+        mass = candidate["carried"][k] + won
+        share = won / mass if weight > 1e-12 and mass > 1e-12 else 0.0
+        out[k] = start[k] if share == 0.0 else (1 - share) * start[k] + share * own["moment"][k] / weight
     return out
 
 

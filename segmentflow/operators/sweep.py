@@ -9,20 +9,17 @@ the first pass, so a start needs no state and repeats exactly.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmentflow.functions.membership import centre_array, first_min, squared_distances
 from segmentflow.operators import clustering, validity
-from segmentflow.operators.clustering import Fit, FuzzyConfig, Start, summed
+from segmentflow.operators.clustering import Fit, FuzzyConfig, Start
 
 SAMPLE_ROWS, MOST_ITERATIONS, SETTLED = 4_096, 100, 1e-9
-CHUNK = 1_024
 
 
 @dataclass
@@ -48,28 +45,26 @@ def _draw(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return sample[picked].astype(float)
 
 
-def hard_sums(points: DataFrame, sets: list[np.ndarray], column: str = "point") -> list[tuple[float, np.ndarray, np.ndarray]]:
-    """Per set of centres: cost, rows and sums of points of each centre; a row counts with its nearest, first of ties."""
+def hard_sums(blocks: DataFrame, sets: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Per set of centres: cost, rows and sums of packed points of each centre; a row counts with its nearest, first of ties."""
     size = sets[0].shape[1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros(1 + len(c) * (size + 1)) for c in sets]
-        for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-            for a in range(0, len(x), CHUNK):
-                part = x[a : a + CHUNK]
-                for total, centres in zip(totals, sets):
-                    d2 = ((part[:, None] - centres[None]) ** 2).sum(axis=2)
-                    own, k = d2.argmin(axis=1), len(centres)
-                    total[0] += d2[np.arange(len(part)), own].sum()
-                    total[1 : 1 + k] += np.bincount(own, minlength=k)
-                    moment = total[1 + k :].reshape(k, size)
-                    for j in range(size):
-                        moment[:, j] += np.bincount(own, weights=part[:, j], minlength=k)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int32()), pa.array([t.tolist() for t in totals], pa.list_(pa.float64()))], ["which", "parts"])
-
-    flat = summed(points.select(column).mapInArrow(run, "which int, parts array<double>"), len(sets))
-    return [(float(v[0]), v[1 : 1 + len(c)], v[1 + len(c) :].reshape(len(c), size)) for v, c in zip(flat, sets)]
+    def sums(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        parts, weighted = [], x * n
+        for centres in sets:
+            d2 = clustering.gaps(x, centres)
+            own, k = d2.argmin(axis=0), len(centres)
+            moment = np.stack([np.bincount(own, weights=w, minlength=k) for w in weighted], axis=1)
+            parts += [np.array([(d2.min(axis=0) * n).sum()]), np.bincount(own, weights=n, minlength=k), moment.ravel()]
+        return np.concatenate(parts)
+
+    flat, at, found = clustering.block_sums(blocks, size, sums), 0, []
+    for centres in sets:
+        k = len(centres)
+        v = np.zeros(1 + k * (size + 1)) if flat is None else flat[at : at + 1 + k * (size + 1)]
+        at += len(v)
+        found.append((float(v[0]), v[1 : 1 + k], v[1 + k :].reshape(k, size)))
+    return found
 
 
 def kmeans(points: DataFrame, ks: list[int], starts: int = 30, seed: int = 42, column: str = "point") -> dict[int, Partition]:
@@ -81,20 +76,20 @@ def kmeans(points: DataFrame, ks: list[int], starts: int = 30, seed: int = 42, c
     now = [_draw(sample, k, rngs) for k in plans]
     cost = [math.inf] * len(plans)
     done: dict[int, tuple[float, np.ndarray, int]] = {}
-    points = points.select(column).persist()
+    blocks = clustering.packed(points, column).persist()
     try:
         for iteration in range(MOST_ITERATIONS + 1):
             live = [i for i in range(len(plans)) if i not in done]
             if not live:
                 break
-            for i, (loss, rows, moment) in zip(live, hard_sums(points, [now[i] for i in live], column)):
+            for i, (loss, rows, moment) in zip(live, hard_sums(blocks, [now[i] for i in live])):
                 if cost[i] - loss <= SETTLED * max(loss, 1e-300) or iteration == MOST_ITERATIONS:
                     done[i] = (loss, rows, iteration)
                     continue
                 cost[i] = loss
                 now[i] = np.divide(moment, rows[:, None], out=now[i].copy(), where=rows[:, None] > 0)
     finally:
-        points.unpersist()
+        blocks.unpersist()
     best: dict[int, Partition] = {}
     for i, (loss, rows, iteration) in sorted(done.items()):
         k = plans[i]

@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from segmentflow.operators import validity
+from segmentflow.operators import clustering, validity
+from segmentflow.plans import cycles, state
 
 
 def test_silhouettes_of_repeated_points_and_partial_labels(spark):
@@ -36,3 +37,42 @@ def test_silhouettes_of_repeated_points_and_partial_labels(spark):
     means = validity.weighted_silhouettes(df, labels, ["g"]).groupBy("place").agg(validity.mean_silhouette().alias("m"), F.sum("rows").alias("n")).orderBy("place").collect()
     assert [m.n for m in means] == [400, int((second >= 0).sum())]
     assert np.allclose([m.m for m in means], [np.mean(list(slow(v).values())) for v in (first, second)])
+
+
+def test_iterations_run_over_distinct_points_in_one_job(spark):
+    """A pass meets every distinct point once, with its rows as weight, and is one job."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(0, 2, (50, 3))
+    picked = rng.integers(0, 50, 3_000)
+    out = picked % 7 == 0
+    df = spark.createDataFrame([(base[p].tolist(), bool(o)) for p, o in zip(picked, out)], "point array<double>, o boolean")
+    blocks = clustering.fuzzy_blocks(df, "o").persist()
+    assert sum(len(r.n) // 8 for r in blocks.collect()) == len(set(picked.tolist()))
+    centres = base[:4] + 0.1
+    x = base[picked]
+    d2 = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+    u = 1 / d2 / (1 / d2).sum(axis=1, keepdims=True)
+    s = clustering.packed_fuzzy_sums(blocks, [centres], 2.0)[0]
+    assert s["rows"] == 3_000 and np.isclose(s["objective"], (u**2 * d2).sum())
+    for own, prefix in ((~out, ""), (out, "out_")):
+        assert np.allclose(s[prefix + "weight"], (u[own] ** 2).sum(axis=0)) and np.allclose(s[prefix + "moment"], (u[own] ** 2).T @ x[own])
+        assert np.allclose(s[prefix + "won"], [u[own & (u.argmax(axis=1) == k)].max(axis=1).sum() for k in range(4)])
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("pass", "one pass")
+    clustering.packed_fuzzy_sums(blocks, [centres], 2.0)
+    jobs = seen.getJobIdsForGroup("pass")
+    spark.sparkContext.setJobGroup("none", "")
+    assert len(jobs) == 1
+    blocks.unpersist()
+
+
+def test_the_registry_reads_stored_assignments(spark, sf_dir, monkeypatch):
+    """Digests of a run are made from its stored rows."""
+    seen = []
+    real = state.registry.digested
+    monkeypatch.setattr(state.registry, "digested", lambda a, c: seen.append(len(a.inputFiles())) or real(a, c))
+    monkeypatch.setattr(state, "_TABLES", {})
+    monkeypatch.setattr(state, "run_cycles", lambda panel: cycles.run(panel, most_clusters=4, seeds=2))
+    run = state.fitted_run(spark, sf_dir)
+    assert run["registry"].count() > 0 and seen == [len(run["assignments"].inputFiles())] and seen[0] > 0
+    assert set(run["assignments"].inputFiles()) and "fit_assignments" in run["assignments"].inputFiles()[0]
