@@ -1,8 +1,8 @@
 """Arrival numbers: the place of a row in its source, taken from files and positions without sorting rows.
 
 Files count in the order of their names, rows in the order of each file, from 0 without gaps.  Only a table of
-one row per file (or per split of a text file) is ordered; rows meet it in a join that Spark broadcasts while it
-is small.
+one row per file (or per split of a text file) is ordered; it is broadcast, so that the rows of a file, which may be
+all, never meet in one task.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ def _offset(rows: DataFrame, parts: list[str], name: str) -> DataFrame:
     sizes = rows.groupBy(*parts).agg((F.max("place") + 1).alias("n"))
     earlier = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     offsets = sizes.select(*parts, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    return rows.join(offsets, parts).withColumn(name, F.col("offset") + F.col("place")).drop(*parts, "place", "offset")
+    return rows.join(F.broadcast(offsets), parts).withColumn(name, F.col("offset") + F.col("place")).drop(*parts, "place", "offset")
 
 
 def numbered_parquet(spark: SparkSession, path: str, name: str = "arrival", columns: list[str] | None = None) -> DataFrame:
@@ -38,5 +38,5 @@ def numbered_csv(spark: SparkSession, path: str, name: str = "arrival") -> DataF
     rows = spark.read.option("header", True).csv(path)
     kept = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).checkpoint()
     first = kept.groupBy("file", "block").agg(F.min("id").alias("first_id"))
-    placed = kept.join(first, ["file", "block"]).withColumn("place", F.col("id") - F.col("first_id")).drop("id", "first_id")
+    placed = kept.join(F.broadcast(first), ["file", "block"]).withColumn("place", F.col("id") - F.col("first_id")).drop("id", "first_id")
     return _offset(placed, ["file", "block"], name)

@@ -3,8 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from segmentflow.operators import clustering, validity
+from segmentflow.operators import clustering, order_stats, validity
 from segmentflow.plans import cycles, state
+from segmentflow.sources import arrival
 
 
 def test_silhouettes_of_repeated_points_and_partial_labels(spark):
@@ -76,3 +77,24 @@ def test_the_registry_reads_stored_assignments(spark, sf_dir, monkeypatch):
     run = state.fitted_run(spark, sf_dir)
     assert run["registry"].count() > 0 and seen == [len(run["assignments"].inputFiles())] and seen[0] > 0
     assert set(run["assignments"].inputFiles()) and "fit_assignments" in run["assignments"].inputFiles()[0]
+
+
+def test_rows_of_one_file_or_one_large_group_are_not_shuffled_by_it(spark, tmp_path, monkeypatch):
+    """One file, or one large group, must not put all its rows into one task of a join."""
+    spark.range(1000).selectExpr("id", "id % 2 AS g", "cast(id * 7 % 1000 AS double) AS v").coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = arrival.numbered_parquet(spark, str(tmp_path / "one"))
+        assert "SortMergeJoin" not in numbered._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.arrival for r in numbered.collect()) == list(range(1000))
+        monkeypatch.setattr(order_stats, "SMALL_RANGE", 50)
+        rows = numbered.select("g", "v").unionByName(spark.createDataFrame([(2, 5.0), (2, 6.0), (None, 1.0)], "g long, v double"))
+        plans, real = [], order_stats._inside
+        monkeypatch.setattr(order_stats, "_inside", lambda *a: plans.append(real(*a)) or plans[-1])
+        got = {r.g: r.m for r in order_stats.order_statistics(rows, ["g"], "v", {"m": 0.5}).collect()}
+        evens, odds = (sorted(i * 7 % 1000 for i in range(k, 1000, 2)) for k in (0, 1))
+        assert got == {0: evens[249], 1: odds[249], 2: 5.0, None: 1.0}
+        texts = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+        assert len(texts) > 1 and all("BroadcastHashJoin" in t for t in texts) and not any("SortMergeJoin" in t for t in texts[:-1])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
