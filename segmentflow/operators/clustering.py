@@ -1,12 +1,14 @@
 """K-means baseline and the fuzzy update of one cycle: distributed sums, K-sized algebra on the driver.
 
-Feature points are an array column; iterations run over packed distinct points.  Every pass is one job for all live
-starts at once; what returns to the driver is bounded by tasks x starts x K, whatever the number of customers.
+Feature points are an array column; iterations run over packed distinct points.  All starts of a fit advance
+together, see ``iterate``: in one job over a bounded number of distinct points, else in one job a pass; what returns to
+the driver is bounded by tasks x starts x K, whatever the number of customers.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -123,6 +125,24 @@ def packed(points: DataFrame, column: str = "point", others: dict[str, Column] |
     return distinct.select(*names).repartition(tasks, "x").mapInArrow(pack, ", ".join(f"{n} binary" for n in names))
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[np.ndarray]]:
+    """The packed points of a task: coordinates by row of ``size``, then the other values."""
+    for batch in batches:
+        for block in zip(*[c.to_pylist() for c in batch.columns]):
+            x, *values = (np.frombuffer(b, dtype=float) for b in block)
+            x = np.ascontiguousarray(x.reshape(-1, size).T)
+            for a in range(0, x.shape[1], CHUNK):
+                yield [np.ascontiguousarray(x[:, a : a + CHUNK]), *[v[a : a + CHUNK] for v in values]]
+
+
+def _added(chunks: Iterable[list[np.ndarray]], sums: Callable[..., np.ndarray]) -> np.ndarray | None:
+    total = None
+    for chunk in chunks:
+        part = sums(*chunk)
+        total = part if total is None else total + part
+    return total
+
+
 def block_sums(blocks: DataFrame, size: int, sums: Callable[..., np.ndarray]) -> np.ndarray | None:
     """The sum over all blocks of what ``sums`` makes of one: coordinates by row of ``size``, then the other values.
 
@@ -130,14 +150,7 @@ def block_sums(blocks: DataFrame, size: int, sums: Callable[..., np.ndarray]) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for block in zip(*[c.to_pylist() for c in batch.columns]):
-                x, *values = (np.frombuffer(b, dtype=float) for b in block)
-                x = np.ascontiguousarray(x.reshape(-1, size).T)
-                for a in range(0, x.shape[1], CHUNK):
-                    part = sums(np.ascontiguousarray(x[:, a : a + CHUNK]), *[v[a : a + CHUNK] for v in values])
-                    total = part if total is None else total + part
+        total = _added(_chunks(batches, size), sums)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
@@ -145,6 +158,58 @@ def block_sums(blocks: DataFrame, size: int, sums: Callable[..., np.ndarray]) ->
     return np.sum(found, axis=0) if found else None
 
 
+#: Distinct points that every task may hold, some megabytes; results do not depend on it.
+MOST_HELD = 100_000
+
+
+def iterate(blocks: DataFrame, size: int, begins: list, sums: Callable[..., np.ndarray], step: Callable[[object, np.ndarray], tuple[object, bool]]) -> list:
+    """The last state of every start, none of which needs another; blocks are persisted.
+
+    A pass makes ``step(state, total)``, which also tells whether to go on; total adds up ``sums(state, x, *values)``
+    over all packed points.  Up to ``MOST_HELD`` distinct points are broadcast and the starts dealt to tasks, which
+    do all passes of their own in one job.  More points stay where they are, and each pass is a job for all live starts.
+    """
+    if not begins:
+        return []
+    values = blocks.columns[1:]
+    held = blocks.agg(F.sum(F.octet_length(values[-1])) / 8).first()[0] or 0
+    if not 0 < held <= MOST_HELD:
+        return _passes(blocks, size, begins, sums, step)
+    tasks = min(len(begins), blocks.sparkSession.sparkContext.defaultParallelism)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, own = None, []
+        for batch in batches:
+            if batch.num_rows:
+                task = batch.column(0)[0].as_py()
+                own += _chunks(iter([batch.select(range(1, batch.num_columns))]), size)
+        for i in range(len(begins))[task::tasks] if own else ():
+            now, going = begins[i], True
+            while going:
+                now, going = step(now, _added(own, lambda *chunk: sums(now, *chunk)))
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([pickle.dumps(now)], pa.binary())], ["start", "state"])
+
+    dealt = blocks.sparkSession.range(0, tasks, 1, tasks).crossJoin(F.broadcast(blocks))
+    ended = {r["start"]: pickle.loads(r["state"]) for r in dealt.mapInArrow(run, "start long, state binary").collect()}  # one row per start
+    return [ended[i] for i in range(len(begins))]
+
+
+def _passes(blocks: DataFrame, size: int, begins: list, sums: Callable[..., np.ndarray], step: Callable[[object, np.ndarray], tuple[object, bool]]) -> list:
+    """``iterate`` with a job per pass."""
+    nothing = [np.zeros((size, 0)), *[np.zeros(0) for _ in blocks.columns[1:]]]
+    now, live = list(begins), list(range(len(begins)))
+    while live:
+        asked = [now[i] for i in live]
+        zero = [sums(s, *nothing) for s in asked]
+        flat = block_sums(blocks, size, lambda *chunk: np.concatenate([sums(s, *chunk) for s in asked]))
+        totals = zero if flat is None else np.split(flat, np.cumsum([len(z) for z in zero])[:-1])
+        stepped = [step(s, total) for s, total in zip(asked, totals)]
+        for i, (state, _) in zip(live, stepped):
+            now[i] = state
+        live = [i for i, (_, going) in zip(live, stepped) if going]
+    return now
+
+
 def gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Squared distances, a row per centre; x has a row per coordinate."""
     out = np.zeros((len(centres), x.shape[1]))
@@ -185,24 +250,28 @@ def fuzzy_blocks(points: DataFrame, left_out: str | None = None, column: str = "
 
 def packed_fuzzy_sums(blocks: DataFrame, sets: list[np.ndarray], fuzziness: float) -> list[dict]:
     """``fuzzy_sums`` over packed points."""
-    size = len(sets[0][0])
-
-    def sums(x: np.ndarray, out: np.ndarray, n: np.ndarray) -> np.ndarray:
-        parts = []
-        for centres in sets:
-            d2 = gaps(x, centres)
-            u = _numpy_memberships(d2, fuzziness)
-            weight, winner = u**fuzziness * n, u.argmax(axis=0)
-            parts.append(np.array([n.sum(), (weight * d2).sum()]))
-            top = u.max(axis=0) * n
-            for share in (1.0 - out, out):
-                w = weight * share
-                parts += [w.sum(axis=1), (w @ x.T).ravel(), np.bincount(winner, weights=top * share, minlength=len(centres))]
-        return np.concatenate(parts)
-
-    flat, at, found = block_sums(blocks, size, sums), 0, []
+    return _fuzzy_told(block_sums(blocks, len(sets[0][0]), lambda *chunk: _fuzzy_parts(sets, fuzziness, *chunk)), sets)
+
+
+def _fuzzy_parts(sets: list[np.ndarray], fuzziness: float, x: np.ndarray, out: np.ndarray, n: np.ndarray) -> np.ndarray:
+    parts = []
+    for centres in sets:
+        d2 = gaps(x, centres)
+        u = _numpy_memberships(d2, fuzziness)
+        weight, winner = u**fuzziness * n, u.argmax(axis=0)
+        parts.append(np.array([n.sum(), (weight * d2).sum()]))
+        top = u.max(axis=0) * n
+        for share in (1.0 - out, out):
+            w = weight * share
+            parts += [w.sum(axis=1), (w @ x.T).ravel(), np.bincount(winner, weights=top * share, minlength=len(centres))]
+    return np.concatenate(parts)
+
+
+def _fuzzy_told(flat: np.ndarray | None, sets: list[np.ndarray]) -> list[dict]:
+    """The sums of each set by name."""
+    at, found = 0, []
     for centres in sets:
-        k = len(centres)
+        k, size = centres.shape
         length = 2 + 2 * k * (size + 2)
         v = np.zeros(length) if flat is None else flat[at : at + length]
         at += length
@@ -302,24 +371,24 @@ def fit_starts(points: DataFrame, tried: list[Start], config: FuzzyConfig = Fuzz
     A pass gives the objective of the centres it was asked for and the sums for their next update.  ``made`` is
     the number of updates that the given centres come from.
     """
-    now, last, fits = [s.centres.astype(float) for s in tried], [math.inf] * len(tried), [None] * len(tried)
+    def sums(state: tuple, *chunk: np.ndarray) -> np.ndarray:
+        return _fuzzy_parts([state[1]], config.fuzziness, *chunk)
+
+    def step(state: tuple, flat: np.ndarray) -> tuple[object, bool]:
+        start, now, done, last = state  # updates made so far
+        s = _fuzzy_told(flat, [now])[0]
+        settled = done >= 2 and abs(last - s["objective"]) <= config.tolerance
+        if settled or done == config.max_iterations:
+            return Fit(now, s["objective"], xie_beni(s["objective"], s["rows"], now), done, settled, start.source, start.centres, start.carried), False
+        return (start, moved(start, s), done + 1, s["objective"] if done else math.inf), True
+
+    if not tried or made > config.max_iterations:
+        return []
     blocks = fuzzy_blocks(points, left_out, column).persist()
     try:
-        for done in range(made, config.max_iterations + 1):  # updates made so far
-            live = [i for i, f in enumerate(fits) if f is None]
-            if not live:
-                break
-            for i, s in zip(live, packed_fuzzy_sums(blocks, [now[i] for i in live], config.fuzziness)):
-                settled = done >= 2 and abs(last[i] - s["objective"]) <= config.tolerance
-                if settled or done == config.max_iterations:
-                    index = xie_beni(s["objective"], s["rows"], now[i])
-                    fits[i] = Fit(now[i], s["objective"], index, done, settled, tried[i].source, tried[i].centres, tried[i].carried)
-                    continue
-                last[i] = s["objective"] if done else math.inf
-                now[i] = moved(tried[i], s)
+        return iterate(blocks, tried[0].centres.shape[1], [(s, s.centres.astype(float), made, math.inf) for s in tried], sums, step)
     finally:
         blocks.unpersist()
-    return [f for f in fits if f is not None]
 
 
 def fit_fuzzy(points: DataFrame, first: np.ndarray, config: FuzzyConfig = FuzzyConfig(), column: str = "point") -> Fit:

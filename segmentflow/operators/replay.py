@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmentflow.operators.clustering import block_sums, packed
+from segmentflow.operators.clustering import iterate, packed
 
 CLOSE = 1e-9
 EVENTS = {(False, False): "secondary overlap", (True, False): "split contribution", (False, True): "merge contribution", (True, True): "split/merge contribution"}
@@ -82,22 +82,23 @@ def candidates_again(assignments: DataFrame, centres: DataFrame, candidates: Dat
     flag = F.coalesce(F.col("one") & F.col("two"), F.lit(False))
     blocks = packed(points, "point", {"cycle": F.col("cycle_number"), "out": flag}).persist()
     size = len(stored[0]["start"][0]) if stored else 0
-    now = [np.array(c["start"], dtype=float) for c in stored]
-    ended: dict[int, tuple[np.ndarray, float, int, int, bool]] = {}
-    before = [math.inf] * len(stored)
+    tried = [c.asDict() for c in stored]
+
+    def sums(state: tuple, *chunk: np.ndarray) -> np.ndarray:
+        at, now, *_ = state
+        return _candidate_parts(tried[at]["cycle_number"], tried[at]["carried"] is not None, now, rules.fuzziness, *chunk)
+
+    def step(state: tuple, flat: np.ndarray) -> tuple[tuple, bool]:
+        at, now, updates, before = state
+        k = len(now)
+        own = {"n": int(flat[0]), "loss": float(flat[1]), "weight": flat[2 : 2 + k], "won": flat[2 + k : 2 + 2 * k], "moment": flat[2 + 2 * k :].reshape(k, size)}
+        settled = updates >= 2 and abs(before - own["loss"]) <= rules.tolerance
+        if settled or updates == rules.max_iterations:
+            return (now, own["loss"], own["n"], updates, settled), False
+        return (at, _next(tried[at], own), updates + 1, own["loss"] if updates else math.inf), True
+
     try:
-        for updates in range(rules.max_iterations + 1):
-            live = [i for i in range(len(stored)) if i not in ended]
-            if not live:
-                break
-            asked = [(stored[i]["cycle_number"], stored[i]["carried"] is not None, now[i]) for i in live]
-            for i, own in zip(live, _candidate_sums(blocks, asked, size, rules.fuzziness)):
-                settled = updates >= 2 and abs(before[i] - own["loss"]) <= rules.tolerance
-                if settled or updates == rules.max_iterations:
-                    ended[i] = (now[i], own["loss"], own["n"], updates, settled)
-                    continue
-                before[i] = own["loss"] if updates else math.inf
-                now[i] = _next(stored[i], own)
+        ended = iterate(blocks, size, [(i, np.array(c["start"], dtype=float), 0, math.inf) for i, c in enumerate(tried)], sums, step)
     finally:
         blocks.unpersist()
     out = []
@@ -114,33 +115,21 @@ def candidates_again(assignments: DataFrame, centres: DataFrame, candidates: Dat
     )
 
 
-def _candidate_sums(blocks: DataFrame, asked: list[tuple[int, bool, np.ndarray]], size: int, fuzziness: float) -> list[dict]:
-    """Per asked (cycle, moving, centres): rows n, loss, and weight, won and moment of every centre, from one pass."""
-
-    def sums(x: np.ndarray, cycle: np.ndarray, out: np.ndarray, n: np.ndarray) -> np.ndarray:
-        parts, own_rows = [], {c: np.flatnonzero(cycle == c) for c in {c for c, _, _ in asked}}
-        for c, moving, centres in asked:
-            rows = own_rows[c]
-            p, times = x[:, rows], n[rows]
-            counted = np.where(out[rows] > 0, 0.0, times) if moving else times
-            d = ((p[None] - centres[:, :, None]) ** 2).sum(axis=1)  # centres x rows
-            hit = d <= 1e-24
-            with np.errstate(divide="ignore", invalid="ignore"):
-                closeness = d ** (-1.0 / (fuzziness - 1.0))
-                u = np.where(hit.any(axis=0), hit / np.maximum(hit.sum(axis=0), 1), closeness / closeness.sum(axis=0))
-            w = u**fuzziness
-            won = (np.arange(len(centres))[:, None] == u.argmax(axis=0)) * u
-            parts += [[times.sum(), (w * d * times).sum()], (w * counted).sum(axis=1), (won * counted).sum(axis=1), ((w * counted)[:, None] * p).sum(axis=2).ravel()]
-        return np.concatenate(parts)
-
-    flat, at, found = block_sums(blocks, size, sums), 0, []
-    for _, _, centres in asked:
-        k = len(centres)
-        length = 2 + k * (2 + size)
-        v = np.zeros(length) if flat is None else flat[at : at + length]
-        at += length
-        found.append({"n": int(v[0]), "loss": float(v[1]), "weight": v[2 : 2 + k], "won": v[2 + k : 2 + 2 * k], "moment": v[2 + 2 * k :].reshape(k, size)})
-    return found
+def _candidate_parts(
+    own_cycle: int, moving: bool, centres: np.ndarray, fuzziness: float, x: np.ndarray, cycle: np.ndarray, out: np.ndarray, n: np.ndarray
+) -> np.ndarray:
+    """Of the rows of a candidate's cycle: their number, loss, and weight, won and moment of every centre, flat."""
+    rows = np.flatnonzero(cycle == own_cycle)
+    p, times = x[:, rows], n[rows]
+    counted = np.where(out[rows] > 0, 0.0, times) if moving else times
+    d = ((p[None] - centres[:, :, None]) ** 2).sum(axis=1)  # centres x rows
+    hit = d <= 1e-24
+    with np.errstate(divide="ignore", invalid="ignore"):
+        closeness = d ** (-1.0 / (fuzziness - 1.0))
+        u = np.where(hit.any(axis=0), hit / np.maximum(hit.sum(axis=0), 1), closeness / closeness.sum(axis=0))
+    w = u**fuzziness
+    won = (np.arange(len(centres))[:, None] == u.argmax(axis=0)) * u
+    return np.concatenate([[times.sum(), (w * d * times).sum()], (w * counted).sum(axis=1), (won * counted).sum(axis=1), ((w * counted)[:, None] * p).sum(axis=2).ravel()])
 
 
 def _next(candidate, own: dict) -> np.ndarray:

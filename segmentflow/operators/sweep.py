@@ -1,6 +1,6 @@
 """Many starts at once: K-means for all numbers of clusters and seeds, fuzzy c-means from random memberships.
 
-All starts advance together, in one aggregation of the rows per iteration; the driver holds starts x K centres.
+All starts advance together, see ``clustering.iterate``; the driver holds starts x K centres.
 First centres of K-means are drawn, by distance, from a sample of ``SAMPLE_ROWS`` distinct points chosen by hash;
 every iteration and cost is over all rows.  Random memberships are drawn from a hash of id, seed and cluster inside
 the first pass, so a start needs no state and repeats exactly.
@@ -45,26 +45,12 @@ def _draw(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return sample[picked].astype(float)
 
 
-def hard_sums(blocks: DataFrame, sets: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-    """Per set of centres: cost, rows and sums of packed points of each centre; a row counts with its nearest, first of ties."""
-    size = sets[0].shape[1]
-
-    def sums(x: np.ndarray, n: np.ndarray) -> np.ndarray:
-        parts, weighted = [], x * n
-        for centres in sets:
-            d2 = clustering.gaps(x, centres)
-            own, k = d2.argmin(axis=0), len(centres)
-            moment = np.stack([np.bincount(own, weights=w, minlength=k) for w in weighted], axis=1)
-            parts += [np.array([(d2.min(axis=0) * n).sum()]), np.bincount(own, weights=n, minlength=k), moment.ravel()]
-        return np.concatenate(parts)
-
-    flat, at, found = clustering.block_sums(blocks, size, sums), 0, []
-    for centres in sets:
-        k = len(centres)
-        v = np.zeros(1 + k * (size + 1)) if flat is None else flat[at : at + 1 + k * (size + 1)]
-        at += len(v)
-        found.append((float(v[0]), v[1 : 1 + k], v[1 + k :].reshape(k, size)))
-    return found
+def hard_parts(centres: np.ndarray, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Cost, rows and sums of the points of each centre, flat; a row counts with its nearest, first of ties."""
+    d2 = clustering.gaps(x, centres)
+    own, k = d2.argmin(axis=0), len(centres)
+    moment = np.stack([np.bincount(own, weights=w, minlength=k) for w in x * n], axis=1)
+    return np.concatenate([np.array([(d2.min(axis=0) * n).sum()]), np.bincount(own, weights=n, minlength=k), moment.ravel()])
 
 
 def kmeans(points: DataFrame, ks: list[int], starts: int = 30, seed: int = 42, column: str = "point") -> dict[int, Partition]:
@@ -73,28 +59,25 @@ def kmeans(points: DataFrame, ks: list[int], starts: int = 30, seed: int = 42, c
     sample = np.array([r["x"] for r in chosen.collect()], dtype=float)  # SAMPLE_ROWS at most
     rngs = np.random.default_rng(seed)
     plans = [k for k in ks if k <= len(sample) for _ in range(starts)]
-    now = [_draw(sample, k, rngs) for k in plans]
-    cost = [math.inf] * len(plans)
-    done: dict[int, tuple[float, np.ndarray, int]] = {}
+    first = [_draw(sample, k, rngs) for k in plans]
+
+    def step(state: tuple, flat: np.ndarray) -> tuple[tuple, bool]:
+        now, iteration, cost, _ = state
+        k = len(now)
+        loss, rows, moment = float(flat[0]), flat[1 : 1 + k], flat[1 + k :].reshape(now.shape)
+        if cost - loss <= SETTLED * max(loss, 1e-300) or iteration == MOST_ITERATIONS:
+            return (now, iteration, loss, rows), False
+        return (np.divide(moment, rows[:, None], out=now.copy(), where=rows[:, None] > 0), iteration + 1, loss, rows), True
+
     blocks = clustering.packed(points, column).persist()
     try:
-        for iteration in range(MOST_ITERATIONS + 1):
-            live = [i for i in range(len(plans)) if i not in done]
-            if not live:
-                break
-            for i, (loss, rows, moment) in zip(live, hard_sums(blocks, [now[i] for i in live])):
-                if cost[i] - loss <= SETTLED * max(loss, 1e-300) or iteration == MOST_ITERATIONS:
-                    done[i] = (loss, rows, iteration)
-                    continue
-                cost[i] = loss
-                now[i] = np.divide(moment, rows[:, None], out=now[i].copy(), where=rows[:, None] > 0)
+        ended = clustering.iterate(blocks, len(sample[0]) if plans else 0, [(c, 0, math.inf, None) for c in first], lambda state, *chunk: hard_parts(state[0], *chunk), step)
     finally:
         blocks.unpersist()
     best: dict[int, Partition] = {}
-    for i, (loss, rows, iteration) in sorted(done.items()):
-        k = plans[i]
+    for k, (centres, iteration, loss, rows) in zip(plans, ended):
         if rows.min() > 0 and (k not in best or loss < best[k].cost):
-            best[k] = Partition(k, loss, now[i], sorted(rows.astype(int).tolist(), reverse=True), iteration)
+            best[k] = Partition(k, loss, centres, sorted(rows.astype(int).tolist(), reverse=True), iteration)
     return best
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from segmentflow.operators import clustering, order_stats, validity
+from segmentflow.operators import clustering, order_stats, sweep, validity
 from segmentflow.plans import cycles, state
 from segmentflow.sources import arrival
 
@@ -67,6 +67,30 @@ def test_iterations_run_over_distinct_points_in_one_job(spark):
     blocks.unpersist()
 
 
+def test_a_fit_over_few_points_is_few_jobs_and_equals_passes(spark, monkeypatch):
+    """All passes of all starts are one job while tasks may hold the distinct points; a job per pass gives the same."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(np.round(p, 1).tolist(),) for p in rng.normal(0, 2, (400, 3))], "point array<double>").cache()
+    tried = [clustering.Start(f"s{i}", rng.normal(0, 2, (3, 3)), np.ones(3) if i == 1 else None) for i in range(4)]
+    seen, config = spark.sparkContext.statusTracker(), clustering.FuzzyConfig(tolerance=1e-9)
+
+    def counted(name):
+        spark.sparkContext.setJobGroup(name, name)
+        fits, found = clustering.fit_starts(df, tried, config), sweep.kmeans(df, [2, 4], 5)
+        jobs = len(seen.getJobIdsForGroup(name))
+        spark.sparkContext.setJobGroup("none", "")
+        return jobs, fits, found
+
+    few, fits, found = counted("held")
+    monkeypatch.setattr(clustering, "MOST_HELD", 0)
+    many, fits_again, found_again = counted("passes")
+    assert max(f.iterations for f in fits) > 20 and few <= 16 < many
+    for a, b in zip(fits, fits_again, strict=True):
+        assert (a.source, a.iterations, a.converged) == (b.source, b.iterations, b.converged) and np.allclose(a.centres, b.centres)
+    assert all(found[k].sizes == found_again[k].sizes and np.isclose(found[k].cost, found_again[k].cost) for k in (2, 4))
+    df.unpersist()
+
+
 def test_the_registry_reads_stored_assignments(spark, sf_dir, monkeypatch):
     """Digests of a run are made from its stored rows."""
     seen = []
