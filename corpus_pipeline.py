@@ -53,6 +53,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
 
+    SimHash fingerprints within two bits and then MinHash bands propose, whole sets decide.
     The smallest id stays, of equal ids the smallest text; a null id stays only where its group has no other.
     """
     return minhash.keep_first(docs, width=SHINGLE_WORDS)

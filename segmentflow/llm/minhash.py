@@ -1,6 +1,8 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands propose pairs, whole sets decide.
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash and MinHash bands propose pairs, whole sets decide.
 
-Equal shingle sets are one node.  A node has ``BANDS`` keys of ``ROWS`` minima each; nodes that share a
+Equal shingle sets are one node.  The SimHash operator (``simhash.links``) comes first: nodes whose fingerprints
+lie within two bits, found by their deletion variants, are compared and linked.  Two bits find the smallest edits only,
+so MinHash follows over what that leaves apart.  A node has ``BANDS`` keys of ``ROWS`` minima each; nodes that share a
 key are candidates, and every link is verified by the true similarity of the two sets.  A pair at 0.8
 shares a key with probability 0.998, one at 0.9 nearly always.
 
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from segmentflow.llm import simhash
 from segmentflow.llm.columns import column
 from segmentflow.llm.graph import components, first_rows, sieved, spread_join
 from segmentflow.llm.simhash import shingle_hashes
@@ -47,10 +50,19 @@ _FACTORS = _RANDOM.integers(1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64) *
 _SHIFTS = _RANDOM.integers(1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64)
 
 
+def text_hashes(text: str | None, width: int) -> list[np.ndarray]:
+    """The shingle hashes of a whole text, repeats included, in chunks."""
+    return list(shingle_hashes((text or "").encode("utf-8", "replace"), width))
+
+
+def distinct_hashes(chunks: list[np.ndarray]) -> np.ndarray:
+    """The distinct ones, rising."""
+    return np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, dtype=np.uint64)
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """The distinct shingle hashes of a whole text, rising."""
-    found = [np.unique(h) for h in shingle_hashes((text or "").encode("utf-8", "replace"), width)]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+    return distinct_hashes(text_hashes(text, width))
 
 
 def band_keys(own: np.ndarray) -> list[int]:
@@ -77,21 +89,23 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node_id, text_key, node, size, keys) per row; node is the digest of the shingle set."""
+    """(node_id, text_key, fingerprint, node, size, keys) per row; node is the digest of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            prints, nodes, sizes, keys = [], [], [], []
             for i in range(batch.num_rows):
-                own = shingle_set(batch.column(2)[i].as_py(), width)
+                hashes = text_hashes(batch.column(2)[i].as_py(), width)
+                own = distinct_hashes(hashes)
+                prints.append(simhash.fingerprint_of(hashes))
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
                 sizes.append(len(own))
                 keys.append(band_keys(own))
-            columns = [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            columns = [pa.array(prints, pa.int64()), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], out.names)
 
     chosen = _keyed(docs, id_col, text_col)
-    out = T.StructType([*chosen.schema.fields[:2], *T._parse_datatype_string("node long, size long, keys array<long>").fields])
+    out = T.StructType([*chosen.schema.fields[:2], *T._parse_datatype_string("fingerprint long, node long, size long, keys array<long>").fields])
     return chosen.mapInArrow(run, out)
 
 
@@ -257,6 +271,17 @@ def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return met.groupBy("pair").applyInArrow(link, "src long, dst long, r1 long, r2 long")
 
 
+def _print_pairs(found: DataFrame) -> DataFrame:
+    """Pairs of nodes whose fingerprints the SimHash operator links, and of nodes with one fingerprint, as stars."""
+    prints = found.select("fingerprint", "node").distinct().checkpoint()
+    hubs = prints.groupBy("fingerprint").agg(F.min("node").alias("hub")).checkpoint()
+    copies = spread_join(prints, hubs, "fingerprint").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    named = lambda end, name: hubs.select(F.col("fingerprint").alias(end), F.col("hub").alias(name))
+    linked = simhash.links(hubs.select("fingerprint")).join(named("src", "a"), "src").join(named("dst", "b"), "dst").select("a", "b")
+    ends = copies.unionByName(linked).where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    return ends.select("src", "dst", F.col("src").alias("r1"), F.col("dst").alias("r2"))
+
+
 def linked_roots(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(node, root) of the nodes that are alike to others; found are the signatures of docs."""
     nodes = (
@@ -264,16 +289,23 @@ def linked_roots(docs: DataFrame, found: DataFrame, id_col: str, text_col: str,
         .agg(F.min(F.struct("node_id", "text_key")).alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"))
         .checkpoint()
     )
-    keyed = nodes.select("node", "size", F.col("node").alias("root"), F.explode("keys").alias("key"))
+    printed = _print_pairs(found).checkpoint()
+    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
     counted = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = spread_join(keyed, counted, "key").checkpoint()
+    wanted = shared.select("node").unionByName(printed.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
+    sets = _sets(docs, nodes.select("node", "rep").join(wanted, "node"), id_col, text_col, width).checkpoint()
+    near = _verified(printed, sets).checkpoint()
+    roots = components(near).checkpoint()
+
+    # What the fingerprints leave apart: every node of a key with its most central one.
     central = shared.groupBy("node").agg(F.sum(F.log("n")).alias("central"))
-    pairs = _starred(shared.join(central, "node"), "central").distinct().checkpoint()
-    sets = _sets(docs, nodes.select("node", "rep").join(shared.select("node").distinct(), "node"), id_col, text_col, width).checkpoint()
-    roots = components(_verified(pairs, sets)).checkpoint()
+    starred = shared.join(central, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pairs = _starred(starred, "central").distinct().checkpoint()
+    roots = components(near.unionByName(_verified(pairs, sets))).checkpoint()
 
     # Keys whose nodes are still apart.
-    members = shared.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).checkpoint()
+    members = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).checkpoint()
     open_keys = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     apart = spread_join(members, open_keys, "key").checkpoint()
     small = _paired(apart.where(F.col("n") <= SMALL_BUCKET)).distinct()

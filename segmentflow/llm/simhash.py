@@ -17,7 +17,7 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -54,10 +54,15 @@ def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """The signed 64-bit fingerprint: a bit is set if over half of the hashes set it."""
+    """The signed 64-bit fingerprint of a text."""
+    return fingerprint_of(shingle_hashes(text or b"", width))
+
+
+def fingerprint_of(chunks: Iterable[np.ndarray]) -> int:
+    """The signed 64-bit fingerprint of hashes: a bit is set if over half of them set it."""
     counts, total = np.zeros((8, 256), dtype=np.int64), 0
     lanes = np.arange(8, dtype=np.int64) * 256
-    for hashes in shingle_hashes(text or b"", width):
+    for hashes in chunks:
         total += len(hashes)
         lane_bytes = hashes.astype("<u8").view(np.uint8).reshape(-1, 8) + lanes
         counts += np.bincount(lane_bytes.ravel(), minlength=2048).reshape(8, 256)

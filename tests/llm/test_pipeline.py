@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from segmentflow.llm import simhash
+from segmentflow.llm import minhash, simhash
 from segmentflow.llm.queries import fold_of
 
 
@@ -48,6 +48,20 @@ def test_near_dedup_stage_drops_similar_texts_only(spark, sf_dir):
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, sf_dir).collect()) == [0, 2]
 
 
+def test_near_dedup_stage_links_by_the_simhash_operator(spark, sf_dir, monkeypatch):
+    """Without any MinHash key, fingerprints within two bits still link, once whole sets are alike."""
+    words = [f"w{i}" for i in range(400)]
+    variants = [" ".join([*words[:i], "x", *words[i + 1 :]]) for i in range(0, 400, 5)]
+    own = simhash.fingerprint(" ".join(words).encode(), 5)
+    bits = lambda v: ((simhash.fingerprint(v.encode(), 5) ^ own) & (2**64 - 1)).bit_count()
+    near, far = (next(v for v in variants if wanted(bits(v))) for wanted in (lambda n: 0 < n <= 2, lambda n: n > 4))
+    docs = spark.createDataFrame(list(enumerate([" ".join(words), near, far, "other words", None])), "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, sf_dir).orderBy("doc_id").collect()] == [0, 3, 4]
+    real = minhash.signatures
+    monkeypatch.setattr(minhash, "signatures", lambda *a: real(*a).withColumn("keys", F.array().cast("array<long>")))
+    assert [r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, sf_dir).orderBy("doc_id").collect()] == [0, 2, 3, 4]
+
+
 def test_language_stage_drops_noise_and_unlearned_languages_only(spark, sf_dir):
     rng = random.Random(1)
     planted = [
