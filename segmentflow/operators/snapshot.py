@@ -1,12 +1,14 @@
 """Customer master, as-of country and the customer-by-cycle panel, all cycles in one job.
 
-Rows are pre-aggregated by (customer, day, invoice, product) before the windows multiply them.  What
+Rows are pre-aggregated by (customer, day, invoice, product), and windows never multiply them.  What
 concerns all history before a cutoff is summed by the first cycle that sees it, and one small array per
 customer then gives every cycle's value, so no row of history meets all later cycles.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,54 @@ def compact(ledger: DataFrame) -> DataFrame:
     )
 
 
+#: Cycles told by the bits of one long.
+MASK_CYCLES = 60
+
+
+def activity(rows: DataFrame, cycles: DataFrame, months: int) -> DataFrame:
+    """Rolling and current measures per cycle and customer with any.
+
+    Rows are not multiplied by cycles: bits tell the cycles whose window or period holds a row.  An invoice or product
+    of a customer unites the bits of its rows, so distinct counts are sums of bits; values are summed by customer and
+    bits, of which a calendar has a few dozen.
+    """
+    calendar = cycles.select("cycle_number", "window_start", "snapshot_date", "period_start", "period_end").orderBy("cycle_number").collect()  # a row per cycle
+    parts = [_activity(rows, calendar[i : i + MASK_CYCLES], months) for i in range(0, len(calendar), MASK_CYCLES)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _activity(rows: DataFrame, calendar: list, months: int) -> DataFrame:
+    def bits(low: str, high: str) -> Column:
+        at = F.col("invoice_date")
+        held = [F.when((at >= F.lit(c[low])) & (at < F.lit(c[high])), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(calendar)]
+        return reduce(lambda a, b: a.bitwiseOR(b), held)
+
+    told = rows.select(
+        "customer_id", "purchase_invoice_no", "description", "total_price", "quantity",
+        bits("window_start", "snapshot_date").alias("rolls"), bits("period_start", "period_end").alias("counts"),
+    ).where("rolls <> 0 or counts <> 0")
+    by_bits = [F.coalesce(F.bit_or(f), F.lit(0)).cast("long").alias(f) for f in ("rolls", "counts")]
+
+    def distinct(name: str) -> DataFrame:
+        """A row per set of bits and customer, with the number of distinct values that have them."""
+        united = told.where(F.col(name).isNotNull()).groupBy("customer_id", name).agg(*by_bits)
+        return united.groupBy("customer_id", "rolls", "counts").agg(F.count("*").alias(name))
+
+    sums = told.groupBy("customer_id", "rolls", "counts").agg(F.sum("total_price").alias("total_price"), F.sum("quantity").alias("quantity"))
+    values = ("purchase_invoice_no", "total_price", "description", "quantity")
+    parts = [df.select("customer_id", "rolls", "counts", *[(F.col(v) if v in df.columns else F.lit(None)).cast("double").alias(v) for v in values])
+             for df in (distinct("purchase_invoice_no"), distinct("description"), sums)]
+    every = F.explode(F.array(*[F.struct(F.lit(c["cycle_number"]).alias("cycle_number"), F.lit(1 << i).cast("long").alias("bit")) for i, c in enumerate(calendar)])).alias("c")
+    placed = reduce(DataFrame.unionByName, parts).select("customer_id", "rolls", "counts", *values, every)
+    has = lambda flag: F.col(flag).bitwiseAND(F.col("c.bit")) != 0
+    placed = placed.where(has("rolls") | has("counts")).select("c.cycle_number", "customer_id", *values, has("rolls").alias("rolls"), has("counts").alias("counts"))
+    measures = [
+        (F.coalesce(F.sum(F.when(F.col(flag), F.col(v))), F.lit(0.0)) * F.lit(share)).alias(n)
+        for names, flag, share in ((ROLLING, "rolls", 1.0 / months), (CURRENT, "counts", 1.0)) for v, n in zip(values, names)
+    ]
+    return placed.groupBy("cycle_number", "customer_id").agg(*measures)
+
+
 def panel(ledger: DataFrame, cycles: DataFrame, months: int = 3) -> DataFrame:
     """One row per cycle and customer known before its cutoff.
 
@@ -67,20 +117,7 @@ def panel(ledger: DataFrame, cycles: DataFrame, months: int = 3) -> DataFrame:
     """
     rows = compact(ledger)
     c = F.broadcast(cycles.select("cycle_number", "period_start", "period_end", "window_start", "snapshot_date"))
-    at = F.col("invoice_date")
-    rolls = (at >= F.col("window_start")) & (at < F.col("snapshot_date"))
-    counts = (at >= F.col("period_start")) & (at < F.col("period_end"))
-    placed = rows.join(c, rolls | counts).select(
-        "cycle_number", "customer_id", "purchase_invoice_no", "description", "total_price", "quantity", rolls.alias("rolls"), counts.alias("counts")
-    )
-
-    def measures(names: tuple[str, ...], flag: str, share: float) -> list[Column]:
-        distinct = [F.count_distinct(F.when(F.col(flag), F.col(x))) for x in ("purchase_invoice_no", "description")]
-        sums = [F.coalesce(F.sum(F.when(F.col(flag), F.col(x))), F.lit(0.0)) for x in ("total_price", "quantity")]
-        values = (distinct[0], sums[0], distinct[1], sums[1])
-        return [(v * F.lit(share)).alias(n) for v, n in zip(values, names)]
-
-    active = placed.groupBy("cycle_number", "customer_id").agg(*measures(ROLLING, "rolls", 1.0 / months), *measures(CURRENT, "counts", 1.0))
+    active = activity(rows, cycles, months)
     days = with_first_cycle(rows.select("customer_id", "invoice_date"), cycles, "invoice_date")
     seen = days.groupBy("customer_id", "first_cycle").agg(F.min("invoice_date").alias("first"), F.max("invoice_date").alias("latest"))
     last = cycles.agg(F.max("cycle_number")).first()[0]

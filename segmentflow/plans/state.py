@@ -102,30 +102,51 @@ def literal(values: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def assigned(rows: DataFrame) -> DataFrame:
-    """Memberships, index, id and name of each panel row; the baseline cycle is crisp."""
-    n = F.col("cycle_number")
+def assigned(rows: DataFrame, prefix: str = "", back: int = 0) -> DataFrame:
+    """Memberships, index, id and name of each panel row; the baseline cycle is crisp.
+
+    With a prefix, of the panel columns so named, which are those of ``back`` cycles before.
+    """
+    n = F.col("cycle_number") - back if back else F.col("cycle_number")
+    p = lambda c: f"{prefix}{c}"
     return (
-        rows.withColumn("point", F.array("log_r", "log_f", "log_m"))
-        .withColumn("d2", squared_distances(F.col("point"), centres_at(n)))
-        .withColumn("cluster_index", first_min(F.col("d2")))
-        .withColumn("fuzzy", memberships(F.col("d2")))
+        rows.withColumn(p("point"), F.array(*map(p, ("log_r", "log_f", "log_m"))))
+        .withColumn(p("d2"), squared_distances(F.col(p("point")), centres_at(n)))
+        .withColumn(p("cluster_index"), first_min(F.col(p("d2"))))
+        .withColumn(p("fuzzy"), memberships(F.col(p("d2"))))
         .withColumn(
-            "u",
-            F.when(n == 0, F.transform("d2", lambda d, i: (i == F.col("cluster_index")).cast("double"))).otherwise(F.col("fuzzy")),
+            p("u"),
+            F.when(n == 0, F.transform(p("d2"), lambda d, i: (i == F.col(p("cluster_index"))).cast("double"))).otherwise(F.col(p("fuzzy"))),
         )
-        .drop("fuzzy")
-        .withColumn("top_membership", F.array_max("u"))
-        .withColumn("stable_cluster_id", F.get(literal(IDS), F.col("cluster_index")))
-        .withColumn("segment_name", F.get(literal(NAMES), F.col("cluster_index")))
+        .drop(p("fuzzy"))
+        .withColumn(p("top_membership"), F.array_max(p("u")))
+        .withColumn(p("stable_cluster_id"), F.get(literal(IDS), F.col(p("cluster_index"))))
+        .withColumn(p("segment_name"), F.get(literal(NAMES), F.col(p("cluster_index"))))
     )
 
 
+#: What the assignment and the rules read of a panel row of the cycle before.
+BEFORE = ("log_r", "log_f", "log_m", "frequency", "monetary", "recency", "activity_status")
+
+
+def with_previous(panel_rows: DataFrame) -> DataFrame:
+    """``behaviour.with_previous`` of the assigned rows; panels meet, and both sides are assigned behind the join.
+
+    Memberships, distances and names are functions of a panel row, so they need not be shuffled.
+    """
+    before = panel_rows.select((F.col("cycle_number") + 1).alias("cycle_number"), "customer_id", *[F.col(c).alias(f"prev_{c}") for c in BEFORE], F.lit(True).alias("prev_known"))
+    met = panel_rows.join(before, ["cycle_number", "customer_id"], "left")
+    both = assigned(assigned(met), "prev_", 1)
+    own = assigned(panel_rows).columns
+    carried = [F.when(F.col("prev_known"), F.col(f"prev_{c}")).alias(f"prev_{c}") for c in behaviour.CARRIED]
+    return both.select(*own, *carried)
+
+
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assigned rows with the previous cycle beside them, transition and risk."""
 
     def build() -> DataFrame:
-        paired = behaviour.with_previous(segments(spark, sf_dir))
+        paired = with_previous(rfm(spark, sf_dir))
         return behaviour.add_risk(paired).withColumn("transition_status", behaviour.transition())
 
     return stored(spark, sf_dir, "state", build)

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from segmentflow.operators import clustering, order_stats, sweep, validity
+from segmentflow.operators import behaviour, clustering, order_stats, snapshot, sweep, validity
 from segmentflow.plans import cycles, state
 from segmentflow.sources import arrival
 
@@ -122,3 +122,24 @@ def test_rows_of_one_file_or_one_large_group_are_not_shuffled_by_it(spark, tmp_p
         assert len(texts) > 1 and all("BroadcastHashJoin" in t for t in texts) and not any("SortMergeJoin" in t for t in texts[:-1])
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_panel_multiplies_no_rows_and_the_state_shuffles_panels_only(spark, sf_dir, monkeypatch):
+    """Distinct counts need no copy of a row per measure or window; what a panel row gives is assigned behind the join."""
+    sales, calendar = state.ledger(spark, sf_dir), state.cycles(spark)
+    built = snapshot.panel(sales, calendar)
+    assert "Expand" not in built._jdf.queryExecution().executedPlan().toString()
+    rounded = lambda df: df.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes])
+    monkeypatch.setattr(snapshot, "MASK_CYCLES", 3)
+    assert rounded(built).exceptAll(rounded(snapshot.panel(sales, calendar))).isEmpty()
+    rows = state.rfm(spark, sf_dir)
+    found, wanted = state.with_previous(rows), behaviour.with_previous(state.assigned(rows))
+    assert found.columns == wanted.columns and found.count() == wanted.count() and found.exceptAll(wanted).isEmpty()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "500")
+    try:
+        plan = state.with_previous(rows)._jdf.queryExecution().executedPlan().toString()
+        assert "top_membership" in plan.split("SortMergeJoin")[0] and "top_membership" not in plan.split("SortMergeJoin")[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
