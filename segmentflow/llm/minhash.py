@@ -1,8 +1,8 @@
 """Near-duplicates by Jaccard similarity of word shingles: SimHash and MinHash bands propose pairs, whole sets decide.
 
-Equal shingle sets are one node.  The SimHash operator (``simhash.links``) comes first: nodes whose fingerprints
-lie within two bits, found by their deletion variants, are compared and linked.  Two bits find the smallest edits only,
-so MinHash follows over what that leaves apart.  A node has ``BANDS`` keys of ``ROWS`` minima each; nodes that share a
+Equal shingle sets are one node.  Nodes whose fingerprints the SimHash operator links (``simhash.links``: within two
+bits, found by their deletion variants) are compared first.  Two bits find the smallest edits only, so MinHash
+proposes beside it and follows over what both leave apart.  A node has ``BANDS`` keys of ``ROWS`` minima each; nodes that share a
 key are candidates, and every link is verified by the true similarity of the two sets.  A pair at 0.8
 shares a key with probability 0.998, one at 0.9 nearly always.
 
@@ -295,14 +295,11 @@ def linked_roots(docs: DataFrame, found: DataFrame, id_col: str, text_col: str,
     shared = spread_join(keyed, counted, "key").checkpoint()
     wanted = shared.select("node").unionByName(printed.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
     sets = _sets(docs, nodes.select("node", "rep").join(wanted, "node"), id_col, text_col, width).checkpoint()
-    near = _verified(printed, sets).checkpoint()
-    roots = components(near).checkpoint()
-
-    # What the fingerprints leave apart: every node of a key with its most central one.
+    # With these, every node of a key and its most central one.
     central = shared.groupBy("node").agg(F.sum(F.log("n")).alias("central"))
-    starred = shared.join(central, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    pairs = _starred(starred, "central").distinct().checkpoint()
-    roots = components(near.unionByName(_verified(pairs, sets))).checkpoint()
+    starred = _starred(shared.join(central, "node").withColumn("root", F.col("node")), "central")
+    pairs = printed.unionByName(starred).distinct().checkpoint()
+    roots = components(_verified(pairs, sets)).checkpoint()
 
     # Keys whose nodes are still apart.
     members = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).checkpoint()

@@ -127,6 +127,8 @@ def links(prints: DataFrame) -> DataFrame:
     )
 
     hot = shared.where(F.col("n") > SMALL_BUCKET)
+    if hot.isEmpty():
+        return pairs.distinct()
     which = F.shiftright("key", 37)  # the segment that the variant belongs to
     other = _segment(p, F.lit(1) - which)
     one = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: _pack(i, _without(other, i)))
