@@ -115,8 +115,10 @@ def links(prints: DataFrame) -> DataFrame:
         lambda i: _pack(i, _without(_segment(p, F.floor(i / 32)), i % 32)),
     )
     keyed = prints.select("fingerprint", F.explode(variant).alias("key"))
+    # Spark sizes a table as if explode made one row of each, so without the hint it would broadcast all variants of
+    # some 400,000 fingerprints.
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(sizes, "key").checkpoint()
+    shared = keyed.join(sizes.hint("merge"), "key").checkpoint()
 
     small = shared.where(F.col("n") <= SMALL_BUCKET)
     pairs = (
@@ -151,7 +153,7 @@ def links(prints: DataFrame) -> DataFrame:
     residual = near_both.unionByName(exact_here)
     least = residual.groupBy("k1", "k2").agg(F.min("fingerprint").alias("dst"), F.count("*").alias("n")).where("n > 1")
     stars = (
-        residual.join(least, ["k1", "k2"])
+        residual.join(least.hint("merge"), ["k1", "k2"])
         .where("fingerprint <> dst")
         .select(F.col("fingerprint").alias("src"), "dst")
     )

@@ -357,6 +357,26 @@ def test_hot_buckets_link_exactly(spark):
 # 7 packing
 
 
+def test_variants_of_fingerprints_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes the rows behind an explode by those before it; the join of all variants must stay a shuffle."""
+    prints = spark.range(4_000).select(F.xxhash64("id").alias("fingerprint"))
+    plans, frame = [], type(prints)
+    real = frame.checkpoint
+
+    def checkpoint(df, *args):
+        out = real(df, *args)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(frame, "checkpoint", checkpoint)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")
+    try:
+        assert simhash.links(prints).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_packing_loses_nothing_and_pads_little(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rng = random.Random(9)
