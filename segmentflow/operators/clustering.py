@@ -105,14 +105,16 @@ def xie_beni(objective: float, rows: int, centres: np.ndarray) -> float:
 CHUNK = 4_096
 
 
-def packed(points: DataFrame, column: str = "point", others: dict[str, Column] | None = None) -> DataFrame:
+def packed(points: DataFrame, column: str = "point", others: dict[str, Column] | None = None, weight: str | None = None) -> DataFrame:
     """Distinct points with their other values and ``n``, the rows that have them, packed in blocks of doubles.
 
+    ``weight`` names a column of the rows that each given one stands for.
+
     Passes of an iteration read bytes instead of rows, in as many tasks as there are cores, and equal rows once.
     Columns are x, the others' names and n.
     """
     others = others or {}
-    distinct = points.groupBy(F.col(column).alias("x"), *[c.alias(name) for name, c in others.items()]).agg(F.count("*").alias("n"))
+    distinct = points.groupBy(F.col(column).alias("x"), *[c.alias(name) for name, c in others.items()]).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     names = ["x", *others, "n"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +222,7 @@ def gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
-def _numpy_memberships(d2: np.ndarray, fuzziness: float) -> np.ndarray:
+def numpy_memberships(d2: np.ndarray, fuzziness: float) -> np.ndarray:
     """Memberships, a row per centre."""
     touched = d2 <= TOUCH
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -257,7 +259,7 @@ def _fuzzy_parts(sets: list[np.ndarray], fuzziness: float, x: np.ndarray, out: n
     parts = []
     for centres in sets:
         d2 = gaps(x, centres)
-        u = _numpy_memberships(d2, fuzziness)
+        u = numpy_memberships(d2, fuzziness)
         weight, winner = u**fuzziness * n, u.argmax(axis=0)
         parts.append(np.array([n.sum(), (weight * d2).sum()]))
         top = u.max(axis=0) * n
@@ -312,33 +314,39 @@ def condition_columns(point: Column, centres: Column, config: FuzzyConfig = Fuzz
 
 
 def starts(points: DataFrame, centres: np.ndarray, sizes: list[int], masses: np.ndarray, column: str = "point") -> list[Start]:
+    """The starts for each size, see ``starts_from``."""
+    flat = block_sums(packed(points, column), centres.shape[1], lambda x, n: _own_parts(centres, gaps(x, centres), x, n)) if len(centres) + 1 in sizes else None
+    return starts_from(centres, sizes, masses, flat)
+
+
+def _own_parts(centres: np.ndarray, d2: np.ndarray, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Rows, loss, sums and sums of products of the points of each centre, flat; a point counts with its nearest, first of ties."""
+    own, pairs = d2.argmin(axis=0), np.triu_indices(len(x))
+    values = [n, d2.min(axis=0) * n, *(x * n), *(x[pairs[0]] * x[pairs[1]] * n)]
+    return np.stack([np.bincount(own, weights=v, minlength=len(centres)) for v in values], axis=1).ravel()
+
+
+def starts_from(centres: np.ndarray, sizes: list[int], masses: np.ndarray, own: np.ndarray | None) -> list[Start]:
     """The starts for each size, in order of size: one centre less, all kept and moved, or one centre split.
 
     A split moves a centre by half the root of its mean loss along the first axis of its members' covariance, to
-    both sides: back in its own place, forward behind all others.
+    both sides: back in its own place, forward behind all others.  ``own`` are the sums of ``_own_parts``.
     """
     k, size = centres.shape
     out = [Start(f"drop {i}", np.delete(centres, i, axis=0)) for i in range(k)] if k - 1 in sizes else []
     if k in sizes:
         out.append(Start("keep", centres, masses))
     if k + 1 in sizes:
-        own = nearest(points, centres, column)
-        x = [F.get(column, F.lit(i)) for i in range(size)]
-        pairs = [(i, j) for i in range(size) for j in range(i, size)]
-        stats = own.groupBy("cluster_index").agg(
-            F.count("*").alias("n"), F.sum(F.array_min("d2")).alias("loss"),
-            *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs],
-        )
-        found = {row["cluster_index"]: row for row in stats.collect()}  # K rows
-        for c in range(k):
-            row, n = found.get(c), found[c]["n"] if c in found else 0
+        at = np.triu_indices(size)
+        found = np.zeros((k, 2 + size + len(at[0]))) if own is None else own.reshape(k, -1)
+        for c, (n, lost, *sums) in enumerate(found.tolist()):
             axis, loss = np.eye(size)[0], 0.0  # a centre with fewer than two members splits along the first axis
             if n >= 2:
-                mean = np.array([row[f"s{i}"] for i in range(size)]) / n
+                mean = np.array(sums[:size]) / n
                 cov = np.zeros((size, size))
-                for i, j in pairs:
-                    cov[i, j] = cov[j, i] = (row[f"p{i}_{j}"] - n * mean[i] * mean[j]) / (n - 1)
-                axis, loss = np.linalg.eigh(cov)[1][:, -1], max(row["loss"], 0.0) / n
+                for i, j, p in zip(*at, sums[size:]):
+                    cov[i, j] = cov[j, i] = (p - n * mean[i] * mean[j]) / (n - 1)
+                axis, loss = np.linalg.eigh(cov)[1][:, -1], max(lost, 0.0) / n
             axis = axis * (np.sign(axis[np.abs(axis).argmax()]) or 1.0)
             step = max(math.sqrt(loss) / 2, 1e-3)
             split = np.vstack([centres, centres[c] + step * axis])
@@ -371,6 +379,12 @@ def fit_starts(points: DataFrame, tried: list[Start], config: FuzzyConfig = Fuzz
     A pass gives the objective of the centres it was asked for and the sums for their next update.  ``made`` is
     the number of updates that the given centres come from.
     """
+    return fit_packed(fuzzy_blocks(points, left_out, column), tried, config, made)
+
+
+def fit_packed(blocks: DataFrame, tried: list[Start], config: FuzzyConfig = FuzzyConfig(), made: int = 0) -> list[Fit]:
+    """``fit_starts`` over packed points x, out, n."""
+
     def sums(state: tuple, *chunk: np.ndarray) -> np.ndarray:
         return _fuzzy_parts([state[1]], config.fuzziness, *chunk)
 
@@ -384,7 +398,7 @@ def fit_starts(points: DataFrame, tried: list[Start], config: FuzzyConfig = Fuzz
 
     if not tried or made > config.max_iterations:
         return []
-    blocks = fuzzy_blocks(points, left_out, column).persist()
+    blocks = blocks.persist()
     try:
         return iterate(blocks, tried[0].centres.shape[1], [(s, s.centres.astype(float), made, math.inf) for s in tried], sums, step)
     finally:
@@ -406,13 +420,50 @@ def best_fit(fits: list[Fit]) -> Fit:
 
 
 def update(points: DataFrame, centres: np.ndarray, masses: np.ndarray, config: FuzzyConfig = FuzzyConfig(), column: str = "point") -> tuple[Fit, list[Fit], tuple[int, int, int]]:
-    """One cycle's step: the choice, all fits, and how many rows meet condition one, two and both; points are read from cache."""
-    first, second = condition_columns(F.col(column), centre_array(centres), config)
-    points = points.select(column, first.alias("first"), second.alias("second"), (first & second).alias("left_out")).persist()
+    """One cycle's step: the choice, all fits, and how many rows meet condition one, two and both."""
+    blocks = packed(points, column).persist()
     try:
-        n, *met = points.agg(F.count("*"), F.count_if("first"), F.count_if("second"), F.count_if("left_out")).first()
-        sizes = candidate_sizes(len(centres), met[0] > 0, met[1] > 0, n)
-        fits = fit_starts(points, starts(points, centres, sizes, masses, column), config, "left_out", column)
-        return best_fit(fits), fits, tuple(met)
+        return packed_update(blocks, centres, masses, config)[:3]
     finally:
-        points.unpersist()
+        blocks.unpersist()
+
+
+def packed_update(blocks: DataFrame, centres: np.ndarray, masses: np.ndarray, config: FuzzyConfig = FuzzyConfig()) -> tuple[Fit, list[Fit], tuple[int, int, int], int]:
+    """``update`` over packed points, and the number of rows; one pass of sums tells conditions and starts."""
+    blocks = blocks.select("x", "n")
+    flat = block_sums(blocks, centres.shape[1], lambda x, n: _update_parts(centres, config, x, n))
+    n, *met = (int(v) for v in (np.zeros(4) if flat is None else flat[:4]))
+    sizes = candidate_sizes(len(centres), met[0] > 0, met[1] > 0, n)
+    tried = starts_from(centres, sizes, masses, None if flat is None else flat[4:])
+    fits = fit_packed(_flagged(blocks, centres, config), tried, config)
+    return best_fit(fits), fits, tuple(met), n
+
+
+def _conditions(d2: np.ndarray, centres: np.ndarray, config: FuzzyConfig) -> tuple[np.ndarray, np.ndarray]:
+    """``condition_columns`` of points with these squared distances, a row per centre."""
+    even = np.abs(numpy_memberships(d2, config.fuzziness) - 1.0 / len(centres)).max(axis=0) <= config.even_margin
+    reach = ((centres[:, None] - centres[None]) ** 2).sum(axis=2).max(axis=1)
+    outside = (np.sqrt(d2) > np.sqrt(reach)[:, None] / 2).all(axis=0) & (len(centres) > 1)
+    return even, outside
+
+
+def _update_parts(centres: np.ndarray, config: FuzzyConfig, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Rows in all and of condition one, two and both, then ``_own_parts``."""
+    d2 = gaps(x, centres)
+    first, second = _conditions(d2, centres, config)
+    return np.concatenate([[n.sum(), n[first].sum(), n[second].sum(), n[first & second].sum()], _own_parts(centres, d2, x, n)])
+
+
+def _flagged(blocks: DataFrame, centres: np.ndarray, config: FuzzyConfig) -> DataFrame:
+    """Packed points (x, n) as x, out, n: out tells those that meet both conditions."""
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            outs = []
+            for held in batch.column(0).to_pylist():
+                x = np.frombuffer(held, dtype=float).reshape(-1, centres.shape[1]).T
+                first, second = _conditions(gaps(x, centres), centres, config)
+                outs.append((first & second).astype(float).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(outs, pa.binary()), batch.column(1)], ["x", "out", "n"])
+
+    return blocks.mapInArrow(flag, "x binary, out binary, n binary")

@@ -30,6 +30,12 @@ def fuzzy_overlap(paired: DataFrame, digits: int = 8) -> DataFrame:
     )
 
 
+def overlap_parts(previous: np.ndarray, current: np.ndarray, n: np.ndarray, digits: int = 8) -> np.ndarray:
+    """Sums of minima and of maxima of each pair of earlier and later membership, flat; a row per centre, earlier ones rounded as stored."""
+    p, q = np.round(previous, digits)[:, None], current[None]
+    return np.concatenate([(np.minimum(p, q) @ n).ravel(), (np.maximum(p, q) @ n).ravel()])
+
+
 def crisp_overlap(paired: DataFrame) -> DataFrame:
     """Jaccard of earlier and later hard groups over shared customers."""
     pairs = paired.groupBy("cycle_number", "prev_cluster_index", "cluster_index").agg(F.count("*").alias("shared"))

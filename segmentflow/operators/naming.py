@@ -5,9 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from segmentflow.functions.profiles import LEGACY_NAMES, SEPARATOR
 from segmentflow.operators.lineage import assign_least_cost
 
@@ -39,15 +36,18 @@ class CentreProfile:
     monetary_rank: float = 0.0
 
 
-def centre_profiles(rows: DataFrame, k: int) -> list[CentreProfile]:
-    """Means of recency, frequency and spending per centre, weighted by squared membership; K rows reach the driver."""
-    long = rows.select("recency", "frequency", "monetary", F.posexplode("u").alias("c", "m"))
-    w = F.col("m") * F.col("m")
-    sums = long.groupBy("c").agg(F.sum(w).alias("w"), *[F.sum(w * F.col(x)).alias(x) for x in ("recency", "frequency", "monetary")])
-    by = {r["c"]: r for r in sums.collect()}
-    if any(c not in by or not by[c]["w"] > 0 for c in range(k)):
+def profile_parts(u: np.ndarray, recency: np.ndarray, frequency: np.ndarray, monetary: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Squared membership, and recency, frequency and spending by it, summed for each centre, flat; u has a row per centre."""
+    w = u * u * n
+    return np.stack([w.sum(axis=1), w @ recency, w @ frequency, w @ monetary], axis=1).ravel()
+
+
+def centre_profiles(sums: np.ndarray) -> list[CentreProfile]:
+    """Means of recency, frequency and spending per centre, weighted by squared membership, from the sums of ``profile_parts``."""
+    sums = sums.reshape(-1, 4)
+    if not (sums[:, 0] > 0).all():
         raise ValueError("a centre has no membership to name it by")
-    means = np.array([[by[c][x] / by[c]["w"] for x in ("recency", "frequency", "monetary")] for c in range(k)])
+    means = sums[:, 1:] / sums[:, :1]
     recent = means[:, 0] <= 90
     ranks = [_average_rank(means[:, i], recent) for i in (1, 2)]
     return [CentreProfile(*map(float, m), float(f), float(s)) for m, f, s in zip(means, *ranks)]

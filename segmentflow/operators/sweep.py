@@ -53,8 +53,11 @@ def hard_parts(centres: np.ndarray, x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.concatenate([np.array([(d2.min(axis=0) * n).sum()]), np.bincount(own, weights=n, minlength=k), moment.ravel()])
 
 
-def kmeans(points: DataFrame, ks: list[int], starts: int = 30, seed: int = 42, column: str = "point") -> dict[int, Partition]:
-    """For each K the partition of least cost over the starts; partitions with an empty cluster do not count."""
+def kmeans(points: DataFrame, ks: list[int], starts: int = 30, seed: int = 42, column: str = "point", weight: str | None = None) -> dict[int, Partition]:
+    """For each K the partition of least cost over the starts; partitions with an empty cluster do not count.
+
+    ``weight`` names a column of the rows that each given one stands for.
+    """
     chosen = points.select(F.col(column).alias("x")).distinct().orderBy(F.xxhash64("x"), "x").limit(SAMPLE_ROWS)
     sample = np.array([r["x"] for r in chosen.collect()], dtype=float)  # SAMPLE_ROWS at most
     rngs = np.random.default_rng(seed)
@@ -69,7 +72,7 @@ def kmeans(points: DataFrame, ks: list[int], starts: int = 30, seed: int = 42, c
             return (now, iteration, loss, rows), False
         return (np.divide(moment, rows[:, None], out=now.copy(), where=rows[:, None] > 0), iteration + 1, loss, rows), True
 
-    blocks = clustering.packed(points, column).persist()
+    blocks = clustering.packed(points, column, weight=weight).persist()
     try:
         ended = clustering.iterate(blocks, len(sample[0]) if plans else 0, [(c, 0, math.inf, None) for c in first], lambda state, *chunk: hard_parts(state[0], *chunk), step)
     finally:
@@ -86,21 +89,21 @@ def labelled(points: DataFrame, found: dict[int, Partition], column: str = "poin
     return F.array(*[first_min(squared_distances(F.col(column), centre_array(found[k].centres))) for k in sorted(found)])
 
 
-def mean_silhouettes(points: DataFrame, found: dict[int, Partition], column: str = "point") -> dict[int, float]:
+def mean_silhouettes(points: DataFrame, found: dict[int, Partition], column: str = "point", weight: str | None = None) -> dict[int, float]:
     """The mean Euclidean silhouette of each partition, all from one pass over pairs of blocks."""
-    each = validity.weighted_silhouettes(points, labelled(points, found, column), None, column)
+    each = validity.weighted_silhouettes(points, labelled(points, found, column), None, column, weight=weight)
     rows = each.groupBy("place").agg(validity.mean_silhouette().alias("s")).collect()  # one row per K
     ks = sorted(found)
     return {ks[r["place"]]: r["s"] for r in rows}
 
 
-def k_table(points: DataFrame, found: dict[int, Partition], id_col: str, between_ends: bool = False, column: str = "point") -> list[dict]:
+def k_table(points: DataFrame, found: dict[int, Partition], id_col: str, between_ends: bool = False, column: str = "point", weight: str | None = None) -> list[dict]:
     """One row per K: inertia, Euclidean silhouette, distance from the chord, sizes, singletons, and the choices.
 
     ``elbow_k`` is farthest below the chord; ``shallow_bend`` tells that the second is within a twentieth of it.
     """
     ks = sorted(found)
-    silhouettes = mean_silhouettes(points, found, column)
+    silhouettes = mean_silhouettes(points, found, column, weight)
     bends = clustering.elbow_distances({k: found[k].cost for k in ks}, between_ends)
     chosen = clustering.elbow({k: found[k].cost for k in ks}, between_ends)
     deep = sorted(bends.values(), reverse=True)

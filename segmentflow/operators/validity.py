@@ -55,7 +55,9 @@ def squared_silhouette(rows: DataFrame, keys: list[str], label: str = "cluster_i
 STRIPS, STRIP_ROWS = 24, 131_072
 
 
-def point_silhouettes(rows: DataFrame, labels: Column, keys: list[str] | None = None, column: str = "point", block_rows: int = 4096) -> DataFrame:
+def point_silhouettes(
+    rows: DataFrame, labels: Column, keys: list[str] | None = None, column: str = "point", block_rows: int = 4096, weight: str | None = None
+) -> DataFrame:
     """(keys, x, ks, rows, values): every distinct point with its labels, the rows that have them, and its silhouette per place.
 
     ``labels`` is an array; each place is one labelling, and a row whose label is null has no part in it, so
@@ -63,11 +65,11 @@ def point_silhouettes(rows: DataFrame, labels: Column, keys: list[str] | None =
     are one point with a weight.  Points are packed in pieces of about ``block_rows``.  A strip of a key's pieces meets
     all pieces of the key one after the other and keeps sums per point and label, so pieces are shuffled once per strip,
     ``STRIPS`` times at most up to STRIPS x ``STRIP_ROWS`` points a key, and nothing else is.  The work is quadratic in
-    the distinct points of a key, the memory is not.
+    the distinct points of a key, the memory is not.  ``weight`` names a column of the rows that each given one stands for.
     """
     keys = keys or []
-    chosen = rows.select(*[F.col(k) for k in keys], labels.alias("ks"), F.col(column).alias("x"))
-    points = chosen.where(F.exists("ks", lambda k: k.isNotNull())).groupBy(*keys, "ks", "x").agg(F.count("*").alias("w"))
+    chosen = rows.select(*[F.col(k) for k in keys], labels.alias("ks"), F.col(column).alias("x"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"))
+    points = chosen.where(F.exists("ks", lambda k: k.isNotNull())).groupBy(*keys, "ks", "x").agg(F.sum("w").alias("w"))
     n = F.count("*")
     most = F.greatest(F.lit(STRIPS), F.ceil(n / STRIP_ROWS))
     counted = points.groupBy(*keys).agg(F.ceil(n / block_rows).cast("int").alias("pieces"), F.least(F.ceil(n / block_rows), most).cast("int").alias("strips"))
@@ -182,9 +184,11 @@ def _label_codes(points: pa.StructArray) -> tuple[np.ndarray, list]:
     return coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).reshape(len(points), -1), coded.dictionary.to_pylist()
 
 
-def weighted_silhouettes(rows: DataFrame, labels: Column, keys: list[str] | None = None, column: str = "point", block_rows: int = 4096) -> DataFrame:
+def weighted_silhouettes(
+    rows: DataFrame, labels: Column, keys: list[str] | None = None, column: str = "point", block_rows: int = 4096, weight: str | None = None
+) -> DataFrame:
     """(keys, place, label, rows, silhouette): one row per distinct point and place, standing for ``rows`` rows."""
-    found = point_silhouettes(rows, labels, keys, column, block_rows)
+    found = point_silhouettes(rows, labels, keys, column, block_rows, weight)
     each = found.select(*(keys or []), "rows", F.posexplode(F.arrays_zip("ks", F.col("values").alias("v"))).alias("place", "s"))
     return each.select(*(keys or []), "place", F.col("s.ks").alias("label"), "rows", F.col("s.v").alias("silhouette")).where("label is not null")
 

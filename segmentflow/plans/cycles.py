@@ -1,11 +1,14 @@
 """The cycle loop: K-means baseline, fuzzy updates, identities and names, cycle after cycle.
 
-Only centres, ids and carried masses pass from cycle to cycle on the driver.  Assignments are expressions
-over the checkpointed panel and literal centres, so the plan does not grow with the number of cycles.
+Only centres, ids and carried masses pass from cycle to cycle on the driver.  The panel is stored by cycle.  Its
+customers are counted once by kind, the distinct measures of a cycle, and once by the kinds they have in one cycle and
+the next; fits, names and overlaps read these counts, so the loop's passes do not meet customers.  Assignments are
+expressions over the stored panel and literal centres, so the plan does not grow with the number of cycles.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -17,6 +20,7 @@ from segmentflow.functions.membership import centre_array, first_max, first_min,
 from segmentflow.operators import clustering, features, lineage, naming, sweep
 from segmentflow.operators.snapshot import FEATURES
 from segmentflow.session import ensure_checkpoint_dir
+from segmentflow.sources import runs
 
 
 @dataclass
@@ -38,6 +42,8 @@ class Run:
         return {"assignments": self.assignments, **small}
 
 
+#: What names and assignments tell of a customer beside the point.
+MEASURES = ("recency", "frequency", "monetary")
 RUN_TABLES = {
     "centres": "cycle_number int, cluster_index int, stable_cluster_id string, segment_name string, centre array<double>",
     "lineage": "cycle_number int, previous_id string, current_id string, distance double, overlap double, cost double, event string, is_primary int, "
@@ -64,16 +70,56 @@ def project(panel: DataFrame, components: int = 3) -> DataFrame:
     return done.withColumn("point", F.array(*[f"pc{i + 1}" for i in range(components)]))
 
 
-def baseline(points: DataFrame, most: int, seeds: int) -> tuple[np.ndarray, list[dict]]:
-    """Centres of the elbow's K, in canonical order of their customers' value, and the table of all K."""
-    n = points.count()
-    found = sweep.kmeans(points, list(range(2, max(3, min(most, n - 1) + 1))), seeds)
+def baseline(kinds: DataFrame, n: int, most: int, seeds: int) -> tuple[np.ndarray, list[dict]]:
+    """Centres of the elbow's K, and the table of all K, of the n customers that the kinds stand for."""
+    found = sweep.kmeans(kinds, list(range(2, max(3, min(most, n - 1) + 1))), seeds, 42, "point", "n")
     if not found:
         raise ValueError("the baseline cycle is too small to cluster")
-    table = sweep.k_table(points, found, "customer_id")
-    centres = found[next(row["k"] for row in table if row["selected"])].centres
-    order = clustering.canonical_order(clustering.nearest(points, centres))
-    return centres[order], table
+    table = sweep.k_table(kinds, found, "customer_id", weight="n")
+    return found[next(row["k"] for row in table if row["selected"])].centres, table
+
+
+def _shares(x: np.ndarray, centres: np.ndarray, crisp: bool, fuzziness: float) -> np.ndarray:
+    """Memberships of points, a row per centre; crisp ones belong to the nearest, first of ties."""
+    d2 = clustering.gaps(x, centres)
+    return np.eye(len(centres))[:, d2.argmin(axis=0)] if crisp else clustering.numpy_memberships(d2, fuzziness)
+
+
+def _profile_sums(blocks: DataFrame, centres: np.ndarray, crisp: bool, fuzziness: float) -> np.ndarray:
+    """The sums of ``naming.profile_parts`` over packed kinds."""
+    return clustering.block_sums(blocks, centres.shape[1], lambda x, *values: naming.profile_parts(_shares(x, centres, crisp, fuzziness), *values))
+
+
+def _moves(points: DataFrame, cycles: list[int]) -> DataFrame:
+    """(cycle_number, previous, point, n): customers by their points in the cycle before and in this one; null where they are gone."""
+    after = F.create_map(*[F.lit(c) for pair in zip(cycles, cycles[1:]) for c in pair])
+    before = points.where(F.col("cycle_number") < cycles[-1]).select(F.element_at(after, F.col("cycle_number")).alias("cycle_number"), "customer_id", F.col("point").alias("previous"))
+    met = before.join(points.select("cycle_number", "customer_id", "point"), ["cycle_number", "customer_id"], "left")
+    return met.groupBy("cycle_number", "previous", "point").agg(F.count("*").alias("n"))
+
+
+def _carried(moves: DataFrame, centres: np.ndarray, crisp: bool, fuzziness: float) -> np.ndarray:
+    """Membership mass of customers that the new cycle no longer has, by their cluster in the cycle before."""
+
+    def mass(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        u = _shares(x, centres, crisp, fuzziness)
+        return np.bincount(u.argmax(axis=0), weights=u.max(axis=0) * n, minlength=len(centres))
+
+    flat = clustering.block_sums(clustering.packed(moves.where("point is null"), "previous", weight="n"), centres.shape[1], mass)
+    return np.zeros(len(centres)) if flat is None else flat
+
+
+def _overlap(moves: DataFrame, before: np.ndarray, crisp: bool, centres: np.ndarray, fuzziness: float) -> np.ndarray:
+    """Fuzzy overlap of each earlier and later cluster over the customers of both cycles."""
+    size = centres.shape[1]
+    pairs = moves.where("point is not null").select(F.concat("previous", "point").alias("pair"), "n")
+
+    def parts(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return lineage.overlap_parts(_shares(x[:size], before, crisp, fuzziness), _shares(x[size:], centres, False, fuzziness), n)
+
+    flat = clustering.block_sums(clustering.packed(pairs, "pair", weight="n"), 2 * size, parts)
+    low, high = np.zeros((2, len(before), len(centres))) if flat is None else flat.reshape(2, len(before), len(centres))
+    return np.divide(low, high, out=np.zeros_like(low), where=high > 0)
 
 
 def _assigned(points: DataFrame, centres: np.ndarray, ids: list[str], names: list[str], crisp: bool, fuzziness: float) -> DataFrame:
@@ -90,25 +136,39 @@ def _assigned(points: DataFrame, centres: np.ndarray, ids: list[str], names: lis
 
 def run(panel: DataFrame, config: clustering.FuzzyConfig = clustering.FuzzyConfig(), most_clusters: int = 10, seeds: int = 50) -> Run:
     """Cluster every cycle of a panel with ``cycle_number``, ``customer_id``, measures and features."""
-    ensure_checkpoint_dir(panel.sparkSession)
-    points = project(panel).select("cycle_number", "customer_id", "recency", "frequency", "monetary", "point").checkpoint()
-    cycles = [r[0] for r in points.select("cycle_number").distinct().orderBy("cycle_number").collect()]
+    spark = panel.sparkSession
+    ensure_checkpoint_dir(spark)
+    held = runs.Run(spark, f"{spark.sparkContext.getCheckpointDir()}/fit-{uuid.uuid4().hex}")
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        """The table stored by cycle, so a cycle reads its own rows only."""
+        held.commit({name: df})
+        own = F.col("cycle_number").cast(df.schema["cycle_number"].dataType)
+        return held.read(name).select(own.alias("cycle_number"), *[c for c in df.columns if c != "cycle_number"])
+
+    points = kept("points", project(panel).select("cycle_number", "customer_id", *MEASURES, "point"))
+    kinds = kept("kinds", points.groupBy("cycle_number", *MEASURES, "point").agg(F.count("*").alias("n")))
+    cycles = [r[0] for r in kinds.select("cycle_number").distinct().orderBy("cycle_number").collect()]
+    moves = kept("moves", _moves(points, cycles)) if len(cycles) > 1 else None
     out, parts = Run(points), []
-    centres = ids = before = None
-    masses, next_number = np.zeros(0), 1
+    centres = ids = None
+    crisp, next_number = True, 1
     for cycle in cycles:
-        own = points.where(F.col("cycle_number") == cycle)
+        own = kinds.where(F.col("cycle_number") == cycle)
+        blocks = clustering.packed(own, "point", {m: F.col(m) for m in MEASURES}, "n").persist()
         if centres is None:
-            centres, out.k_table = baseline(own, most_clusters, seeds)
+            n = own.agg(F.sum("n")).first()[0]
+            centres, out.k_table = baseline(own, n, most_clusters, seeds)
+            weight, recency, frequency, monetary = _profile_sums(blocks, centres, crisp, config.fuzziness).reshape(-1, 4).T
+            centres = centres[np.lexsort((recency / weight, -frequency / weight, -monetary / weight))]  # by value, see ``canonical_order``
             ids = [f"CL-{i + 1:03d}" for i in range(len(centres))]
-            next_number, crisp = len(ids) + 1, True
-            rows = clustering.nearest(own, centres)
-            n, cost = rows.agg(F.count("*"), F.sum(F.array_min("d2"))).first()
+            next_number = len(ids) + 1
+            cost = float(clustering.block_sums(blocks.select("x", "n"), centres.shape[1], lambda x, n: sweep.hard_parts(centres, x, n))[0])
             out.quality.append({"cycle_number": cycle, "k": len(ids), "n": n, "objective": cost, "source": "k-means"})
         else:
-            crisp = False
-            carried = _carried(before, own, ids)
-            fit, fits, met = clustering.update(own, centres, carried, config)
+            moved = moves.where(F.col("cycle_number") == cycle)
+            before, was_crisp, crisp = centres, crisp, False
+            fit, fits, met, n = clustering.packed_update(blocks, centres, _carried(moved, before, was_crisp, config.fuzziness), config)
             out.candidates += [
                 {
                     "cycle_number": cycle, "k": len(f.centres), "source": f.source, "objective": f.objective, "xie_beni": f.xie_beni,
@@ -117,12 +177,7 @@ def run(panel: DataFrame, config: clustering.FuzzyConfig = clustering.FuzzyConfi
                 }
                 for f in fits
             ]
-            paired = _assigned(own, fit.centres, [""] * len(fit.centres), [""] * len(fit.centres), False, config.fuzziness).join(
-                before.select("customer_id", F.col("u").alias("prev_u")), "customer_id"
-            )
-            overlap = np.zeros((len(centres), len(fit.centres)))
-            for r in lineage.fuzzy_overlap(paired).collect():  # K x K' rows
-                overlap[r["previous_index"], r["current_index"]] = r["fuzzy_jaccard"]
+            overlap = _overlap(moved, before, was_crisp, fit.centres, config.fuzziness)
             out.overlaps += [
                 {"cycle_number": cycle, "previous_index": a, "current_index": b, "overlap": float(v)} for (a, b), v in np.ndenumerate(overlap)
             ]
@@ -131,26 +186,16 @@ def run(panel: DataFrame, config: clustering.FuzzyConfig = clustering.FuzzyConfi
             centres = fit.centres
             out.quality.append(
                 {
-                    "cycle_number": cycle, "k": len(ids), "n": own.count(), "objective": fit.objective, "xie_beni": fit.xie_beni, "iterations": fit.iterations,
+                    "cycle_number": cycle, "k": len(ids), "n": n, "objective": fit.objective, "xie_beni": fit.xie_beni, "iterations": fit.iterations,
                     "source": fit.source, **dict(zip(("condition_one", "condition_two", "left_out"), met)),
                 }
             )
-        blank = _assigned(own, centres, ids, [""] * len(ids), crisp, config.fuzziness)
-        names = naming.names_of(naming.centre_profiles(blank, len(ids)))
-        before = _assigned(own, centres, ids, names, crisp, config.fuzziness)
-        parts.append(before)
+        names = naming.names_of(naming.centre_profiles(_profile_sums(blocks, centres, crisp, config.fuzziness)))
+        blocks.unpersist()
+        parts.append(_assigned(points.where(F.col("cycle_number") == cycle), centres, ids, names, crisp, config.fuzziness))
         out.centres += [
             {"cycle_number": cycle, "cluster_index": i, "stable_cluster_id": ids[i], "segment_name": names[i], "centre": centres[i].tolist()}
             for i in range(len(ids))
         ]
     out.assignments = reduce(DataFrame.unionByName, parts) if parts else points
     return out
-
-
-def _carried(before: DataFrame, own: DataFrame, ids: list[str]) -> np.ndarray:
-    """Membership mass of customers that the new cycle no longer has, by cluster."""
-    gone = before.join(own.select("customer_id"), "customer_id", "left_anti").groupBy("cluster_index").agg(F.sum("top_membership").alias("m"))
-    masses = np.zeros(len(ids))
-    for r in gone.collect():  # K rows
-        masses[r["cluster_index"]] = r["m"]
-    return masses
