@@ -91,7 +91,8 @@ def fit_violations(assignments: DataFrame, centres: DataFrame, lineage: DataFram
     born = lineage.where("event = 'created'").select(F.col("cycle_number").alias("at"), F.col("current_id").alias("stable_cluster_id"))
     ordered = F.sort_array(F.collect_list(F.struct("cluster_index", "centre")))  # the centres of one cycle
     sets = centres.groupBy("cycle_number").agg(F.transform(ordered, lambda c: c["centre"]).alias("centres"))
-    replayed = assignments.join(F.broadcast(sets), "cycle_number", "left").withColumn("again_d2", squared_distances(F.col("point"), F.col("centres")))
+    distinct = assignments.groupBy("cycle_number", "point", "u", "cluster_index").agg(F.count("*").alias("n"))
+    replayed = distinct.join(F.broadcast(sets), "cycle_number", "left").withColumn("again_d2", squared_distances(F.col("point"), F.col("centres")))
     own, least = F.get("again_d2", F.col("cluster_index")), F.array_min("again_d2")
     apart = F.array_max(F.zip_with("u", memberships(F.col("again_d2"), fuzziness), lambda a, b: F.abs(a - b)))
     rules = {
@@ -99,7 +100,7 @@ def fit_violations(assignments: DataFrame, centres: DataFrame, lineage: DataFram
         "assigned to a farther centre": ~F.coalesce(own <= least * (1 + 1e-9) + 1e-12, F.lit(False)),
         "memberships differ from the centres": (F.col("cycle_number") > 0) & ~F.coalesce(apart <= 1e-9, F.lit(False)),
     }
-    rows = replayed.agg(*[F.count_if(c).alias(f"v{i}") for i, c in enumerate(rules.values())])
+    rows = replayed.agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(f"v{i}") for i, c in enumerate(rules.values())])
     return reduce(
         DataFrame.unionByName,
         [

@@ -52,6 +52,11 @@ def _shares(gaps: Column, fuzziness: float) -> Column:
     return F.when(hits > 0, F.transform(gaps, lambda d: F.when(d <= 1e-24, 1.0 / hits).otherwise(0.0))).otherwise(spread)
 
 
+def _distinct(rows: DataFrame, *columns: str) -> DataFrame:
+    """The distinct values of a cycle with ``n``, the rows that have them."""
+    return rows.groupBy("cycle_number", *columns).agg(F.count("*").alias("n"))
+
+
 def _sets(centres: DataFrame, shift: int = 0) -> DataFrame:
     """(cycle_number, centres): the stored centres of each cycle in order; one row per cycle."""
     ordered = F.array_sort(F.collect_list(F.struct("cluster_index", "centre")))
@@ -78,9 +83,9 @@ def candidates_again(assignments: DataFrame, centres: DataFrame, candidates: Dat
     """Every candidate of every cycle fitted again from its stored start and masses, with the residuals."""
     spark = assignments.sparkSession
     stored = candidates.orderBy("cycle_number", "k", "source").collect()  # some K rows a cycle
-    points = _with_conditions(assignments.select("cycle_number", "point"), centres, rules)
+    points = _with_conditions(_distinct(assignments, "point"), centres, rules)
     flag = F.coalesce(F.col("one") & F.col("two"), F.lit(False))
-    blocks = packed(points, "point", {"cycle": F.col("cycle_number"), "out": flag}).persist()
+    blocks = packed(points, "point", {"cycle": F.col("cycle_number"), "out": flag}, "n").persist()
     size = len(stored[0]["start"][0]) if stored else 0
     tried = [c.asDict() for c in stored]
 
@@ -149,18 +154,19 @@ def _next(candidate, own: dict) -> np.ndarray:
 
 def cycles_again(assignments: DataFrame, centres: DataFrame, quality: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Per fitted cycle: memberships, assignment, objective, Xie-Beni index and condition counts from the stored centres."""
-    met = _with_conditions(assignments.select("cycle_number", "point"), centres, rules)
-    counts = met.groupBy("cycle_number").agg(F.count_if("one").alias("one"), F.count_if("two").alias("two"), F.count_if(F.col("one") & F.col("two")).alias("out"))
-    rows = assignments.where("cycle_number > 0").join(F.broadcast(_sets(centres)), "cycle_number")
+    met = _with_conditions(_distinct(assignments, "point"), centres, rules)
+    counted = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    counts = met.groupBy("cycle_number").agg(counted(F.col("one")).alias("one"), counted(F.col("two")).alias("two"), counted(F.col("one") & F.col("two")).alias("out"))
+    rows = _distinct(assignments.where("cycle_number > 0"), "point", "u", "cluster_index").join(F.broadcast(_sets(centres)), "cycle_number")
     rows = rows.withColumn("gaps", _gaps(F.col("centres"), F.col("point"))).withColumn("again", _shares(F.col("gaps"), rules.fuzziness))
     off = F.array_max(F.zip_with("u", "again", lambda a, b: F.abs(a - b)))
     pairs = F.flatten(F.transform("centres", lambda a, i: F.transform(F.slice("centres", 1, i), lambda b: _sum(F.zip_with(a, b, lambda p, q: F.pow(p - q, F.lit(2.0)))))))
     loss = _sum(F.zip_with("again", "gaps", lambda u, d: F.pow(u, F.lit(rules.fuzziness)) * d))
     seen = rows.groupBy("cycle_number").agg(
-        F.count("*").alias("customers"),
-        F.count_if(~F.coalesce(off <= CLOSE, F.lit(False))).alias("membership_mismatches"),
-        F.count_if(F.array_position("again", F.array_max("again")) - 1 != F.col("cluster_index")).alias("assignment_mismatches"),
-        F.sum(loss).alias("loss"), F.min(F.array_min(pairs)).alias("gap"),
+        F.sum("n").alias("customers"),
+        counted(~F.coalesce(off <= CLOSE, F.lit(False))).alias("membership_mismatches"),
+        counted(F.array_position("again", F.array_max("again")) - 1 != F.col("cluster_index")).alias("assignment_mismatches"),
+        F.sum(loss * F.col("n")).alias("loss"), F.min(F.array_min(pairs)).alias("gap"),
     )
     both = quality.where("cycle_number > 0").join(seen, "cycle_number", "left").join(counts, "cycle_number", "left")
     index = F.when(F.col("gap") > 1e-12, F.col("loss") / (F.col("customers") * F.col("gap")))
@@ -181,11 +187,11 @@ def cycles_again(assignments: DataFrame, centres: DataFrame, quality: DataFrame,
 def overlaps_again(assignments: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(cycle_number, previous_index, current_index, overlap) from the memberships, by |a - b|: low and high halves of a sum."""
     earlier = assignments.select((F.col("cycle_number") + 1).alias("cycle_number"), "customer_id", F.transform("u", lambda v: F.round(v, rules.digits)).alias("w"))
-    shared = assignments.select("cycle_number", "customer_id", "u").join(earlier, ["cycle_number", "customer_id"])
-    cells = shared.select("cycle_number", "u", F.posexplode("w").alias("previous_index", "a")).select(
-        "cycle_number", "previous_index", "a", F.posexplode("u").alias("current_index", "b")
+    shared = _distinct(assignments.select("cycle_number", "customer_id", "u").join(earlier, ["cycle_number", "customer_id"]), "u", "w")
+    cells = shared.select("cycle_number", "u", "n", F.posexplode("w").alias("previous_index", "a")).select(
+        "cycle_number", "n", "previous_index", "a", F.posexplode("u").alias("current_index", "b")
     )
-    total, gap = F.sum(F.col("a") + F.col("b")), F.sum(F.abs(F.col("a") - F.col("b")))
+    total, gap = F.sum((F.col("a") + F.col("b")) * F.col("n")), F.sum(F.abs(F.col("a") - F.col("b")) * F.col("n"))
     return cells.groupBy("cycle_number", "previous_index", "current_index").agg(F.coalesce(F.try_divide(total - gap, total + gap), F.lit(0.0)).alias("overlap"))
 
 

@@ -143,3 +143,37 @@ def test_the_panel_multiplies_no_rows_and_the_state_shuffles_panels_only(spark,
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_the_cycle_loop_and_the_replay_read_kinds_of_customers(spark, monkeypatch):
+    """Customers of equal measures are one weighted row of every pass, and the sums are those over all customers."""
+    from segmentflow.operators import replay
+
+    rng = np.random.default_rng(3)
+    kinds = []
+    for i in range(60):
+        r, f, m = [5, 45, 150][i % 3] + int(rng.integers(0, 8)), [6, 2, 0][i % 3] + rng.random() / 3, [900, 200, 0][i % 3] + float(rng.integers(0, 40))
+        lr, lf, lm = np.log1p([r, f, m])
+        kinds.append((r, float(f), float(m), *map(float, (lr, lf, lm, lr * lf, lr * lm, lf * lm))))
+    rows = [(c, 60 * copy + i, *kinds[(i + 3 * c) % 60]) for c in range(2) for copy in range(5) for i in range(60) if c == 0 or i % 10 or copy]
+    panel = spark.createDataFrame(rows, "cycle_number int, customer_id long, recency int, frequency double, monetary double, log_r double, log_f double, log_m double, rf_score double, rm_score double, fm_score double")
+    seen, real = [], clustering.packed
+    counted = lambda points, *a, **k: seen.append(points.count()) or real(points, *a, **k)
+    monkeypatch.setattr(clustering, "packed", counted)
+    monkeypatch.setattr(replay, "packed", counted)
+    run = cycles.run(panel, most_clusters=4, seeds=2)
+    tables = {n: df.cache() for n, df in run.tables().items()}
+    assert all(r.holds for r in replay.candidates_again(*[tables[n] for n in ("assignments", "centres", "candidates")]).collect())
+    assert len(seen) >= 5 and max(seen) <= 120
+    assert [q["n"] for q in run.quality] == [300, 294] and sum(run.k_table[0]["sizes"]) == 300
+    found = {(r.cycle_number, r.customer_id): r for r in tables["assignments"].collect()}
+    both = [(found[0, i].u, found[1, i].u) for c, i in found if c == 1]
+    p, q = (np.array([pair[side] for pair in both]) for side in (0, 1))
+    for o in run.overlaps:
+        a, b = np.round(p[:, o["previous_index"]], 8), q[:, o["current_index"]]
+        assert np.isclose(o["overlap"], np.minimum(a, b).sum() / np.maximum(a, b).sum())
+    gone = [r for (c, i), r in found.items() if c == 0 and (1, i) not in found]
+    masses = np.bincount([r.cluster_index for r in gone], weights=[r.top_membership for r in gone], minlength=run.quality[0]["k"])
+    assert len(gone) == 6 and all(np.allclose(c["carried"], masses) for c in run.candidates if c["carried"] is not None)
+    for df in tables.values():
+        df.unpersist()
