@@ -40,6 +40,25 @@ def test_silhouettes_of_repeated_points_and_partial_labels(spark):
     assert np.allclose([m.m for m in means], [np.mean(list(slow(v).values())) for v in (first, second)])
 
 
+def test_silhouettes_of_the_panel_read_counted_kinds(spark, sf_dir, monkeypatch):
+    """The silhouette queries store no assigned rows, and count what they would give."""
+    from segmentflow.plans import queries
+
+    monkeypatch.setattr(state, "segments", lambda *a: (_ for _ in ()).throw(AssertionError("assigned rows are stored")))
+    exact, cohorts = (queries.QUERIES[n](spark, sf_dir).collect() for n in ("exact_silhouettes", "cohort_silhouettes"))
+    rows = state.assigned(state.rfm(spark, sf_dir)).cache()
+    wanted = {(r.cycle_number, r.label): (r.n, r.s) for r in validity.exact_silhouettes(rows, F.array("cluster_index"), ["cycle_number"]).groupBy("cycle_number", "label").agg(F.count("*").alias("n"), F.avg("silhouette").alias("s")).collect()}
+    assert {(r.cycle_number, r.cluster_index): r.customers for r in exact} == {k: n for k, (n, _) in wanted.items()}
+    assert all(np.isclose(r.mean_silhouette, wanted[r.cycle_number, r.cluster_index][1], atol=1e-5) for r in exact if r.mean_silhouette is not None)
+    each = {(r.cycle_number, r.cohort): r for r in validity.cohort_silhouettes(rows, ["cycle_number"]).collect()}
+    assert len(cohorts) == len(each) > 20
+    for r in cohorts:
+        own = each[r.cycle_number, r.cohort]
+        assert (r.customers, r.occupied) == (own.customers, own.occupied) and np.isclose(r.mean_membership, own.mean_membership, atol=1e-6)
+        assert (r.mean_silhouette is None) == (own.mean_silhouette is None) and (own.mean_silhouette is None or np.isclose(r.mean_silhouette, own.mean_silhouette, atol=1e-5))
+    rows.unpersist()
+
+
 def test_iterations_run_over_distinct_points_in_one_job(spark):
     """A pass meets every distinct point once, with its rows as weight, and is one job."""
     rng = np.random.default_rng(2)
